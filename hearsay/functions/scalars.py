@@ -128,8 +128,8 @@ def effective_negativity(
 ) -> Column:
     """Negativity in which a sarcastic share is trusted less and leans to the negative."""
     raw, sarcasm = _col(raw), _col(sarcasm)
-    softened = raw * F.lit(downweight) + F.lit(sarcasm_bias)
-    return raw + sarcasm * (softened - raw)
+    softened = F.lit(downweight) * raw + F.lit(sarcasm_bias)
+    return (F.lit(1.0) - sarcasm) * raw + sarcasm * softened
 
 
 def is_complaint(score: Column | str, cut: float = 0.2) -> Column:
