@@ -44,7 +44,7 @@ def lookup_join(
     """Join many rows to a side with one row per key: left, inner, left_semi or left_anti.
 
     A right side of checked size is broadcast. Beyond that, keys too big for one task are cut by
-    a hash of ``spread_by`` (columns that tell the left rows of a key apart, default all), in
+    a hash of ``spread_by`` (columns that tell the left rows of a key apart), in
     proportion to their share, and only their right rows are repeated: fewer than twice the
     number of shuffle partitions in all. The result is the same either way.
     """
@@ -60,7 +60,8 @@ def salted_join(
     parts = parallelism(left)
     hot = F.broadcast(hot_keys(left.select(*on), on, parts))
     no_key = reduce(Column.__or__, [F.col(c).isNull() for c in on])
-    spread = F.xxhash64(*(spread_by or left.columns))
+    # full copies share every column, so by default the task they come from tells them apart
+    spread = F.xxhash64(*spread_by) if spread_by else F.xxhash64(*left.columns, F.spark_partition_id())
     # rows without a key never match, so any task may carry them
     cuts = F.when(no_key, F.lit(parts)).otherwise(F.coalesce("__cuts", F.lit(1)))
     cut_left = left.join(hot, list(on), "left").withColumn("__cut", F.pmod(spread, cuts).cast("int"))
@@ -77,10 +78,11 @@ def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n
     """First ``n`` rows of each group by ``order``, numbered in ``rank_in_group``.
 
     Up to the window group limit Spark cuts each task's share to ``n`` before the shuffle; for a
-    larger ``n`` the groups are first cut by hash, so no task sorts a whole hot group.
+    larger ``n`` each task's share is first cut to ``n`` on its own, so no task sorts a whole hot
+    group.
     """
     if n > GROUP_LIMIT:
-        df = df.withColumn("__cut", F.pmod(F.xxhash64(*df.columns), F.lit(parallelism(df))))
+        df = df.withColumn("__cut", F.spark_partition_id())
         inner = Window.partitionBy(*by, "__cut").orderBy(*order)
         df = df.withColumn("__rn", F.row_number().over(inner)).filter(F.col("__rn") <= n).drop("__rn", "__cut")
     window = Window.partitionBy(*by).orderBy(*order)

@@ -34,7 +34,7 @@ COMMENTS_KEY = "comment_id"
 
 
 def thread_reply(depth: int = THREAD_DEPTH) -> T.StructType:
-    """Landed shape of one reply, with its own replies nested down to ``depth`` levels."""
+    """Landed shape of one reply, nested ``depth`` levels; what lies deeper stays JSON text."""
     fields = [
         T.StructField("kind", T.StringType()),
         T.StructField("id", T.StringType()),
@@ -43,9 +43,8 @@ def thread_reply(depth: int = THREAD_DEPTH) -> T.StructType:
         T.StructField("body", T.StringType()),
         T.StructField("score", T.LongType()),
     ]
-    if depth > 1:
-        fields.append(T.StructField("replies", T.ArrayType(thread_reply(depth - 1))))
-    return T.StructType(fields)
+    nested = T.ArrayType(thread_reply(depth - 1)) if depth > 1 else T.StringType()
+    return T.StructType([*fields, T.StructField("replies", nested)])
 
 
 def thread(depth: int = THREAD_DEPTH) -> T.StructType:
