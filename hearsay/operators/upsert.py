@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hearsay.operators.skew import first_per_key, lookup_join
@@ -38,18 +38,19 @@ class Inserted:
     added: int
 
 
-def insert_or_ignore(df: DataFrame, table: str, key: str, order: Sequence[Column | str]) -> Inserted:
+def insert_or_ignore(df: DataFrame, table: str, key: str) -> Inserted:
     """Append the rows whose key is new; rows already stored win. One writer per table.
 
-    Keys are unique after the dedup, so the anti join has no hot key on either side. Running the
-    same insert again adds nothing, so a failed run may simply be repeated.
+    ``df`` holds one row per key (see ``dedup``), so the anti join has no hot key on either side,
+    and a bucketed table is read where it lies. Repeating an insert adds nothing, so a failed run
+    may simply be run again. Both counts are taken while the rows are written.
     """
     spark = df.sparkSession
-    fresh = dedup(df.filter(F.col(key).isNotNull()), key, order)
-    attempted = df.select(key).filter(F.col(key).isNotNull()).distinct().count()
-    before = spark.table(table).count()
-    tables.append(fresh.join(tables.keys(spark, table, key), key, "left_anti"), table)
-    return Inserted(attempted, spark.table(table).count() - before)
+    attempted, added = Observation(), Observation()
+    rows = df.filter(F.col(key).isNotNull()).observe(attempted, F.count(F.lit(1)).alias("n"))
+    fresh = rows.join(tables.keys(spark, table, key), key, "left_anti").observe(added, F.count(F.lit(1)).alias("n"))
+    tables.append(fresh, table)
+    return Inserted(attempted.get["n"], added.get["n"])
 
 
 def with_parent(comments: DataFrame, posts: DataFrame, **options) -> DataFrame:
