@@ -50,27 +50,25 @@ NEGATIONS = (
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
 BUCKETS = 1024
-MAX_DICTIONARY_ROWS = 200_000
+MAX_DICTIONARY_ROWS = 50_000
 
 
 def dictionary(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> Column:
-    """A bounded two-column table as one value for ``lookup``; a key listed twice keeps the larger.
+    """A bounded two-column table as one constant for ``lookup``; a key listed twice keeps the larger.
 
-    Callers check the size (``bounded``): the value is held once per executor task.
+    Callers check the size (``bounded``): like a broadcast, the value passes through the driver
+    and is held by every task. Spark reads the constant once, when it optimises the query.
     """
     words = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(value).alias("v"))
     filled = words.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).agg(
         F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")
     )
+    kind = f"map<string,{words.schema['v'].dataType.simpleString()}>"
     slots = df.sparkSession.range(buckets).select(F.col("id").alias("b"))
-    value_type = words.schema["v"].dataType
-    empty = F.from_json(F.lit("{}"), f"map<string,{value_type.simpleString()}>")
-    packed = (
-        slots.join(filled, "b", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("b", F.map_entries(F.coalesce("m", empty)).alias("e")))).alias("all"))
-        .select(F.transform("all", lambda s: F.map_from_entries(s["e"])).alias("d"))
-    )
-    return packed.scalar()
+    placed = slots.join(filled, "b", "left").select("b", F.coalesce(F.to_json("m"), F.lit("{}")).alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "m"))), lambda s: s["m"])
+    text = placed.agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))).head()[0]
+    return F.from_json(F.lit(text), f"array<{kind}>")
 
 
 def lookup(index: Column, word: Column, buckets: int = BUCKETS) -> Column:
@@ -81,8 +79,8 @@ def lookup(index: Column, word: Column, buckets: int = BUCKETS) -> Column:
 
 def normalise(total: Column) -> Column:
     """Sum of valences squeezed into [-1, 1], four digits."""
-    scaled = total / F.sqrt(total * total + F.lit(NORMAL_ALPHA))
-    return F.round(F.greatest(F.least(scaled, F.lit(1.0)), F.lit(-1.0)), 4)
+    # |x| / sqrt(x^2 + alpha) never exceeds 1, so there is nothing to clip; null stays null
+    return F.round(total / F.sqrt(total * total + F.lit(NORMAL_ALPHA)), 4)
 
 
 def core_compound(tokens: Column, valence: Callable[[Column], Column]) -> Column:

@@ -25,7 +25,8 @@ def _bounds(df: DataFrame, columns: Sequence[str]) -> Column:
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     width = (hi - lo) / F.lit(bins)
     slot = F.when(width > 0, F.floor((x - lo) / width)).otherwise(F.lit(0))
-    return F.least(slot, F.lit(bins - 1)).cast("int")
+    # least() skips nulls, so a missing value must be kept out of it
+    return F.when(x.isNotNull(), F.least(slot, F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:

@@ -22,6 +22,7 @@ from hearsay.session import cut_lineage
 OUTLIER = -1
 SEED = 50
 MAX_TOPICS = 10_000
+MAX_CENTRES = 1_000
 NAME_WORDS = 4
 
 
@@ -125,9 +126,11 @@ def centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
 
 def topic_probabilities(df: DataFrame, vector: str, centres: DataFrame, topic: str = "topic") -> DataFrame:
     """Add ``probabilities``: softmax of the cosine to every topic's centre, by topic number."""
-    if not bounded(centres, MAX_TOPICS):
-        raise ValueError(f"more than {MAX_TOPICS} topics")
-    packed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("topic"), "centroid")))).scalar()
+    if not bounded(centres, MAX_CENTRES):
+        raise ValueError(f"more than {MAX_CENTRES} topics: the matrix has a column for each")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(topic).alias("topic"), "centroid")))
+    text = centres.agg(F.to_json(listed)).head()[0]
+    packed = F.from_json(F.lit(text), "array<struct<topic:int,centroid:array<double>>>")
     powers = F.transform(
         packed, lambda c: F.struct(c["topic"].alias("topic"), F.exp(F.coalesce(cosine(F.col(vector), c["centroid"]), F.lit(0.0))).alias("power"))
     )

@@ -6,10 +6,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.operators.skew import first_per_key, lookup_join
+from hearsay.session import stage
 from hearsay.sources import tables
 
 
@@ -42,15 +43,15 @@ def insert_or_ignore(df: DataFrame, table: str, key: str) -> Inserted:
     """Append the rows whose key is new; rows already stored win. One writer per table.
 
     ``df`` holds one row per key (see ``dedup``), so the anti join has no hot key on either side,
-    and a bucketed table is read where it lies. Repeating an insert adds nothing, so a failed run
-    may simply be run again. Both counts are taken while the rows are written.
+    and a bucketed table is read where it lies. The rows are staged once in the shared folder, so
+    the sweep behind them runs once; counting them and the table then only reads file footers.
+    Repeating an insert adds nothing, so a failed run may simply be run again.
     """
     spark = df.sparkSession
-    attempted, added = Observation(), Observation()
-    rows = df.filter(F.col(key).isNotNull()).observe(attempted, F.count(F.lit(1)).alias("n"))
-    fresh = rows.join(tables.keys(spark, table, key), key, "left_anti").observe(added, F.count(F.lit(1)).alias("n"))
-    tables.append(fresh, table)
-    return Inserted(attempted.get["n"], added.get["n"])
+    rows = stage(df.filter(F.col(key).isNotNull()), table.split(".")[-1])
+    before = spark.table(table).count()
+    tables.append(rows.join(tables.keys(spark, table, key), key, "left_anti"), table)
+    return Inserted(rows.count(), spark.table(table).count() - before)
 
 
 def with_parent(comments: DataFrame, posts: DataFrame, **options) -> DataFrame:

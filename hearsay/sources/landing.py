@@ -84,18 +84,21 @@ def bad_threads(threads: DataFrame) -> DataFrame:
 _REPLY = ("id", "created_utc", "author", "body", "score")
 
 
+def _flat_reply(reply: Column) -> Column:
+    return F.struct(*[reply[c].alias(c) for c in _REPLY], F.lit(None).cast("string").alias("deeper"))
+
+
+def _flat_last_reply(reply: Column) -> Column:
+    return F.struct(*[reply[c].alias(c) for c in _REPLY], reply["replies"].alias("deeper"))
+
+
 def _levels(comments: Column, depth: int) -> list[Column]:
     """The replies of each nesting level as arrays of one flat shape."""
     levels, current = [], comments
     for level in range(1, depth + 1):
         last = level == depth
-
-        def flat(reply: Column, last: bool = last) -> Column:
-            deeper = reply["replies"] if last else F.lit(None).cast("string")
-            return F.struct(*[reply[c].alias(c) for c in _REPLY], deeper.alias("deeper"))
-
         is_comment = F.filter(current, lambda r: ~F.coalesce(r["kind"] == "more", F.lit(False)))
-        levels.append(F.transform(is_comment, flat))
+        levels.append(F.transform(is_comment, _flat_reply if not last else _flat_last_reply))
         if not last:
             nested = F.transform(current, lambda r: r["replies"])
             current = F.flatten(F.filter(nested, lambda r: r.isNotNull()))
