@@ -39,6 +39,14 @@ STORED = "stored as (select cast(doc_id as varchar) as post_id from labels)"
 _POST_COLUMNS = "post_id, created_utc, author, title, body, score, num_comments, permalink, subreddit, mode"
 
 
+def _picked(limit: int) -> str:
+    """The first rows of every listing."""
+    return (
+        "picked as (select * from landed qualify "
+        f"row_number() over (partition by subreddit, mode order by rank, id) <= {limit})"
+    )
+
+
 @check("s1_scan_posts", f"with {v.POSTS} select {_POST_COLUMNS} from posts")
 def s1_posts(spark, sf):
     return v.posts(spark, sf)
@@ -58,7 +66,7 @@ def s2(spark, sf):
 
 @check(
     "s4_listing",
-    f"with {v.LISTING} select id, subreddit, mode, rank from landed where rank <= 25",
+    f"with {v.LISTING}, {_picked(25)} select id, subreddit, mode, rank from picked",
 )
 def s4(spark, sf):
     picked = landing.listing(v.landed(spark, sf), SUBS, ["top", "hot", "new"], "year", 25)
@@ -82,7 +90,7 @@ def s5(spark, sf):
 
 @check(
     "s4_listing_files",
-    f"with {v.LISTING} select id, subreddit, mode, rank from landed where subreddit in ('src3', 'src7') and mode <> 'new' and rank <= 500",
+    f"with {v.LISTING}, {_picked(500)} select id, subreddit, mode, rank from picked where subreddit in ('src3', 'src7') and mode <> 'new'",
 )
 def s4_files(spark, sf):
     path = scratch_path(spark, "listing")
@@ -342,8 +350,8 @@ def u1(spark, sf):
 
 _PLACE = "case mode when 'top' then 1 when 'hot' then 2 else 3 end"
 _FIRST = (
-    f"firsts as (select * from (select *, row_number() over (partition by id order by cast(substring(subreddit, 4) as int), {_PLACE}, rank) as rn "
-    "from landed where rank <= 25) x where rn = 1)"
+    f"{_picked(25)}, firsts as (select * from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn "
+    "from picked) x where rn = 1)"
 )
 
 
@@ -361,7 +369,7 @@ def _swept(spark, sf, stored):
 
 @check(
     "u3_sweep",
-    f"with {v.LISTING}, {STORED} select id, subreddit, mode from landed where rank <= 25 and id not in (select post_id from stored)",
+    f"with {v.LISTING}, {STORED}, {_picked(25)} select id, subreddit, mode from picked where id not in (select post_id from stored)",
 )
 def u3(spark, sf):
     return _swept(spark, sf, _labelled(spark, sf)).select("id", "subreddit", "mode")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.functions.text import split_words
+from hearsay.sources.tables import scan_files, spread
 from hearsay.plans.sentiment import core_scorer, score_comments, score_posts
 
 TABLES = {
@@ -22,7 +23,8 @@ TABLES = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.schema(T.StructType.fromDDL(TABLES[name])).parquet(f"{sf}/{name}.parquet")
+    rows = scan_files(spark, f"{sf}/{name}.parquet", T.StructType.fromDDL(TABLES[name]))
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 POSTS_SQL = """
@@ -59,18 +61,16 @@ select concat(cast(conv_id as string), '_', cast(turn as string)) as comment_id,
   (conv_id*13 + turn*7) % 41 - 5 as score
 from {conversations}"""
 
-# three listings over all documents, ranked the way each mode ranks
+# three listings of all documents, in the order each mode would show them
 LISTING_SQL = """
 select cast(doc_id as string) as id, cast(1388534400 + ((doc_id*7919) % 4018)*86400 as double) as created_utc,
   split_part(text, chr(10), 1) as title, case when n_chars % 7 = 0 then null else text end as body,
   case when doc_id % 17 = 0 then null else concat('user', cast(doc_id % 97 as string)) end as author,
   (doc_id*31) % 203 - 3 as score, doc_id % 12 as num_comments,
   concat('/r/', source, '/comments/', cast(doc_id as string)) as permalink,
-  row_number() over (partition by source, mode order by
-    case mode when 'top' then -((doc_id*31) % 203) when 'hot' then -(doc_id % 12) else -((doc_id*7919) % 4018) end,
-    doc_id) as rank,
+  case mode when 'top' then 203 - (doc_id*31) % 203 when 'hot' then 12 - doc_id % 12 else 4018 - (doc_id*7919) % 4018 end as rank,
   source as subreddit, mode, case mode when 'top' then 'year' else 'none' end as time_filter
-from (select d.*, m.mode from {documents} d, (values ('top'), ('hot'), ('new')) m(mode)) x"""
+from (select *, {modes} as mode from {documents}) x"""
 
 PROBS_SQL = """
 select post_id, created_utc, subreddit, score, title, body, neg_prob, neu_prob, pos_prob, sarcasm_prob,
@@ -91,6 +91,7 @@ W = r"[\p{L}\p{N}_]"
 
 
 def duck(sql: str) -> str:
+    sql = sql.replace("{modes}", "unnest(['top', 'hot', 'new'])")
     for name in TABLES:
         sql = sql.replace("{" + name + "}", name)
     return sql
@@ -146,7 +147,8 @@ def stray_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def landed(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(LISTING_SQL, documents=table(spark, sf, "documents"))
+    sql = LISTING_SQL.replace("{modes}", "explode(array('top', 'hot', 'new'))")
+    return spark.sql(sql, documents=table(spark, sf, "documents"))
 
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:

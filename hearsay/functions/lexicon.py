@@ -47,7 +47,7 @@ NEGATIONS = (
     "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "uh-uh", "wasnt",
     "werent", "without", "wont", "wouldnt", "rarely", "seldom", "despite",
 )
-PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 BUCKETS = 1024
 MAX_DICTIONARY_ROWS = 50_000
@@ -77,6 +77,11 @@ def lookup(index: Column, word: Column, buckets: int = BUCKETS) -> Column:
     return F.try_element_at(slot, word)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(total: Column) -> Column:
     """Sum of valences squeezed into [-1, 1], four digits."""
     # |x| / sqrt(x^2 + alpha) never exceeds 1, so there is nothing to clip; null stays null
@@ -88,13 +93,13 @@ def core_compound(tokens: Column, valence: Callable[[Column], Column]) -> Column
     total = F.aggregate(
         tokens, F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(valence(w).cast("double"), F.lit(0.0))
     )
-    return F.coalesce(normalise(total), F.lit(0.0))
+    return F.coalesce(_let(total, normalise), F.lit(0.0))
 
 
 def sentiment_words(text: Column | str) -> Column:
     """Words without the punctuation around them; what would get shorter than three stays as it is."""
     def bare(word: Column) -> Column:
-        inner = F.regexp_replace(word, f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "")
+        inner = F.btrim(word, F.lit(PUNCTUATION))
         return F.when(F.length(inner) > 2, inner).otherwise(word)
 
     return F.transform(split_words(text), bare)
@@ -118,15 +123,6 @@ def word_facts(words: Column, valence: Callable[[Column], Column]) -> Column:
     return F.transform(words, facts)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once inside an expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _away_from_zero(v: Column, step: Column) -> Column:
-    return F.when(v < 0, -step).otherwise(step)
-
-
 def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Column:
     """Valence of the word at ``i`` after its neighbours had their say."""
     def at(offset: int) -> Column:
@@ -213,10 +209,10 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
 
     Narrow: each row is scored where it lies, whatever its source or author holds of the data.
     """
-    facts, flags, scores = f"__{out}_facts", f"__{out}_mixed", f"__{out}_scores"
+    facts, flags, scores, turn = f"__{out}_facts", f"__{out}_mixed", f"__{out}_scores", f"__{out}_but"
     source = F.coalesce(F.col(text), F.lit(""))
     loud = F.size(F.filter(F.col(facts), lambda x: x["caps"]))
-    but = F.array_position(F.transform(F.col(facts), lambda x: x["low"]), "but")
+    but = F.col(turn)
 
     def around_but(score: Column, i: Column) -> Column:
         position = i + 1
@@ -232,11 +228,13 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
     stressed = _let(total, lambda t: t + F.when(t > 0, emphasis).when(t < 0, -emphasis).otherwise(F.lit(0.0)))
     return (
         df.withColumn(facts, word_facts(sentiment_words(source), valence))
+        # columns of their own: inside the lambdas they would be worked out again for every word
         .withColumn(flags, (loud > 0) & (loud < F.size(facts)))
+        .withColumn(turn, F.array_position(F.transform(F.col(facts), lambda x: x["low"]), "but"))
         .withColumn(
             scores,
             F.transform(F.col(facts), lambda x, i: _word_score(F.col(facts), F.col(flags), x, i)),
         )
         .withColumn(out, _let(stressed, normalise))
-        .drop(facts, flags, scores)
+        .drop(facts, flags, scores, turn)
     )

@@ -45,6 +45,15 @@ def scan_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files have fewer splits than there are cores.
+
+    Only a small input is ever moved: one of any size has splits enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def keys(spark: SparkSession, table: str, key: str) -> DataFrame:
     """Stored keys as a DataFrame; only that column is read and nothing is collected."""
     return spark.table(table).select(key)
