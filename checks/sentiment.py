@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import check
+from hearsay.functions import lexicon as lx
 from hearsay.functions import scalars
 from hearsay.functions.aggregates import safe_weighted_mean
 from hearsay.operators import normalize, rollups, scoring
@@ -254,3 +255,67 @@ def m7(spark, sf):
 def m8(spark, sf):
     polarity, irony = _trained(spark, sf)
     return sarcasm.score_table(v.posts(spark, sf), polarity, irony)
+
+
+def _lag(name: str, k: int, default: str = "null") -> str:
+    return f"coalesce(lag({name}, {k}) over w, {default})"
+
+
+def _rules_sql() -> str:
+    """The published rules as window functions over one row per word."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+    tokens = f"list_filter(regexp_split_to_array(text, '{v.SP}+'), lambda w: w <> '')"
+    neighbours = ", ".join(
+        f"{_lag('low', k, repr(''))} as l{k}, {_lag('val is null', k, 'false')} as p{k}, {_lag('boost', k)} as b{k}, "
+        f"{_lag('neg', k, 'false')} as n{k}, {_lag('caps', k, 'false')} as c{k}" for k in (1, 2, 3)
+    )
+    steps, v0 = [], "v0"
+    turned = {
+        1: "case when n1 then -74e-2 else 1e0 end",
+        2: "case when l2 = 'never' and l1 in ('so', 'this') then 125e-2 when l2 = 'without' and l1 = 'doubt' then 1e0 when n2 then -74e-2 else 1e0 end",
+        3: "case when (l3 = 'never' and l2 in ('so', 'this')) or l1 in ('so', 'this') then 125e-2 "
+           "when l3 = 'without' and (l2 = 'doubt' or l1 = 'doubt') then 1e0 when n3 then -74e-2 else 1e0 end",
+    }
+    for k, damp in ((1, "1e0"), (2, "95e-2"), (3, "9e-1")):
+        loud = f"case when c{k} and mixed then 733e-3 else 0e0 end"
+        gain = f"coalesce(case when v < 0 then -b{k} else b{k} end + case when v > 0 then {loud} else -({loud}) end, 0e0) * {damp}"
+        steps.append(f"g{k} as (select * replace (case when p{k} then v + {gain} else v end as v) from {v0}), "
+                     f"t{k} as (select * replace (case when p{k} then v * ({turned[k]}) else v end as v) from g{k})")
+        v0 = f"t{k}"
+    return (
+        f"with {_WORDS}, {_LEXICON}, "
+        f"e as (select doc_id, unnest(range(len(t))) as pos, unnest(t) as raw from (select doc_id, {tokens} as t from documents)), "
+        f"s as (select doc_id, pos, case when length(trim(raw, '{punctuation}')) > 2 then trim(raw, '{punctuation}') else raw end as w from e), "
+        f"f as (select doc_id, pos, lower(w) as low, cast(valence as double) as val, case when lower(w) in ({listed(lx.STRENGTHENERS)}) then 293e-3 "
+        f"when lower(w) in ({listed(lx.SOFTENERS)}) then -293e-3 end as boost, (lower(w) in ({listed(lx.NEGATIONS)}) or contains(lower(w), 'n''t')) as neg, "
+        "(w = upper(w) and w <> lower(w)) as caps from s left join lexicon on token = lower(w)), "
+        "m as (select doc_id, sum(cast(caps as int)) > 0 and sum(cast(caps as int)) < count(*) as mixed, min(case when low = 'but' then pos end) as turn from f group by 1), "
+        f"n as (select f.*, mixed, turn, {neighbours}, coalesce(lead(low) over w, '') as next_low, lead(val) over w as next_val "
+        "from f join m using (doc_id) window w as (partition by f.doc_id order by pos)), "
+        "z as (select *, case when low = 'no' and next_val is not null then 0e0 when l1 = 'no' or l2 = 'no' or (l3 = 'no' and l1 in ('or', 'nor')) then val * -74e-2 else val end as v from n), "
+        "v0 as (select * replace (case when caps and mixed then v + case when v > 0 then 733e-3 else -733e-3 end else v end as v) from z), "
+        + ", ".join(steps)
+        + ", d as (select *, case when val is null or boost is not null or (low = 'kind' and next_low = 'of') then 0e0 "
+        "when l1 = 'least' and p1 and l2 not in ('at', 'very') then v * -74e-2 else v end as x from t3), "
+        "y as (select doc_id, sum(x * case when turn is null or pos = turn then 1e0 when pos < turn then 5e-1 else 15e-1 end order by pos) as total from d group by 1), "
+        "q as (select doc_id, coalesce(total, 0e0) as total, length(text) - length(replace(text, '!', '')) as bangs, "
+        "length(text) - length(replace(text, '?', '')) as asks from documents left join y using (doc_id)), "
+        "st as (select doc_id, total, least(bangs, 4) * 292e-3 + case when asks < 2 then 0e0 when asks <= 3 then asks * 18e-2 else 96e-2 end as em from q), "
+        "a as (select doc_id, total + case when total > 0 then em when total < 0 then -em else 0e0 end as s from st) "
+        "select doc_id, round(s / sqrt(s * s + 15e0), 4) + 0e0 as compound from a"
+    )
+
+
+@check("m1_lexicon_rules", _rules_sql())
+def m1_rules(spark, sf):
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf))
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    return scorer(docs, "text", "compound").select("doc_id", v.r("compound", "compound"))
+
+
+@check("m1_lexicon_rules_joined", _rules_sql())
+def m1_rules_joined(spark, sf):
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), key="doc_id", max_rows=0)
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    return scorer(docs, "text", "compound").select("doc_id", v.r("compound", "compound"))

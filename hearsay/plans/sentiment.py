@@ -38,13 +38,35 @@ def rules_scorer(valence: Callable[[Column], Column]) -> TextScorer:
     return lambda df, text, out: lexicon_sentiment(df, text, valence, out)
 
 
-def lexicon_scorer(lexicon: DataFrame, rules: bool = True, max_rows: int = MAX_DICTIONARY_ROWS) -> TextScorer:
-    """Scorer over a (token, valence) table of checked size; see ``score_by_join`` beyond it."""
-    if not bounded(lexicon, max_rows):
-        raise ValueError(f"more than {max_rows} words: use score_by_join")
-    index = dictionary(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "token", "valence")
-    valence = lambda w: lookup(index, w)
-    return rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
+def lexicon_scorer(
+    lexicon: DataFrame, rules: bool = True, key: str | None = None, max_rows: int = MAX_DICTIONARY_ROWS
+) -> TextScorer:
+    """Scorer over a (token, valence) table.
+
+    A table of checked size is held as one constant and each row is scored where it lies. Beyond
+    that the texts' words are joined to the table and every text gets the words it uses, which
+    needs a ``key`` that tells the texts apart.
+    """
+    words = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
+    if bounded(words, max_rows):
+        index = dictionary(words, "token", "valence")
+        valence = lambda w: lookup(index, w)
+        return rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
+    if key is None:
+        raise ValueError(f"more than {max_rows} words: name the key of the texts")
+
+    def score(df: DataFrame, text: str, out: str) -> DataFrame:
+        used = F.array_distinct(F.transform(sentiment_words(F.coalesce(F.col(text), F.lit(""))), F.lower))
+        rows = df.select(key, F.explode(used).alias("token"))
+        known = words.groupBy("token").agg(F.max("valence").alias("valence"))
+        hits = lookup_join(rows, known, "token", "inner", spread_by=[key])
+        # one group is the distinct listed words of one text
+        own = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__own"))
+        valence = lambda w: F.try_element_at("__own", w)
+        scorer = rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
+        return scorer(df.join(own, key, "left"), text, out).drop("__own")
+
+    return score
 
 
 def score_by_join(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str, **options) -> DataFrame:

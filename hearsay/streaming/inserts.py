@@ -9,32 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from hearsay.functions.scalars import epoch_to_timestamp
 from hearsay.operators import upsert
 
-LATENESS = "2 days"
-
-
 def landed_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drop_repeats(stream: DataFrame, key: str, created: str = "created_utc", lateness: str = LATENESS) -> DataFrame:
-    """Drop copies of a key that arrive within the lateness; state is freed behind the watermark."""
-    stamped = stream.withColumn("__ts", epoch_to_timestamp(created)).withWatermark("__ts", lateness)
-    return stamped.dropDuplicatesWithinWatermark([key]).drop("__ts")
-
-
 def insert_stream(
     stream: DataFrame, table: str, key: str, order: Sequence[Column | str], checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Insert each micro-batch where its keys are new.
 
-    A batch that is replayed after a failure finds its rows stored and adds nothing, so the table
-    ends the same as after one batch insert.
+    The stored keys are the only state: repeats are found however late they come, where a watermark
+    would forget them and drop late rows unseen. A batch that is replayed after a failure finds its
+    rows stored and adds nothing, so the table ends the same as after one batch insert.
     """
+    reader = stream.sparkSession
+
     def store(batch: DataFrame, _: int) -> None:
         upsert.insert_or_ignore(upsert.dedup(batch.filter(F.col(key).isNotNull()), key, order), table, key)
+        # the batch ran in a session of its own; the reader's may still hold the old file list
+        reader.catalog.refreshTable(table)
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
