@@ -10,6 +10,7 @@ from hearsay.functions import lexicon as lx
 from hearsay.functions import scalars
 from hearsay.functions.aggregates import safe_weighted_mean
 from hearsay.operators import normalize, rollups, scoring
+from hearsay.operators.skew import explode_words
 from hearsay.plans import sarcasm, sentiment
 from hearsay.session import cut_lineage
 
@@ -59,13 +60,13 @@ def _tokens(spark, sf):
 
 def _lexicon(spark, sf):
     """Valences of every word of even length, as a table made from the documents."""
-    words = _tokens(spark, sf).select(F.explode("tokens").alias("token")).filter(F.length("token") % 2 == 0).distinct()
+    words = explode_words(_tokens(spark, sf), [], "tokens").filter(F.length("token") % 2 == 0).distinct()
     return cut_lineage(words.withColumn("valence", v.formula_valence(F.col("token"))))
 
 
 @check("m1_lexicon_core", _M1)
 def m1(spark, sf):
-    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), rules=False)
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), rules=False, key="doc_id")
     docs = v.table(spark, sf, "documents").select("doc_id", F.array_join(v.plain_words(F.col("text")), " ").alias("plain"))
     return scorer(docs, "plain", "compound").select("doc_id", v.r("compound", "compound"))
 
@@ -309,7 +310,7 @@ def _rules_sql() -> str:
 
 @check("m1_lexicon_rules", _rules_sql())
 def m1_rules(spark, sf):
-    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf))
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), key="doc_id")
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
     return scorer(docs, "text", "compound").select("doc_id", v.r("compound", "compound"))
 

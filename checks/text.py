@@ -9,6 +9,7 @@ from checks.registry import check
 from hearsay.functions import scalars, text
 from hearsay.operators import lemmas
 from hearsay.operators.normalize import lists_to_text
+from hearsay.operators.skew import explode_words
 from hearsay.plans.cleaning import clean_comments, clean_posts
 from hearsay.session import cut_lineage
 
@@ -130,7 +131,7 @@ _LEMMAS = f"lemmas as (select distinct w as token, substring(w, 1, length(w) - 1
 def _lemma_query(max_rows: int):
     def query(spark, sf):
         docs = v.table(spark, sf, "documents").select("doc_id", text.clean_tokens("text").alias("tokens"))
-        words = docs.select(F.explode("tokens").alias("token")).filter((F.length("token") > 3) & F.col("token").endswith("s"))
+        words = explode_words(docs, [], "tokens").filter((F.length("token") > 3) & F.col("token").endswith("s"))
         table = cut_lineage(words.distinct().withColumn("lemma", F.expr("substring(token, 1, length(token) - 1)")))
         done = lemmas.lemmatise(docs, "doc_id", "tokens", table, max_rows=max_rows)
         return done.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))

@@ -77,7 +77,7 @@ def lookup(index: Column, word: Column, buckets: int = BUCKETS) -> Column:
     return F.try_element_at(slot, word)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -93,7 +93,7 @@ def core_compound(tokens: Column, valence: Callable[[Column], Column]) -> Column
     total = F.aggregate(
         tokens, F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(valence(w).cast("double"), F.lit(0.0))
     )
-    return F.coalesce(_let(total, normalise), F.lit(0.0))
+    return F.coalesce(let(total, normalise), F.lit(0.0))
 
 
 def sentiment_words(text: Column | str) -> Column:
@@ -107,8 +107,8 @@ def sentiment_words(text: Column | str) -> Column:
 
 def word_facts(words: Column, valence: Callable[[Column], Column]) -> Column:
     """What the rules need to know about each word, looked up once."""
-    def facts(word: Column) -> Column:
-        low = F.lower(word)
+    def facts(pair: Column) -> Column:
+        low = pair["low"]
         boost = F.when(low.isin(list(STRENGTHENERS)), F.lit(BOOST_STEP)).when(
             low.isin(list(SOFTENERS)), F.lit(-BOOST_STEP)
         )
@@ -117,10 +117,13 @@ def word_facts(words: Column, valence: Callable[[Column], Column]) -> Column:
             valence(low).cast("double").alias("val"),
             boost.alias("boost"),
             (low.isin(list(NEGATIONS)) | low.contains("n't")).alias("neg"),
-            ((word == F.upper(word)) & (word != low)).alias("caps"),
+            pair["caps"].alias("caps"),
         )
 
-    return F.transform(words, facts)
+    def cased(word: Column) -> Column:
+        return F.struct(F.lower(word).alias("low"), ((word == F.upper(word)) & (word != F.lower(word))).alias("caps"))
+
+    return F.transform(F.transform(words, cased), facts)
 
 
 def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Column:
@@ -188,7 +191,7 @@ def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Colu
     steps.append(least)
     score = start
     for step in steps:
-        score = _let(score, step)
+        score = let(score, step)
     silent = x["val"].isNull() | x["boost"].isNotNull() | ((low(0) == "kind") & (low(1) == "of"))
     return F.when(silent, F.lit(0.0)).otherwise(score)
 
@@ -211,30 +214,29 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
     """
     facts, flags, scores, turn = f"__{out}_facts", f"__{out}_mixed", f"__{out}_scores", f"__{out}_but"
     source = F.coalesce(F.col(text), F.lit(""))
-    loud = F.size(F.filter(F.col(facts), lambda x: x["caps"]))
     but = F.col(turn)
 
     def around_but(score: Column, i: Column) -> Column:
         position = i + 1
         return score * (
-            F.when(but == 0, F.lit(1.0))
-            .when(position < but, F.lit(BEFORE_BUT))
-            .when(position > but, F.lit(AFTER_BUT))
-            .otherwise(F.lit(1.0))
+            F.when(position < but, F.lit(BEFORE_BUT)).when(position > but, F.lit(AFTER_BUT)).otherwise(F.lit(1.0))
         )
 
-    total = F.aggregate(F.transform(F.col(scores), around_but), F.lit(0.0), lambda a, b: a + b)
+    def add_up(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+    total = F.when(but == 0, add_up(F.col(scores))).otherwise(add_up(F.transform(scores, around_but)))
     emphasis = punctuation_emphasis(source)
-    stressed = _let(total, lambda t: t + F.when(t > 0, emphasis).when(t < 0, -emphasis).otherwise(F.lit(0.0)))
+    stressed = let(total, lambda t: t + F.when(t > 0, emphasis).when(t < 0, -emphasis).otherwise(F.lit(0.0)))
     return (
         df.withColumn(facts, word_facts(sentiment_words(source), valence))
         # columns of their own: inside the lambdas they would be worked out again for every word
-        .withColumn(flags, (loud > 0) & (loud < F.size(facts)))
+        .withColumn(flags, F.exists(facts, lambda x: x["caps"]) & F.exists(facts, lambda x: ~x["caps"]))
         .withColumn(turn, F.array_position(F.transform(F.col(facts), lambda x: x["low"]), "but"))
         .withColumn(
             scores,
             F.transform(F.col(facts), lambda x, i: _word_score(F.col(facts), F.col(flags), x, i)),
         )
-        .withColumn(out, _let(stressed, normalise))
+        .withColumn(out, let(stressed, normalise))
         .drop(facts, flags, scores, turn)
     )

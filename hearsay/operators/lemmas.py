@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.lexicon import MAX_DICTIONARY_ROWS, dictionary, lookup
-from hearsay.operators.skew import bounded, lookup_join
+from hearsay.operators.skew import bounded, explode_words, lookup_join
 
 
 def lemmatise(
@@ -20,7 +20,7 @@ def lemmatise(
     if bounded(lemmas, max_rows):
         index = dictionary(lemmas, "token", "lemma")
         return df.withColumn(tokens, F.transform(tokens, lambda w: F.coalesce(lookup(index, w), w)))
-    words = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    words = explode_words(df, [key], tokens, "pos")
     known = lemmas.groupBy("token").agg(F.max("lemma").alias("lemma"))
     found = lookup_join(words, known, "token", "left", spread_by=[key, "pos"], **options)
     item = F.struct("pos", F.coalesce("lemma", "token").alias("word"))

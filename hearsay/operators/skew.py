@@ -8,10 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+# narrow rows only: half a million of them are some tens of megabytes
+MAX_BROADCAST_ROWS = 500_000
 GROUP_LIMIT = 1000
 
 
+def explode_words(df: DataFrame, keep: Sequence[str], tokens: str, position: str | None = None) -> DataFrame:
+    """One row per token. The outer form with a filter behind it, because Spark guards a plain
+    explode with a filter on the list's size, and that works the list out a second time.
+    """
+    rows = F.posexplode_outer(tokens).alias(position, "token") if position else F.explode_outer(tokens).alias("token")
+    return df.select(*keep, rows).filter(F.col("token").isNotNull())
+
+
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether ``df`` holds at most ``max_rows`` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -27,7 +36,8 @@ def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
     There are fewer than ``parts`` of them, however the rows lie, so the result may be broadcast.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
+    # the same shuffle serves the counts and their sum
+    total = counts.agg(F.sum("__n")).scalar()
     return counts.filter(F.col("__n") * parts > total).select(
         *on, F.ceil(F.col("__n") * parts / total).cast("int").alias("__cuts")
     )

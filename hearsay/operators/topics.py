@@ -16,7 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.operators.skew import bounded, lookup_join, top_n_per_group
+from hearsay.functions.lexicon import let
+from hearsay.operators.skew import bounded, explode_words, lookup_join, top_n_per_group
 from hearsay.session import cut_lineage
 
 OUTLIER = -1
@@ -128,17 +129,23 @@ def topic_probabilities(df: DataFrame, vector: str, centres: DataFrame, topic: s
     """Add ``probabilities``: softmax of the cosine to every topic's centre, by topic number."""
     if not bounded(centres, MAX_CENTRES):
         raise ValueError(f"more than {MAX_CENTRES} topics: the matrix has a column for each")
-    listed = F.array_sort(F.collect_list(F.struct(F.col(topic).alias("topic"), "centroid")))
+    def unit(v: Column) -> Column:
+        """The vector at length 1; a zero vector stays as it is."""
+        return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+    listed = F.array_sort(F.collect_list(F.struct(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c"))))
     text = centres.agg(F.to_json(listed)).head()[0]
-    packed = F.from_json(F.lit(text), "array<struct<topic:int,centroid:array<double>>>")
-    powers = F.transform(
-        packed, lambda c: F.struct(c["topic"].alias("topic"), F.exp(F.coalesce(cosine(F.col(vector), c["centroid"]), F.lit(0.0))).alias("power"))
-    )
-    total = F.aggregate("__powers", F.lit(0.0), lambda s, p: s + p["power"])
-    return df.withColumn("__powers", powers).withColumn("__total", total).withColumn(
-        "probabilities",
-        F.transform("__powers", lambda p: F.struct(p["topic"].alias("topic"), (p["power"] / F.col("__total")).alias("prob"))),
-    ).drop("__powers", "__total")
+    packed = F.from_json(F.lit(text), "array<struct<topic:int,c:array<double>>>")
+
+    def powers(own: Column) -> Column:
+        return F.transform(packed, lambda t: F.struct(t["topic"].alias("topic"), F.exp(dot(own, t["c"])).alias("power")))
+
+    def shares(of: Column) -> Column:
+        total = F.aggregate(of, F.lit(0.0), lambda s, p: s + p["power"])
+        return let(total, lambda s: F.transform(of, lambda p: F.struct(p["topic"], (p["power"] / s).alias("prob"))))
+
+    # each step is bound once: what a lambda mentions is otherwise worked out for every element
+    return df.withColumn("probabilities", let(unit(F.col(vector)), lambda own: let(powers(own), shares)))
 
 
 def topic_words(df: DataFrame, topic: str, tokens: str, n: int = 10) -> DataFrame:
@@ -147,7 +154,7 @@ def topic_words(df: DataFrame, topic: str, tokens: str, n: int = 10) -> DataFram
     A is the mean number of words per topic, f a word's count over all topics. Counting per topic
     and word comes first, so even the most common word reaches the join once per topic.
     """
-    counts = df.select(topic, F.explode(tokens).alias("token")).groupBy(topic, "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = explode_words(df, [topic], tokens).groupBy(topic, "token").agg(F.count(F.lit(1)).alias("tf"))
     everywhere = counts.groupBy("token").agg(F.sum("tf").alias("f"))
     average = counts.agg((F.sum("tf") / F.count_distinct(topic)).alias("a")).scalar()
     weights = counts.join(everywhere, "token").withColumn("weight", F.col("tf") * F.log1p(average / F.col("f")))

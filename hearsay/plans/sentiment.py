@@ -20,8 +20,9 @@ from hearsay.functions.lexicon import (
     sentiment_words,
 )
 from hearsay.functions.scalars import fill_weight, label_sentiment, row_mean
-from hearsay.operators.skew import bounded, lookup_join
+from hearsay.operators.skew import bounded, explode_words, lookup_join
 
+TEXT_SLOTS = 64
 TextScorer = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -55,14 +56,20 @@ def lexicon_scorer(
     if key is None:
         raise ValueError(f"more than {max_rows} words: name the key of the texts")
 
+    def slot(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(TEXT_SLOTS)).cast("int")
+
     def score(df: DataFrame, text: str, out: str) -> DataFrame:
         used = F.array_distinct(F.transform(sentiment_words(F.coalesce(F.col(text), F.lit(""))), F.lower))
-        rows = df.select(key, F.explode(used).alias("token"))
+        rows = explode_words(df.select(key, used.alias("__used")), [key], "__used")
         known = words.groupBy("token").agg(F.max("valence").alias("valence"))
-        hits = lookup_join(rows, known, "token", "inner", spread_by=[key])
-        # one group is the distinct listed words of one text
-        own = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__own"))
-        valence = lambda w: F.try_element_at("__own", w)
+        # one group is the distinct listed words of one text, in small maps so that lookups stay short
+        hits = lookup_join(rows, known, "token", "inner", spread_by=[key]).repartition(key)
+        placed = hits.groupBy(key, slot(F.col("token")).alias("__b")).agg(
+            F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__m")
+        )
+        own = placed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__m"))).alias("__own"))
+        valence = lambda w: F.try_element_at(F.try_element_at(F.col("__own"), slot(w)), w)
         scorer = rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
         return scorer(df.join(own, key, "left"), text, out).drop("__own")
 
@@ -75,7 +82,7 @@ def score_by_join(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out:
     A word's repeats within one text are counted in the row that holds them, and the sums
     combine map-side. Frequent words are cut by text if the list is too big to broadcast.
     """
-    words = df.select(key, F.explode(tokens).alias("token"))
+    words = explode_words(df, [key], tokens)
     known = lexicon.groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
     hits = lookup_join(words, known, "token", "inner", spread_by=[key], **options)
     sums = hits.groupBy(key).agg(F.sum("valence").alias("total"))

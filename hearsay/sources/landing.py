@@ -116,7 +116,8 @@ def flatten_threads(threads: DataFrame, depth: int = schemas.THREAD_DEPTH) -> Da
     parts = []
     while True:
         every = reduce(lambda a, b: F.concat(a, b), _levels(F.col("comments"), depth))
-        rows = rest.select("post_id", "permalink", F.explode(every).alias("c"))
+        # outer with a filter behind it, so that the levels are not worked out once more to be counted
+        rows = rest.select("post_id", "permalink", F.explode_outer(every).alias("c")).filter(F.col("c").isNotNull())
         parts.append(rows)
         nested = F.from_json("c.deeper", T.ArrayType(schemas.thread_reply(depth)))
         rest = rows.filter(F.length("c.deeper") > 2).select("post_id", "permalink", nested.alias("comments"))
