@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,16 +11,20 @@ from pyspark.sql import functions as F
 from hearsay.functions.aggregates import known
 
 
-def _bounds(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Smallest, largest, spread and count of each column as one value."""
-    stats = [
-        F.struct(
-            F.min(known(c)).alias("lo"), F.max(known(c)).alias("hi"),
-            F.stddev(known(c)).alias("sd"), F.count(known(c)).alias("n"),
-        ).alias(c)
-        for c in columns
-    ]
-    return df.agg(*stats).select(F.struct(*columns)).scalar()
+@dataclass(frozen=True)
+class Bounds:
+    """What is known of a column before its second pass: one row, so it may pass through the driver."""
+
+    lo: Column
+    hi: Column
+    sd: Column
+    n: Column
+
+
+def _bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, Bounds]:
+    measures = {"lo": F.min, "hi": F.max, "sd": F.stddev, "n": F.count}
+    row = df.agg(*[m(known(c)).alias(f"{c} {name}") for c in columns for name, m in measures.items()]).first()
+    return {c: Bounds(*[F.lit(row[f"{c} {name}"]).cast("double") for name in measures]) for c in columns}
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -33,7 +38,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     """Equal-width bins of one or more series, each over its own range; empty bins count 0."""
     stats = _bounds(df, columns)
     items = [
-        F.struct(F.lit(c).alias("series"), _bin(known(c), stats[c]["lo"], stats[c]["hi"], bins).alias("bin"))
+        F.struct(F.lit(c).alias("series"), _bin(known(c), stats[c].lo, stats[c].hi, bins).alias("bin"))
         for c in columns
     ]
     counts = (
@@ -42,8 +47,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     )
     edges = [
         F.struct(
-            F.lit(c).alias("series"), stats[c]["lo"].alias("lo"),
-            ((stats[c]["hi"] - stats[c]["lo"]) / F.lit(bins)).alias("width"),
+            F.lit(c).alias("series"), stats[c].lo.alias("lo"),
+            ((stats[c].hi - stats[c].lo) / F.lit(bins)).alias("width"),
         )
         for c in columns
     ]
@@ -66,14 +71,14 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     partial sum per grid point, so the shuffle carries ``points`` rows per task.
     """
     s = _bounds(df, [column])[column]
-    width = s["sd"] * F.pow(s["n"].cast("double"), F.lit(-0.2))
-    start = s["lo"] - F.lit(cut) * width
-    step = (s["hi"] - s["lo"] + F.lit(2 * cut) * width) / F.lit(points - 1)
+    width = s.sd * F.pow(s.n, F.lit(-0.2))
+    start = s.lo - F.lit(cut) * width
+    step = (s.hi - s.lo + F.lit(2 * cut) * width) / F.lit(points - 1)
     values = df.select(known(column).alias("x")).filter(F.col("x").isNotNull())
     at = values.select("x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     z = (start + F.col("point") * step - F.col("x")) / width
     sums = at.groupBy("point").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("total"))
-    scale = s["n"] * width * F.sqrt(F.lit(2.0) * F.pi())
+    scale = s.n * width * F.sqrt(F.lit(2.0) * F.pi())
     return sums.select(
         "point", (start + F.col("point") * step).alias("x"), (F.col("total") / scale).alias("density")
     )
@@ -83,8 +88,8 @@ def relation(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Counts on a two-way grid, the table behind a scatter plot."""
     s = _bounds(df, [x, y])
     cells = df.select(
-        _bin(known(x), s[x]["lo"], s[x]["hi"], bins).alias("x_bin"),
-        _bin(known(y), s[y]["lo"], s[y]["hi"], bins).alias("y_bin"),
+        _bin(known(x), s[x].lo, s[x].hi, bins).alias("x_bin"),
+        _bin(known(y), s[y].lo, s[y].hi, bins).alias("y_bin"),
     )
     return cells.dropna().groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
 

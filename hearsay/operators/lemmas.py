@@ -22,7 +22,7 @@ def lemmatise(
         return df.withColumn(tokens, F.transform(tokens, lambda w: F.coalesce(lookup(index, w), w)))
     words = explode_words(df, [key], tokens, "pos")
     known = lemmas.groupBy("token").agg(F.max("lemma").alias("lemma"))
-    found = lookup_join(words, known, "token", "left", spread_by=[key, "pos"], **options)
+    found = lookup_join(words, known, "token", "left", spread_by=[key, "pos"], bounded_by=lemmas, **options)
     item = F.struct("pos", F.coalesce("lemma", "token").alias("word"))
     lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["word"]).alias("__words"))
     joined = df.join(lists, key, "left")

@@ -70,7 +70,7 @@ def subreddit_from_posts(comments: DataFrame, posts: DataFrame, **options) -> Da
     if "subreddit" in comments.columns and not comments.filter(F.col("subreddit").isNotNull()).isEmpty():
         return comments
     known = posts.filter(F.col("post_id").isNotNull()).groupBy("post_id").agg(F.max("subreddit").alias("subreddit"))
-    return lookup_join(comments.drop("subreddit"), known, "post_id", "left", **options)
+    return lookup_join(comments.drop("subreddit"), known, "post_id", "left", bounded_by=posts.select("post_id"), **options)
 
 
 def normalise_comments(df: DataFrame, posts: DataFrame, **options) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.aggregates import known, mean, safe_weighted_mean
 from hearsay.functions.scalars import clip_weight, label_sentiment
+from hearsay.operators.skew import MAX_BROADCAST_ROWS
 
 STEP = {"month": "1 month", "week": "7 days", "day": "1 day"}
 
@@ -107,7 +108,7 @@ def extreme_posts(posts: DataFrame, stats: DataFrame, n: int = 10, most_positive
     order = F.desc_nulls_last(value) if most_positive else F.asc_nulls_last(value)
     ranked = engaged(with_comment_stats(posts.select("post_id", "score"), stats))
     winners = ranked.orderBy(order, "post_id").limit(n).select("post_id", value)
-    return posts.join(F.broadcast(winners), "post_id")
+    return posts.join(F.broadcast(winners) if n <= MAX_BROADCAST_ROWS else winners, "post_id")
 
 
 def in_spans(periods: DataFrame, spans: DataFrame, month: str = "month") -> DataFrame:

@@ -22,8 +22,12 @@ def explode_words(df: DataFrame, keep: Sequence[str], tokens: str, position: str
 
 
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` holds at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` holds at most ``max_rows`` rows.
+
+    A count, not a limit: counting sends one number per task and reads file footers where it can,
+    while a limit would send up to ``max_rows`` rows of every task to a single one.
+    """
+    return df.count() <= max_rows
 
 
 def parallelism(df: DataFrame) -> int:
@@ -50,16 +54,18 @@ def lookup_join(
     how: str = "left",
     spread_by: Sequence[str] | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    bounded_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a side with one row per key: left, inner, left_semi or left_anti.
 
-    A right side of checked size is broadcast. Beyond that, keys too big for one task are cut by
+    A right side of checked size is broadcast; ``bounded_by`` names a frame that is cheaper to
+    count and has at least as many rows. Beyond that, keys too big for one task are cut by
     a hash of ``spread_by`` (columns that tell the left rows of a key apart), in
     proportion to their share, and only their right rows are repeated: fewer than twice the
     number of shuffle partitions in all. The result is the same either way.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if bounded(right, max_broadcast_rows):
+    if bounded(right if bounded_by is None else bounded_by, max_broadcast_rows):
         return left.join(F.broadcast(right), on, how)
     return salted_join(left, right, on, how, spread_by)
 

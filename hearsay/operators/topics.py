@@ -114,7 +114,8 @@ def centroid_topics(df: DataFrame, key: str, vector: str, k: int, min_similarity
     vectors = df.select(key, vector, array_to_vector(F.col(vector)).alias("features"))
     model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="topic").fit(vectors)
     assigned = model.transform(vectors).select(key, vector, "topic")
-    near = lookup_join(assigned, centroids(assigned, "topic", vector), "topic", "left", spread_by=[key])
+    centres = cut_lineage(centroids(assigned, "topic", vector))
+    near = lookup_join(assigned, centres, "topic", "left", spread_by=[key])
     far = F.coalesce(cosine(F.col(vector), F.col("centroid")), F.lit(0.0)) < min_similarity
     return near.select(key, F.when(far, F.lit(OUTLIER)).otherwise(F.col("topic")).alias("topic"))
 
@@ -152,9 +153,10 @@ def topic_words(df: DataFrame, topic: str, tokens: str, n: int = 10) -> DataFram
     """Best ``n`` words per topic by class-based TF-IDF: tf x log(1 + A / f).
 
     A is the mean number of words per topic, f a word's count over all topics. Counting per topic
-    and word comes first, so even the most common word reaches the join once per topic.
+    and word comes first, so even the most common word reaches the join once per topic; the counts
+    are kept, so the texts are read once for the three uses of them.
     """
-    counts = explode_words(df, [topic], tokens).groupBy(topic, "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = cut_lineage(explode_words(df, [topic], tokens).groupBy(topic, "token").agg(F.count(F.lit(1)).alias("tf")))
     everywhere = counts.groupBy("token").agg(F.sum("tf").alias("f"))
     average = counts.agg((F.sum("tf") / F.count_distinct(topic)).alias("a")).scalar()
     weights = counts.join(everywhere, "token").withColumn("weight", F.col("tf") * F.log1p(average / F.col("f")))
@@ -192,7 +194,8 @@ def top_topics(info: DataFrame, n: int = 10, topic: str = "topic") -> DataFrame:
 def representative_docs(df: DataFrame, key: str, vector: str, n: int = 10, topic: str = "topic") -> DataFrame:
     """The ``n`` documents closest to their topic's centre: (topic, rank, key, similarity)."""
     rows = df.select(key, topic, vector)
-    near = lookup_join(rows, centroids(rows, topic, vector), topic, "inner", spread_by=[key])
+    centres = cut_lineage(centroids(rows, topic, vector))
+    near = lookup_join(rows, centres, topic, "inner", spread_by=[key])
     scored = near.select(key, topic, cosine(F.col(vector), F.col("centroid")).alias("similarity"))
     best = top_n_per_group(scored, [topic], [F.desc_nulls_last("similarity"), F.col(key)], n)
     return best.select(topic, F.col("rank_in_group").alias("rank"), key, "similarity")

@@ -66,7 +66,8 @@ def without_parent(comments: DataFrame, posts: DataFrame, **options) -> DataFram
 
 def cascade_delete(comments: DataFrame, deleted_posts: DataFrame, **options) -> DataFrame:
     """Comments left after their posts were deleted."""
-    return lookup_join(comments, deleted_posts.select("post_id").distinct(), "post_id", "left_anti", **options)
+    gone = deleted_posts.select("post_id")
+    return lookup_join(comments, gone.distinct(), "post_id", "left_anti", bounded_by=gone, **options)
 
 
 def comment_candidates(posts: DataFrame, comments: DataFrame, limit: int = 5000) -> DataFrame:

@@ -33,7 +33,7 @@ def attach_scores(posts: DataFrame, scores: DataFrame, by: str = "post_id", text
         .agg(*[F.avg(c).alias(c) for c in RESULT_SCORES], F.count(F.lit(1)).alias("copies"))
     )
     joined = lookup_join(
-        posts.withColumn("__key", _text_key(text)), per_text, "__key", "left", spread_by=["post_id"], **options
+        posts.withColumn("__key", _text_key(text)), per_text, "__key", "left", spread_by=["post_id"], bounded_by=scores, **options
     )
     return joined.withColumn("copies", F.coalesce("copies", F.lit(1))).drop("__key")
 

@@ -64,7 +64,7 @@ def lexicon_scorer(
         rows = explode_words(df.select(key, used.alias("__used")), [key], "__used")
         known = words.groupBy("token").agg(F.max("valence").alias("valence"))
         # one group is the distinct listed words of one text, in small maps so that lookups stay short
-        hits = lookup_join(rows, known, "token", "inner", spread_by=[key]).repartition(key)
+        hits = lookup_join(rows, known, "token", "inner", spread_by=[key], bounded_by=words).repartition(key)
         placed = hits.groupBy(key, slot(F.col("token")).alias("__b")).agg(
             F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__m")
         )
@@ -84,7 +84,7 @@ def score_by_join(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out:
     """
     words = explode_words(df, [key], tokens)
     known = lexicon.groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
-    hits = lookup_join(words, known, "token", "inner", spread_by=[key], **options)
+    hits = lookup_join(words, known, "token", "inner", spread_by=[key], bounded_by=lexicon, **options)
     sums = hits.groupBy(key).agg(F.sum("valence").alias("total"))
     scored = df.select(key).join(sums, key, "left")
     return scored.select(key, F.coalesce(normalise(F.col("total")), F.lit(0.0)).alias(out))

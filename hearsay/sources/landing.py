@@ -137,4 +137,5 @@ def flatten_threads(threads: DataFrame, depth: int = schemas.THREAD_DEPTH) -> Da
 
 def comments_for_posts(landed: DataFrame, post_ids: DataFrame, **options) -> DataFrame:
     """Landed comments of the given posts; one post may own a third of them."""
-    return lookup_join(landed, post_ids.select("post_id").distinct(), "post_id", "left_semi", **options)
+    wanted = post_ids.select("post_id")
+    return lookup_join(landed, wanted.distinct(), "post_id", "left_semi", bounded_by=wanted, **options)
