@@ -46,7 +46,7 @@ def m9_comments(spark, sf):
 
 
 _WORDS = f"words as (select doc_id, unnest({v.words_sql('text')}) as w from documents)"
-_LEXICON = f"lexicon as (select distinct w as token, {v.VALENCE_SQL} as valence from words where length(w) % 2 = 0)"
+_LEXICON = f"lexicon as (select distinct w as token, {v.VALENCE_SQL} as valence from words where length(w) > 4)"
 _M1 = (
     f"with {_WORDS}, {_LEXICON}, t as (select doc_id, sum(valence) as s from words join lexicon on w = token group by 1) "
     "select d.doc_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15e0), 4) + 0e0 as compound "
@@ -59,8 +59,8 @@ def _tokens(spark, sf):
 
 
 def _lexicon(spark, sf):
-    """Valences of every word of even length, as a table made from the documents."""
-    words = explode_words(_tokens(spark, sf), [], "tokens").filter(F.length("token") % 2 == 0).distinct()
+    """Valences of all longer words, as a table made from the documents; short words stay free to modify them."""
+    words = explode_words(_tokens(spark, sf), [], "tokens").filter(F.length("token") > 4).distinct()
     return cut_lineage(words.withColumn("valence", v.formula_valence(F.col("token"))))
 
 
@@ -284,6 +284,18 @@ def _rules_sql() -> str:
         steps.append(f"g{k} as (select * replace (case when p{k} then v + {gain} else v end as v) from {v0}), "
                      f"t{k} as (select * replace (case when p{k} then v * ({turned[k]}) else v end as v) from g{k})")
         v0 = f"t{k}"
+    words = {-3: "l3", -2: "l2", -1: "l1", 0: "low", 1: "next_low", 2: "after_low"}
+
+    def phrase(places):
+        return "(" + " || ' ' || ".join(words[o] for o in places) + ")"
+
+    def idiom(places):
+        return f"case {phrase(places)} " + " ".join(f"when '{k}' then {x}e0" for k, x in lx.IDIOMS.items()) + " end"
+
+    found = f"coalesce({', '.join(idiom(p) for p in lx.IDIOM_PLACES)}, v)" + "".join(
+        f" - case when {phrase(p)} in ({listed(lx.SOFT_PHRASES)}) then 293e-3 else 0e0 end" for p in lx.SOFT_PLACES
+    )
+    steps.append(f"t4 as (select * replace (case when p3 then {found} else v end as v) from t3)")
     return (
         f"with {_WORDS}, {_LEXICON}, "
         f"e as (select doc_id, unnest(range(len(t))) as pos, unnest(t) as raw from (select doc_id, {tokens} as t from documents)), "
@@ -292,13 +304,13 @@ def _rules_sql() -> str:
         f"when lower(w) in ({listed(lx.SOFTENERS)}) then -293e-3 end as boost, (lower(w) in ({listed(lx.NEGATIONS)}) or contains(lower(w), 'n''t')) as neg, "
         "(w = upper(w) and w <> lower(w)) as caps from s left join lexicon on token = lower(w)), "
         "m as (select doc_id, sum(cast(caps as int)) > 0 and sum(cast(caps as int)) < count(*) as mixed, min(case when low = 'but' then pos end) as turn from f group by 1), "
-        f"n as (select f.*, mixed, turn, {neighbours}, coalesce(lead(low) over w, '') as next_low, lead(val) over w as next_val "
+        f"n as (select f.*, mixed, turn, {neighbours}, coalesce(lead(low) over w, '') as next_low, coalesce(lead(low, 2) over w, '') as after_low, lead(val) over w as next_val "
         "from f join m using (doc_id) window w as (partition by f.doc_id order by pos)), "
         "z as (select *, case when low = 'no' and next_val is not null then 0e0 when l1 = 'no' or l2 = 'no' or (l3 = 'no' and l1 in ('or', 'nor')) then val * -74e-2 else val end as v from n), "
         "v0 as (select * replace (case when caps and mixed then v + case when v > 0 then 733e-3 else -733e-3 end else v end as v) from z), "
         + ", ".join(steps)
         + ", d as (select *, case when val is null or boost is not null or (low = 'kind' and next_low = 'of') then 0e0 "
-        "when l1 = 'least' and p1 and l2 not in ('at', 'very') then v * -74e-2 else v end as x from t3), "
+        "when l1 = 'least' and p1 and l2 not in ('at', 'very') then v * -74e-2 else v end as x from t4), "
         "y as (select doc_id, sum(x * case when turn is null or pos = turn then 1e0 when pos < turn then 5e-1 else 15e-1 end order by pos) as total from d group by 1), "
         "q as (select doc_id, coalesce(total, 0e0) as total, length(text) - length(replace(text, '!', '')) as bangs, "
         "length(text) - length(replace(text, '?', '')) as asks from documents left join y using (doc_id)), "

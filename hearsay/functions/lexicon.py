@@ -47,6 +47,14 @@ NEGATIONS = (
     "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "uh-uh", "wasnt",
     "werent", "without", "wont", "wouldnt", "rarely", "seldom", "despite",
 )
+# Phrases with a valence of their own, and phrases that soften.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
+SOFT_PHRASES = ("just enough", "kind of", "sort of")
+IDIOM_PLACES = ((0, 1, 2), (0, 1), (-1, 0), (-2, -1, 0), (-2, -1), (-3, -2, -1), (-3, -2))
+SOFT_PLACES = ((-3, -2, -1), (-3, -2), (-2, -1))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 BUCKETS = 1024
@@ -181,6 +189,17 @@ def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Colu
             )
         return lambda v: F.when(plain(-distance), v * F.coalesce(factor, F.lit(1.0))).otherwise(v)
 
+    def phrase(places: tuple[int, ...]) -> Column:
+        return F.concat_ws(" ", *[low(o) for o in places])
+
+    def idiomatic(v: Column) -> Column:
+        """A phrase around the word takes its place; the phrase nearest behind or after it counts first."""
+        values = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+        found = F.coalesce(*[F.try_element_at(values, phrase(p)) for p in IDIOM_PLACES], v)
+        for places in SOFT_PLACES:
+            found = found - F.when(phrase(places).isin(list(SOFT_PHRASES)), F.lit(BOOST_STEP)).otherwise(F.lit(0.0))
+        return F.when(plain(-3), found).otherwise(v)
+
     def least(v: Column) -> Column:
         hit = (low(-1) == "least") & plain(-1) & ~low(-2).isin("at", "very")
         return F.when(hit, v * F.lit(NEGATION_FACTOR)).otherwise(v)
@@ -188,7 +207,7 @@ def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Colu
     steps = [shouted]
     for distance in (1, 2, 3):
         steps += [boosted(distance), turned(distance)]
-    steps.append(least)
+    steps += [idiomatic, least]
     score = start
     for step in steps:
         score = let(score, step)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from hearsay.functions import lexicon as lx
 from hearsay.plans import sentiment
 
-WORDS = {"good": 1.9, "great": 3.1, "bad": -2.5, "broken": -2.1, "hate": -2.7, "no": -1.2, "love": 3.2, "kind": 2.4, "fix": 0.5}
+WORDS = {"good": 1.9, "great": 3.1, "bad": -2.5, "broken": -2.1, "hate": -2.7, "no": -1.2, "love": 3.2, "kind": 2.4, "fix": 0.5, "bomb": -2.2, "death": -2.9}
 FILLER = ["the", "game", "patch", "but", "so", "very", "barely", "not", "never", "without", "doubt", "least", "at", "this",
-          "or", "nor", "of", "isn't", "kinda", "ABC", ":)", "A"]
+          "or", "nor", "of", "isn't", "kinda", "ABC", ":)", "A",
+          "ass", "bus", "stop", "yeah", "right", "heart", "kiss", "sort", "just", "enough"]
 
 
 def expected(text):
@@ -62,6 +63,10 @@ def expected(text):
                 pass
             elif negates(at(i - d)):
                 v *= lx.NEGATION_FACTOR
+        if i > 2 and at(i - 3) not in WORDS:
+            for places in lx.IDIOM_PLACES[::-1]:
+                v = lx.IDIOMS.get(" ".join(at(i + o) for o in places), v)
+            v -= lx.BOOST_STEP * sum(" ".join(at(i + o) for o in places) in lx.SOFT_PHRASES for places in lx.SOFT_PLACES)
         if at(i - 1) == "least" and at(i - 2) not in ("at", "very"):
             v *= lx.NEGATION_FACTOR
         scores.append(v)
@@ -88,7 +93,8 @@ def texts(spark):
         words = [rng.choice([*WORDS, *FILLER]) for _ in range(rng.randint(1, 9))]
         words = [w.upper() if rng.random() < 0.15 else w for w in words]
         made.append(" ".join(w + rng.choice(["", "", "", "!", "?", "...", "??"]) for w in words))
-    fixed = [None, "", "GREAT", "Great patch, everything feels GREAT now!", "not very good", "never so good", "the least good", "at least good"]
+    fixed = [None, "", "GREAT", "Great patch, everything feels GREAT now!", "not very good", "never so good", "the least good", "at least good",
+             "this pack is the bomb", "it is a bad ass game", "a kiss of death", "it was just enough good"]
     return spark.createDataFrame(list(enumerate([*fixed, *made])), "id int, t string").cache()
 
 
