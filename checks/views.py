@@ -23,6 +23,8 @@ TABLES = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # dates are compared as text, so a session of the caller's must read them in UTC too
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = scan_files(spark, f"{sf}/{name}.parquet", T.StructType.fromDDL(TABLES[name]))
     return spread(rows) if name in ("documents", "conversations") else rows
 
