@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_point
-from checks import compare
+from checks import catalogue, compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def con():
     return compare.duck_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert compare.differences(spark, con, name, SF) is None
 
