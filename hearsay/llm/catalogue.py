@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hearsay.llm import neardup, topk
+from hearsay.llm import neardup, packing, topk
 
-MODULES = (topk, neardup)
+MODULES = (topk, neardup, packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
