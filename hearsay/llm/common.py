@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,18 @@ SLICE_BYTES = 12 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there, its shuffle files given back.
+
+    Spark drops a shuffle once the driver's collector has seen that nothing needs it; on a quiet driver
+    that may be long after, and a job of several large steps would keep all of them on disk.
+    """
+    out = stage(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.session import stage
 
 
+def smallest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id each row reaches by links within the two blocks."""
+    la, lb = a.copy(), b.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        na = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
+        nb = np.minimum(lb, np.where(near, na[:, None], top).min(axis=0))
+        if (na == la).all() and (nb == lb).all():
+            return na, nb
+        la, lb = na, nb
+
+
 def _hooks(edges: DataFrame) -> DataFrame:
     """Each vertex with the smallest of itself and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -158,11 +158,11 @@ def _verify(threshold: float):
             near &= ~_earlier(a["filters"].combine_chunks(), b["filters"].combine_chunks(), key)
             both = np.concatenate(ids)
             if lo == hi:
-                label = _smallest(near, ids[0], ids[0])[0]
+                label = components.smallest(near, ids[0], ids[0])[0]
                 counts = near @ copies[0]
                 both = ids[0]
             else:
-                label = np.concatenate(_smallest(near, *ids))
+                label = np.concatenate(components.smallest(near, *ids))
                 counts = np.concatenate([near @ copies[1], near.T @ copies[0]])
             linked = counts > 0
             out_id, out_n, out_to = both[linked], counts[linked], label[linked]
@@ -174,18 +174,6 @@ def _verify(threshold: float):
     return verify
 
 
-def _smallest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id each row reaches by links within the two blocks."""
-    la, lb = a.copy(), b.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        na = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
-        nb = np.minimum(lb, np.where(near, na[:, None], top).min(axis=0))
-        if (na == la).all() and (nb == lb).all():
-            return na, nb
-        la, lb = na, nb
-
-
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD
 ) -> DataFrame:
