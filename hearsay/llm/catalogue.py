@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hearsay.llm import jaccard, neardup, packing, substrings, topk
+from hearsay.llm import jaccard, lm, neardup, packing, substrings, topk
 
-MODULES = (topk, neardup, packing, substrings, jaccard)
+MODULES = (topk, neardup, packing, substrings, jaccard, lm)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
