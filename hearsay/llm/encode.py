@@ -11,7 +11,8 @@ import pyarrow as pa
 
 from hearsay.llm.common import split_words
 
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
+MARKS = {"": 0, ",": 1, ".": 2}
 # words of these letters change neither by composition nor in number of characters by lower-casing
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
 
@@ -35,65 +36,90 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.small = len(self.ends) <= 1 << 16
-        self.marks = {mark: self._slow([mark])[0] for mark in ("", ",", ".")}
-        self.words: dict[str, np.ndarray] = {}
-        self.others: dict[str, np.ndarray] = {}
+        self.pool = np.zeros(1 << 20, dtype=np.uint32)
+        self._forget()
 
-    def _slow(self, words: list[str]) -> list[np.ndarray]:
-        found = self.whole.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32) for x in found]
+    def _slow(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        """Entry 0 holds no id; entries 1 and 2 are the marks a plain word may end in."""
+        self.first, self.sizes, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
+        self.entries, self.words, self.chunks = 0, {}, {}
+        self._add(*_flat([[], *self._slow([",", "."])]))
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of the new entries that hold ``ids``, cut by ``sizes``."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.entries + len(sizes) > len(self.first):
+            self.first, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.sizes))
+        self.pool[self.used : self.used + len(ids)] = ids
+        numbers = np.arange(self.entries, self.entries + len(sizes))
+        self.first[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(ids)
+        self.entries += len(sizes)
+        return numbers
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of lower-case words of plain letters, many words to a call."""
+        """Entries of lower-case words of plain letters, many words to a call."""
         for start in range(0, len(words), 2000):
             some = words[start : start + 2000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some) and last[-1] == len(ids):
-                self.words.update(zip(some, np.split(ids, last[:-1]), strict=True))
+                numbers = self._add(ids, np.diff(np.r_[0, last]))
             else:
-                self.words.update(zip(some, self._slow(some), strict=True))
-
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.others) > KEPT_WORDS:
-            self.others.clear()
-        plain = [PLAIN.fullmatch(w) for w in words]
-        low = [m[1].lower() if m else None for m in plain]
-        self._learn(list({w for w in low if w is not None and w not in self.words}))
-        odd = list({w for w, m in zip(words, plain, strict=True) if m is None and w not in self.others})
-        self.others.update(zip(odd, self._slow(odd), strict=True))
-        out = []
-        for word, m, lower in zip(words, plain, low, strict=True):
-            if m is None:
-                out.append(self.others[word])
-            elif m[2]:
-                out.append(np.concatenate([self.words[lower], self.marks[m[2]]]))
-            else:
-                out.append(self.words[lower])
-        return out
+                numbers = self._add(*_flat(self._slow(some)))
+            self.words.update(zip(some, numbers.tolist(), strict=True))
+
+    def _entries(self, words: list[str]) -> np.ndarray:
+        """Three times the entry of each word, plus the mark behind it."""
+        if len(self.chunks) > KEPT_WORDS:
+            self._forget()
+        known = self.chunks.get
+        found = [known(w, -1) for w in words]
+        fresh = [w for w, n in zip(words, found, strict=True) if n < 0]
+        if fresh:
+            plain, odd = [], []
+            for w in fresh:
+                m = PLAIN.fullmatch(w)
+                if m is None:
+                    odd.append(w)
+                else:
+                    plain.append((w, m[1].lower(), MARKS[m[2]]))
+            seen = self.words
+            self._learn(list({low for _, low, _ in plain if low not in seen}))
+            self.chunks.update({w: 3 * seen[low] + mark for w, low, mark in plain})
+            if odd:
+                numbers = self._add(*_flat(self._slow(odd)))
+                self.chunks.update(zip(odd, (3 * numbers).tolist(), strict=True))
+            found = [known(w) for w in words]
+        return np.array(found, dtype=np.int64)
 
     def encode(self, texts: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (with ``last`` behind each text), and how many each has."""
         words, counts = split_words(texts)
         coded = words.dictionary_encode()
-        ids = self.of_words(coded.dictionary.to_pylist())
+        of_word = self._entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        entries = np.empty(2 * len(of_word), dtype=np.int64)
+        np.floor_divide(of_word, 3, out=entries[0::2])
+        np.remainder(of_word, 3, out=entries[1::2])
+        ends = 2 * np.cumsum(counts)
         if last is not None:
-            ids = [*ids, np.array([last], dtype=np.uint32)]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        first = np.r_[0, np.cumsum(sizes)]
-        pool = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-        codes, ends = coded.indices.to_numpy(), np.cumsum(counts)
-        if last is not None:
-            codes = np.insert(codes, ends, len(ids) - 1)
-            counts = counts + 1
-            ends = np.cumsum(counts)
-        each = sizes[codes]
+            final = self._add(np.array([last], dtype=np.uint32), np.array([1]))[0]
+            entries = np.insert(entries, ends, final)
+            ends = ends + np.arange(1, len(ends) + 1)
+        each = self.sizes[entries]
         upto = np.r_[0, np.cumsum(each)]
-        at = np.arange(upto[-1]) + np.repeat(first[codes] - upto[:-1], each)
-        per_text = np.diff(np.r_[0, upto[ends]])
-        return pool[at], per_text
+        at = np.repeat(self.first[entries] - upto[:-1], each)
+        at += np.arange(upto[-1])
+        return self.pool[at], np.diff(np.r_[0, upto[ends]])
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
 
 
 @lru_cache(maxsize=2)
