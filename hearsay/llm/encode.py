@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from hearsay.llm.common import split_words
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 450_000
 MARKS = {"": 0, ",": 1, ".": 2}
 # words of these letters change neither by composition nor in number of characters by lower-casing
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
@@ -76,8 +76,10 @@ class Encoder:
 
     def _entries(self, words: list[str]) -> np.ndarray:
         """Three times the entry of each word, plus the mark behind it."""
-        if len(self.chunks) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS:
             self._forget()
+        if len(self.chunks) > KEPT_WORDS:
+            self.chunks.clear()
         known = self.chunks.get
         found = [known(w, -1) for w in words]
         fresh = [w for w, n in zip(words, found, strict=True) if n < 0]
