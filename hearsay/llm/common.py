@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from hearsay.session import stage
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -156,7 +156,7 @@ def repeats(
         "windows",
     )
     heads = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    heads = heads.filter("first_id < last_id").select("w1", "w2", "first_id")
+    heads = step(heads.filter("first_id < last_id").select("w1", "w2", "first_id"), "heads")
     covered = windows.join(heads, ["w1", "w2"]).filter("doc_id > first_id")
     covered = step(covered.groupBy(*ROW).agg(F.collect_set("at").alias("windows")), "covered")
 
