@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hearsay.llm import jaccard, lm, neardup, packing, substrings, topk, toxicity
+from hearsay.llm import jaccard, licences, lm, mixing, neardup, packing, substrings, topk, toxicity
 
-MODULES = (topk, neardup, packing, substrings, jaccard, lm, toxicity)
+MODULES = (topk, neardup, packing, substrings, jaccard, lm, toxicity, mixing, licences)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
