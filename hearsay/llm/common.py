@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearsay.session import stage
+from hearsay.session import scratch_path, stage
 
 SLICE_BYTES = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -25,10 +25,11 @@ def step(df: DataFrame, name: str) -> DataFrame:
     Spark drops a shuffle once the driver's collector has seen that nothing needs it; on a quiet driver
     that may be long after, and a job of several large steps would keep all of them on disk.
     """
-    out = stage(df, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,11 +53,14 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words (runs of anything but ASCII white space) of all texts in order, and how many each has."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    words, parents = lists.flatten(), pc.list_parent_indices(lists)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten()
     full = pc.greater(pc.binary_length(words), 0)
-    words, parents = words.filter(full), parents.filter(full)
-    return words, np.bincount(parents.to_numpy(), minlength=len(texts)).astype(np.int64)
+    if not len(words) or pc.all(full).as_py():
+        return words, split.value_lengths().to_numpy().astype(np.int64)
+    # white space at an end of a text leaves an empty string there
+    parents = pc.list_parent_indices(split).filter(full)
+    return words.filter(full), np.bincount(parents.to_numpy(), minlength=len(texts)).astype(np.int64)
 
 
 def hash_strings(words: pa.Array) -> np.ndarray:
@@ -111,12 +115,12 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), pa.array(values, kind))
 
 
-def map_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str):
+def map_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, max_bytes: int = SLICE_BYTES):
     """A mapInArrow function that works on slices of bounded size."""
 
     def over(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, max_bytes):
                 out = function(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from hearsay.llm.common import split_words
 
-KEPT_WORDS = 450_000
-MARKS = {"": 0, ",": 1, ".": 2}
+KEPT_WORDS = 700_000
 # words of these letters change neither by composition nor in number of characters by lower-casing
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
 class Encoder:
@@ -27,16 +26,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        vocabulary = self.whole.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.small = len(self.ends) <= 1 << 16
-        self.pool = np.zeros(1 << 20, dtype=np.uint32)
+        # every word is cut once, so the model's own memory of words would only cost time
+        self.whole.model._resize_cache(0)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
+        self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pool = np.zeros(1 << 20, dtype=self.kind)
         self._forget()
 
     def _slow(self, words: list[str]) -> list[list[int]]:
@@ -45,7 +40,7 @@ class Encoder:
     def _forget(self) -> None:
         """Entry 0 holds no id; entries 1 and 2 are the marks a plain word may end in."""
         self.first, self.sizes, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
-        self.entries, self.words, self.chunks = 0, {}, {}
+        self.entries, self.words, self.others = 0, {}, {}
         self._add(*_flat([[], *self._slow([",", "."])]))
 
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -63,61 +58,53 @@ class Encoder:
         return numbers
 
     def _learn(self, words: list[str]) -> None:
-        """Entries of lower-case words of plain letters, many words to a call."""
-        for start in range(0, len(words), 2000):
-            some = words[start : start + 2000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some) and last[-1] == len(ids):
-                numbers = self._add(ids, np.diff(np.r_[0, last]))
-            else:
-                numbers = self._add(*_flat(self._slow(some)))
-            self.words.update(zip(some, numbers.tolist(), strict=True))
-
-    def _entries(self, words: list[str]) -> np.ndarray:
-        """Three times the entry of each word, plus the mark behind it."""
-        if len(self.words) > KEPT_WORDS:
+        """Entries of lower-case words of plain letters: one token each for the model to cut, nothing to normalise."""
+        cut, letters = self.whole.model.tokenize, self.letters
+        ids = [[t.id for t in cut(w if w.isascii() else w.translate(letters))] for w in words]
+        self.words.update(zip(words, self._add(*_flat(ids)).tolist(), strict=True))
+
+    def _entries(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct words as written: the entry of each, and of the mark behind it (0 for none)."""
+        if len(self.words) + len(self.others) > KEPT_WORDS:
             self._forget()
-        if len(self.chunks) > KEPT_WORDS:
-            self.chunks.clear()
-        known = self.chunks.get
-        found = [known(w, -1) for w in words]
-        fresh = [w for w, n in zip(words, found, strict=True) if n < 0]
+        comma, dot = pc.ends_with(chunks, ","), pc.ends_with(chunks, ".")
+        raw = chunks.cast(pa.binary())
+        stem = pc.if_else(pc.or_(comma, dot), pc.binary_slice(raw, 0, -1), raw).cast(pa.string())
+        plain = pc.match_substring_regex(stem, PLAIN).to_numpy(zero_copy_only=False)
+        marks = np.where(plain, comma.to_numpy(zero_copy_only=False) + 2 * dot.to_numpy(zero_copy_only=False), 0)
+        entries = np.empty(len(chunks), dtype=np.int64)
+        lower = pc.utf8_lower(stem.filter(pa.array(plain))).dictionary_encode()
+        words = lower.dictionary.to_pylist()
+        known = self.words
+        self._learn([w for w in words if w not in known])
+        entries[plain] = np.array([known[w] for w in words], dtype=np.int64)[lower.indices.to_numpy()]
+        odd = chunks.filter(pa.array(~plain)).to_pylist()
+        fresh = [w for w in odd if w not in self.others]
         if fresh:
-            plain, odd = [], []
-            for w in fresh:
-                m = PLAIN.fullmatch(w)
-                if m is None:
-                    odd.append(w)
-                else:
-                    plain.append((w, m[1].lower(), MARKS[m[2]]))
-            seen = self.words
-            self._learn(list({low for _, low, _ in plain if low not in seen}))
-            self.chunks.update({w: 3 * seen[low] + mark for w, low, mark in plain})
-            if odd:
-                numbers = self._add(*_flat(self._slow(odd)))
-                self.chunks.update(zip(odd, (3 * numbers).tolist(), strict=True))
-            found = [known(w) for w in words]
-        return np.array(found, dtype=np.int64)
+            self.others.update(zip(fresh, self._add(*_flat(self._slow(fresh))).tolist(), strict=True))
+        entries[~plain] = [self.others[w] for w in odd]
+        return entries, marks
 
     def encode(self, texts: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (with ``last`` behind each text), and how many each has."""
         words, counts = split_words(texts)
         coded = words.dictionary_encode()
-        of_word = self._entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        entries = np.empty(2 * len(of_word), dtype=np.int64)
-        np.floor_divide(of_word, 3, out=entries[0::2])
-        np.remainder(of_word, 3, out=entries[1::2])
+        of_word, of_mark = self._entries(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        entries = np.empty(2 * len(codes), dtype=np.int64)
+        entries[0::2] = of_word[codes]
+        entries[1::2] = of_mark[codes]
         ends = 2 * np.cumsum(counts)
         if last is not None:
-            final = self._add(np.array([last], dtype=np.uint32), np.array([1]))[0]
+            final = self._add(np.array([last], dtype=self.kind), np.array([1]))[0]
             entries = np.insert(entries, ends, final)
             ends = ends + np.arange(1, len(ends) + 1)
         each = self.sizes[entries]
-        upto = np.r_[0, np.cumsum(each)]
-        at = np.repeat(self.first[entries] - upto[:-1], each)
-        at += np.arange(upto[-1])
-        return self.pool[at], np.diff(np.r_[0, upto[ends]])
+        upto = np.zeros(len(each) + 1, dtype=np.int64)
+        np.cumsum(each, out=upto[1:])
+        at = np.repeat((self.first[entries] - upto[:-1]).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.take(self.pool, at), np.diff(np.r_[0, upto[ends]])
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -50,17 +50,18 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents given by their ids: signed feature hashing, damped counts, projection."""
     n = len(counts)
-    hashed = mix(ids.astype(np.uint64))
-    cell = (hashed % np.uint64(HASHED)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((hashed >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+    hashed = mix(np.arange(int(ids.max()) + 1 if len(ids) else 1, dtype=np.uint64))
+    # of every id its cell, and whether it adds to the cell or takes from it
+    cell = ((hashed % np.uint64(HASHED)) * np.uint64(2) + ((hashed >> np.uint64(40)) & np.uint64(1))).astype(np.int32)
     out = np.zeros((n, HASHED))
-    step = 4096
+    step = 2048
     first = starts(counts)
     for a in range(0, n, step):
         b = min(n, a + step)
-        part = slice(first[a], first[b])
-        row = np.repeat(np.arange(b - a), counts[a:b])
-        out[a:b] = np.bincount(row * HASHED + cell[part], sign[part], (b - a) * HASHED).reshape(-1, HASHED)
+        at = np.repeat(np.arange(b - a, dtype=np.int32) * (2 * HASHED), counts[a:b])
+        at += cell[ids[first[a] : first[b]]]
+        both = np.bincount(at, minlength=(b - a) * 2 * HASHED).reshape(b - a, HASHED, 2)
+        out[a:b] = both[:, :, 0] - both[:, :, 1]
     out = np.sign(out) * np.sqrt(np.abs(out))
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     directions = np.random.default_rng(5).standard_normal((HASHED, DIMENSIONS))
@@ -72,9 +73,9 @@ def _encode(path: str):
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts = encoder(path).encode(batch["text"], END_ID)
         keys = curve_keys(ids, counts)
-        kind = np.uint16 if encoder(path).small else np.uint32
+        kind = encoder(path).kind
         squeeze = zstandard.ZstdCompressor(level=1)
-        raw = memoryview(ids.astype(kind)).cast("B")
+        raw = memoryview(ids).cast("B")
         at = starts(counts) * np.dtype(kind).itemsize
         packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays(
@@ -82,14 +83,13 @@ def _encode(path: str):
             ["row", "doc_id", "key", "tokens", "ids"],
         )
 
-    return map_slices(encode, "text")
+    return map_slices(encode, "text", 16 << 20)
 
 
-def _cut(sequence: int, small: bool):
-    kind = np.uint16 if small else np.uint32
+def _cut(sequence: int, path: str):
 
     def cut(batches):
-        expand = zstandard.ZstdDecompressor()
+        expand, kind = zstandard.ZstdDecompressor(), encoder(path).kind
         for batch in batches:
             docs, tokens, at = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "tokens", "position"))
             index = []
@@ -141,11 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Data
     )
     places = global_positions(encoded.select("key", "doc_id", "row", "tokens"), ["key", "doc_id", "row"], "tokens")
     placed = encoded.select("row", "doc_id", "tokens", "ids").join(places.select("row", "position"), "row")
-    return placed.select("doc_id", "tokens", "ids", "position").mapInArrow(_cut(sequence, _small(tokenizer_path)), PIECE)
-
-
-def _small(path: str) -> bool:
-    return encoder(path).small
+    return placed.select("doc_id", "tokens", "ids", "position").mapInArrow(_cut(sequence, tokenizer_path), PIECE)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
