@@ -18,65 +18,81 @@ from hearsay.session import stage
 
 THRESHOLD = 0.95
 BLOCKS = 2
+TABLES = 6
 BUCKET_ROWS = 48
-SHARED_FILTERS = 12.0
+SHARED_FILTERS = 10.0
+LEAST_FILTERS = 16
 BLOCK_ROWS = 256
 
 
 class Filters:
-    """All concatenations of one code word per block: ``codes ** BLOCKS`` directions.
+    """``TABLES`` turned copies of one scheme: all concatenations of one code word per block, ``codes ** BLOCKS`` directions each.
 
     A vector belongs to every direction whose inner product with it reaches ``cap``. Everything follows
     from the dimension and the size, so that every task makes the same filters.
     """
 
-    def __init__(self, dim: int, codes: int, cap: float, seed: int = 7):
+    def __init__(self, dim: int, codes: int, cap: float, tables: int = TABLES, seed: int = 7):
         rng = np.random.default_rng(seed + dim)
-        turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-        self.dim, self.codes, self.cap, self.turn = dim, codes, cap, turn
+        self.dim, self.codes, self.cap = dim, codes, cap
         self.cuts = [int(c) for c in np.linspace(0, dim, min(BLOCKS, dim) + 1)]
-        self.words = []
-        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            word = rng.standard_normal((codes, b - a))
-            word *= math.sqrt((b - a) / dim) / np.linalg.norm(word, axis=1, keepdims=True)
-            self.words.append(word)
-
-    def decode(self, units: np.ndarray, rows_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the filters they exceed, by pruned enumeration block by block."""
-        rows, filters = [], []
+        self.each = codes ** (len(self.cuts) - 1)
+        self.turns, self.words = [], []
+        for _ in range(tables):
+            self.turns.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0])
+            words = []
+            for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+                word = rng.standard_normal((codes, b - a))
+                words.append(word * math.sqrt((b - a) / dim) / np.linalg.norm(word, axis=1, keepdims=True))
+            self.words.append(words)
+
+    def decode(self, units: np.ndarray, least: int = 0, rows_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the filters they exceed, in this order. Rows with fewer than ``least`` get a lower cap of their own."""
+        found = []
         for start in range(0, len(units), rows_at_once):
-            turned = units[start : start + rows_at_once] @ self.turn
-            parts = [turned[:, a:b] @ w.T for a, b, w in zip(self.cuts[:-1], self.cuts[1:], self.words, strict=True)]
-            rest = np.zeros((len(parts) + 1, len(turned)))
-            for k in range(len(parts) - 1, -1, -1):
-                rest[k] = rest[k + 1] + parts[k].max(axis=1)
-            row, code, total = np.arange(len(turned)), np.zeros(len(turned), dtype=np.int64), np.zeros(len(turned))
-            for k, part in enumerate(parts):
-                found = [[], [], []]
-                step = max(1, (4 << 20) // self.codes)
-                for a in range(0, len(row), step):
-                    r = row[a : a + step]
-                    sums = total[a : a + step, None] + part[r]
-                    i, j = np.nonzero(sums + rest[k + 1][r][:, None] >= self.cap)
-                    found[0].append(r[i])
-                    found[1].append(code[a : a + step][i] * self.codes + j)
-                    found[2].append(sums[i, j])
-                row, code, total = (np.concatenate(x) if x else np.zeros(0) for x in found)
-            rows.append(row + start)
-            filters.append(code)
-        if not rows:
+            part = units[start : start + rows_at_once]
+            some, cap = np.arange(len(part)), self.cap
+            while len(some):
+                tables = [self._decode(part[some] @ t, w, cap) for t, w in zip(self.turns, self.words, strict=True)]
+                row = np.concatenate([r for r, _ in tables])
+                code = np.concatenate([c + i * self.each for i, (_, c) in enumerate(tables)])
+                enough = np.bincount(row, minlength=len(some)) >= min(least, self.each * len(tables))
+                keep = enough[row]
+                found.append((some[row[keep]] + start, code[keep]))
+                some, cap = some[~enough], cap - 0.25 / math.sqrt(self.dim)
+        if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        rows, filters = np.concatenate(rows), np.concatenate(filters)
+        rows, filters = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((filters, rows))
         return rows[order], filters[order]
 
+    def _decode(self, turned: np.ndarray, words: list[np.ndarray], cap: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pruned enumeration, block by block: a beginning that cannot reach the cap is left."""
+        parts = [turned[:, a:b] @ w.T for a, b, w in zip(self.cuts[:-1], self.cuts[1:], words, strict=True)]
+        rest = np.zeros((len(parts) + 1, len(turned)))
+        for k in range(len(parts) - 1, -1, -1):
+            rest[k] = rest[k + 1] + parts[k].max(axis=1)
+        row, code, total = np.arange(len(turned)), np.zeros(len(turned), dtype=np.int64), np.zeros(len(turned))
+        step = max(1, (4 << 20) // self.codes)
+        for k, part in enumerate(parts):
+            rows, codes, totals = [row[:0]], [code[:0]], [total[:0]]
+            for a in range(0, len(row), step):
+                r = row[a : a + step]
+                sums = total[a : a + step, None] + part[r]
+                i, j = np.nonzero(sums + rest[k + 1][r][:, None] >= cap)
+                rows.append(r[i])
+                codes.append(code[a : a + step][i] * self.codes + j)
+                totals.append(sums[i, j])
+            row, code, total = np.concatenate(rows), np.concatenate(codes), np.concatenate(totals)
+        return row, code
+
 
 @lru_cache(maxsize=16)
 def filters_for(dim: int, n_rows: int, threshold: float = THRESHOLD) -> Filters:
     """Filters for a number of vectors: caps of ``BUCKET_ROWS`` rows, ``SHARED_FILTERS`` shared ones.
 
     The cap is lowered until two vectors at exactly the threshold share that many filters on average
-    over simulated pairs; the chance to share none is then about exp(-SHARED_FILTERS).
+    over simulated pairs. Several tables make a pair that shares none far rarer than one table of as many filters.
     """
     rng = np.random.default_rng(11)
     x = rng.standard_normal((400, dim))
@@ -85,14 +101,14 @@ def filters_for(dim: int, n_rows: int, threshold: float = THRESHOLD) -> Filters:
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
     y = threshold * x + math.sqrt(1 - threshold**2) * y
-    per_row = 24.0
-    codes = max(2, math.ceil((per_row * max(n_rows, 1) / BUCKET_ROWS) ** (1 / min(BLOCKS, dim))))
-    share = min(0.5, per_row / codes ** min(BLOCKS, dim))
+    per_row = 2 * SHARED_FILTERS
+    codes = max(2, math.ceil((per_row * max(n_rows, 1) / BUCKET_ROWS / TABLES) ** (1 / min(BLOCKS, dim))))
+    share = min(0.5, per_row / (TABLES * codes ** min(BLOCKS, dim)))
     cap = NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
     while True:
         made = Filters(dim, codes, cap)
         a, b = made.decode(x), made.decode(y)
-        total = codes ** min(BLOCKS, dim)
+        total = TABLES * made.each
         shared = len(np.intersect1d(a[0] * total + a[1], b[0] * total + b[1]))
         if shared >= SHARED_FILTERS * len(x) or cap <= -2:
             return made
@@ -111,7 +127,7 @@ def _caps(n_rows: int, threshold: float):
             sizes = batch["dim"].to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                rows, found = filters_for(int(dim), n_rows, threshold).decode(_units(part["v"], int(dim)))
+                rows, found = filters_for(int(dim), n_rows, threshold).decode(_units(part["v"], int(dim)), LEAST_FILTERS)
                 counts = np.bincount(rows, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, lists(found, counts, pa.int64())], [*part.schema.names, "filters"]
@@ -188,8 +204,8 @@ def near_duplicates(
     directions it exceeds; classes meet per filter and every meeting pair is verified. A filter with
     many rows is cut into blocks, and each pair of blocks is a task of its own; it sends the number of
     links and one smallest link per vector, never the pairs. A pair that shares several filters counts
-    at the first. Pairs below 1 in cosine are found with probability about 1 - exp(-12); tests hold
-    the recall against brute force. The number of filters follows the number of vectors, so
+    at the first. Of pairs just at the threshold nearly all are found, of
+    closer ones all but a vanishing share; tests hold the recall against brute force. The number of filters follows the number of vectors, so
     the work per vector stays the same.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
