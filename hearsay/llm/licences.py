@@ -15,7 +15,9 @@ from hearsay.llm.common import step, table
 
 SAMPLED_DOCS = 600
 SAMPLED_PARAGRAPHS = 3000
-FEATURES = 1 << 16
+FEATURES = 1 << 15
+# the bounded training rows are few; a gradient comes back from each of these parts in every round
+TRAINING_PARTS = 4
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
 
@@ -162,7 +164,7 @@ def train(docs: DataFrame, sampled_docs: int = SAMPLED_DOCS, sampled_paragraphs:
     rows = rows.filter((F.col("family") != UNKNOWN) | ~F.arrays_overlap("seen", triples) | F.col("text").isin(OTHERWISE)).drop("seen")
     label = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("family")) - 1
     rows = rows.select(label.cast("double").alias("label"), "words", (F.pmod(F.xxhash64("text", F.lit(2)), F.lit(4)) == 0).alias("held"))
-    rows = features(step(rows, "licence-rows"))
+    rows = features(step(rows, "licence-rows").coalesce(TRAINING_PARTS))
     fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, featuresCol="features", labelCol="label")
     families = fit.fit(rows.filter("not held"))
     calibrate = _margin(rows.filter("held"), families, names)
