@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from hearsay import schemas
-from hearsay.operators import normalize, upsert
+from hearsay.operators import normalize, rollups, upsert
 from hearsay.plans import ingest
-from hearsay.session import scratch_path
+from hearsay.session import cut_lineage, scratch_path
 from hearsay.sources import landing, tables
 from hearsay.streaming import inserts
 
@@ -284,7 +284,7 @@ def j2(spark, sf):
 @check("t2_most_commented", _J2 + " order by stored_comments desc, score desc nulls last, p.post_id limit 5")
 def t2(spark, sf):
     order = [F.desc("stored_comments"), F.desc_nulls_last("score"), F.col("post_id")]
-    return j2(spark, sf).orderBy(*order).limit(5)
+    return rollups.top_rows(j2(spark, sf), order, 5)
 
 
 def _parents(kept: bool, max_broadcast_rows: int):
@@ -350,26 +350,28 @@ def u1(spark, sf):
 
 _PLACE = "case mode when 'top' then 1 when 'hot' then 2 else 3 end"
 _FIRST = (
-    f"{_picked(25)}, firsts as (select * from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn "
+    f"{_picked(1000)}, firsts as (select * from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn "
     "from picked) x where rn = 1)"
 )
 
 
-@check("u2_first_per_key", f"with {v.LISTING}, {_FIRST} select id, mode, rank from firsts")
+@check(
+    "u2_first_per_key",
+    f"with {v.LISTING} select id, mode, rank from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn from landed) x where rn = 1",
+)
 def u2(spark, sf):
-    picked = landing.listing(v.landed(spark, sf), SUBS, ["top", "hot", "new"], TIME_FILTERS, 25)
-    ranked = picked.withColumn("place", F.array_position(F.lit(["top", "hot", "new"]), F.col("mode")))
-    first = upsert.dedup(ranked, "id", ["place", "rank"])
+    ranked = v.landed(spark, sf).withColumn("place", F.array_position(F.lit(["top", "hot", "new"]), F.col("mode")))
+    first = upsert.dedup(ranked.select("id", "mode", "rank", "place"), "id", ["place", "rank"])
     return first.select("id", "mode", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _swept(spark, sf, stored):
-    return ingest.sweep(v.landed(spark, sf), stored, SUBS, ["top", "hot", "new"], TIME_FILTERS, 25)
+    return ingest.sweep(v.landed(spark, sf), stored, SUBS, ["top", "hot", "new"], TIME_FILTERS)
 
 
 @check(
     "u3_sweep",
-    f"with {v.LISTING}, {STORED}, {_picked(25)} select id, subreddit, mode from picked where id not in (select post_id from stored)",
+    f"with {v.LISTING}, {STORED}, {_picked(1000)} select id, subreddit, mode from picked where id not in (select post_id from stored)",
 )
 def u3(spark, sf):
     return _swept(spark, sf, _labelled(spark, sf)).select("id", "subreddit", "mode")
@@ -447,12 +449,12 @@ def a16(spark, sf):
 
 @check("t1_best_scores", f"with {v.POSTS} select post_id, score from posts order by score desc nulls last, post_id limit 20")
 def t1(spark, sf):
-    return v.posts(spark, sf).select("post_id", "score").orderBy(F.desc_nulls_last("score"), "post_id").limit(20)
+    return rollups.top_rows(v.posts(spark, sf).select("post_id", "score"), [F.desc_nulls_last("score"), F.col("post_id")], 20)
 
 
 @check("t6_head", f"with {v.POSTS} select post_id, title from posts order by post_id limit 250")
 def t6(spark, sf):
-    return v.posts(spark, sf).select("post_id", "title").orderBy("post_id").limit(250)
+    return rollups.top_rows(v.posts(spark, sf).select("post_id", "title"), [F.col("post_id")], 250)
 
 
 @check("r1_insert_stream", f"with {v.COMMENTS} select comment_id, post_id, created_utc, body from comments")
@@ -465,3 +467,32 @@ def r1(spark, sf):
     stream = inserts.landed_stream(spark, path, schemas.COMMENTS, files_per_batch=2)
     inserts.insert_stream(stream, f"{database}.comments", "comment_id", ["created_utc"], checkpoint).awaitTermination()
     return spark.table(f"{database}.comments").select("comment_id", "post_id", "created_utc", "body")
+
+
+@check(
+    "s7_create_drop_list",
+    "select * from (values ('comments', 1, 0), ('posts', 1, 0), ('posts', 2, (select count(*) from documents))) x(name, step, n)",
+)
+def s7(spark, sf):
+    """Create twice, list; fill one table, create again, drop the other twice, list."""
+    database, location = _database(spark)
+    tables.create_tables(spark, database, location, buckets=8)
+    empty = upsert.table_counts(**{r.name: spark.table(f"{database}.{r.name}") for r in tables.list_tables(spark, database).collect()})
+    first = tables.list_tables(spark, database).join(cut_lineage(empty), "name").withColumn("step", F.lit(1))
+    first = cut_lineage(first)
+    tables.append(normalize.normalise_posts(v.posts(spark, sf)), f"{database}.posts")
+    tables.create_tables(spark, database, location, buckets=8)
+    for _ in (1, 2):
+        tables.drop(spark, f"{database}.comments")
+    counts = upsert.table_counts(posts=spark.table(f"{database}.posts").select("post_id"))
+    second = tables.list_tables(spark, database).join(counts, "name").withColumn("step", F.lit(2))
+    return first.unionByName(second).select("name", "step", F.col("n").cast("bigint").alias("n"))
+
+
+@check("s10_drop_table", "select 'posts' as name")
+def s10(spark, sf):
+    database, _ = _database(spark)
+    tables.append(normalize.normalise_comments(v.comments(spark, sf), v.posts(spark, sf)), f"{database}.comments")
+    tables.drop(spark, f"{database}.comments")
+    tables.drop(spark, f"{database}.comments")
+    return tables.list_tables(spark, database)

@@ -252,6 +252,21 @@ def a17(spark, sf):
     return bins.select("series", "bin", v.r("left_edge", "left_edge"), "n")
 
 
+@check(
+    "a17_histogram_positive",
+    f"with {v.PROBS}, b as (select min(pos_prob) as lo_pos_prob, max(pos_prob) as hi_pos_prob from probs), c as ("
+    + " union all ".join(f"select '{x}' as series, {_bins(x, 50)} as bin from probs, b" for x in ("pos_prob",))
+    + "), n as (select series, bin, count(*) as n from c group by all), "
+    + "s as (select series, unnest(range(50)) as bin, lo, (hi - lo) / 50e0 as width from ("
+    + " union all ".join(f"select '{x}' as series, lo_{x} as lo, hi_{x} as hi from b" for x in ("pos_prob",))
+    + f") x) select s.series, cast(s.bin as int) as bin, {_rd('lo + s.bin * width', 'left_edge')}, coalesce(n, 0) as n "
+    "from s left join n on n.series = s.series and n.bin = s.bin",
+)
+def a17_positive(spark, sf):
+    bins = distributions.histogram(v.probs(spark, sf), ["pos_prob"], 50)
+    return bins.select("series", "bin", v.r("left_edge", "left_edge"), "n")
+
+
 @check(
     "a18_density",
     f"with {v.PROBS}, b as (select min(neg_effective) as lo, max(neg_effective) as hi, count(*) as n, "
@@ -309,15 +324,11 @@ def r2_months(spark, sf):
 
 @check(
     "r2_day_stream",
-    "with l as (select max(ts) - interval '2 days' as mark from events), "
-    "d as (select date_trunc('day', ts) as day, count(*) as n, sum(value) as total from events group by 1) "
-    f"select strftime(day, '%Y-%m-%d') as day, n, {_rd('total', 'total', 6)} from d, l where day + interval '1 day' <= mark",
+    f"select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n, {_rd('sum(value)', 'total', 6)} from events group by 1",
 )
 def r2_stream(spark, sf):
     schema = v.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    days = rolling.daily_sums(events, "ts", "value", "user_id")
     path = scratch_path(spark, "days")
-    rolling.store_days(days, path, scratch_path(spark, "stream")).awaitTermination()
-    stored = spark.read.schema(days.schema).parquet(path)
-    return stored.select(v.day("day", "day"), "n", v.r("total", "total", 6))
+    rolling.store_days(events, "ts", "value", "user_id", path, scratch_path(spark, "stream")).awaitTermination()
+    return rolling.stored_days(spark, path).select(v.day("day", "day"), "n", v.r("total", "total", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -12,7 +14,7 @@ from hearsay.functions.aggregates import safe_weighted_mean
 from hearsay.operators import normalize, rollups, scoring
 from hearsay.operators.skew import explode_words
 from hearsay.plans import sarcasm, sentiment
-from hearsay.session import cut_lineage
+from hearsay.session import cut_lineage, scratch_path
 
 FULL = "title || ':' || chr(10) || body"
 
@@ -66,7 +68,7 @@ def _lexicon(spark, sf):
 
 @check("m1_lexicon_core", _M1)
 def m1(spark, sf):
-    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), rules=False, key="doc_id")
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), rules=False)
     docs = v.table(spark, sf, "documents").select("doc_id", F.array_join(v.plain_words(F.col("text")), " ").alias("plain"))
     return scorer(docs, "plain", "compound").select("doc_id", v.r("compound", "compound"))
 
@@ -306,7 +308,7 @@ def _rules_sql() -> str:
         "m as (select doc_id, sum(cast(caps as int)) > 0 and sum(cast(caps as int)) < count(*) as mixed, min(case when low = 'but' then pos end) as turn from f group by 1), "
         f"n as (select f.*, mixed, turn, {neighbours}, coalesce(lead(low) over w, '') as next_low, coalesce(lead(low, 2) over w, '') as after_low, lead(val) over w as next_val "
         "from f join m using (doc_id) window w as (partition by f.doc_id order by pos)), "
-        "z as (select *, case when low = 'no' and next_val is not null then 0e0 when l1 = 'no' or l2 = 'no' or (l3 = 'no' and l1 in ('or', 'nor')) then val * -74e-2 else val end as v from n), "
+        "z as (select *, case when l1 = 'no' or l2 = 'no' or (l3 = 'no' and l1 in ('or', 'nor')) then val * -74e-2 when low = 'no' and next_val is not null then 0e0 else val end as v from n), "
         "v0 as (select * replace (case when caps and mixed then v + case when v > 0 then 733e-3 else -733e-3 end else v end as v) from z), "
         + ", ".join(steps)
         + ", d as (select *, case when val is null or boost is not null or (low = 'kind' and next_low = 'of') then 0e0 "
@@ -322,13 +324,92 @@ def _rules_sql() -> str:
 
 @check("m1_lexicon_rules", _rules_sql())
 def m1_rules(spark, sf):
-    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), key="doc_id")
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf))
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
     return scorer(docs, "text", "compound").select("doc_id", v.r("compound", "compound"))
 
 
 @check("m1_lexicon_rules_joined", _rules_sql())
 def m1_rules_joined(spark, sf):
-    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), key="doc_id", max_rows=0)
+    scorer = sentiment.lexicon_scorer(_lexicon(spark, sf), max_rows=0)
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
     return scorer(docs, "text", "compound").select("doc_id", v.r("compound", "compound"))
+
+
+def _laws(scored, columns):
+    """Each probability between 0 and 1, and whether they differ between rows at all."""
+    inside = F.lit(True)
+    for c in columns:
+        inside = inside & F.col(c).between(0, 1)
+    return inside, F.lit(scored.agg(*[F.max(c) - F.min(c) > 1e-6 for c in columns[:1]]).first()[0])
+
+
+_EVERY_POST = f"with {v.POSTS} select post_id, true as inside, true as differs"
+
+
+@check("m4_class_probability_laws", f"{_EVERY_POST}, true as adds_up from posts")
+def m4_laws(spark, sf):
+    scored = cut_lineage(m4(spark, sf))
+    inside, differs = _laws(scored, scoring.SENTIMENT_COLUMNS)
+    total = F.col("neg_prob") + F.col("neu_prob") + F.col("pos_prob")
+    return scored.select("post_id", inside.alias("inside"), differs.alias("differs"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
+
+
+@check("m5_sarcasm_probability_laws", f"{_EVERY_POST} from posts")
+def m5_laws(spark, sf):
+    scored = cut_lineage(m5(spark, sf))
+    inside, differs = _laws(scored, scoring.SARCASM_COLUMNS)
+    return scored.select("post_id", inside.alias("inside"), differs.alias("differs"))
+
+
+_NEGATIVITY = f"{_EVERY_POST}, true as raw_again, true as effective_again"
+
+
+def _recomputed(scored, names):
+    """Raw and sarcasm-aware negativity worked out again from the four probabilities."""
+    scored = cut_lineage(scored)
+    neg, pos, sarcasm, raw, effective = (F.col(n) for n in names)
+    inside, differs = _laws(scored, [names[0], names[1], names[2]])
+    again = (1 - sarcasm) * (neg - pos) + sarcasm * (F.lit(0.35) * (neg - pos) + F.lit(0.10))
+    return scored.select(
+        "*", inside.alias("inside"), differs.alias("differs"), (F.abs(raw - (neg - pos)) < 1e-9).alias("raw_again"),
+        (F.abs(effective - again) < 1e-9).alias("effective_again"),
+    )
+
+
+@check("m7_score_laws", f"{_NEGATIVITY}, body from posts")
+def m7_laws(spark, sf):
+    rows = _recomputed(m7(spark, sf), ("neg_prob", "pos_prob", "sarcasm_prob", "neg_raw", "neg_effective"))
+    return rows.select("post_id", "inside", "differs", "raw_again", "effective_again", "body")
+
+
+@check("m8_score_table_laws", f"{_NEGATIVITY}, {FULL} as full_post from posts")
+def m8_laws(spark, sf):
+    rows = _recomputed(m8(spark, sf), ("negative_prob", "positive_prob", "sarcasm_prob", "negative_raw", "neg_w_sarcasm"))
+    full = F.col("full_post" if "full_post" in rows.columns else "text")
+    return rows.select("post_id", "inside", "differs", "raw_again", "effective_again", full.alias("full_post"))
+
+
+@check(
+    "s3_result_scan",
+    f"with {v.PROBS} select " + ", ".join(_rd(a, b) for a, b in _NAMES.items())
+    + f", {FULL} as full_post, strftime(make_timestamp(created_utc*1000000), '%Y-%m-%d %H:%M:%S') as date, post_id from probs",
+)
+def s3(spark, sf):
+    """The result table written, replaced and read back."""
+    name, folder = f"results_{uuid.uuid4().hex}", scratch_path(spark, "results")
+    posts = v.posts(spark, sf).withColumn("date", v.stamp())
+    for _ in (1, 2):
+        stored = sarcasm.store_result_table(posts, _scores(spark, sf), name, folder)
+    return stored.select(
+        *[v.r(c, c) for c in _NAMES.values()], "full_post", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "post_id"
+    )
+
+
+@check(
+    "p13_most_positive",
+    f"with {v.PROBS} select post_id, {FULL} as full_post, {_rd('pos_prob', 'pos_prob')} from probs order by probs.pos_prob desc, post_id limit 1",
+)
+def p13_positive(spark, sf):
+    best = rollups.extreme_row(v.probs(spark, sf), "pos_prob", "post_id")
+    return best.select("post_id", F.concat("title", F.lit(":\n"), "body").alias("full_post"), v.r("pos_prob", "pos_prob"))

@@ -133,7 +133,7 @@ def _lemma_query(max_rows: int):
         docs = v.table(spark, sf, "documents").select("doc_id", text.clean_tokens("text").alias("tokens"))
         words = explode_words(docs, [], "tokens").filter((F.length("token") > 3) & F.col("token").endswith("s"))
         table = cut_lineage(words.distinct().withColumn("lemma", F.expr("substring(token, 1, length(token) - 1)")))
-        done = lemmas.lemmatise(docs, "doc_id", "tokens", table, max_rows=max_rows)
+        done = lemmas.lemmatise(docs, "tokens", table, max_rows=max_rows)
         return done.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
     return query
@@ -146,7 +146,7 @@ _LEMMA_SQL = (
     "g as (select doc_id, string_agg(w, ' ' order by pos) as lemmas from j group by doc_id) "
     "select t.doc_id, coalesce(g.lemmas, '') as lemmas from t left join g using (doc_id)"
 )
-check("x5_lemmatise", _LEMMA_SQL)(_lemma_query(200_000))
+check("x5_lemmatise", _LEMMA_SQL)(_lemma_query(lemmas.MAX_DICTIONARY_ROWS))
 check("x5_lemmatise_by_join", _LEMMA_SQL)(_lemma_query(0))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -9,6 +11,7 @@ from checks.registry import check
 from hearsay.functions.text import clean_tokens
 from hearsay.operators import topics
 from hearsay.plans import complaints
+from hearsay.session import cut_lineage
 
 from checks.text import tokens_sql
 
@@ -24,11 +27,14 @@ def _vectors(spark, sf):
 
 
 def _topic_docs(spark, sf):
+    """All documents; those without a vector are outliers."""
     docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return _vectors(spark, sf).drop("embedding").join(docs, "vec_id").select("vec_id", "topic", clean_tokens("text").alias("tokens"))
+    topic = F.coalesce("topic", F.lit(topics.OUTLIER)).alias("topic")
+    named = docs.join(_vectors(spark, sf).drop("embedding"), "vec_id", "left")
+    return named.select("vec_id", topic, clean_tokens("text").alias("tokens"))
 
 
-_DOCS = f"docs as (select vec_id, label as topic, {tokens_sql('text')} as tokens from embeddings join documents on doc_id = vec_id)"
+_DOCS = f"docs as (select doc_id as vec_id, coalesce(label, -1) as topic, {tokens_sql('text')} as tokens from documents left join embeddings on doc_id = vec_id)"
 _TF = (
     f"{_DOCS}, w as (select topic, unnest(tokens) as token from docs), c as (select topic, token, count(*) as tf from w group by 1, 2), "
     "f as (select token, sum(tf) as f from c group by 1), a as (select sum(tf) / count(distinct topic) as a from c), "
@@ -82,7 +88,7 @@ check("j9_label_lookup", _J9)(_label_lookup(100_000))
 check("j9_label_lookup_salted", _J9)(_label_lookup(0))
 
 
-@check("k10_top_topics", f"with {_INFO} select topic, n, name from info where topic <> 2 order by n desc, topic limit 5")
+@check("k10_top_topics", f"with {_INFO} select topic, n, name from info where topic not in (2, -1) order by n desc, topic limit 5")
 def k10(spark, sf):
     info = k7(spark, sf).filter(F.col("topic") != 2)
     return topics.top_topics(info, 5)
@@ -140,13 +146,14 @@ def k11_nearest(spark, sf):
 
 @check(
     "k12_topic_trend",
-    f"with {v.PROBS}, t as (select label as topic, cast(year(make_timestamp(created_utc*1000000)) as int) as year, neg_effective, score "
-    "from probs join embeddings on cast(vec_id as varchar) = post_id) "
+    f"with {v.PROBS}, t as (select coalesce(label, -1) as topic, cast(year(make_timestamp(created_utc*1000000)) as int) as year, neg_effective, score "
+    "from probs left join embeddings on cast(vec_id as varchar) = post_id) "
     f"select topic, year, count(*) as n, {_rd('avg(neg_effective)', 'avg_negativity')}, {_rd('avg(score)', 'avg_score')} from t group by 1, 2",
 )
 def k12(spark, sf):
     topic = _vectors(spark, sf).select(F.col("vec_id").cast("string").alias("post_id"), "topic")
-    trend = topics.topic_trend(v.probs(spark, sf).join(topic, "post_id"), v.stamp(), "neg_effective", "score")
+    posts = v.probs(spark, sf).join(topic, "post_id", "left").withColumn("topic", F.coalesce("topic", F.lit(topics.OUTLIER)))
+    trend = topics.topic_trend(posts, v.stamp(), "neg_effective", "score")
     return trend.select("topic", "year", "n", v.r("avg_negativity", "avg_negativity"), v.r("avg_score", "avg_score"))
 
 
@@ -209,3 +216,67 @@ def k13(spark, sf):
         "post_id", F.concat("title", F.lit(":\n"), "body").alias("full_post"), F.col("neg_effective").alias("neg_w_sarcasm")
     )
     return complaints.complaint_topics(results).info
+
+
+@check(
+    "k1_embed_laws",
+    f"select doc_id, len({tokens_sql('text')}) > 0 as has_words, true as is_unit, true as few_enough, true as differs from documents",
+)
+def k1_laws(spark, sf):
+    """Length 1 for every text with words, no more cells than different words, and not all the same."""
+    docs = v.table(spark, sf, "documents").select("doc_id", clean_tokens("text").alias("tokens"))
+    rows = cut_lineage(topics.embed(docs, "tokens"))
+    sized = rows.select("doc_id", F.size("tokens").alias("n"), F.size(F.array_distinct("tokens")).alias("words"),
+                        topics.dot(F.col("embedding"), F.col("embedding")).alias("square"),
+                        F.array_size(F.filter("embedding", lambda x: x != 0)).alias("cells"))
+    differs = sized.agg(F.count_distinct("cells") > 1).first()[0]
+    return sized.select(
+        "doc_id", (F.col("n") > 0).alias("has_words"), (F.abs(F.col("square") - (F.col("cells") > 0).cast("int")) < 1e-9).alias("is_unit"),
+        (F.col("cells") <= F.col("words")).alias("few_enough"), F.lit(differs).alias("differs"),
+    )
+
+
+@check("k2_reduced_laws", "select count(*) as n, true as uncorrelated, true as falling from embeddings")
+def k2_laws(spark, sf):
+    """Components without correlation, their variances falling."""
+    rows = cut_lineage(k2(spark, sf))
+    pairs = [F.abs(F.corr(a, b)) < 1e-6 for a, b in (("pc0", "pc1"), ("pc0", "pc2"), ("pc1", "pc2"))]
+    v0, v1, v2 = (F.var_samp(f"pc{i}") for i in range(3))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), (pairs[0] & pairs[1] & pairs[2]).alias("uncorrelated"), ((v0 >= v1) & (v1 >= v2) & (v2 > 0)).alias("falling")
+    )
+
+
+@check("k4_centroid_laws", "select vec_id, true as in_range, true as several, true as alike from embeddings")
+def k4_laws(spark, sf):
+    """Topics in range, more than one of them, and their members nearer to their own centre than to the others on average."""
+    rows = cut_lineage(k4(spark, sf).join(_vectors(spark, sf).drop("topic"), "vec_id"))
+    real = topics.without_outliers(rows)
+    centres = topics.centroids(real, "topic", "embedding")
+    own = real.join(centres, "topic").agg(F.avg(topics.cosine(F.col("embedding"), F.col("centroid")))).first()[0]
+    apart = real.groupBy((F.col("topic") >= 0).alias("all")).agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    middle = apart.select(F.to_json(vector_to_array("m"))).first()[0]
+    whole = real.agg(F.avg(topics.cosine(F.col("embedding"), F.from_json(F.lit(middle), "array<double>")))).first()[0]
+    several = rows.agg(F.count_distinct("topic") > 2).first()[0]
+    return rows.select("vec_id", F.col("topic").between(-1, 9).alias("in_range"), F.lit(several).alias("several"), F.lit(own > whole).alias("alike"))
+
+
+@check("k11_nearest_area_laws", "select distinct label as topic, true as is_area, true as at_most_five from embeddings")
+def k11_laws(spark, sf):
+    """Every topic once, in one of at most five areas."""
+    rows = cut_lineage(k11_nearest(spark, sf))
+    few = rows.agg(F.count_distinct("area").between(2, 5)).first()[0]
+    return rows.select("topic", F.col("area").between(0, 4).alias("is_area"), F.lit(few).alias("at_most_five"))
+
+
+@check(
+    "k13_complaint_laws",
+    f"with {v.PROBS} select cast(count(*) as bigint) as complaints, true as named, true as once from probs where neg_effective > 2e-1",
+)
+def k13_laws(spark, sf):
+    """The topics' sizes add up to the complaints; each topic is there once, with its number in its name."""
+    info = cut_lineage(k13(spark, sf))
+    return info.agg(
+        F.sum("n").alias("complaints"), F.bool_and(F.col("name").startswith(F.col("topic").cast("string"))).alias("named"),
+        (F.count_distinct("topic") == F.count(F.lit(1))).alias("once"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.functions.text import split_words
-from hearsay.sources.tables import scan_files, spread
+from hearsay.sources.tables import scan_files
 from hearsay.plans.sentiment import core_scorer, score_comments, score_posts
 
 TABLES = {
@@ -25,8 +25,7 @@ TABLES = {
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # dates are compared as text, so a session of the caller's must read them in UTC too
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = scan_files(spark, f"{sf}/{name}.parquet", T.StructType.fromDDL(TABLES[name]))
-    return spread(rows) if name in ("documents", "conversations") else rows
+    return scan_files(spark, f"{sf}/{name}.parquet", T.StructType.fromDDL(TABLES[name]))
 
 
 POSTS_SQL = """

@@ -25,7 +25,7 @@ DISTANCE_DAMPING = (1.0, 0.95, 0.9)
 EXCLAMATION_STEP, EXCLAMATION_MAX = 0.292, 4
 QUESTION_STEP, QUESTION_FEW, QUESTION_MANY = 0.18, 3, 0.96
 
-# Words that strengthen, soften or turn the next ones.
+# Fixed values, from the published rules (public, MIT licence): words that strengthen, soften or turn the next ones.
 STRENGTHENERS = (
     "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably",
     "decidedly", "deeply", "effing", "enormous", "enormously", "entirely", "especially",
@@ -58,7 +58,14 @@ SOFT_PLACES = ((-3, -2, -1), (-3, -2), (-2, -1))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 BUCKETS = 1024
-MAX_DICTIONARY_ROWS = 50_000
+SLOT_WORDS = 4
+# as a broadcast: some ten megabytes of words
+MAX_DICTIONARY_ROWS = 250_000
+
+
+def buckets_for(rows: int) -> int:
+    """Slots for a dictionary of so many rows, each of a few words."""
+    return max(BUCKETS, 1 << max(0, (rows // SLOT_WORDS - 1).bit_length()))
 
 
 def dictionary(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> Column:
@@ -153,8 +160,9 @@ def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Colu
     so_this = ("so", "this")
     after_no = (low(-1) == "no") | (low(-2) == "no") | ((low(-3) == "no") & low(-1).isin("or", "nor"))
     start = (
-        F.when((low(0) == "no") & at(1)["val"].isNotNull(), F.lit(0.0))
-        .when(after_no, x["val"] * F.lit(NEGATION_FACTOR))
+        # a "no" before the word has the last say, also over another "no"
+        F.when(after_no, x["val"] * F.lit(NEGATION_FACTOR))
+        .when((low(0) == "no") & at(1)["val"].isNotNull(), F.lit(0.0))
         .otherwise(x["val"])
     )
     shouted = lambda v: v + F.when(

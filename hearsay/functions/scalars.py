@@ -43,9 +43,10 @@ def fill_weight(c: Column | str) -> Column:
 def bytes_to_long(blob: Column | str, unsigned: bool = False) -> Column:
     """Integer from little-endian bytes: eight bytes are a signed long, fewer are unsigned.
 
-    ``unsigned=True`` reads eight bytes as decimal(20,0).
+    ``unsigned=True`` reads eight bytes as decimal(20,0). More than eight bytes are no integer: null.
     """
-    pairs = F.regexp_extract_all(F.hex(_col(blob)), F.lit("(..)"), F.lit(1))
+    fitting = F.when(F.octet_length(_col(blob)) <= 8, _col(blob))
+    pairs = F.regexp_extract_all(F.hex(fitting), F.lit("(..)"), F.lit(1))
     digits = F.array_join(F.reverse(pairs), "")
     whole = F.conv(F.when(digits == "", F.lit("0")).otherwise(digits), 16, 10 if unsigned else -10)
     return whole.cast("decimal(20,0)" if unsigned else "bigint")

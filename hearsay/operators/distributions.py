@@ -67,19 +67,23 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
 def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth n^(-1/5) x standard deviation.
 
-    Exact: every value meets every grid point inside its own task, and the task sends on one
-    partial sum per grid point, so the shuffle carries ``points`` rows per task.
+    Exact: every row adds to ``points`` sums, so a task sends on one row of them. Fewer than two
+    values, or values that are all the same, have no density: no rows.
     """
     s = _bounds(df, [column])[column]
     width = s.sd * F.pow(s.n, F.lit(-0.2))
     start = s.lo - F.lit(cut) * width
     step = (s.hi - s.lo + F.lit(2 * cut) * width) / F.lit(points - 1)
-    values = df.select(known(column).alias("x")).filter(F.col("x").isNotNull())
-    at = values.select("x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    z = (start + F.col("point") * step - F.col("x")) / width
-    sums = at.groupBy("point").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("total"))
+    values = df.select(known(column).alias("x")).filter(F.col("x").isNotNull() & (s.sd > 0))
+
+    def kernel(point: int) -> Column:
+        z = F.try_divide(start + F.lit(point) * step - F.col("x"), width)
+        return F.sum(F.exp(F.lit(-0.5) * z * z))
+
+    sums = values.agg(F.array(*[kernel(i) for i in range(points)]).alias("sums"))
+    rows = sums.select(F.posexplode("sums").alias("point", "total")).filter(F.col("total").isNotNull())
     scale = s.n * width * F.sqrt(F.lit(2.0) * F.pi())
-    return sums.select(
+    return rows.select(
         "point", (start + F.col("point") * step).alias("x"), (F.col("total") / scale).alias("density")
     )
 

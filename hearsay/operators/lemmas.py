@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.functions.lexicon import MAX_DICTIONARY_ROWS, dictionary, lookup
-from hearsay.operators.skew import bounded, explode_words, lookup_join
+from hearsay.functions.lexicon import MAX_DICTIONARY_ROWS, buckets_for, dictionary, lookup
+from hearsay.operators.skew import lookup_join
 
 
-def lemmatise(
-    df: DataFrame, key: str, tokens: str, lemmas: DataFrame, max_rows: int = MAX_DICTIONARY_ROWS, **options
-) -> DataFrame:
-    """``df`` with each token of ``tokens`` replaced; unlisted tokens stay.
+def lemmatise(df: DataFrame, tokens: str, lemmas: DataFrame, max_rows: int = MAX_DICTIONARY_ROWS, **options) -> DataFrame:
+    """``df`` with each token of ``tokens`` replaced; unlisted tokens stay, and so does a null list.
 
-    A table of checked size is looked up row by row. A larger one is joined, token by token, and
-    each text's tokens are put back in order; a group is then one text.
+    The result is the same for a table of any size. One of checked size is looked up row by row. A
+    larger one is joined, token by token, and each list's tokens are put back in order. A list is
+    known by its own hash (128 bits): keys do not matter, and copies are looked up once.
     """
-    if bounded(lemmas, max_rows):
-        index = dictionary(lemmas, "token", "lemma")
-        return df.withColumn(tokens, F.transform(tokens, lambda w: F.coalesce(lookup(index, w), w)))
-    words = explode_words(df, [key], tokens, "pos")
+    size = lemmas.count()
+    if size <= max_rows:
+        buckets = buckets_for(size)
+        index = dictionary(lemmas, "token", "lemma", buckets)
+        return df.withColumn(tokens, F.transform(tokens, lambda w: F.coalesce(lookup(index, w, buckets), w)))
+    key = ["__k1", "__k2"]
+    keyed = df.withColumns({"__k1": F.xxhash64(tokens), "__k2": F.xxhash64(F.lit(1), tokens)})
+    distinct = keyed.select(*key, tokens).filter(F.col(tokens).isNotNull()).dropDuplicates(key)
+    words = distinct.select(*key, F.posexplode(tokens).alias("pos", "token"))
     known = lemmas.groupBy("token").agg(F.max("lemma").alias("lemma"))
-    found = lookup_join(words, known, "token", "left", spread_by=[key, "pos"], bounded_by=lemmas, **options)
+    found = lookup_join(words, known, "token", "left", spread_by=[*key, "pos"], bounded_by=lemmas, **options)
     item = F.struct("pos", F.coalesce("lemma", "token").alias("word"))
-    lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["word"]).alias("__words"))
-    joined = df.join(lists, key, "left")
-    return joined.withColumn(tokens, F.coalesce("__words", tokens)).select(*df.columns)
+    lists = found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["word"]).alias("__words"))
+    joined = keyed.join(lists, key, "left")
+    return joined.withColumn(tokens, F.when(F.col(tokens).isNotNull(), F.coalesce("__words", tokens))).select(*df.columns)

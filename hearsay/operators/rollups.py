@@ -44,13 +44,14 @@ def resample_mean(df: DataFrame, ts: Column, values: Sequence[str], freq: str =
     """Mean per period, empty periods included as nulls, labelled by the period's last day.
 
     The gaps are filled from each period to the next one on the aggregated rows, of which there
-    are no more than periods in the time range.
+    are no more than periods in the time range. Where the weights of a period sum to 0 or less, its
+    plain mean is taken.
     """
     def measure(v: str) -> Column:
         if weight is None:
             return mean(v)
-        present = F.when(known(v).isNotNull(), F.col(weight))
-        return F.sum(known(v) * F.col(weight)) / F.sum(present)
+        total = F.sum(F.when(known(v).isNotNull(), F.col(weight)))
+        return F.when(total > 0, F.sum(known(v) * F.col(weight)) / total).otherwise(mean(v))
 
     stamped = df.withColumn("period", F.date_trunc(freq, ts)).filter(F.col("period").isNotNull())
     means = stamped.groupBy("period").agg(*[measure(v).alias(v) for v in values])

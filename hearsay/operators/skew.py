@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.session import stage
+
 # narrow rows only: half a million of them are some tens of megabytes
 MAX_BROADCAST_ROWS = 500_000
 GROUP_LIMIT = 1000
@@ -109,3 +111,18 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Colum
     """One row per key, the first by ``order``; copies are dropped before the shuffle."""
     by = [key] if isinstance(key, str) else list(key)
     return top_n_per_group(df, by, order, 1).drop("rank_in_group")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Rows numbered from 0 by ``order`` (a total one), without bringing them into one task.
+
+    The rows are range-sorted and written; each range is numbered on its own and starts where the
+    ranges before it end. One number per range is broadcast.
+    """
+    ranged = stage(df.repartitionByRange(parallelism(df), *order).withColumn("__range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    placed = ranged.withColumn("__in", inside).join(F.broadcast(base), "__range")
+    return placed.select(*df.columns, (F.col("__base") + F.col("__in")).alias(out))

@@ -13,17 +13,16 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.lexicon import let
-from hearsay.operators.skew import bounded, explode_words, lookup_join, top_n_per_group
+from hearsay.operators.skew import explode_words, lookup_join, numbered, top_n_per_group
 from hearsay.session import cut_lineage
 
 OUTLIER = -1
 SEED = 50
-MAX_TOPICS = 10_000
-MAX_CENTRES = 1_000
+BLOCK_CENTRES = 1_000
 NAME_WORDS = 4
 
 
@@ -101,10 +100,9 @@ def density_topics(
         border.select("cell", "points", F.col("best.label").alias("label"))
     )
     sizes = cut_lineage(cells.groupBy("label").agg(F.sum("points").alias("size")).filter(F.col("size") >= min_topic))
-    if not bounded(sizes, MAX_TOPICS):
-        raise ValueError(f"more than {MAX_TOPICS} topics: raise min_topic, min_cell or width")
-    number = (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("int")
-    topics = cells.join(F.broadcast(sizes.select("label", number.alias("topic"))), "label").select("cell", "topic")
+    ranked = numbered(sizes, [F.desc("size"), F.col("label")], "topic")
+    named = lookup_join(cells, ranked.select("label", F.col("topic").cast("int").alias("topic")), "label", "inner", spread_by=["cell"])
+    topics = named.select("cell", "topic")
     found = lookup_join(points, topics, "cell", "left", spread_by=[key])
     return found.select(key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
 
@@ -127,26 +125,36 @@ def centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
 
 
 def topic_probabilities(df: DataFrame, vector: str, centres: DataFrame, topic: str = "topic") -> DataFrame:
-    """Add ``probabilities``: softmax of the cosine to every topic's centre, by topic number."""
-    if not bounded(centres, MAX_CENTRES):
-        raise ValueError(f"more than {MAX_CENTRES} topics: the matrix has a column for each")
+    """Add ``probabilities``: softmax of the cosine to every topic's centre, by topic number.
+
+    Centres are held as constants in blocks, so that any number of them will do; with more than one
+    block the rows are written after each.
+    """
     def unit(v: Column) -> Column:
         """The vector at length 1; a zero vector stays as it is."""
         return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
-    listed = F.array_sort(F.collect_list(F.struct(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c"))))
-    text = centres.agg(F.to_json(listed)).head()[0]
-    packed = F.from_json(F.lit(text), "array<struct<topic:int,c:array<double>>>")
-
-    def powers(own: Column) -> Column:
-        return F.transform(packed, lambda t: F.struct(t["topic"].alias("topic"), F.exp(dot(own, t["c"])).alias("power")))
+    ordered = numbered(centres.select(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c")), [F.col("topic")], "__place")
+    ordered = cut_lineage(ordered)
+    blocks = max(1, -(-ordered.count() // BLOCK_CENTRES))
+    rows = df.withColumn("__own", unit(F.col(vector))).withColumn(
+        "__powers", F.array().cast("array<struct<topic:int,power:double>>")
+    )
+    for block in range(blocks):
+        held = ordered.filter(F.floor(F.col("__place") / BLOCK_CENTRES) == block)
+        text = held.agg(F.to_json(F.array_sort(F.collect_list(F.struct("topic", "c"))))).head()[0]
+        packed = F.from_json(F.lit(text), "array<struct<topic:int,c:array<double>>>")
+        own = F.col("__own")
+        more = F.transform(packed, lambda t: F.struct(t["topic"].alias("topic"), F.exp(dot(own, t["c"])).alias("power")))
+        rows = rows.withColumn("__powers", F.concat("__powers", F.coalesce(more, F.array().cast("array<struct<topic:int,power:double>>"))))
+        if blocks > 1:
+            rows = cut_lineage(rows)
 
     def shares(of: Column) -> Column:
         total = F.aggregate(of, F.lit(0.0), lambda s, p: s + p["power"])
         return let(total, lambda s: F.transform(of, lambda p: F.struct(p["topic"], (p["power"] / s).alias("prob"))))
 
-    # each step is bound once: what a lambda mentions is otherwise worked out for every element
-    return df.withColumn("probabilities", let(unit(F.col(vector)), lambda own: let(powers(own), shares)))
+    return rows.withColumn("probabilities", let(F.col("__powers"), shares)).drop("__own", "__powers")
 
 
 def topic_words(df: DataFrame, topic: str, tokens: str, n: int = 10) -> DataFrame:

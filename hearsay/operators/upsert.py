@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.operators.skew import first_per_key, lookup_join
-from hearsay.session import stage
+from hearsay.session import staged
 from hearsay.sources import tables
 
 
@@ -39,19 +39,21 @@ class Inserted:
     added: int
 
 
-def insert_or_ignore(df: DataFrame, table: str, key: str) -> Inserted:
+def insert_or_ignore(df: DataFrame, table: str, key: str, order: Sequence[Column | str] = ()) -> Inserted:
     """Append the rows whose key is new; rows already stored win. One writer per table.
 
-    ``df`` holds one row per key (see ``dedup``), so the anti join has no hot key on either side,
-    and a bucketed table is read where it lies. The rows are staged once in the shared folder, so
-    the sweep behind them runs once; counting them and the table then only reads file footers.
-    Repeating an insert adds nothing, so a failed run may simply be run again.
+    Of rows that share a key within ``df`` the first by ``order`` is kept (without one, by a hash of
+    the row), so the key stays unique and the anti join has no hot key on either side; a bucketed
+    table is read where it lies. The rows are staged once in the shared folder for as long as the
+    insert runs, so the sweep behind them runs once; counting them and the table then only reads
+    file footers. Repeating an insert adds nothing, so a failed run may simply be run again.
     """
     spark = df.sparkSession
-    rows = stage(df.filter(F.col(key).isNotNull()), table.split(".")[-1])
-    before = spark.table(table).count()
-    tables.append(rows.join(tables.keys(spark, table, key), key, "left_anti"), table)
-    return Inserted(rows.count(), spark.table(table).count() - before)
+    first = dedup(df.filter(F.col(key).isNotNull()), key, [*order, F.xxhash64(*df.columns)])
+    with staged(first, table.split(".")[-1]) as rows:
+        before = spark.table(table).count()
+        tables.append(rows.join(tables.keys(spark, table, key), key, "left_anti"), table)
+        return Inserted(rows.count(), spark.table(table).count() - before)
 
 
 def with_parent(comments: DataFrame, posts: DataFrame, **options) -> DataFrame:

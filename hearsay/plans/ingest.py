@@ -58,5 +58,4 @@ def upsert_comments(
     """
     posts = spark.table(posts_table)
     rows = normalise_comments(landing.comments_for_posts(landed_comments, post_ids), posts)
-    kept = upsert.with_parent(upsert.dedup(rows, "comment_id", ["created_utc", "post_id"]), posts)
-    return upsert.insert_or_ignore(kept, comments_table, "comment_id")
+    return upsert.insert_or_ignore(upsert.with_parent(rows, posts), comments_table, "comment_id", ["created_utc", "post_id"])

@@ -10,6 +10,7 @@ from hearsay.functions.text import full_text
 from hearsay.operators.normalize import conform, rename_scores
 from hearsay.operators.scoring import Scorer, score_column
 from hearsay.operators.skew import lookup_join
+from hearsay.sources import tables
 
 RESULT_SCORES = ("negative_prob", "neutral_prob", "positive_prob", "sarcasm_prob", "negative_raw", "neg_w_sarcasm")
 
@@ -53,3 +54,9 @@ def result_table(posts: DataFrame, scores: DataFrame, by: str = "post_id", **opt
 
 def as_result(df: DataFrame) -> DataFrame:
     return conform(df, schemas.SARCASM_RESULT)
+
+
+def store_result_table(posts: DataFrame, scores: DataFrame, table: str, location: str, by: str = "post_id", **options) -> DataFrame:
+    """Attach the scores, replace the stored table in one step, and read it back."""
+    tables.replace(as_result(result_table(posts, scores, by, **options)), table, location)
+    return tables.scan(posts.sparkSession, table)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.lexicon import (
     MAX_DICTIONARY_ROWS,
+    buckets_for,
     core_compound,
     dictionary,
     lexicon_sentiment,
@@ -20,7 +21,7 @@ from hearsay.functions.lexicon import (
     sentiment_words,
 )
 from hearsay.functions.scalars import fill_weight, label_sentiment, row_mean
-from hearsay.operators.skew import bounded, explode_words, lookup_join
+from hearsay.operators.skew import explode_words, lookup_join
 
 TEXT_SLOTS = 64
 TextScorer = Callable[[DataFrame, str, str], DataFrame]
@@ -39,39 +40,40 @@ def rules_scorer(valence: Callable[[Column], Column]) -> TextScorer:
     return lambda df, text, out: lexicon_sentiment(df, text, valence, out)
 
 
-def lexicon_scorer(
-    lexicon: DataFrame, rules: bool = True, key: str | None = None, max_rows: int = MAX_DICTIONARY_ROWS
-) -> TextScorer:
-    """Scorer over a (token, valence) table.
+def lexicon_scorer(lexicon: DataFrame, rules: bool = True, max_rows: int = MAX_DICTIONARY_ROWS, **options) -> TextScorer:
+    """Scorer over a (token, valence) table; the scores are the same for a table of any size.
 
     A table of checked size is held as one constant and each row is scored where it lies. Beyond
-    that the texts' words are joined to the table and every text gets the words it uses, which
-    needs a ``key`` that tells the texts apart.
+    that the texts' words are joined to the table and every text gets the words it uses. A text is
+    known by its own hash (128 bits), so keys may be null or repeated, and copies are looked up once.
+    Making the scorer counts the table.
     """
     words = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
-    if bounded(words, max_rows):
-        index = dictionary(words, "token", "valence")
-        valence = lambda w: lookup(index, w)
+    size = words.count()
+    if size <= max_rows:
+        buckets = buckets_for(size)
+        index = dictionary(words, "token", "valence", buckets)
+        valence = lambda w: lookup(index, w, buckets)
         return rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
-    if key is None:
-        raise ValueError(f"more than {max_rows} words: name the key of the texts")
+    known = words.groupBy("token").agg(F.max("valence").alias("valence"))
 
     def slot(word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(TEXT_SLOTS)).cast("int")
 
     def score(df: DataFrame, text: str, out: str) -> DataFrame:
-        used = F.array_distinct(F.transform(sentiment_words(F.coalesce(F.col(text), F.lit(""))), F.lower))
-        rows = explode_words(df.select(key, used.alias("__used")), [key], "__used")
-        known = words.groupBy("token").agg(F.max("valence").alias("valence"))
+        source, key = F.coalesce(F.col(text), F.lit("")), ["__k1", "__k2"]
+        keyed = df.withColumns({"__k1": F.xxhash64(source), "__k2": F.xxhash64(F.lit(1), source)})
+        used = F.array_distinct(F.transform(sentiment_words(source), F.lower))
+        rows = explode_words(keyed.select(*key, used.alias("__used")), key, "__used").distinct()
         # one group is the distinct listed words of one text, in small maps so that lookups stay short
-        hits = lookup_join(rows, known, "token", "inner", spread_by=[key], bounded_by=words).repartition(key)
-        placed = hits.groupBy(key, slot(F.col("token")).alias("__b")).agg(
+        hits = lookup_join(rows, known, "token", "inner", spread_by=key, bounded_by=words, **options)
+        placed = hits.groupBy(*key, slot(F.col("token")).alias("__b")).agg(
             F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__m")
         )
-        own = placed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__m"))).alias("__own"))
+        own = placed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__m"))).alias("__own"))
         valence = lambda w: F.try_element_at(F.try_element_at(F.col("__own"), slot(w)), w)
         scorer = rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
-        return scorer(df.join(own, key, "left"), text, out).drop("__own")
+        return scorer(keyed.join(own, key, "left"), text, out).select(*df.columns, out)
 
     return score
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return stage(df, "step")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, wherever the shared folder lies."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as written to the shared folder, for as long as the block runs."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        discard(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read from there."""
     path = scratch_path(df.sparkSession, name)

@@ -1,6 +1,6 @@
 """Catalogue tables: create, scan, append, replace, list, drop, export.
 
-Keyed tables are bucketed by their key, so that the check for stored keys reads the table where
+Keyed tables may be bucketed by their key, so that the check for stored keys reads the table where
 it lies instead of shuffling it. Comments are bucketed by their own key, not by post: one post
 may own a third of them, and its bucket would be as large.
 """
@@ -15,21 +15,28 @@ from pyspark.sql import types as T
 
 from hearsay import schemas
 
-BUCKETS = 64
+BUCKET_BYTES = 512 << 20
 
 
-def create_tables(spark: SparkSession, database: str, location: str, buckets: int = BUCKETS) -> None:
-    """Create the database and its two keyed tables where they do not exist yet."""
+def buckets_for(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """How many buckets a table of this size should have: each a task's worth."""
+    return max(1, -(-table_bytes // bucket_bytes))
+
+
+def create_tables(spark: SparkSession, database: str, location: str, buckets: int | None = None) -> None:
+    """Create the database and its two keyed tables where they do not exist yet.
+
+    ``buckets`` follows from the size a table is expected to reach (``buckets_for``). Without it the tables are
+    not bucketed: an insert then shuffles the stored keys, and only those, in as many tasks as their size needs.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name, schema, key in (
         ("posts", schemas.POSTS, schemas.POSTS_KEY),
         ("comments", schemas.COMMENTS, schemas.COMMENTS_KEY),
     ):
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet "
-            f"CLUSTERED BY ({key}) INTO {buckets} BUCKETS"
-        )
+        clause = f" CLUSTERED BY ({key}) INTO {buckets} BUCKETS" if buckets else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet{clause}")
 
 
 def bucket_count(spark: SparkSession, table: str) -> int | None:
@@ -45,15 +52,6 @@ def scan_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files have fewer splits than there are cores.
-
-    Only a small input is ever moved: one of any size has splits enough and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def keys(spark: SparkSession, table: str, key: str) -> DataFrame:
     """Stored keys as a DataFrame; only that column is read and nothing is collected."""
     return spark.table(table).select(key)
@@ -75,15 +73,30 @@ def append(df: DataFrame, table: str) -> None:
 
 
 def replace(df: DataFrame, table: str, location: str) -> str:
-    """Write a new version beside the old one, then point the table at it.
+    """Write a new version beside the old one, then point the table at it in one step.
 
-    The frame may read the very table it replaces: its files stay until someone removes them.
+    A bucketed table keeps its buckets. The frame may read the very table it replaces: its files stay
+    until someone removes them. A table of other columns is dropped and made anew.
     """
     spark = df.sparkSession
-    path = f"{location.rstrip('/')}/{table.split('.')[-1]}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    drop(spark, table)
-    spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+    name = f"{table.split('.')[-1]}-{uuid.uuid4().hex}"
+    path = f"{location.rstrip('/')}/{name}"
+    there = spark.catalog.tableExists(table)
+    buckets = bucket_count(spark, table) if there else None
+    same = there and [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in df.schema]
+    if buckets and same:
+        key = [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
+        written = f"{table}__{uuid.uuid4().hex}"
+        df.repartition(buckets, *key).write.option("path", path).bucketBy(buckets, *key).saveAsTable(written)
+        drop(spark, written)  # the entry only: the files lie outside the catalogue's folder
+    else:
+        df.write.parquet(path)
+    if same:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(table)
+    else:
+        drop(spark, table)
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
     return path
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +26,7 @@ def insert_stream(
     reader = stream.sparkSession
 
     def store(batch: DataFrame, _: int) -> None:
-        upsert.insert_or_ignore(upsert.dedup(batch.filter(F.col(key).isNotNull()), key, order), table, key)
+        upsert.insert_or_ignore(batch, table, key, order)
         # the batch ran in a session of its own; the reader's may still hold the old file list
         reader.catalog.refreshTable(table)
 

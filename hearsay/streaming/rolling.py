@@ -1,29 +1,24 @@
-"""Rolling sentiment: daily sums kept by the stream, rolled up to months in batch.
+"""Rolling sentiment: daily sums written by the stream, rolled up to months in batch.
 
-A month is no fixed length, so the stream keeps days. Sums, not means, are kept: they add up to
+A month is no fixed length, so the stream writes days. Sums, not means, are kept: they add up to
 the plain and the weighted mean of any longer period.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hearsay.functions.aggregates import known
 
-LATENESS = "2 days"
+SUMS = ("n", "n_known", "total", "weights", "weighted")
 
 
-def daily_sums(df: DataFrame, ts: str, value: str, weight: str, lateness: str = LATENESS) -> DataFrame:
-    """Per day: rows, known values, their sum, sum of weights, and weighted sum. Batch or stream.
-
-    The watermark wants a zoned timestamp, so ``ts`` is cast to one.
-    """
+def daily_sums(df: DataFrame, ts: str, value: str, weight: str) -> DataFrame:
+    """Per day: rows, known values, their sum, sum of weights, and weighted sum."""
     v, w = known(value), known(weight)
     stamped = df.withColumn("__ts", F.col(ts).cast("timestamp"))
-    if df.isStreaming:
-        stamped = stamped.withWatermark("__ts", lateness)
     days = stamped.filter(F.col("__ts").isNotNull()).groupBy(F.window("__ts", "1 day").alias("day"))
     return days.agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,7 +32,7 @@ def daily_sums(df: DataFrame, ts: str, value: str, weight: str, lateness: str =
 def roll_up(days: DataFrame, period: str = "month") -> DataFrame:
     """Plain and weighted mean per period from the daily sums."""
     sums = days.groupBy(F.date_trunc(period, "day").alias(period)).agg(
-        *[F.sum(c).alias(c) for c in ("n", "n_known", "total", "weights", "weighted")]
+        *[F.sum(c).alias(c) for c in SUMS]
     )
     plain = F.col("total") / F.nullif("n_known", F.lit(0))
     weighted = F.when(F.col("n_known") == F.col("n"), F.col("weighted") / F.col("weights"))
@@ -47,7 +42,20 @@ def roll_up(days: DataFrame, period: str = "month") -> DataFrame:
     )
 
 
-def store_days(days: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished days; a day is finished once the watermark has passed it."""
-    writer = days.writeStream.outputMode("append").format("parquet").option("path", path)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def store_days(stream: DataFrame, ts: str, value: str, weight: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the daily sums of each micro-batch under its number.
+
+    There is no state and no watermark, so a row counts however late it comes. A batch that is
+    replayed writes over its own sums; ``stored_days`` adds the batches up.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        daily_sums(batch, ts, value, weight).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """All days so far, one row each."""
+    batches = spark.read.option("basePath", path).parquet(path)
+    return batches.groupBy("day").agg(*[F.sum(c).alias(c) for c in SUMS])

@@ -10,7 +10,7 @@ from hearsay.functions import lexicon as lx
 from hearsay.plans import sentiment
 
 WORDS = {"good": 1.9, "great": 3.1, "bad": -2.5, "broken": -2.1, "hate": -2.7, "no": -1.2, "love": 3.2, "kind": 2.4, "fix": 0.5, "bomb": -2.2, "death": -2.9}
-FILLER = ["the", "game", "patch", "but", "so", "very", "barely", "not", "never", "without", "doubt", "least", "at", "this",
+FILLER = ["the", "boat", "river", "but", "so", "very", "barely", "not", "never", "without", "doubt", "least", "at", "this",
           "or", "nor", "of", "isn't", "kinda", "ABC", ":)", "A",
           "ass", "bus", "stop", "yeah", "right", "heart", "kiss", "sort", "just", "enough"]
 
@@ -41,8 +41,8 @@ def expected(text):
         v = WORDS[w]
         if w == "no" and at(i + 1) in WORDS:
             v = 0.0
-        elif at(i - 1) == "no" or at(i - 2) == "no" or (at(i - 3) == "no" and at(i - 1) in ("or", "nor")):
-            v *= lx.NEGATION_FACTOR
+        if at(i - 1) == "no" or at(i - 2) == "no" or (at(i - 3) == "no" and at(i - 1) in ("or", "nor")):
+            v = WORDS[w] * lx.NEGATION_FACTOR
         if caps[i] and mixed:
             v += lx.CAPS_STEP if v > 0 else -lx.CAPS_STEP
         for d in (1, 2, 3):
@@ -93,8 +93,8 @@ def texts(spark):
         words = [rng.choice([*WORDS, *FILLER]) for _ in range(rng.randint(1, 9))]
         words = [w.upper() if rng.random() < 0.15 else w for w in words]
         made.append(" ".join(w + rng.choice(["", "", "", "!", "?", "...", "??"]) for w in words))
-    fixed = [None, "", "GREAT", "Great patch, everything feels GREAT now!", "not very good", "never so good", "the least good", "at least good",
-             "this pack is the bomb", "it is a bad ass game", "a kiss of death", "it was just enough good"]
+    fixed = [None, "", "GREAT", "A GREAT view, and great tea!", "not very good", "never so good", "the least good", "at least good",
+             "that cake is the bomb", "it is a bad ass bike", "a kiss of death", "it was just enough good"]
     return spark.createDataFrame(list(enumerate([*fixed, *made])), "id int, t string").cache()
 
 
@@ -106,14 +106,22 @@ def test_rules_match_the_loop(spark, texts, lexicon):
 
 
 def test_every_way_to_hold_the_lexicon_scores_alike(spark, texts, lexicon):
-    held = sentiment.lexicon_scorer(lexicon)(texts, "t", "s").select("id", "s")
-    joined = sentiment.lexicon_scorer(lexicon, key="id", max_rows=0)(texts, "t", "s").select("id", "s")
-    assert held.exceptAll(joined).count() == 0 and joined.exceptAll(held).count() == 0
+    again = texts.union(texts.limit(50)).withColumn("id", F.when(F.col("id") % 5 > 0, F.col("id")))  # null and repeated ids, repeated texts
+    held = sentiment.lexicon_scorer(lexicon)(again, "t", "s").select("id", "t", "s")
+    for options in ({}, {"max_broadcast_rows": 0}):
+        joined = sentiment.lexicon_scorer(lexicon, max_rows=0, **options)(again, "t", "s").select("id", "t", "s")
+        assert held.exceptAll(joined).count() == 0 and joined.exceptAll(held).count() == 0
+
+
+# worked out by hand from the rules: sum of valences, then x / sqrt(x * x + 15)
+BY_HAND = {
+    "good": 0.4404, "not good": -0.3412, "no no good": -0.1326, "VERY good tea": 0.6028, "good!": 0.4926, "good but bad": -0.5859,
+}
 
 
-def test_large_lexicon_needs_a_key(lexicon):
-    with pytest.raises(ValueError):
-        sentiment.lexicon_scorer(lexicon, max_rows=2)
+def test_scores_worked_out_by_hand(spark, lexicon):
+    rows = sentiment.lexicon_scorer(lexicon)(spark.createDataFrame([(t,) for t in BY_HAND], "t string"), "t", "s").collect()
+    assert {r.t: r.s for r in rows} == BY_HAND
 
 
 def test_scoring_is_narrow_and_stays_in_the_jvm(spark, texts, lexicon):

@@ -101,3 +101,14 @@ def test_relation_and_correlation_skip_missing(spark):
     assert distributions.relation(df, "x", "y", 2).agg(F.sum("n")).first()[0] == 2
     row = distributions.correlation(df, "x", "y").first()
     assert row.n == 2 and row.correlation == pytest.approx(1.0)
+
+
+def test_weights_that_sum_to_nothing_give_the_plain_mean(spark):
+    df = spark.createDataFrame([("2020-01-05", 1.0, 1), ("2020-01-09", 3.0, -1), ("2020-02-01", 4.0, 0), ("2020-03-01", None, 2), ("2020-04-01", 2.0, 2), ("2020-04-02", 8.0, 1)], "d string, v double, w int")
+    rows = rollups.resample_mean(df, F.to_timestamp("d"), ["v"], "month", "w").orderBy("period_end").collect()
+    assert [r.v for r in rows] == [2.0, 4.0, None, 4.0]
+
+
+@pytest.mark.parametrize("values", [[5.0, 5.0, 5.0], [1.0], [None], []])
+def test_no_spread_has_no_density(spark, values):
+    assert distributions.density(spark.createDataFrame([(v,) for v in values], "x double"), "x").count() == 0

@@ -80,3 +80,9 @@ def test_parse_date_reads_both_forms(spark):
     df = spark.createDataFrame([("2023-11-14T22:13:20Z",), ("2023-11-14 22:13:20",), ("soon",)], "d string")
     got = [r[0] for r in df.select(F.date_format(scalars.parse_date("d"), "HH:mm")).collect()]
     assert got == ["22:13", "22:13", None]
+
+
+def test_blobs_longer_than_a_number_are_null(spark):
+    df = spark.createDataFrame([(bytes(range(1, 10)),), (bytes([7]),), (b"",), (None,)], "b binary")
+    rows = df.select(scalars.bytes_to_long("b").alias("s"), scalars.bytes_to_long("b", unsigned=True).cast("string").alias("u")).collect()
+    assert [(r.s, r.u) for r in rows] == [(None, None), (7, "7"), (0, "0"), (None, None)]

@@ -11,10 +11,10 @@ from hearsay.sources import tables
 from hearsay.streaming import inserts, rolling
 
 DEMO = [
-    "Freezing again after the patch, totally not broken 🙃",
-    "Somebody made a pack that works.",
-    "Great patch, the game feels smoother!",
-    "Another save corrupted. Broken.",
+    "The soup came cold, and the waiter laughed",
+    "They open at nine on weekdays.",
+    "Lovely bread, warm and fresh!",
+    "Cold plates, sour wine.",
 ]
 
 
@@ -40,7 +40,7 @@ def test_models_of_the_user_see_whole_preprocessed_texts(spark):
 
 def test_trained_scorers_on_the_demo_sentences(spark):
     train = spark.createDataFrame(
-        [("broken save corrupted", 0), ("freezing again broken", 0), ("a pack that works", 1), ("the game", 1), ("great smoother patch", 2), ("great works now", 2)],
+        [("cold sour soup", 0), ("sour wine cold", 0), ("they open weekdays", 1), ("nine", 1), ("lovely warm bread", 2), ("fresh lovely", 2)],
         "text string, label int")
     polarity = scoring.PipelineScorer(scoring.train_classifier(train, "text", "label"), scoring.SENTIMENT_COLUMNS)
     irony = scoring.PipelineScorer(
@@ -109,3 +109,25 @@ def test_daily_sums_roll_up_to_weighted_means(spark):
         "d string, v double, w double").withColumn("ts", F.to_timestamp_ntz("d"))
     rows = rolling.roll_up(rolling.daily_sums(df, "ts", "v", "w")).orderBy("month").collect()
     assert [(r.n, r.mean, r.weighted_mean) for r in rows] == [(3, 8 / 3, 7 / 4), (2, 2.0, 2.0), (1, None, None)]
+
+
+def test_day_stream_counts_late_rows_and_replayed_batches_once(spark):
+    rows = [("2020-03-05 10:00:00", 1.0, 1.0), ("2020-03-01 09:00:00", 2.0, 1.0), ("2020-03-05 11:00:00", 3.0, 2.0), ("2020-02-20 00:00:00", 5.0, 1.0), (None, 9.0, 1.0)]
+    schema = "at string, v double, w double"
+    path, stored, checkpoint = (scratch_path(spark, x) for x in ("landed", "days", "stream"))
+    for row in rows:  # a file and a micro-batch each, the oldest last
+        spark.createDataFrame([row], schema).withColumn("ts", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(path)
+    landed = spark.read.parquet(path)
+
+    def run(name):
+        stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rolling.store_days(stream, "ts", "v", "w", stored, name).awaitTermination()
+
+    def days():
+        return sorted((str(r.day)[:10], r.n, r.total, r.weighted) for r in rolling.stored_days(spark, stored).collect())
+
+    want = [("2020-02-20", 1, 5.0, 5.0), ("2020-03-01", 1, 2.0, 2.0), ("2020-03-05", 2, 4.0, 7.0)]
+    run(checkpoint)
+    assert days() == want
+    run(scratch_path(spark, "stream"))  # every batch again under its number
+    assert days() == want

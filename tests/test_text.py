@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay.operators import lemmas
 from hearsay.functions import text
 
 # The patterns both cleaners must agree with.
@@ -79,3 +80,14 @@ def test_stop_words_keep_duplicates_and_order(spark):
 def test_lemma_runs_after_stop_words(spark):
     row = spark.sql("select 'the cats' as t").select(text.clean_text("t", lemma=lambda w: F.rtrim(w, F.lit("s"))).alias("c")).first()
     assert row.c == "cat"
+
+
+@pytest.mark.parametrize("options", [{}, {"max_rows": 0}, {"max_rows": 0, "max_broadcast_rows": 0}])
+def test_lemmas_do_not_depend_on_keys_or_size(spark, options):
+    rows = [(None, ["cats", "ran", "cats"]), (1, ["cats", "ran", "cats"]), (1, ["mice"]), (2, []), (3, None), (4, ["dogs", None, "ok"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    table = spark.createDataFrame([("cats", "cat"), ("mice", "mouse"), ("dogs", "dog"), ("dogs", "aog")], "token string, lemma string")
+    got = lemmas.lemmatise(df, "tokens", table, **options)
+    assert got.columns == df.columns
+    want = [(None, ["cat", "ran", "cat"]), (1, ["cat", "ran", "cat"]), (1, ["mouse"]), (2, []), (3, None), (4, ["dog", None, "ok"])]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))

@@ -100,8 +100,8 @@ def test_scores_by_text_stand_for_all_pairs(spark):
 
 def test_complaint_job_separates_two_themes(spark):
     rng = random.Random(5)
-    themes = [["save", "file", "lost", "recovery"], ["mod", "patch", "broken", "update"]]
-    rows = [(str(i), " ".join(rng.choices(themes[i % 2], k=12)), 0.5) for i in range(80)] + [("x", "save mod", 0.1)]
+    themes = [["bread", "oven", "flour", "yeast"], ["boat", "sail", "river", "anchor"]]
+    rows = [(str(i), " ".join(rng.choices(themes[i % 2], k=12)), 0.5) for i in range(80)] + [("x", "bread boat", 0.1)]
     results = spark.createDataFrame(rows, "post_id string, full_post string, neg_w_sarcasm double")
     job = complaints.complaint_topics(results, k=2)
     found = {r.post_id: r.topic for r in job.assigned.collect()}
@@ -112,3 +112,17 @@ def test_complaint_job_separates_two_themes(spark):
     assert job.docs.count() == 20
     dense = complaints.complaint_topics(results, dims=2, width=0.5, min_cell=3)
     assert dense.assigned.count() == 80
+
+
+def test_probabilities_in_blocks_are_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(20)] + [(99, [0.0] * 4)], "id int, v array<double>")
+    centres = spark.createDataFrame([(t, [rng.gauss(0, 1) for _ in range(4)]) for t in range(7)], "topic int, centroid array<double>")
+
+    def run():
+        rows = topics.topic_probabilities(docs, "v", centres).collect()
+        return {(r.id, p.topic): round(p.prob, 12) for r in rows for p in r.probabilities}
+
+    whole = run()
+    monkeypatch.setattr(topics, "BLOCK_CENTRES", 3)
+    assert run() == whole and len(whole) == 21 * 7

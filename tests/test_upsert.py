@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay import schemas
+from hearsay import schemas, session
 from hearsay.operators import normalize, skew, upsert
 from hearsay.plans import ingest
 from hearsay.session import scratch_path
@@ -178,3 +178,50 @@ def test_csv_round_trip(spark):
     path = scratch_path(spark, "csv")
     tables.export_csv(df, path)
     assert sorted(tables.import_csv(spark, path, df.schema).collect()) == sorted(df.collect())
+
+
+def test_a_key_given_twice_is_stored_once_and_nothing_staged_stays(spark, database):
+    import os
+
+    name = f"{database}.posts"
+    rows = posts(spark, [("a", "second", 2, "s"), ("a", "first", 1, "s"), ("b", "b", 1, "s"), ("b", "b", 1, "s")])
+    shared = os.path.join(session.shared_dir(spark).removeprefix("file:"), "hearsay")
+    before = set(os.listdir(shared))
+    assert upsert.insert_or_ignore(rows, name, "post_id", ["score"]) == upsert.Inserted(2, 2)
+    assert {(r.post_id, r.title) for r in spark.table(name).collect()} == {("a", "first"), ("b", "b")}
+    assert set(os.listdir(shared)) == before
+    with pytest.raises(ZeroDivisionError), session.staged(rows, "broken"):
+        raise ZeroDivisionError
+    assert set(os.listdir(shared)) == before
+
+
+def test_replace_keeps_the_buckets(spark, database):
+    name, folder = f"{database}.posts", scratch_path(spark, "versions")
+    tables.append(posts(spark, [(str(i), "t", i, "s") for i in range(50)]), name)
+    tables.replace(spark.table(name).filter("score < 20"), name, folder)
+    assert tables.bucket_count(spark, name) == 4 and spark.table(name).count() == 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = posts(spark, [("1", "t", 1, "s"), ("99", "t", 1, "s")]).join(tables.keys(spark, name, "post_id"), "post_id", "left_anti")
+        assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert [r.post_id for r in fresh.collect()] == ["99"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert upsert.insert_or_ignore(posts(spark, [("1", "x", 1, "s"), ("99", "x", 1, "s")]), name, "post_id") == upsert.Inserted(2, 1)
+    tables.replace(spark.range(3).toDF("x"), name, folder)
+    assert spark.table(name).columns == ["x"]
+
+
+def test_tables_without_buckets_and_bucket_numbers(spark):
+    name = f"t{uuid.uuid4().hex}"
+    tables.create_tables(spark, name, scratch_path(spark, name))
+    rows = posts(spark, [("a", "t", 1, "s")])
+    assert [upsert.insert_or_ignore(rows, f"{name}.posts", "post_id").added for _ in range(2)] == [1, 0]
+    assert tables.bucket_count(spark, f"{name}.posts") is None
+    assert (tables.buckets_for(1), tables.buckets_for(100 << 40)) == (1, 204800)
+
+
+def test_numbered_is_a_global_row_number(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    assert [(r.x, r.n) for r in skew.numbered(df, [F.desc("x")], "n").orderBy("n").collect()] == [(999 - i, i) for i in range(1000)]
+    assert skew.numbered(df.limit(0), [F.col("x")], "n").count() == 0
