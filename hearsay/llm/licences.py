@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from hearsay.llm.common import step, table
 
 SAMPLED_DOCS = 600
 SAMPLED_PARAGRAPHS = 3000
-FEATURES = 1 << 15
 # the bounded training rows are few; a gradient comes back from each of these parts in every round
 TRAINING_PARTS = 4
 CONFIRMED = 0.6
@@ -105,10 +105,18 @@ def _grams() -> PipelineModel:
     return PipelineModel([NGram(n=2, inputCol="words", outputCol="pairs"), NGram(n=3, inputCol="words", outputCol="triples")])
 
 
+def _vocabulary() -> list[str]:
+    """The words, pairs and triples of the statements and of the sentences that only sound like them: what else a
+    paragraph says tells nothing about licences.
+    """
+    texts = [*OTHERWISE, *(t for some in TEMPLATES.values() for t in some)]
+    return sorted({" ".join(g) for t in texts for n in (1, 2, 3) for g in _runs(t, n)})
+
+
 def features(df: DataFrame) -> DataFrame:
     grams = _grams().transform(df).withColumn("grams", F.concat("words", "pairs", "triples"))
-    hashed = HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(grams)
-    return hashed.drop("grams", "triples")
+    counted = CountVectorizerModel.from_vocabulary(_vocabulary(), inputCol="grams", outputCol="features").setBinary(True)
+    return counted.transform(grams).drop("grams", "triples")
 
 
 @dataclass(frozen=True)
@@ -175,8 +183,6 @@ def train(docs: DataFrame, sampled_docs: int = SAMPLED_DOCS, sampled_paragraphs:
 
 def _runs(text: str, n: int) -> set[tuple[str, ...]]:
     """The runs of ``n`` words of a template, as ``words`` cuts them; templates are ASCII."""
-    import re
-
     w = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+", "0", text.lower())) if x]
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
