@@ -190,11 +190,18 @@ def _score(model: Model):
         x = np.bincount(doc, np.log1p(n) * model.weights[np.searchsorted(model.features, feature)], batch.num_rows)
         above = _sigmoid(x[:, None] - model.thresholds)
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, lists(above.ravel(), np.full(len(x), above.shape[1]), pa.float64()), pa.array(above.sum(axis=1))],
-            [*batch.schema.names, "above", "severity"],
+            [batch["row"], lists(above.ravel(), np.full(len(x), above.shape[1]), pa.float64()), pa.array(above.sum(axis=1))],
+            ["row", "above", "severity"],
         )
 
-    return map_slices(score, "text")
+    sliced = map_slices(score, "text")
+
+    def over(batches):  # the text comes within the row, and only once
+        yield from sliced(
+            pa.RecordBatch.from_arrays([b["row"], pc.struct_field(b["row"], "text").cast(pa.string())], ["row", "text"]) for b in batches
+        )
+
+    return over
 
 
 def rate(docs: DataFrame, model: Model) -> DataFrame:
@@ -204,12 +211,13 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
     Every row is rated; a null text is an empty one, and an empty text has the severity of no evidence.
     Other columns stay as they are, whatever their names.
     """
-    packed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
-    kept = packed.schema["row"].dataType
-    scored = packed.mapInArrow(_score(model), T.StructType([*packed.schema, T.StructField("above", T.ArrayType(T.DoubleType())), T.StructField("severity", T.DoubleType())]))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    scored = packed.mapInArrow(
+        _score(model), T.StructType([*packed.schema, T.StructField("above", T.ArrayType(T.DoubleType())), T.StructField("severity", T.DoubleType())])
+    )
     grade = F.size(F.filter("above", lambda p: p >= 0.5))
     toxicity = F.struct("above", "severity", grade.alias("grade"), (grade > 0).alias("toxic")).alias("toxicity")
-    return scored.select(*[F.col("row")[c].alias(c) for c in kept.names], toxicity)
+    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns], toxicity)
 
 
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
