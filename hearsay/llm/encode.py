@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 
 from hearsay.llm.common import split_words
 
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
+RESTING_ENTRIES = 120_000
 # words of these letters change neither by composition nor in number of characters by lower-casing
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
@@ -43,6 +44,15 @@ class Encoder:
         self.entries, self.words, self.others = 0, {}, {}
         self._add(*_flat([[], *self._slow([",", "."])]))
 
+    def rest(self) -> None:
+        """Keep only what was learned first, which are the frequent words: the worker may have other work next."""
+        if self.entries > RESTING_ENTRIES:
+            self.entries, self.used = RESTING_ENTRIES, int(self.first[RESTING_ENTRIES])
+            self.words = {w: n for w, n in self.words.items() if n < RESTING_ENTRIES}
+            self.others = {w: n for w, n in self.others.items() if n < RESTING_ENTRIES}
+            self.pool = self.pool[: max(1 << 16, self.used)].copy()
+            self.first, self.sizes = (x[:RESTING_ENTRIES].copy() for x in (self.first, self.sizes))
+
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Numbers of the new entries that hold ``ids``, cut by ``sizes``."""
         while self.used + len(ids) > len(self.pool):

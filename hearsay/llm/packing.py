@@ -83,7 +83,13 @@ def _encode(path: str):
             ["row", "doc_id", "key", "tokens", "ids"],
         )
 
-    return map_slices(encode, "text", 16 << 20)
+    sliced = map_slices(encode, "text", 8 << 20)
+
+    def over(batches):
+        yield from sliced(batches)
+        encoder(path).rest()
+
+    return over
 
 
 def _cut(sequence: int, path: str):
