@@ -201,7 +201,7 @@ def k4(spark, sf):
 @check("k1_embed")
 def k1(spark, sf):
     docs = v.table(spark, sf, "documents").select("doc_id", clean_tokens("text").alias("tokens"))
-    return topics.embed(docs, "tokens").select("doc_id", F.array_size(F.filter("embedding", lambda x: x != 0)).alias("n_features"))
+    return topics.embed(docs, "tokens").select("doc_id", F.array_size(F.filter(vector_to_array("embedding"), lambda x: x != 0)).alias("n_features"))
 
 
 @check("k2_reduce_dimensions")
@@ -226,6 +226,7 @@ def k1_laws(spark, sf):
     """Length 1 for every text with words, no more cells than different words, and not all the same."""
     docs = v.table(spark, sf, "documents").select("doc_id", clean_tokens("text").alias("tokens"))
     rows = cut_lineage(topics.embed(docs, "tokens"))
+    rows = rows.withColumn("embedding", vector_to_array("embedding"))
     sized = rows.select("doc_id", F.size("tokens").alias("n"), F.size(F.array_distinct("tokens")).alias("words"),
                         topics.dot(F.col("embedding"), F.col("embedding")).alias("square"),
                         F.array_size(F.filter("embedding", lambda x: x != 0)).alias("cells"))

@@ -267,3 +267,15 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
         .withColumn(out, let(stressed, normalise))
         .drop(facts, flags, scores, turn)
     )
+
+
+def name_emoji(text: Column | str, names: Column, buckets: int = BUCKETS) -> Column:
+    """``text`` with each emoji of a ``dictionary`` of (emoji, name) replaced by its name, as words of their own.
+
+    Emoji of several characters are not joined; modifiers and joiners without a name stay. Null stays null.
+    """
+    source = F.col(text) if isinstance(text, str) else text
+    spaced = F.transform(F.split(source, ""), lambda c: let(
+        lookup(names, c, buckets), lambda n: F.when(n.isNotNull(), F.concat(F.lit(" "), n, F.lit(" "))).otherwise(c)
+    ))
+    return F.btrim(F.regexp_replace(F.array_join(spaced, ""), " {2,}", " "))

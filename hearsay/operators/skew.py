@@ -12,7 +12,7 @@ from hearsay.session import stage
 
 # narrow rows only: half a million of them are some tens of megabytes
 MAX_BROADCAST_ROWS = 500_000
-GROUP_LIMIT = 1000
+TASK_GROUPS = 64
 
 
 def explode_words(df: DataFrame, keep: Sequence[str], tokens: str, position: str | None = None) -> DataFrame:
@@ -95,14 +95,20 @@ def salted_join(
 def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group by ``order``, numbered in ``rank_in_group``.
 
-    Up to the window group limit Spark cuts each task's share to ``n`` before the shuffle; for a
-    larger ``n`` each task's share is first cut to ``n`` on its own, so no task sorts a whole hot
-    group.
+    Up to the session's window group limit Spark cuts each task's share to ``n`` before the shuffle; for a
+    larger ``n`` each task's share is first cut to ``n`` on its own. Shares are then cut again by
+    groups of tasks, so that a hot group's candidates meet in steps and not all at once.
     """
-    if n > GROUP_LIMIT:
-        df = df.withColumn("__cut", F.spark_partition_id())
-        inner = Window.partitionBy(*by, "__cut").orderBy(*order)
-        df = df.withColumn("__rn", F.row_number().over(inner)).filter(F.col("__rn") <= n).drop("__rn", "__cut")
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    cuts = [F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS))]
+    if n > limit:
+        cuts.insert(0, F.spark_partition_id())
+    if n * parallelism(df) > TASK_GROUPS * limit:
+        tagged = df.withColumns({f"__cut{i}": c for i, c in enumerate(cuts)})
+        for i in range(len(cuts)):
+            inner = Window.partitionBy(*by, f"__cut{i}").orderBy(*order)
+            tagged = tagged.withColumn("__rn", F.row_number().over(inner)).filter(F.col("__rn") <= n).drop("__rn")
+        df = tagged.select(*df.columns)
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank_in_group", F.row_number().over(window)).filter(F.col("rank_in_group") <= n)
 

@@ -12,6 +12,7 @@ from itertools import product
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from hearsay.session import cut_lineage
 OUTLIER = -1
 SEED = 50
 BLOCK_CENTRES = 1_000
+MAX_CENTRE_BYTES = 64 << 20
 NAME_WORDS = 4
 
 
@@ -35,17 +37,34 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
+def _vector(df: DataFrame, column: str) -> Column:
+    return F.col(column) if isinstance(df.schema[column].dataType, VectorUDT) else array_to_vector(F.col(column))
+
+
+def _array(df: DataFrame, column: str) -> Column:
+    return vector_to_array(F.col(column)) if isinstance(df.schema[column].dataType, VectorUDT) else F.col(column)
+
+
+def _centre_rows(centres: DataFrame) -> int:
+    """How many centres may be broadcast: a bound in bytes, by their length."""
+    width = centres.agg(F.coalesce(F.max(F.size("centroid")), F.lit(1))).first()[0]
+    return max(1, MAX_CENTRE_BYTES // (8 * max(1, width)))
+
+
 def embed(df: DataFrame, tokens: str, out: str = "embedding", features: int = 1024) -> DataFrame:
-    """TF-IDF vectors of unit length from hashed tokens (one pass to fit the document counts)."""
+    """TF-IDF vectors of unit length from hashed tokens (one pass to fit the document counts).
+
+    The vectors are sparse and stay so: a text fills few of its cells.
+    """
     counted = HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features).transform(df)
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     scaled = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)
-    return scaled.withColumn(out, vector_to_array("__unit")).drop("__tf", "__idf", "__unit")
+    return scaled.withColumnRenamed("__unit", out).drop("__tf", "__idf")
 
 
 def reduce_dimensions(df: DataFrame, vector: str, k: int, out: str = "reduced") -> DataFrame:
     """The ``k`` principal components: a linear stand-in for a neighbour embedding, not its equal."""
-    vectors = df.withColumn("__v", array_to_vector(F.col(vector)))
+    vectors = df.withColumn("__v", _vector(df, vector))
     model = PCA(k=k, inputCol="__v", outputCol="__pca").fit(vectors)
     return model.transform(vectors).withColumn(out, vector_to_array("__pca")).drop("__v", "__pca")
 
@@ -109,18 +128,18 @@ def density_topics(
 
 def centroid_topics(df: DataFrame, key: str, vector: str, k: int, min_similarity: float = 0.0) -> DataFrame:
     """(key, topic) by k-means; documents too far from their centre are outliers."""
-    vectors = df.select(key, vector, array_to_vector(F.col(vector)).alias("features"))
+    vectors = df.select(key, vector, _vector(df, vector).alias("features"))
     model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="topic").fit(vectors)
     assigned = model.transform(vectors).select(key, vector, "topic")
     centres = cut_lineage(centroids(assigned, "topic", vector))
-    near = lookup_join(assigned, centres, "topic", "left", spread_by=[key])
-    far = F.coalesce(cosine(F.col(vector), F.col("centroid")), F.lit(0.0)) < min_similarity
+    near = lookup_join(assigned, centres, "topic", "left", spread_by=[key], max_broadcast_rows=_centre_rows(centres))
+    far = F.coalesce(cosine(_array(df, vector), F.col("centroid")), F.lit(0.0)) < min_similarity
     return near.select(key, F.when(far, F.lit(OUTLIER)).otherwise(F.col("topic")).alias("topic"))
 
 
 def centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
     """Mean vector per topic; sums combine map-side."""
-    means = df.groupBy(topic).agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("m"))
+    means = df.groupBy(topic).agg(Summarizer.mean(_vector(df, vector)).alias("m"))
     return means.select(topic, vector_to_array("m").alias("centroid"))
 
 
@@ -137,7 +156,7 @@ def topic_probabilities(df: DataFrame, vector: str, centres: DataFrame, topic: s
     ordered = numbered(centres.select(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c")), [F.col("topic")], "__place")
     ordered = cut_lineage(ordered)
     blocks = max(1, -(-ordered.count() // BLOCK_CENTRES))
-    rows = df.withColumn("__own", unit(F.col(vector))).withColumn(
+    rows = df.withColumn("__own", unit(_array(df, vector))).withColumn(
         "__powers", F.array().cast("array<struct<topic:int,power:double>>")
     )
     for block in range(blocks):
@@ -203,8 +222,8 @@ def representative_docs(df: DataFrame, key: str, vector: str, n: int = 10, topic
     """The ``n`` documents closest to their topic's centre: (topic, rank, key, similarity)."""
     rows = df.select(key, topic, vector)
     centres = cut_lineage(centroids(rows, topic, vector))
-    near = lookup_join(rows, centres, topic, "inner", spread_by=[key])
-    scored = near.select(key, topic, cosine(F.col(vector), F.col("centroid")).alias("similarity"))
+    near = lookup_join(rows, centres, topic, "inner", spread_by=[key], max_broadcast_rows=_centre_rows(centres))
+    scored = near.select(key, topic, cosine(_array(rows, vector), F.col("centroid")).alias("similarity"))
     best = top_n_per_group(scored, [topic], [F.desc_nulls_last("similarity"), F.col(key)], n)
     return best.select(topic, F.col("rank_in_group").alias("rank"), key, "similarity")
 

@@ -12,8 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "hearsay", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators rely on (UTC, AQE, skew handling)."""
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_partitions_for(input_bytes: int) -> int:
+    """Shuffle partitions to start from: adaptive execution merges small ones, but makes no more of them."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "hearsay", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the operators rely on (UTC, AQE, skew handling).
+
+    ``input_bytes`` is the size of the largest input, from which the number of shuffle partitions follows.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -24,6 +37,8 @@ def build_session(app: str = "hearsay", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
     }
+    if input_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

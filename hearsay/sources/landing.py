@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from hearsay import schemas
 from hearsay.functions import scalars
-from hearsay.operators.skew import lookup_join, top_n_per_group
+from hearsay.operators.skew import MAX_BROADCAST_ROWS, lookup_join, top_n_per_group
+from hearsay.session import cut_lineage
 
 LISTING_LIMIT = 500
 
@@ -42,14 +43,20 @@ def listing(
 ) -> DataFrame:
     """At most ``limit`` rows of each listing by its rank; the filters reach the partitions.
 
-    The time filter selects among "top" listings only.
+    The time filter selects among "top" listings only. Places are ranked without their texts, and the
+    rows at the winning places are fetched then; rows at the very same place count as one.
     """
-    wanted = F.col("subreddit").isin(_as_list(subs)) & F.col("mode").isin(check_modes(modes))
-    window = (F.col("mode") != "top") | F.col("time_filter").isin(_as_list(time_filters))
-    picked = top_n_per_group(
-        landed.filter(wanted & window), ["subreddit", "mode", "time_filter"], [F.col("rank"), F.col("id")], limit
-    )
-    return picked.drop("rank_in_group")
+    subs, modes, time_filters = _as_list(subs), check_modes(modes), _as_list(time_filters)
+    wanted = F.col("subreddit").isin(subs) & F.col("mode").isin(modes)
+    window = (F.col("mode") != "top") | F.col("time_filter").isin(time_filters)
+    chosen = landed.filter(wanted & window)
+    place = ["subreddit", "mode", "time_filter", "rank", "id"]
+    best = top_n_per_group(chosen.select(*place).distinct(), place[:3], [F.col("rank"), F.col("id")], limit)
+    best = best.select(*[F.col(c).alias(f"best_{c}") for c in place])
+    if len(subs) * len(modes) * (len(time_filters) + 1) * limit <= MAX_BROADCAST_ROWS:
+        best = F.broadcast(best)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"best_{c}")) for c in place])
+    return chosen.join(best, same, "left_semi")
 
 
 def shape_listing(landed: DataFrame) -> DataFrame:
@@ -120,7 +127,9 @@ def flatten_threads(threads: DataFrame, depth: int = schemas.THREAD_DEPTH) -> Da
         rows = rest.select("post_id", "permalink", F.explode_outer(every).alias("c")).filter(F.col("c").isNotNull())
         parts.append(rows)
         nested = F.from_json("c.deeper", T.ArrayType(schemas.thread_reply(depth)))
-        rest = rows.filter(F.length("c.deeper") > 2).select("post_id", "permalink", nested.alias("comments"))
+        # written, so that the next pass starts from the deeper replies and not from the source again
+        deeper = cut_lineage(rows.filter(F.length("c.deeper") > 2).select("post_id", "permalink", "c"))
+        rest = deeper.select("post_id", "permalink", nested.alias("comments"))
         if rest.isEmpty():
             break
     rows = reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay.functions import english
 from hearsay.functions import lexicon as lx
 from hearsay.plans import sentiment
 
@@ -142,3 +143,16 @@ def test_post_scores_use_raw_text_and_mean_of_both(spark, lexicon):
     assert rows[0].sentiment_title == pytest.approx(expected("GREAT game"), abs=6e-5)
     assert rows[0].sentiment_post == pytest.approx((rows[0].sentiment_title + rows[0].sentiment_body) / 2)
     assert (rows[1].sentiment_post, rows[1].sentiment_post_label, rows[0].score_weighted) == (0.0, "neutral", 0)
+
+
+def test_own_list_files_and_emoji(spark, tmp_path):
+    score = sentiment.lexicon_scorer(english.word_list(spark))
+    rows = score(spark.createDataFrame([("What a lovely day",), ("a dreadful, dreadful film",), ("the chair",)], "t string"), "t", "s").collect()
+    assert rows[0].s > 0.3 and rows[1].s < -0.5 and rows[2].s == 0
+    (tmp_path / "list.txt").write_text("yay\t2.5\t0.1\t[3, 2]\nnay\t-2.5\n\nbroken line\n")
+    listed = english.read_word_list(spark, str(tmp_path / "list.txt"))
+    assert sorted(tuple(r) for r in listed.collect()) == [("nay", -2.5), ("yay", 2.5)]
+    names = lx.dictionary(spark.createDataFrame([("☀", "lovely sun"), ("☔", "rain")], "e string, n string"), "e", "n")
+    got = spark.createDataFrame([("hot☀day ☔",), ("plain  text",), (None,)], "t string").select(lx.name_emoji("t", names).alias("t"))
+    assert [r.t for r in got.collect()] == ["hot lovely sun day rain", "plain text", None]
+    assert "the" in english.stop_words() and len(english.stop_words()) > 100

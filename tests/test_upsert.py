@@ -225,3 +225,31 @@ def test_numbered_is_a_global_row_number(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
     assert [(r.x, r.n) for r in skew.numbered(df, [F.desc("x")], "n").orderBy("n").collect()] == [(999 - i, i) for i in range(1000)]
     assert skew.numbered(df.limit(0), [F.col("x")], "n").count() == 0
+
+
+def test_no_text_passes_the_ranking_of_a_listing(spark, tmp_path):
+    rows = [(str(i), 1.0, "t" * 50, "b" * 50, "a", 1, 1, "/p", i % 40, "s", "top", "year") for i in range(200)] + [(None, 1.0, None, None, None, 1, 1, "/p", 0, "s", "top", "year")]
+    path = str(tmp_path / "landed")
+    spark.createDataFrame(rows, schemas.LISTING).write.parquet(path)
+    picked = landing.listing(spark.read.parquet(path), "s", "top", "year", 30)
+    assert picked.count() == 30
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "body" not in below.split("Relation")[0] and "title" not in below.split("Relation")[0]
+
+
+def test_top_n_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_GROUPS", 2)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "3")
+    try:
+        df = spark.range(0, 5000, 1, 13).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5000).alias("x"))
+        for n in (2, 50):
+            got = sorted((r.g, r.rank_in_group, r.x) for r in skew.top_n_per_group(df, ["g"], [F.desc("x")], n).collect())
+            every = {g: sorted((r.x for r in df.filter(F.col("g") == g).collect()), reverse=True)[:n] for g in range(3)}
+            assert got == [(g, i + 1, x) for g in range(3) for i, x in enumerate(every[g])]
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_shuffle_partitions_follow_the_input():
+    assert session.shuffle_partitions_for(0) == 200 and session.shuffle_partitions_for(100 << 40) == 819200
