@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,16 +18,25 @@ SLICE_BYTES = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read from there, its shuffle files given back.
+    """``df`` written to the shared folder and read from there, its shuffle files given back at once.
 
-    Spark drops a shuffle once the driver's collector has seen that nothing needs it; on a quiet driver
-    that may be long after, and a job of several large steps would keep all of them on disk.
+    Spark else drops a shuffle when the driver's collector happens to see that nothing needs it; a job of several
+    large steps would keep all of them on disk. What is read afterwards is the written table.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
