@@ -59,6 +59,8 @@ class Maker:
             n = r.choice((1, 2, 3, 5, 8, 13, 30, 80))
             start = r.randrange(len(parts))
             parts = parts[start : start + n]
+        if self.chance(0.1):  # numbers, dates, codes
+            parts = [w + str(r.randrange(1000)) if self.chance(0.5) else w for w in parts]
         return " ".join(parts)
 
     def marked(self, text: str) -> str:

@@ -15,6 +15,8 @@ from hearsay.llm.common import lists, map_slices, mix, split_words, starts, tabl
 
 TRAINING_ROWS = 8000
 PREFIXES = (4, 5, 7)
+COMMON = 0.02
+LIFT = 10.0
 GRADES = (1, 4, 10)  # toxic words from which a toxic text is mild, strong, severe
 
 
@@ -107,7 +109,7 @@ def _loss_slopes(score: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray, n_columns: int,
-    sparsity: float = 3e-5, rounds: int = 800,
+    sparsity: float = 1e-4, rounds: int = 800,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights (few of them not 0) and ordered thresholds, by accelerated proximal gradient descent.
 
@@ -143,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) ->
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1); rows with a null in either, or without a document, are left out. An id labelled
     twice counts as toxic if one label says so. Labels only say whether a text is toxic, so its grade is set by
-    the words that give it away: those with a feature that at least five toxic texts have and clean
-    texts nearly never. ``GRADES`` says from how many on a text is mild, strong or severe; a toxic text
+    the words that give it away: those with a feature that some toxic texts have and clean
+    texts nearly never. Only features that ``COMMON`` of the toxic texts have, and ``LIFT`` times as often as clean ones, may get a weight. ``GRADES`` says from how many on a text is mild, strong or severe; a toxic text
     without any is mild. Without toxic labels nothing is toxic.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -167,15 +169,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) ->
     in_toxic = np.bincount(feature, toxic[doc], len(names))
     in_clean = np.bincount(feature, ~toxic[doc], len(names))
     n1, n0 = toxic.sum(), (~toxic).sum()
-    p = (in_toxic + in_clean) / (n1 + n0)
-    z = (in_toxic / n1 - in_clean / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    telling = (in_toxic >= min(5, n1)) & (in_toxic / n1 > 50 * in_clean / n0)
+    rate_toxic, rate_clean = in_toxic / n1, in_clean / n0
+    # a feature of a few texts only would learn their labels by heart, wrong ones included
+    common = in_toxic >= max(3, COMMON * n1)
+    telling = common & (rate_toxic > 50 * rate_clean)
     hits = np.bincount(doc[telling[feature]], count[telling[feature]], len(sizes))
     per_word = np.maximum(1, np.bincount(doc[telling[feature]], minlength=len(sizes)))
     # a word has several features, of which those that tell are counted once each
     words = hits / np.clip(per_word, 1, len(PREFIXES) + 1)
     grade = np.where(toxic, np.maximum(1, np.searchsorted(GRADES, words, side="right")), 0)
-    strong = np.flatnonzero((np.abs(z) >= 3) & (in_toxic + in_clean >= 3))
+    strong = np.flatnonzero(common & (rate_toxic > LIFT * rate_clean))
     place = np.full(len(names), -1)
     place[strong] = np.arange(len(strong))
     keep = place[feature] >= 0
