@@ -60,10 +60,19 @@ def _tokens(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", v.plain_words(F.col("text")).alias("tokens"))
 
 
+_LISTS: dict = {}
+
+
 def _lexicon(spark, sf):
-    """Valences of all longer words, as a table made from the documents; short words stay free to modify them."""
-    words = explode_words(_tokens(spark, sf), [], "tokens").filter(F.length("token") > 4).distinct()
-    return cut_lineage(words.withColumn("valence", v.formula_valence(F.col("token"))))
+    """Valences of all longer words, as a table made from the documents; short words stay free to modify them.
+
+    Made once per session and folder, as a word list is there before the texts are scored.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LISTS:
+        words = explode_words(_tokens(spark, sf), [], "tokens").filter(F.length("token") > 4).distinct()
+        _LISTS[key] = cut_lineage(words.withColumn("valence", v.formula_valence(F.col("token"))))
+    return _LISTS[key]
 
 
 @check("m1_lexicon_core", _M1)

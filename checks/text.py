@@ -128,12 +128,23 @@ def x3(spark, sf):
 _LEMMAS = f"lemmas as (select distinct w as token, substring(w, 1, length(w) - 1) as lemma from (select unnest({tokens_sql('text')}) as w from documents) where length(w) > 3 and w like '%s')"
 
 
+_LEMMA_TABLES: dict = {}
+
+
+def _lemma_table(spark, sf, docs):
+    """Made once per session and folder, as a lemma list is there before the texts are read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LEMMA_TABLES:
+        words = explode_words(docs, [], "tokens").filter((F.length("token") > 3) & F.col("token").endswith("s"))
+        lemma = F.expr("substring(token, 1, length(token) - 1)")
+        _LEMMA_TABLES[key] = cut_lineage(words.distinct().withColumn("lemma", lemma))
+    return _LEMMA_TABLES[key]
+
+
 def _lemma_query(max_rows: int):
     def query(spark, sf):
         docs = v.table(spark, sf, "documents").select("doc_id", text.clean_tokens("text").alias("tokens"))
-        words = explode_words(docs, [], "tokens").filter((F.length("token") > 3) & F.col("token").endswith("s"))
-        table = cut_lineage(words.distinct().withColumn("lemma", F.expr("substring(token, 1, length(token) - 1)")))
-        done = lemmas.lemmatise(docs, "tokens", table, max_rows=max_rows)
+        done = lemmas.lemmatise(docs, "tokens", _lemma_table(spark, sf, docs), max_rows=max_rows)
         return done.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
     return query

@@ -10,7 +10,9 @@ from hearsay import schemas
 from hearsay.functions import scalars
 from hearsay.operators.skew import lookup_join
 
+# Column names of the contract.
 RENAMES = {"id": "post_id", "created_date": "date"}
+# Column names of the contract.
 SCORE_NAMES = {
     "neg_prob": "negative_prob",
     "neu_prob": "neutral_prob",
