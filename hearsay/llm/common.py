@@ -132,6 +132,8 @@ def map_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], colu
                 out = function(part)
                 if out is not None and out.num_rows:
                     yield out
+                del out, part
+            pa.default_memory_pool().release_unused()  # workers live on, and share the executor's memory
 
     return over
 
