@@ -94,7 +94,7 @@ def mix(
     docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK_DOCS, period: int = PERIOD,
     max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
-    """``(doc_id, text_hash, source, stream, block, release, deadline, slot, position)``: where every row comes in the mixture.
+    """``(doc_id, text_hash, copy, source, stream, block, release, deadline, slot, position)``: where every row comes in the mixture.
 
     While a set of sources lasts, each has after every block its target share of all blocks, to less
     than one block. Blocks hold ``block`` documents of one source (its last one may hold fewer), in an order given by a hash of
@@ -102,7 +102,7 @@ def mix(
 
     ``targets`` gives weights by source (those not named weigh as the least named; none or fewer than 0 is an error);
     by default weights are tempered sizes. A null source is the source "". Beyond ``max_sources`` sources the smallest
-    are scheduled as one. Rows without an id take part. Rows equal in id, text and source share a place.
+    are scheduled as one. Rows without an id take part. Rows equal in id, text and source follow one another, numbered by ``copy``.
     An empty table gives no rows.
 
     Only ids, hashes and sources are sorted. A source that holds a third of all rows is cut by the range
@@ -143,7 +143,8 @@ def mix(
     rows = rows.withColumn("key", F.xxhash64("doc_id", F.lit("mix")))
     order = ["stream", "key", "doc_id", "text_hash", "source"]
     placed = global_positions(rows, order, "copies").join(F.broadcast(planned), "stream")
-    inside = F.col("position") - F.col("start")
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    inside = F.col("position") + F.col("copy") - F.col("start")
     number = F.floor(inside / block).cast("long")
     of = F.filter("phases", lambda p: (F.col("block") >= p["first_block"]) & (F.col("block") < p["first_block"] + p["blocks"]))[0]
     placed = placed.withColumn("block", number).withColumn("within", inside % block).withColumn("p", of)
@@ -151,7 +152,7 @@ def mix(
     share = F.size("p.places").cast("long")
     slot = F.floor(j / share) * p["period"] + F.element_at("p.places", (j % share + 1).cast("int"))
     return placed.select(
-        "doc_id", "text_hash", "source", "stream", "block",
+        "doc_id", "text_hash", "copy", "source", "stream", "block",
         (p["first_slot"] + F.floor(j * p["period"] / share)).cast("long").alias("release"),
         (p["first_slot"] + F.ceil((j + 1) * p["period"] / share)).cast("long").alias("deadline"),
         (p["first_slot"] + slot).cast("long").alias("slot"),
@@ -160,7 +161,7 @@ def mix(
 
 
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mix(table(spark, sf, "documents")).drop("text_hash", "stream")
+    return mix(table(spark, sf, "documents")).drop("text_hash", "copy", "stream")
 
 
 QUERIES = {"op7_mixing": op7_mixing}
