@@ -133,7 +133,7 @@ class Maker:
         if self.chance(0.8):
             title = self.marked(" ".join(self.prose().split()[:14]))
             out.append(f"<h1>{title}</h1>")
-        for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
+        for _ in range(r.choice((0, 1, 1, 1, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
             if kind < 0.75:
                 out.append(self.p(self.prose()))
