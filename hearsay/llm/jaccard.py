@@ -41,8 +41,9 @@ def _gram_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < words))
     if len(short):
         first = starts(counts)
+        place = np.arange(words, dtype=np.uint64)
         whole = np.array(
-            [mix(np.array([np.bitwise_xor.reduce(mix(hashes[first[i] : first[i + 1]] + np.arange(counts[i], dtype=np.uint64)))], dtype=np.uint64), salt=9)[0] for i in short],
+            [mix(np.bitwise_xor.reduce(mix(hashes[first[i] : first[i + 1]] + place[: counts[i]]), keepdims=True), 9)[0] for i in short],
             dtype=np.uint64,
         )
         grams, owner = np.concatenate([grams, whole]), np.concatenate([owner, short])

@@ -145,9 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) ->
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1); rows with a null in either, or without a document, are left out. An id labelled
     twice counts as toxic if one label says so. Labels only say whether a text is toxic, so its grade is set by
-    the words that give it away: those with a feature that some toxic texts have and clean
-    texts nearly never. Only features that ``COMMON`` of the toxic texts have, and ``LIFT`` times as often as clean ones, may get a weight. ``GRADES`` says from how many on a text is mild, strong or severe; a toxic text
-    without any is mild. Without toxic labels nothing is toxic.
+    the words that give it away: those with a feature that some toxic texts have and clean texts
+    nearly never. ``GRADES`` says from how many on a text is mild, strong or severe; a toxic text
+    without any is mild. Only features that ``COMMON`` of the toxic texts have, and ``LIFT`` times
+    as often as clean ones, may get a weight. Without toxic labels nothing is toxic.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
