@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from bisect import bisect_left
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm.common import global_positions, step, table
+from hearsay.llm.common import global_positions, parallelism, step, table
+from hearsay.operators import skew
 
 BLOCK_DOCS = 16
 PERIOD = 1000
+FRAME_SLOTS = 4096
 MAX_SOURCES = 1000
 TEMPERATURE = 0.5
 OTHERS = "\u0000others"
@@ -61,6 +67,7 @@ def period_slots(slots: Mapping[str, int]) -> dict[str, list[int]]:
 def plan(counts: Mapping[str, int], weights: Mapping[str, float], block: int = BLOCK_DOCS, period: int = PERIOD) -> list[tuple]:
     """``(source, first_block, blocks, first_slot, first_position, period, places)`` for each phase and source in it.
 
+    The plan of shares rounded to a period; ``mix`` goes by ``Flow``, which rounds nothing.
     A phase ends when a source has no block left; the others then share by their weights anew. The plan has at most one
     phase per source, and a phase holds one period of slots, so its size depends on the sources only.
     """
@@ -85,20 +92,112 @@ def plan(counts: Mapping[str, int], weights: Mapping[str, float], block: int = B
     return out
 
 
+class Flow:
+    """The flow of all sources by exact weights, and the schedule that stays less than one block from it.
+
+    Each source flows at its share of the weights of the sources that are not used up, and one block flows per slot.
+    Block j of a source may come from the slot in which its flow passes j, and must before the flow has passed j + 1.
+    All numbers are whole, so nothing is rounded however long it flows.
+
+    At any slot the flow of every source, rounded down or (the largest remainders) up, can be what has come so far:
+    whatever is due in a stretch of slots is less than it holds, within a frame too. So frames of slots are scheduled each on its own.
+    """
+
+    def __init__(self, blocks: Sequence[int], weights: Sequence[float]):
+        exact = [Fraction(w) for w in weights]
+        scale = math.lcm(*(w.denominator for w in exact))
+        self.blocks, self.weights = list(blocks), [int(w * scale) for w in exact]
+        ends = [Fraction(b, w) for b, w in zip(self.blocks, self.weights, strict=True)]
+        self.order = sorted(range(len(ends)), key=ends.__getitem__)
+        # before the k-th source in order is used up: blocks of those that are, and the weight of the others
+        self.ends, self.gone, self.going, self.times = [ends[s] for s in self.order], [], [], []
+        gone, going = 0, sum(self.weights)
+        for s in self.order:
+            self.gone.append(gone)
+            self.going.append(going)
+            self.times.append(gone + going * ends[s])
+            gone, going = gone + self.blocks[s], going - self.weights[s]
+        self.slots = gone
+
+    def window(self, s: int, j: int) -> tuple[int, int]:
+        """The first slot in which block j of source s may come, and the slot before which it must."""
+        w = self.weights[s]
+        a, b = (bisect_left(self.ends, Fraction(i, w)) for i in (j, j + 1))
+        return self.gone[a] + self.going[a] * j // w, self.gone[b] - (-self.going[b] * (j + 1) // w)
+
+    def come(self, t: int) -> list[int]:
+        """How many blocks of each source come in the first ``t`` slots."""
+        out = list(self.blocks)
+        k = bisect_left(self.times, t)
+        over = []
+        for s in self.order[k:]:
+            out[s], rest = divmod(self.weights[s] * (t - self.gone[k]), self.going[k])
+            over.append((-rest, s))
+        for _, s in heapq.nsmallest(t - sum(out), over):
+            out[s] += 1
+        return out
+
+    def frame(self, first: int, end: int) -> list[tuple[int, int, int, int, int]]:
+        """``(source, block, release, deadline, slot)`` for the slots from ``first`` to before ``end``."""
+        come, upto = self.come(first), self.come(end)
+        waiting = [(first, s, j) for s, j in enumerate(come) if j < upto[s]]
+        ready: list[tuple[int, int, int, int, int]] = []
+        out = []
+        for t in range(first, end):
+            while waiting and waiting[0][0] <= t:
+                _, s, j = heapq.heappop(waiting)
+                release, deadline = self.window(s, j)
+                if release > t:
+                    heapq.heappush(waiting, (release, s, j))
+                else:
+                    heapq.heappush(ready, (min(deadline, end), s, j, release, deadline))
+            due, s, j, release, deadline = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a block missed its deadline")
+            out.append((s, j, release, deadline, t))
+            if j + 1 < upto[s]:
+                heapq.heappush(waiting, (t + 1, s, j + 1))
+        return out
+
+
+def schedule(spark: SparkSession, counts: Sequence[int], weights: Sequence[float], block: int, frame: int = FRAME_SLOTS) -> DataFrame:
+    """``(number, block, release, deadline, slot, first_position)`` for every block of every source; frames are dealt over the tasks."""
+    flow = Flow([-(-n // block) for n in counts], weights)
+    frame = max(frame, len(counts))  # a frame looks at every source once
+
+    def run(batches):
+        for batch in batches:
+            for i in batch["id"].to_pylist():
+                rows = flow.frame(i * frame, min((i + 1) * frame, flow.slots))
+                s, j, release, deadline, slot = zip(*rows, strict=True)
+                docs = [min(block, counts[a] - b * block) for a, b in zip(s, j, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, pa.int64()) for v in (s, j, release, deadline, slot, docs)],
+                    ["number", "block", "release", "deadline", "slot", "docs"],
+                )
+
+    frames = -(-flow.slots // frame)
+    made = spark.range(0, frames, 1, max(1, min(frames, parallelism(spark)))).mapInArrow(
+        run, "number long, block long, release long, deadline long, slot long, docs long"
+    )
+    return global_positions(step(made, "blocks"), ["slot"], "docs").drop("docs").withColumnRenamed("position", "first_position")
+
+
 def tempered(counts: Mapping[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
     """Target weights in proportion to a power of the sizes: 1 keeps the proportions, 0 makes all equal."""
     return {s: n**temperature for s, n in counts.items()}
 
 
 def mix(
-    docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK_DOCS, period: int = PERIOD,
+    docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK_DOCS, period: int | None = None,
     max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """``(doc_id, text_hash, copy, source, stream, block, release, deadline, slot, position)``: where every row comes in the mixture.
 
-    While a set of sources lasts, each has after every block its target share of all blocks, to less
-    than one block. Blocks hold ``block`` documents of one source (its last one may hold fewer), in an order given by a hash of
-    the id. Nothing is dropped or repeated: when a source is used up, the others go on by their weights.
+    After every block, each source has had what flows from it by the exact target weights, to less than one block: its share
+    of all blocks while all sources last; when a source is used up, the others go on by their weights. Blocks hold
+    ``block`` documents of one source (its last one may hold fewer), in an order given by a hash of the id. Nothing is
+    dropped or repeated. ``period`` rounds the weights to whole slots of so many, at least one a source.
 
     ``targets`` gives weights by source (those not named weigh as the least named; none or fewer than 0 is an error);
     by default weights are tempered sizes. A null source is the source "". Beyond ``max_sources`` sources the smallest
@@ -106,7 +205,7 @@ def mix(
     An empty table gives no rows.
 
     Only ids, hashes and sources are sorted. A source that holds a third of all rows is cut by the range
-    sort like any other; the plan is as small as the number of sources times the period, and is broadcast.
+    sort like any other. The driver holds one number of rows and one weight a source; blocks are scheduled by the workers.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -127,36 +226,27 @@ def mix(
         least = min(targets.values())
         weights = {s: targets.get(s, least) for s in counts}
 
-    starts, upto = {}, 0
-    for s in sorted(counts, key=lambda s: s.encode()):
-        starts[s], upto = upto, upto + counts[s]
-    phases: dict[str, list] = {s: [] for s in counts}
-    for s, *phase in plan(counts, weights, block, period):
-        phases[s].append(tuple(phase))
-    scheme = (
-        "stream string, start long, phases array<struct<first_block: long, blocks: long, first_slot: long, "
-        "first_position: long, period: long, places: array<long>>>"
-    )
-    planned = spark.createDataFrame([(s, starts[s], phases[s]) for s in counts], scheme)
+    if period is not None and counts:
+        weights = shares(weights, period)
+
+    streams = sorted(counts, key=lambda s: s.encode())
+    starts, upto = [], 0
+    for s in streams:
+        starts.append(upto)
+        upto += counts[s]
+    planned = spark.createDataFrame([(s, i, starts[i]) for i, s in enumerate(streams)], "stream string, number long, start long")
     named = F.broadcast(planned.select(F.col("stream").alias("name"), F.col("stream").alias("own")))
     rows = rows.join(named, "name", "left").withColumn("stream", F.coalesce("own", F.lit(OTHERS))).drop("own", "name")
     rows = rows.withColumn("key", F.xxhash64("doc_id", F.lit("mix")))
     order = ["stream", "key", "doc_id", "text_hash", "source"]
-    placed = global_positions(rows, order, "copies").join(F.broadcast(planned), "stream")
+    placed = skew.lookup_join(global_positions(rows, order, "copies"), planned, "stream", "inner")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     inside = F.col("position") + F.col("copy") - F.col("start")
-    number = F.floor(inside / block).cast("long")
-    of = F.filter("phases", lambda p: (F.col("block") >= p["first_block"]) & (F.col("block") < p["first_block"] + p["blocks"]))[0]
-    placed = placed.withColumn("block", number).withColumn("within", inside % block).withColumn("p", of)
-    j, p = F.col("block") - F.col("p.first_block"), F.col("p")
-    share = F.size("p.places").cast("long")
-    slot = F.floor(j / share) * p["period"] + F.element_at("p.places", (j % share + 1).cast("int"))
-    return placed.select(
-        "doc_id", "text_hash", "copy", "source", "stream", "block",
-        (p["first_slot"] + F.floor(j * p["period"] / share)).cast("long").alias("release"),
-        (p["first_slot"] + F.ceil((j + 1) * p["period"] / share)).cast("long").alias("deadline"),
-        (p["first_slot"] + slot).cast("long").alias("slot"),
-        (p["first_position"] + slot * block + F.col("within")).cast("long").alias("position"),
+    placed = placed.withColumn("block", F.floor(inside / block).cast("long")).withColumn("within", inside % block).drop("position")
+    blocks = schedule(spark, [counts[s] for s in streams], [weights[s] for s in streams], block)
+    return placed.join(blocks, ["number", "block"]).select(
+        "doc_id", "text_hash", "copy", "source", "stream", "block", "release", "deadline", "slot",
+        (F.col("first_position") + F.col("within")).cast("long").alias("position"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -86,3 +87,25 @@ def test_shares_and_errors(spark):
     assert mixing.mix(empty).count() == 0
     with pytest.raises(ValueError, match="positive"):
         mixing.mix(empty, {"a": 0.0})
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 1], [0.7, 0.2999, 0.0001], [3**0.5, 2**0.5, 5.0, 0.01]])
+def test_exact_weights_however_long(weights):
+    flow = mixing.Flow([20_000, *[9_000] * (len(weights) - 1)], weights)
+    seen, exact = Counter(), [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    upto = int(min(flow.times))  # all sources last
+    for first in range(0, flow.slots, 1000):
+        for s, j, release, deadline, t in flow.frame(first, min(first + 1000, flow.slots)):
+            assert j == seen[s] and release <= t < deadline
+            seen[s] += 1
+            if t < upto:
+                assert all(abs(seen[i] - (t + 1) * w) < 1 for i, w in enumerate(exact))
+    assert upto > 10_000 and [seen[s] for s in range(len(weights))] == flow.blocks
+
+
+def test_shares_of_the_table_follow_the_weights_given(spark):
+    df = spark.range(9000).selectExpr("id as doc_id", "'t' as text", "concat('s', id % 3) as source")
+    out = mixing.mix(df, {"s0": 1.0, "s1": 1.0, "s2": 1.0}, block=1).toPandas().sort_values("slot")
+    assert out.slot.tolist() == out.position.tolist() == list(range(9000))
+    for n in (300, 3000, 6000, 8999):
+        assert all(abs(c - n / 3) < 1 for c in Counter(out.source[:n]).values())
