@@ -18,7 +18,6 @@ from hearsay.operators import skew
 BLOCK_DOCS = 16
 PERIOD = 1000
 FRAME_SLOTS = 4096
-MAX_SOURCES = 1000
 TEMPERATURE = 0.5
 OTHERS = "\u0000others"
 
@@ -190,7 +189,7 @@ def tempered(counts: Mapping[str, int], temperature: float = TEMPERATURE) -> dic
 
 def mix(
     docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK_DOCS, period: int | None = None,
-    max_sources: int = MAX_SOURCES,
+    max_sources: int | None = None,
 ) -> DataFrame:
     """``(doc_id, text_hash, copy, source, stream, block, release, deadline, slot, position)``: where every row comes in the mixture.
 
@@ -200,8 +199,8 @@ def mix(
     dropped or repeated. ``period`` rounds the weights to whole slots of so many, at least one a source.
 
     ``targets`` gives weights by source (those not named weigh as the least named; none or fewer than 0 is an error);
-    by default weights are tempered sizes. A null source is the source "". Beyond ``max_sources`` sources the smallest
-    are scheduled as one. Rows without an id take part. Rows equal in id, text and source follow one another, numbered by ``copy``.
+    by default weights are tempered sizes. A null source is the source "". Every source is scheduled; only a
+    caller's ``max_sources`` makes one stream of all but the largest and those named, by the sum of their weights. Rows without an id take part. Rows equal in id, text and source follow one another, numbered by ``copy``.
     An empty table gives no rows.
 
     Only ids, hashes and sources are sorted. A source that holds a third of all rows is cut by the range
@@ -214,11 +213,7 @@ def mix(
     )
     rows = step(rows.groupBy("doc_id", "text_hash", "source", "name").agg(F.count(F.lit(1)).alias("copies")), "rows")
     sizes = rows.groupBy("name").agg(F.sum("copies").alias("n"))
-    largest = sizes.orderBy(F.desc("n"), "name").limit(max_sources)
-    counts = {r["name"]: r["n"] for r in largest.collect()}
-    rest = (rows.agg(F.sum("copies").alias("n")).first()["n"] or 0) - sum(counts.values())
-    if rest:
-        counts[OTHERS] = rest
+    counts = {r["name"]: r["n"] for r in sizes.collect()}
     weights = tempered(counts)
     if targets is not None:
         if not targets or min(targets.values()) <= 0:
@@ -226,6 +221,15 @@ def mix(
         least = min(targets.values())
         weights = {s: targets.get(s, least) for s in counts}
 
+    if max_sources is not None:
+        largest = sorted(counts, key=lambda s: (-counts[s], s.encode()))
+        pooled = [s for s in largest[max_sources:] if s not in (targets or {})]
+    else:
+        pooled = []
+    own = sorted(counts.keys() - set(pooled))
+    if pooled:
+        counts[OTHERS] = sum(counts.pop(s) for s in pooled)
+        weights[OTHERS] = math.fsum(weights.pop(s) for s in pooled)
     if period is not None and counts:
         weights = shares(weights, period)
 
@@ -235,8 +239,11 @@ def mix(
         starts.append(upto)
         upto += counts[s]
     planned = spark.createDataFrame([(s, i, starts[i]) for i, s in enumerate(streams)], "stream string, number long, start long")
-    named = F.broadcast(planned.select(F.col("stream").alias("name"), F.col("stream").alias("own")))
-    rows = rows.join(named, "name", "left").withColumn("stream", F.coalesce("own", F.lit(OTHERS))).drop("own", "name")
+    if pooled:
+        named = spark.createDataFrame([(s, s) for s in own], "name string, own string")
+        rows = skew.lookup_join(rows, named, "name").withColumn("stream", F.coalesce("own", F.lit(OTHERS))).drop("own", "name")
+    else:
+        rows = rows.withColumnRenamed("name", "stream")
     rows = rows.withColumn("key", F.xxhash64("doc_id", F.lit("mix")))
     order = ["stream", "key", "doc_id", "text_hash", "source"]
     placed = skew.lookup_join(global_positions(rows, order, "copies"), planned, "stream", "inner")

@@ -109,3 +109,28 @@ def test_shares_of_the_table_follow_the_weights_given(spark):
     assert out.slot.tolist() == out.position.tolist() == list(range(9000))
     for n in (300, 3000, 6000, 8999):
         assert all(abs(c - n / 3) < 1 for c in Counter(out.source[:n]).values())
+
+
+def test_every_source_has_its_own_share(spark):
+    sizes = {f"s{i}": 12 if i % 2 else 3 for i in range(1100)}
+    df = spark.createDataFrame([(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, source string")
+    targets = {s: 4.0 if n == 12 else 1.0 for s, n in sizes.items()}
+    out = mixing.mix(df, targets, block=1).toPandas().sort_values("position")
+    assert out.stream.nunique() == 1100 and (out.stream == out.source).all()
+    total, seen = sum(targets.values()), Counter()
+    for t, s in enumerate(out.source, 1):
+        seen[s] += 1
+        assert abs(seen[s] - t * targets[s] / total) < 1
+        if t % 1000 == 0:
+            assert all(abs(seen[s] - t * w / total) < 1 for s, w in targets.items())
+
+
+def test_pool_keeps_named_sources_and_all_its_weight(spark):
+    df = spark.createDataFrame([(i, "t", f"s{i % 40}") for i in range(4000)] + [(9000, "t", "rare")], "doc_id long, text string, source string")
+    targets = {"rare": 2.0, **{f"s{i}": 1.0 for i in range(40)}}
+    out = mixing.mix(df, {**targets, "s7": 0.5}, block=1, max_sources=5).toPandas()
+    assert set(targets) == set(out.stream)
+    out = mixing.mix(df, {"s0": 1.0, "rare": 1.0}, block=1, max_sources=5).toPandas().sort_values("slot")
+    pool = out.stream == mixing.OTHERS
+    assert (out.stream == "rare").any() and out[pool].source.nunique() == 35
+    assert abs(pool[:1000].sum() - 1000 * 35 / 40) < 3  # 35 of 41 weights until "rare" is used up, then of 40
