@@ -78,6 +78,15 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0",
     ],
 }
+# Words and pairs that name a family and no other: families share most of their wording, so a second one must be named.
+TELLING = {
+    "agpl": ["affero", "agpl"], "apache": ["apache"], "bsd": ["bsd", "binary forms"], "cc-by": ["by 0", "attribution 0"],
+    "cc-by-nc": ["by nc", "attribution noncommercial"], "cc-by-sa": ["by sa", "attribution sharealike"],
+    "cc0": ["cc0", "waived all"], "gpl": ["gnu general", "gpl"], "isc": ["isc"], "lgpl": ["lesser general", "lgpl"],
+    "mit": ["mit", "hereby granted"], "mpl": ["mozilla", "mpl"],
+}
+# Words that say nothing about licences.
+COMMON = frozenset("0 code copy form forms has a all and any are as at by can following for in is it may of or provided person possible published related subject that the this to under use version with work you".split())
 # Sentences with the same words that state no licence of these families.
 OTHERWISE = [
     "He lost his driving license and had to pay a fine", "The hotel holds a license to sell wine",
@@ -181,9 +190,14 @@ def train(docs: DataFrame, sampled_docs: int = SAMPLED_DOCS, sampled_paragraphs:
     return Model(families, names, known)
 
 
+def _plain_words(text: str) -> list[str]:
+    """The words of a template, as ``words`` cuts them; templates are ASCII."""
+    return [x for x in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+", "0", text.lower())) if x]
+
+
 def _runs(text: str, n: int) -> set[tuple[str, ...]]:
-    """The runs of ``n`` words of a template, as ``words`` cuts them; templates are ASCII."""
-    w = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+", "0", text.lower())) if x]
+    """The runs of ``n`` words of a template."""
+    w = _plain_words(text)
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
@@ -202,21 +216,110 @@ def _likeness(pairs: Column, family: Column) -> Column:
     return out
 
 
+def _keys(confirmed: float) -> list[str]:
+    """Words of which every text has one that holds the share ``confirmed`` of the pairs of any template."""
+    keys: set[str] = set()
+    for template in sorted(t for some in TEMPLATES.values() for t in some):
+        runs = _runs(template, 2)
+        rest = sorted({w for run in runs for w in run}, key=lambda w: (w in COMMON, -sum(w in run for run in runs), w))
+        for w in rest:
+            if sum(not keys & set(run) for run in runs) < confirmed * len(runs):
+                break
+            keys.add(w)
+    return sorted(keys)
+
+
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _last(w: Column, n: int) -> Column:
+    return F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(n))
+
+
+def _breaks(docs: DataFrame, confirmed: float) -> DataFrame:
+    """``(doc_id, paragraph, own, after, before, words)`` around every line break in running text at which a statement can be wrapped.
+
+    ``own`` is the line before the break, ``after`` the lines behind it and ``before`` those ahead of it up to lines without
+    words, as far as the longest template goes; ``words`` are those of the end of ``own`` and of ``after``.
+    """
+    longest = max(len(_plain_words(t)) for some in TEMPLATES.values() for t in some)
+    keys = _keys(confirmed)
+    text = F.col("text").cast("string")
+    lines = docs.filter(text.contains("\n") & F.lower(text).rlike("|".join(re.sub("0", "[0-9]+", k) for k in keys))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(text, "\n"), words).alias("lines")
+    )
+    literal = F.array(*(F.lit(k) for k in keys))
+
+    def around(i: Column) -> Column:
+        after = F.slice("lines", i + 2, F.lit(longest))
+        end = F.array_position(F.transform(after, F.size), 0).cast("int")
+        after = F.when(end > 0, F.slice(after, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(after)
+        first = F.greatest(i - longest + 1, F.lit(1))
+        before = F.reverse(F.slice("lines", first, i + 1 - first))
+        stop = F.array_position(F.transform(before, F.size), 0).cast("int")
+        before = F.when(stop > 0, F.slice(before, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(before)
+        own = F.element_at("lines", i + 1)
+        seen = F.concat(_last(own, longest), F.slice(F.flatten(after), F.lit(1), F.lit(longest)))
+        return F.struct(
+            i.alias("paragraph"), own.alias("own"), after.alias("after"), _last(F.flatten(F.reverse(before)), longest).alias("before"), seen.alias("words")
+        )
+
+    found = F.transform(F.sequence(F.lit(0), F.size("lines") - 2), around)
+    found = F.filter(found, lambda x: (F.size(x["own"]) > 0) & (F.size(x["after"]) > 0) & F.arrays_overlap(x["words"], literal))
+    # a plain inline would be filtered ahead, for which all words would be made again for every line
+    return lines.select("doc_id", F.inline_outer(found)).filter("paragraph is not null").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+def _stated(df: DataFrame, model: Model) -> DataFrame:
+    """A row for every family that is likely to be stated, with its ``chance`` and whether it is the likeliest."""
+    scored = model.families.transform(features(df)).withColumn("raw", vector_to_array("rawPrediction")).drop("features", "rawPrediction", "probability", "prediction")
+    n = len(model.names) - 1
+    own, none = F.slice("raw", 1, n), F.element_at("raw", n + 1)
+    slope, base = float(model.known.coefficients[0]), float(model.known.intercept)
+    scored = scored.filter(slope * (F.array_max(own) - none) + base >= 0)
+    best = F.array_position(own, F.array_max(own)) - 1
+    names = F.array(*(F.lit(x) for x in model.names))
+    each = F.transform(own, lambda x, i: F.struct(
+        F.element_at(names, i + 1).alias("family"), (1 / (1 + F.exp(-(slope * (x - none) + base)))).alias("chance"), (i == best).alias("best"),
+    ))
+    return scored.withColumn("each", F.explode_outer(F.filter(each, lambda x: x["chance"] >= 0.5))).select("*", "each.*").filter("family is not null").drop("each", "raw")
+
+
+def _named(df: DataFrame) -> Column:
+    tells = F.lit(False)
+    for name in sorted(TELLING):
+        literal = F.array(*(F.lit(t) for t in TELLING[name]))
+        tells = F.when(F.col("family") == name, F.arrays_overlap(literal, F.concat("words", "pairs"))).otherwise(tells)
+    return tells
+
+
 def scan(docs: DataFrame, model: Model, confirmed: float = CONFIRMED) -> DataFrame:
     """``(doc_id, paragraph, family, probability, likeness, confirmed)`` for every paragraph that states a known family.
 
-    A paragraph is a line with a word in it. ``probability`` is the calibrated chance that the
-    paragraph states any known family (at least 0.5; others are of the unknown class and give no row); ``likeness`` is
+    A paragraph is a line with a word in it; a statement wrapped over lines is one of the line where it starts. The
+    likeliest family has a row, and so has every other that is confirmed and named (``TELLING``). ``probability`` is the calibrated chance that the
+    paragraph states the family (at least 0.5; others are of the unknown class and give no row); ``likeness`` is
     the largest share of the word pairs of one of the family's templates found in it, and confirms the
     prediction from ``confirmed`` on. Null and empty texts have no paragraph; rows without an id are scanned
     too, repeated rows each; extra columns are ignored; an empty table gives no rows.
 
     The scan is narrow: no shuffle, whatever the shares of sources, and only JVM operations.
     """
-    scored = _margin(features(paragraphs(docs)).drop("text"), model.families, model.names).drop("features", "words", "margin")
-    told = model.known.transform(scored).withColumn("chance", vector_to_array("probability")[1]).filter("chance >= 0.5")
-    told = told.withColumn("likeness", _likeness(F.col("pairs"), F.col("family")))
-    return told.select(
+    lines = _stated(paragraphs(docs).drop("text"), model).withColumn("likeness", _likeness(F.col("pairs"), F.col("family")))
+    lines = lines.filter(F.col("best") | ((F.col("likeness") >= confirmed) & _named(lines)))
+    family = F.col("family")
+    wrapped = _stated(_breaks(docs, confirmed), model).withColumn("likeness", _likeness(F.col("pairs"), family))
+    wrapped = wrapped.filter((F.col("likeness") >= confirmed) & (F.col("best") | _named(wrapped)))
+    # it starts in this line: no line holds it alone, without this line there is less of it, and lines before add nothing
+    alone = F.exists(F.concat(F.array("own"), F.col("after")), lambda w: _likeness(_pairs(w), family) >= confirmed)
+    wrapped = wrapped.filter(
+        ~alone & (F.col("likeness") > _likeness(_pairs(F.flatten("after")), family))
+        & (F.col("likeness") >= _likeness(_pairs(F.concat("before", "words")), family))
+    )
+    columns = ["doc_id", "paragraph", "family", "chance", "likeness"]
+    return lines.select(*columns).union(wrapped.select(*columns)).select(
         "doc_id", "paragraph", "family", F.round("chance", 6).alias("probability"), F.round("likeness", 6).alias("likeness"),
         (F.col("likeness") >= confirmed).alias("confirmed"),
     )

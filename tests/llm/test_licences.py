@@ -46,3 +46,31 @@ def test_no_rows_and_no_python(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = licences.by_document(docs, licences.scan(docs, model))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+GPL = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License."
+BSD = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+WORDY = " ".join(f"word{chr(97 + i % 26)} or other" for i in range(60))
+WHOLE = {
+    1: (f"A tool.\n\n{GPL}\n\nMore text.", ["gpl"], 1), 2: (f"{BSD}\n# more", ["bsd"], 1),
+    3: ("Licensed under the MIT License or the Apache License, Version 2.0.", ["apache", "mit"], 2),
+    4: ("SPDX-License-Identifier: MIT OR Apache-2.0", ["apache", "mit"], 2),
+    5: (f"{WORDY}. Released under the MIT License. {WORDY}. This work is licensed under the GNU General Public License, version 3.", ["gpl", "mit"], 2),
+    6: ("This work is licensed under the\nGNU Affero General Public License,\nversion 3", ["agpl"], 1),
+    7: ("Licensed under\n\nthe MIT License", None, 0), 8: ("\n".join("Released under the MIT License".split()), ["mit"], 1),
+    9: ("Licensed under CC BY-SA 4.0", ["cc-by-sa"], 1), 10: ("This library is licensed under the GNU Lesser General Public License, version 3", ["lgpl"], 1),
+}
+
+
+def test_wrapped_dual_and_run_on(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in WHOLE.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_statements) for r in licences.by_document(docs, licences.scan(docs, model)).collect()}
+    assert {i: got[i] for i, (_, want, _) in WHOLE.items() if want} == {i: (want, n) for i, (_, want, n) in WHOLE.items() if want}
+
+
+def test_no_template_without_a_key():
+    keys = set(licences._keys(licences.CONFIRMED))
+    for t in (t for some in licences.TEMPLATES.values() for t in some):
+        runs = licences._runs(t, 2)
+        assert sum(not keys & set(r) for r in runs) < licences.CONFIRMED * len(runs)
+    assert not keys & {"the", "of", "and", "to", "in"}
