@@ -5,19 +5,21 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm.common import global_positions, parallelism, step, table
+from hearsay.llm.common import global_positions, parallelism, per_copy, step, table
 from hearsay.operators import skew
 
 BLOCK_DOCS = 16
 PERIOD = 1000
 FRAME_SLOTS = 4096
+FRAME_BLOCKS = 64
 TEMPERATURE = 0.5
 OTHERS = "\u0000others"
 
@@ -39,67 +41,25 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def period_slots(slots: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of one period that each source gets: block j of a source with ``a`` of ``n`` slots is released
-    at floor(j n / a), is due by ceil((j + 1) n / a), and the released block that is due first goes first.
-
-    At the end of a period every source has exactly its share, so the next period is the same again.
-    """
-    n = sum(slots.values())
-    waiting = sorted((0, s, 0) for s in slots)
-    ready: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    out: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(n):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * n // slots[s]), s, j))
-        due, s, j = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a block missed its deadline")
-        out[s].append(t)
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * n // slots[s], s, j + 1))
-    return out
-
-
-def plan(counts: Mapping[str, int], weights: Mapping[str, float], block: int = BLOCK_DOCS, period: int = PERIOD) -> list[tuple]:
-    """``(source, first_block, blocks, first_slot, first_position, period, places)`` for each phase and source in it.
-
-    The plan of shares rounded to a period; ``mix`` goes by ``Flow``, which rounds nothing.
-    A phase ends when a source has no block left; the others then share by their weights anew. The plan has at most one
-    phase per source, and a phase holds one period of slots, so its size depends on the sources only.
-    """
-    left = {s: -(-n // block) for s, n in counts.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    missing = {s: left[s] * block - counts[s] for s in left}
-    slot, short, out = 0, 0, []
-    while left:
-        slots = shares({s: weights[s] for s in left}, period if len(left) > 1 else 1)
-        n, places = sum(slots.values()), period_slots(slots)
-        last = {s: (left[s] - 1) // slots[s] * n + places[s][(left[s] - 1) % slots[s]] for s in left}
-        over = min(last, key=lambda s: last[s])
-        length = last[over] + 1
-        for s in sorted(left):
-            taken = length // n * slots[s] + sum(p < length % n for p in places[s])
-            out.append((s, done[s], taken, slot, slot * block - short, n, places[s]))
-            done[s] += taken
-            left[s] -= taken
-        slot += length
-        short += missing[over]
-        del left[over]
-    return out
-
-
 class Flow:
     """The flow of all sources by exact weights, and the schedule that stays less than one block from it.
 
     Each source flows at its share of the weights of the sources that are not used up, and one block flows per slot.
-    Block j of a source may come from the slot in which its flow passes j, and must before the flow has passed j + 1.
-    All numbers are whole, so nothing is rounded however long it flows.
-
-    At any slot the flow of every source, rounded down or (the largest remainders) up, can be what has come so far:
-    whatever is due in a stretch of slots is less than it holds, within a frame too. So frames of slots are scheduled each on its own.
+    Block j of a source is released in the slot in which its flow passes j, and is due before the flow has passed j + 1.
+    All numbers are whole, so nothing is rounded however long it flows. The earliest deadline goes first; the flow itself
+    shows that all deadlines are met: the blocks released at or after a and due by b never flow more than b - a.
+
+    The slots are cut into frames, which tasks schedule each on its own. At a frame's end a source has at most one block
+    *under way*, released but not yet due (blocks of a source overlap by no more than one slot); all others have surely come or not.
+    So a state says which blocks under way have come. The states that ``states`` chooses are those of one
+    earliest-deadline run over all slots, as far as it matters:
+
+    * The blocks that must come within a frame (released and due in it, or under way before and due in it) leave some of its slots spare.
+      Sets of blocks under way at its end that fit the spare slots are the independent sets of a matroid, and a set of
+      as many as there are spare slots fits if the frame can be filled from the state before it.
+    * Taking them by deadline, each if it still fits, leaves of every first part of that order the fewest open, compared with any set that fits.
+      If the slots behind the frame can be filled after any such set, they can after this one. The first state (nothing has come) can go on, by the
+      flow, so every state can, by induction; and within a frame the earliest deadline then meets all its blocks' windows.
     """
 
     def __init__(self, blocks: Sequence[int], weights: Sequence[float]):
@@ -124,21 +84,41 @@ class Flow:
         a, b = (bisect_left(self.ends, Fraction(i, w)) for i in (j, j + 1))
         return self.gone[a] + self.going[a] * j // w, self.gone[b] - (-self.going[b] * (j + 1) // w)
 
-    def come(self, t: int) -> list[int]:
-        """How many blocks of each source come in the first ``t`` slots."""
+    def passed(self, t: int) -> tuple[list[int], set[int]]:
+        """How many blocks of each source are due in the first ``t`` slots, and the sources whose next block is under way."""
         out = list(self.blocks)
         k = bisect_left(self.times, t)
-        over = []
+        under_way = set()
         for s in self.order[k:]:
             out[s], rest = divmod(self.weights[s] * (t - self.gone[k]), self.going[k])
-            over.append((-rest, s))
-        for _, s in heapq.nsmallest(t - sum(out), over):
-            out[s] += 1
-        return out
-
-    def frame(self, first: int, end: int) -> list[tuple[int, int, int, int, int]]:
-        """``(source, block, release, deadline, slot)`` for the slots from ``first`` to before ``end``."""
-        come, upto = self.come(first), self.come(end)
+            if rest:
+                under_way.add(s)
+        return out, under_way
+
+    def summary(self, first: int, end: int) -> tuple[list[int], list[int], list[int], int]:
+        """What choosing states takes of a frame: its spare slots, the sources whose blocks are under way at its end, by
+        deadline, the slot from which each may come, and how many blocks are under way at its start.
+        """
+        (before, at_first), (upto, at_end) = self.passed(first), self.passed(end)
+        released = [
+            self.window(s, j)[0] for s, n in enumerate(upto) for j in range(before[s] + (s in at_first), n)
+        ]
+        ranks = np.arange(len(released))
+        # blocks that come as soon as they are released and a slot is free leave the spare slots
+        busy = ranks + np.maximum.accumulate(np.sort(np.array(released, dtype=np.int64)) - ranks)
+        spare = np.setdiff1d(np.arange(first, end), busy)
+        windows = sorted((self.window(s, upto[s])[::-1], s) for s in at_end)
+        return spare.tolist(), [s for _, s in windows], [release for (_, release), _ in windows], len(at_first)
+
+    def frame(self, first: int, end: int, early: Iterable[int], late: Iterable[int]) -> list[tuple[int, int, int, int, int]]:
+        """``(source, block, release, deadline, slot)`` for the slots from ``first`` to before ``end``, where the blocks
+        under way of the sources ``early`` have come before it and those of ``late`` come by its end.
+        """
+        come, upto = self.passed(first)[0], self.passed(end)[0]
+        for s in early:
+            come[s] += 1
+        for s in late:
+            upto[s] += 1
         waiting = [(first, s, j) for s, j in enumerate(come) if j < upto[s]]
         ready: list[tuple[int, int, int, int, int]] = []
         out = []
@@ -156,18 +136,68 @@ class Flow:
             out.append((s, j, release, deadline, t))
             if j + 1 < upto[s]:
                 heapq.heappush(waiting, (t + 1, s, j + 1))
+        if ready or waiting:
+            raise AssertionError("a frame has more blocks than slots")
         return out
 
 
-def schedule(spark: SparkSession, counts: Sequence[int], weights: Sequence[float], block: int, frame: int = FRAME_SLOTS) -> DataFrame:
-    """``(number, block, release, deadline, slot, first_position)`` for every block of every source; frames are dealt over the tasks."""
+def states(summaries: Iterable[tuple[list[int], list[int], list[int], int]], frame: int) -> Iterator[list[int]]:
+    """The sources whose blocks under way have come by the end of each frame, from the frames' summaries in order."""
+    come: set[int] = set()
+    for number, (spare, sources, releases, at_first) in enumerate(summaries):
+        first = number * frame
+        old = {s for s, release in zip(sources, releases, strict=True) if release < first}
+        # blocks under way at the start that have not come and are due within the frame: any slot of it will do
+        taken = at_first - len(come) - len(old - come)
+        free = list(range(len(spare) + 1))  # the next free spare slot from each on
+
+        def next_free(i: int, free: list[int] = free) -> int:
+            root = i
+            while free[root] != root:
+                root = free[root]
+            while free[i] != root:
+                free[i], i = root, free[i]
+            return root
+
+        for i in range(taken):
+            free[i] = i + 1
+        chosen = {s for s in old if s in come}
+        for s, release in zip(sources, releases, strict=True):
+            if s not in chosen:
+                i = next_free(bisect_left(spare, release))
+                if i < len(spare):
+                    free[i] = i + 1
+                    chosen.add(s)
+                    taken += 1
+        if taken != len(spare):
+            raise AssertionError("a frame is not filled")
+        come = chosen
+        yield sorted(come)
+
+
+def schedule(spark: SparkSession, counts: Sequence[int], weights: Sequence[float], block: int, frame: int | None = None) -> DataFrame:
+    """``(number, block, release, deadline, slot, first_position)`` for every block of every source.
+
+    Tasks sum up the frames, the driver goes through the sums and chooses the states between them, and tasks schedule the frames. The driver
+    sees about four numbers a source and frame; a frame holds ``FRAME_BLOCKS`` blocks a source, so that is few beside the blocks.
+    """
     flow = Flow([-(-n // block) for n in counts], weights)
-    frame = max(frame, len(counts))  # a frame looks at every source once
+    frame = frame or max(FRAME_SLOTS, FRAME_BLOCKS * len(counts))
+    frames = -(-flow.slots // frame)
 
-    def run(batches):
+    def ends(i: int) -> tuple[int, int]:
+        return i * frame, min((i + 1) * frame, flow.slots)
+
+    def sum_up(batches):
         for batch in batches:
             for i in batch["id"].to_pylist():
-                rows = flow.frame(i * frame, min((i + 1) * frame, flow.slots))
+                spare, sources, releases, at_first = flow.summary(*ends(i))
+                yield pa.RecordBatch.from_pylist([dict(id=i, spare=spare, sources=sources, releases=releases, at_first=at_first)], sums)
+
+    def run(batches):
+        for batch in batches:
+            for i, early, late in zip(*(batch[c].to_pylist() for c in ("id", "early", "late")), strict=True):
+                rows = flow.frame(*ends(i), early, late)
                 s, j, release, deadline, slot = zip(*rows, strict=True)
                 docs = [min(block, counts[a] - b * block) for a, b in zip(s, j, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -175,10 +205,16 @@ def schedule(spark: SparkSession, counts: Sequence[int], weights: Sequence[float
                     ["number", "block", "release", "deadline", "slot", "docs"],
                 )
 
-    frames = -(-flow.slots // frame)
-    made = spark.range(0, frames, 1, max(1, min(frames, parallelism(spark)))).mapInArrow(
-        run, "number long, block long, release long, deadline long, slot long, docs long"
-    )
+    many = pa.list_(pa.int64())
+    sums = pa.schema([("id", pa.int64()), ("spare", many), ("sources", many), ("releases", many), ("at_first", pa.int64())])
+    parts = max(1, min(frames, parallelism(spark)))
+    kind = "id long, spare array<long>, sources array<long>, releases array<long>, at_first long"
+    found = spark.range(0, frames, 1, parts).mapInArrow(sum_up, kind).collect()
+    found = [(r["spare"], r["sources"], r["releases"], r["at_first"]) for r in sorted(found, key=lambda r: r["id"])]
+    late = list(states(found, frame))
+    between = [(i, late[i - 1] if i else [], late[i]) for i in range(frames)]
+    planned = spark.createDataFrame(between, "id long, early array<long>, late array<long>").repartition(parts)
+    made = planned.mapInArrow(run, "number long, block long, release long, deadline long, slot long, docs long")
     return global_positions(step(made, "blocks"), ["slot"], "docs").drop("docs").withColumnRenamed("position", "first_position")
 
 
@@ -198,13 +234,14 @@ def mix(
     ``block`` documents of one source (its last one may hold fewer), in an order given by a hash of the id. Nothing is
     dropped or repeated. ``period`` rounds the weights to whole slots of so many, at least one a source.
 
-    ``targets`` gives weights by source (those not named weigh as the least named; none or fewer than 0 is an error);
+    ``targets`` gives weights by source (those not named weigh as the least named; none, or one that is not positive and finite, is an error);
     by default weights are tempered sizes. A null source is the source "". Every source is scheduled; only a
     caller's ``max_sources`` makes one stream of all but the largest and those named, by the sum of their weights. Rows without an id take part. Rows equal in id, text and source follow one another, numbered by ``copy``.
     An empty table gives no rows.
 
     Only ids, hashes and sources are sorted. A source that holds a third of all rows is cut by the range
-    sort like any other. The driver holds one number of rows and one weight a source; blocks are scheduled by the workers.
+    sort like any other. The driver holds one number of rows and one weight a source, and a state per frame of slots; blocks are
+    scheduled by the workers. A row that got no slot would stop the job.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -216,8 +253,8 @@ def mix(
     counts = {r["name"]: r["n"] for r in sizes.collect()}
     weights = tempered(counts)
     if targets is not None:
-        if not targets or min(targets.values()) <= 0:
-            raise ValueError("target weights must be positive")
+        if not targets or not all(0 < w < math.inf for w in targets.values()):
+            raise ValueError("target weights must be positive and finite")
         least = min(targets.values())
         weights = {s: targets.get(s, least) for s in counts}
 
@@ -247,13 +284,13 @@ def mix(
     rows = rows.withColumn("key", F.xxhash64("doc_id", F.lit("mix")))
     order = ["stream", "key", "doc_id", "text_hash", "source"]
     placed = skew.lookup_join(global_positions(rows, order, "copies"), planned, "stream", "inner")
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = per_copy(placed, "copies", "copy")
     inside = F.col("position") + F.col("copy") - F.col("start")
     placed = placed.withColumn("block", F.floor(inside / block).cast("long")).withColumn("within", inside % block).drop("position")
     blocks = schedule(spark, [counts[s] for s in streams], [weights[s] for s in streams], block)
-    return placed.join(blocks, ["number", "block"]).select(
-        "doc_id", "text_hash", "copy", "source", "stream", "block", "release", "deadline", "slot",
-        (F.col("first_position") + F.col("within")).cast("long").alias("position"),
+    position = F.coalesce(F.col("first_position") + F.col("within"), F.raise_error(F.lit("a block has no slot")))
+    return placed.join(blocks, ["number", "block"], "left").select(
+        "doc_id", "text_hash", "copy", "source", "stream", "block", "release", "deadline", "slot", position.cast("long").alias("position"),
     )
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm.common import global_positions, parallelism, step, table
+from hearsay.llm.common import global_positions, parallelism, per_copy, step, table
 from hearsay.operators import skew
 
 SHARDS = 16
 SEED = "shards"
-COPY_CHUNK = 1 << 16
 
 
 def drawn(*what: Column) -> Column:
@@ -19,15 +18,6 @@ def drawn(*what: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def per_copy(df: DataFrame, copies: str, out: str) -> DataFrame:
-    """A row for every copy, numbered from 0; in two steps, so no row ever holds an array of all of them."""
-    chunks = F.floor((F.col(copies) - 1) / COPY_CHUNK).cast("long")
-    df = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks)))
-    last = F.least(F.col(copies) - F.col("__chunk") * COPY_CHUNK, F.lit(COPY_CHUNK).cast("long")) - 1
-    inside = F.explode(F.sequence(F.lit(0).cast("long"), last))
-    return df.withColumn("__inside", inside).withColumn(out, F.col("__chunk") * COPY_CHUNK + F.col("__inside")).drop("__chunk", "__inside")
-
-
 def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """``(doc_id, text_hash, source, copy, size, text_crc32, shard, slot)`` for every row of ``docs``.
 

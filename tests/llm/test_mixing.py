@@ -1,6 +1,7 @@
 """Pfair mixing against a plain earliest-deadline-first run of all blocks, slot by slot."""
 
 import math
+import random
 from collections import Counter
 from fractions import Fraction
 
@@ -11,35 +12,87 @@ from hearsay.llm import mixing
 COUNTS = {"a": 333, "b": 120, "c": 41, "": 8, "e": 1}
 
 
-def brute(counts, weights, block, period):
-    """The source of every slot: in each phase all blocks with their windows, the released one due first goes next."""
-    left = {s: math.ceil(n / block) for s, n in counts.items() if n}
-    out = []
-    while left:
-        slots = mixing.shares({s: weights[s] for s in left}, period if len(left) > 1 else 1)
-        n, done, t = sum(slots.values()), dict.fromkeys(left, 0), 0
-        while True:
-            open_ = [(-(-(done[s] + 1) * n // slots[s]), s) for s in left if done[s] * n // slots[s] <= t]
-            due, s = min(open_)
-            assert due > t
-            done[s] += 1
-            out.append(s)
-            t += 1
-            if done[s] == left[s]:
-                break
-        left = {s: left[s] - done[s] for s in left if left[s] > done[s]}
+def scheduled(flow, frame):
+    """All slots, frame by frame, as tasks and driver do it."""
+    ends = [(a, min(a + frame, flow.slots)) for a in range(0, flow.slots, frame)]
+    late = list(mixing.states([flow.summary(*e) for e in ends], frame))
+    return [row for e, early, after in zip(ends, [[], *late], late, strict=False) for row in flow.frame(*e, early, after)]
+
+
+def plain(blocks, weights):
+    """Windows of all blocks by flowing slot by slot in fractions, then the earliest deadline first over all slots."""
+    exact, flown = [Fraction(w) for w in weights], [Fraction(0)] * len(blocks)
+    release, due, slots = {}, {}, sum(blocks)
+    time, passed = Fraction(0), [0] * len(blocks)
+    for s, n in enumerate(blocks):
+        if n:
+            release[s, 0] = 0
+    while any(p < n for p, n in zip(passed, blocks, strict=True)):
+        live = [s for s, n in enumerate(blocks) if passed[s] < n]
+        total = sum(exact[s] for s in live)
+        wait = min((passed[s] + 1 - flown[s]) * total / exact[s] for s in live)
+        time += wait
+        for s in live:
+            flown[s] += wait * exact[s] / total
+            if flown[s] == passed[s] + 1:
+                due[s, passed[s]] = math.ceil(time)
+                passed[s] += 1
+                if passed[s] < blocks[s]:
+                    release[s, passed[s]] = math.floor(time)
+    open_, out = set(release), []
+    for t in range(slots):
+        s, j = min((b for b in open_ if release[b] <= t), key=lambda b: (due[b], b))
+        assert due[s, j] > t
+        open_.remove((s, j))
+        out.append((s, j, release[s, j], due[s, j], t))
     return out
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1, "": 1, "e": 1}, {"a": 0.61, "b": 0.2, "c": 0.1, "": 0.05, "e": 0.04}])
-def test_plan_equals_brute_force(weights):
-    block, period = 4, 50
-    order = {}
-    for s, first, blocks, slot, _, n, places in mixing.plan(COUNTS, weights, block, period):
-        for j in range(blocks):
-            assert order.setdefault(slot + j // len(places) * n + places[j % len(places)], (s, first + j)) == (s, first + j)
-    assert sorted(order) == list(range(len(order)))
-    assert [order[t][0] for t in sorted(order)] == brute(COUNTS, weights, block, period)
+@pytest.mark.parametrize("seed", range(8))
+def test_frames_equal_windows_of_a_plain_flow(seed):
+    """Random sources and weights in frames of all sizes: every block once, in its window, and the same windows as by plain flowing."""
+    r = random.Random(seed)
+    for _ in range(40):
+        n = r.choice((1, 2, 3, 5, 12, 30))
+        blocks = [r.choice((1, 1, 2, 3, 7, 20, 60)) for _ in range(n)]
+        weights = [r.choice((b, b**0.5, 1.0, r.random() + 1e-6, r.choice((1e-4, 100.0)))) for b in blocks]
+        flow, want = mixing.Flow(blocks, weights), plain(blocks, weights)
+        for frame in {1, 2, 3, r.randint(1, 64), 64, flow.slots}:
+            got = scheduled(flow, frame)
+            assert [row[4] for row in got] == list(range(flow.slots))
+            assert sorted(row[:4] for row in got) == sorted(row[:4] for row in want)
+            assert all(release <= t < deadline for _, _, release, deadline, t in got)
+
+
+def test_equal_shares_with_small_sources_by_one_frame_and_many():
+    r = random.Random(1)
+    blocks = [r.randint(200, 900) for _ in range(5)] + [r.randint(1, 4) for _ in range(20)]
+    flow = mixing.Flow(blocks, [float(b) for b in blocks])
+    for frame in (64, 4096, 10**6):
+        assert Counter(row[0] for row in scheduled(flow, frame)) == dict(enumerate(blocks))
+
+
+def test_large_sources_with_many_small_ones_over_many_frames():
+    r = random.Random(2)
+    counts = [20_000] * 20 + [r.randint(1, 4) for _ in range(300)]
+    flow = mixing.Flow(counts, [n**0.5 for n in counts])
+    ends = [(a, a + 4096) for a in range(0, 40_960, 4096)]
+    late = list(mixing.states([flow.summary(*e) for e in ends], 4096))
+    seen = set()
+    for e, early, after in zip(ends, [[], *late], late, strict=False):
+        rows = flow.frame(*e, early, after)
+        assert all(release <= t < deadline for _, _, release, deadline, t in rows)
+        seen |= {row[:2] for row in rows}
+    assert len(seen) == 40_960
+
+
+def test_many_small_sources_on_spark(spark):
+    r = random.Random(3)
+    sizes = {f"big{i}": r.randint(200, 900) for i in range(5)} | {f"small{i}": r.randint(1, 4) for i in range(20)}
+    df = spark.createDataFrame([(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, source string")
+    out = mixing.mix(df, {s: float(n) for s, n in sizes.items()}, block=1).toPandas()
+    assert sorted(out.position) == list(range(sum(sizes.values()))) and Counter(out.source) == sizes
+    assert (out.release <= out.slot).all() and (out.slot < out.deadline).all()
 
 
 def docs(spark):
@@ -85,8 +138,9 @@ def test_shares_and_errors(spark):
     assert sum(mixing.shares({str(i): 1e-9 + i for i in range(30)}, 31).values()) == 31
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0
-    with pytest.raises(ValueError, match="positive"):
-        mixing.mix(empty, {"a": 0.0})
+    for weight in (0.0, -1.0, math.inf, math.nan):
+        with pytest.raises(ValueError, match="positive"):
+            mixing.mix(empty, {"a": weight, "b": 1.0})
 
 
 @pytest.mark.parametrize("weights", [[1, 1, 1], [0.7, 0.2999, 0.0001], [3**0.5, 2**0.5, 5.0, 0.01]])
@@ -94,12 +148,11 @@ def test_exact_weights_however_long(weights):
     flow = mixing.Flow([20_000, *[9_000] * (len(weights) - 1)], weights)
     seen, exact = Counter(), [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
     upto = int(min(flow.times))  # all sources last
-    for first in range(0, flow.slots, 1000):
-        for s, j, release, deadline, t in flow.frame(first, min(first + 1000, flow.slots)):
-            assert j == seen[s] and release <= t < deadline
-            seen[s] += 1
-            if t < upto:
-                assert all(abs(seen[i] - (t + 1) * w) < 1 for i, w in enumerate(exact))
+    for s, j, release, deadline, t in scheduled(flow, 1000):
+        assert j == seen[s] and release <= t < deadline
+        seen[s] += 1
+        if t < upto:
+            assert all(abs(seen[i] - (t + 1) * w) < 1 for i, w in enumerate(exact))
     assert upto > 10_000 and [seen[s] for s in range(len(weights))] == flow.blocks
 
 

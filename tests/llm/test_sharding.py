@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from hearsay.llm import sharding
+from hearsay.llm import common, sharding
 
 
 def draw(*what):
@@ -77,9 +77,9 @@ def test_few_and_no_rows(spark):
 
 
 def test_copies_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "COPY_CHUNK", 4)
+    monkeypatch.setattr(common, "COPY_CHUNK", 4)
     df = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9)], "k string, n long")
-    out = sharding.per_copy(df, "n", "copy").groupBy("k").agg({"copy": "collect_set"}).collect()
+    out = common.per_copy(df, "n", "copy").groupBy("k").agg({"copy": "collect_set"}).collect()
     assert {r[0]: sorted(r[1]) for r in out} == {"a": [0], "b": [0, 1, 2, 3], "c": list(range(9))}
 
 
