@@ -7,13 +7,16 @@ for its own reason; empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm import jaccard, mixing, packing, substrings, toxicity
-from hearsay.llm.common import step, table
+from hearsay.llm.common import global_positions, step, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TARGETS: dict[str, float] | None = None  # weights by source; None tempers their sizes
+SEGMENT_DOCS = 1 << 14
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +28,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by n-gram similarity, that of the smallest id stays.
 
-    Documents without an id or without words are in no group and stay; of rows that repeat an id, those with the text
-    that was compared stay, once.
+    Documents without an id or without words are in no group and stay. Rows that share an id are compared by their texts like any others (of
+    linked ones under the smallest id, that of the least text hash stays); rows equal in id and text stay once.
     """
-    groups = step(jaccard.jaccard_groups(docs), "groups")
-    keep = groups.filter("class_id = doc_id").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
     keyed = docs.select(*COLUMNS).withColumn("own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     named = keyed.filter("doc_id is not null")
+    per_id = named.groupBy("doc_id").agg(F.min("own_hash").alias("a"), F.max("own_hash").alias("b"), F.count(F.lit(1)).alias("n"))
+    most, reused = per_id.agg(F.max("n"), F.max((F.col("a") < F.col("b")).cast("int"))).first()
+    if reused:  # several texts under one id: each (id, text) is compared under a number of its own, in the same order
+        kinds = step(named.groupBy("doc_id", "own_hash").agg(F.count(F.lit(1)).alias("n")).drop("n"), "kinds")
+        numbers = step(global_positions(kinds, ["doc_id", "own_hash"]), "numbers")
+        texts = named.select("doc_id", "own_hash", "text").join(numbers, ["doc_id", "own_hash"])
+        compared = step(texts.select(F.col("position").alias("doc_id"), "text"), "compared")
+        kept = jaccard.jaccard_groups(compared).filter("class_id = doc_id").select(F.col("doc_id").alias("position"))
+        keep = kept.join(numbers, "position").select(F.col("doc_id").alias("kept_id"), F.col("own_hash").alias("kept_hash"))
+    else:
+        groups = jaccard.jaccard_groups(docs).filter("class_id = doc_id")
+        keep = groups.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    keep = step(keep, "keep")
     kept = named.join(keep, (F.col("doc_id") == F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
-    ids = named.agg(F.count("doc_id").alias("n")).first()["n"]
-    if ids > groups.count():  # some id is repeated
-        kept = kept.dropDuplicates(["doc_id"])
+    if (most or 0) > 1:  # some id is repeated
+        kept = kept.dropDuplicates(["doc_id", "own_hash"])
     return kept.select(*COLUMNS).unionByName(keyed.filter("doc_id is null").select(*COLUMNS))
 
 
@@ -56,7 +69,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: the files written from this hold it from the first part to the last."""
     # rows that are the same in all of these come at one place
-    placed = mixing.mix(docs).filter("copy = 0").select(
+    placed = mixing.mix(docs, TARGETS).filter("copy = 0").select(
         F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.col("source").alias("at_source"), "position"
     )
     placed = step(placed, "placed")
@@ -67,9 +80,32 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(placed, same).orderBy("position").select(*COLUMNS)
 
 
+def in_written_order(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` as read from files, and each row's place in them: from the first part to the last, in each from its first row on.
+
+    Rows that no files hold are all at place 0.
+    """
+    try:
+        rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs, F.lit(0).cast("long")
+    part = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1)
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.expr("try_cast(__part as long)"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a file, so the window and the broadcast are as small as their number
+    bases = files.withColumn("__part", part).select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(F.broadcast(bases), "__file"), F.col("__base") + F.col("__row")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with the checksum of their ids."""
-    return packing.digest(packing.pack(docs, packing.tokenizer_path()))
+    """Pieces of all documents in sequences, with the checksum of their ids.
+
+    The mixture is cut into segments of ``SEGMENT_DOCS`` documents, each with the target shares, and the curve orders the
+    documents of a segment: so sequences follow the mixture from segment to segment, and hold neighbours of the curve.
+    """
+    rows, place = in_written_order(docs)
+    segment = F.floor(place / SEGMENT_DOCS)
+    return packing.digest(packing.pack(rows, packing.tokenizer_path(), segment=segment))
 
 
 STAGES = [
