@@ -23,8 +23,8 @@ def bands_and_rows(similarity: float, recall: float, budget: int = 128) -> tuple
     """The most rows a band can have so that a pair at ``similarity`` still shares one of the bands
     with probability ``recall``, the bands together holding at most ``budget`` minima.
     """
-    best = None
-    for rows in range(1, 17):
+    best = math.ceil(math.log(1 - recall) / math.log(1 - similarity)), 1  # whatever the budget, if no band of more rows fits it
+    for rows in range(2, 17):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
         if bands * rows <= budget:
             best = bands, rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.llm.common import global_positions, map_slices, mix, starts, table
@@ -79,8 +79,8 @@ def _encode(path: str):
         at = starts(counts) * np.dtype(kind).itemsize
         packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays(
-            [batch["row"], batch["doc_id"], pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-            ["row", "doc_id", "key", "tokens", "ids"],
+            [batch["row"], batch["doc_id"], batch["segment"], pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
+            ["row", "doc_id", "segment", "key", "tokens", "ids"],
         )
 
     sliced = map_slices(encode, "text", 8 << 20)
@@ -128,7 +128,7 @@ def _cut(sequence: int, path: str):
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, segment: Column | None = None) -> DataFrame:
     """Pieces of all documents laid end to end along the curve and cut every ``sequence`` ids.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. A null text is empty and has one id, the end.
@@ -139,13 +139,17 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Data
     Texts are encoded once and kept as compressed ids. Documents are sorted by the Hilbert key of
     their hashed, projected term vectors (ties by id); only keys and lengths are sorted, and the sum
     of lengths before a document is its place. The ids join their places by row, whatever a source's share.
+    With ``segment`` (a number over the columns of ``docs``) the curve starts anew in each segment, and segments follow one another.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    part = F.lit(0) if segment is None else segment
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.cast("long").alias("segment")
+    )
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     encoded = stage(
-        rows.mapInArrow(_encode(tokenizer_path), "row long, doc_id long, key long, tokens long, ids binary"), "encoded"
+        rows.mapInArrow(_encode(tokenizer_path), "row long, doc_id long, segment long, key long, tokens long, ids binary"), "encoded"
     )
-    places = global_positions(encoded.select("key", "doc_id", "row", "tokens"), ["key", "doc_id", "row"], "tokens")
+    places = global_positions(encoded.select("segment", "key", "doc_id", "row", "tokens"), ["segment", "key", "doc_id", "row"], "tokens")
     placed = encoded.select("row", "doc_id", "tokens", "ids").join(places.select("row", "position"), "row")
     return placed.select("doc_id", "tokens", "ids", "position").mapInArrow(_cut(sequence, tokenizer_path), PIECE)
 
