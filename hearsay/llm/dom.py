@@ -24,7 +24,8 @@ BLOCK = frozenset(
     "tr ul".split()
 )
 UNSEEN = frozenset("applet audio canvas datalist head iframe math noframes noscript object script select style svg template textarea title video".split())
-RAW = frozenset("iframe noscript script style svg template textarea title".split())
+RAW = frozenset("iframe noscript script style template textarea title".split())
+IN_HEAD = frozenset("base bgsound link meta noscript script style template title".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["tr", "td", "th", "tbody", "thead"]),
@@ -91,7 +92,11 @@ def attribute_words(attributes: str) -> frozenset[str]:
 
 
 def read(page: int, source: str | None, nodes: Nodes) -> None:
-    """Append the nodes of one page. A page without a tag is one run of text; nothing visible leaves the root alone."""
+    """Append the nodes of one page. A page without a tag is one run of text; nothing visible leaves the root alone.
+
+    A head ends with its end tag, or where text or a tag stands that no head may hold. Other unseen elements end with theirs; they end early where a block
+    around them does, and hide nothing if the page has no end tag for them.
+    """
     source = source or ""
     root = nodes.add(page, -1, 0, GROUPS["html"], "", None, NOTHING, False)
     stack = [("html", root, False)]
@@ -99,6 +104,14 @@ def read(page: int, source: str | None, nodes: Nodes) -> None:
     link = inline = controls = images = 0
     link_chars = 0
     unseen: list[str] = []
+    hidden: list[str] = []  # blocks opened within what is unseen
+    ends: dict[str, int] = {}  # where the next end tag of a name was found
+
+    def ended_later(name: str, at: int) -> bool:
+        if ends.get(name, -1) < at:
+            over = re.compile(f"</{re.escape(name)}(?![a-z0-9-])", re.I).search(source, at)
+            ends[name] = over.start() if over else len(source) + 1
+        return ends[name] <= len(source)
 
     def flush() -> None:
         nonlocal run, link_chars, inline, controls, images
@@ -127,6 +140,8 @@ def read(page: int, source: str | None, nodes: Nodes) -> None:
     while at < end:
         m = TAG.search(source, at)
         text = source[at : m.start()] if m else source[at:]
+        if text and unseen == ["head"] and not text.isspace():
+            unseen.clear()
         if text and not unseen:
             run.append(text)
             if link:
@@ -138,17 +153,22 @@ def read(page: int, source: str | None, nodes: Nodes) -> None:
         if name is None:
             continue
         closing, name, raw = (m[1] or m[4]) == "/", name.lower(), (m[3] or m[6] or "")
+        if unseen == ["head"] and name not in IN_HEAD and name not in ("head", "html"):
+            unseen.clear()
         if name in UNSEEN:
             if closing:
-                if unseen and name in unseen:
-                    del unseen[unseen.index(name) :]
+                if name in unseen:
+                    del unseen[len(unseen) - 1 - unseen[::-1].index(name) :]
+                    hidden.clear()
+            elif name in ("noscript", "template") and not ended_later(name, at):
+                pass
             elif not raw.endswith("/") and name in RAW:
                 over = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
                 at = over.start() if over else end
                 if over:
                     close = source.find(">", at)
                     at = close + 1 if close >= 0 else end
-            elif not raw.endswith("/"):
+            elif not raw.endswith("/") and (name == "head" or ended_later(name, at)):
                 unseen.append(name)
             if name in ("select", "textarea"):
                 controls += not closing
@@ -156,8 +176,19 @@ def read(page: int, source: str | None, nodes: Nodes) -> None:
         if unseen:
             if name == "body":
                 unseen.clear()
+            elif name not in BLOCK:
+                continue
+            elif not closing:
+                hidden.append(name)
+                continue
+            elif name in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                continue
+            elif any(name == above for above, _, _ in stack):
+                unseen.clear()  # a block around it ends
             else:
                 continue
+            hidden.clear()
         if name in BLOCK or "-" in name:
             if name == "hr":
                 flush()

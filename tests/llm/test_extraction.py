@@ -1,6 +1,7 @@
 """Page extraction: layouts not seen in training, decoding without contradictions, and odd pages."""
 
 import random
+from itertools import product
 
 import numpy as np
 import pytest
@@ -55,6 +56,8 @@ ODD = [
     (1, None), (2, ""), (3, "   \n "), (4, "<html><body></body></html>"), (5, "just words &amp; more   words"),
     (6, "<article><h1>A &lt;b&gt; title of this</h1><p>One two\n\n  three &eacute;&nbsp;four five six seven.<p>Next one here.<script>no();</script></article>"),
     (7, "<p>unclosed <b>bold <i>text <p>again < 5 and > 3 <!-- never closed"), (8, "<div " * 500), (9, "<script>only"), (None, "<article><p>text</p></article>"),
+    (10, "<html><head><title>t</title><article><h1>A title of this</h1><p>Body text here, and some more of it.</p></article>"),
+    (11, "<body><object data=x><article><h1>A title of this</h1><p>One two three, four five six.</p></article>"),
 ]
 
 
@@ -63,36 +66,49 @@ def test_odd_pages(spark, model):
     assert [got[i] for i in (1, 2, 3, 4, 9)] == [""] * 5
     assert got[5] in ("just words & more words", "")
     assert got[6] == "A <b> title of this\nOne two three é four five six seven.\nNext one here."
+    assert got[10] == "A title of this\nBody text here, and some more of it."
+    assert got[11] == "A title of this\nOne two three, four five six."
     assert len(got) == len(ODD)
 
 
-def test_decoding_has_no_contradictions():
+@pytest.mark.parametrize(("page", "seen"), [
+    ("<html><head><title>t</title><article><p>Body text here</p></article>", ["Body text here"]),
+    ("<head><meta charset=x><link rel=y><style>z</style><script>1</script><p>one", ["one"]),
+    ("<head><title>t</title>bare text<p>one</p>", ["bare text", "one"]),
+    ("<html><head><title>t</title></head><body><p>one</p></body></html>", ["one"]),
+    ("<title>t</title><p>one</p>", ["one"]),
+    ("<body><object data=x><p>one</p><p>two</p>", ["one", "two"]),
+    ("<div><video src=a><p>hidden</p></video><p>one</p></div>", ["one"]),
+    ("<div><video src=a><p>hidden</div><p>one</p><video>again</video><p>two</p>", ["one", "two"]),
+    ("<div><object><div>hidden</div>also</object><p>one</p></div>", ["one"]),
+    ("<form><select><option>a<option>b</form><p>one</p>", ["ab", "one"]),
+    ("<p>one</p><select><option>a</select><p>two</p>", ["one", "two"]),
+    ("<svg><svg><text>x</text></svg><text>y</text></svg><p>one</p>", ["one"]),
+    ("<noscript><p>one</p>", ["one"]), ("<p>one</p><script>if (a</b) {}", ["one"]), ("<canvas/><p>one", ["one"]),
+    ("<object>" * 200 + "<p>one</p>", ["one"]),
+])
+def test_unseen_elements_end_where_pages_end_them(page, seen):
     nodes = Nodes()
-    read(0, '<body><div class="x"><p>aaaa aaaa</p><div><p>bbbb</p><ul><li>c</li><li>d</li></ul></div></div><p>eee</p></body>', nodes)
-    leaf = np.array([t is not None for t in nodes.text])
-    for seed in range(50):
-        odds = np.random.default_rng(seed).standard_normal(len(leaf)) * 3
-        kept = extraction.choose(nodes, odds)
-        assert not kept[~leaf].any()
-    strong = np.where(leaf, 2.0, 0.0)
-    assert (extraction.choose(nodes, strong) == leaf).all()
-    # a container that is surely not the article takes all in it along, however good that looks
-    holder = next(i for i, a in enumerate(nodes.attributes) if a == "x")
-    weak = np.where(leaf, 0.5, 0.0)
-    weak[holder] = -6
-    kept = extraction.choose(nodes, weak)
-    assert [nodes.text[i] for i in np.flatnonzero(kept)] == ["eee"]
-
-
-def test_boosting_learns_an_interaction():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((4000, 5))
-    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
-    trees = boosting.fit(x[:3000], y[:3000], np.ones(3000), trees=60)
-    assert ((trees.log_odds(x[3000:]) > 0) == y[3000:]).mean() > 0.97
-
-
-def test_no_pages(spark):
-    empty = spark.createDataFrame([], "page_id long, url string, html string")
-    model = extraction.train(empty, made_pages=100)
-    assert extraction.extract(empty, model).count() == 0
+    read(0, page, nodes)
+    assert [" ".join(t.split()) for t in nodes.text if t] == seen
+
+
+def test_choice_equals_all_subsets():
+    """Of all sets that keep nothing within a dropped element, the one worth most."""
+    rng = np.random.default_rng(8)
+    pages = ["<div><p>a</p><p>b and more</p></div><p>c</p>", "<ul><li>a<li><p>b b</p></ul>", "<p>a</p>", "<section><div><p>a</p></div>b</section><p>c</p>"]
+    for page in pages:
+        nodes = Nodes()
+        read(0, page, nodes)
+        n = len(nodes.page)
+
+        def chars(i, nodes=nodes, n=n):
+            return nodes.stats[i][0] + sum(chars(j) for j in range(n) if nodes.parent[j] == i)
+
+        leaf = [t is not None for t in nodes.text]
+        for _ in range(40):
+            odds = rng.standard_normal(n) * 3
+            worth = [0.0 if i == 0 else (1 if leaf[i] else 0.5) * (1 + chars(i)) ** 0.5 * odds[i] for i in range(n)]
+            sets = [kept for kept in product((True, False), repeat=n) if kept[0] and all(not kept[i] or kept[nodes.parent[i]] for i in range(1, n))]
+            best = max(sets, key=lambda kept: sum(w for w, k in zip(worth, kept, strict=True) if k))
+            assert np.clip(odds, -6, 6).tolist() != odds.tolist() or extraction.choose(nodes, odds).tolist() == [k and x for k, x in zip(best, leaf, strict=True)]
