@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from hearsay.functions.text import clean_tokens
-from hearsay.operators import topics
+from hearsay.operators import hierarchy, neighbours, topics
+from hearsay.operators.skew import numbered
 from hearsay.plans import complaints
 from hearsay.session import cut_lineage
 
@@ -193,6 +194,66 @@ def k3(spark, sf):
     return topics.density_topics(_coords(spark, sf), "vec_id", "coords", 3, WIDTH, MIN_CELL, MIN_TOPIC)
 
 
+# vectors in whole millionths, so that distances are exact in both engines
+NEAR, MIN_SIZE = 15, 10
+
+
+def _whole(spark, sf):
+    vector = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000.0))
+    return cut_lineage(v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vector.alias("v")))
+
+
+_NEAR = (
+    "whole as (select vec_id, list_transform(embedding, lambda x: round(cast(x as double) * 1000000e0)) as v from embeddings), "
+    "near as (select a.vec_id as id, b.vec_id as other, list_distance(a.v, b.v) as distance from whole a join whole b on a.vec_id <> b.vec_id "
+    f"qualify row_number() over (partition by a.vec_id order by distance, b.vec_id) <= {NEAR})"
+)
+# edges by weight, one after the other, over a list of each row's component
+_TREE = (
+    f"{_NEAR}, core as (select id, max(distance) as core from near group by 1), "
+    "pairs as (select least(id, other) as a, greatest(id, other) as b, min(distance) as d from near group by 1, 2), "
+    "place as (select vec_id, row_number() over (order by vec_id) as at, count(*) over () as n from whole), "
+    "edges as (select a, b, greatest(d, x.core, y.core) as w, p.at as pa, q.at as pb, row_number() over (order by w, a, b) as step from pairs "
+    "join core x on x.id = a join core y on y.id = b join place p on p.vec_id = a join place q on q.vec_id = b), "
+    "kruskal as (select 0::bigint as step, range(1, (select any_value(n) from place) + 1) as label, false as joins, 0::bigint as low, 0::bigint as high "
+    "union all select e.step, case when k.label[pa] = k.label[pb] then k.label else list_transform(k.label, lambda x: case when x = k.label[pb] then k.label[pa] else x end) end, "
+    "k.label[pa] <> k.label[pb], len(list_filter(k.label, lambda x: x = k.label[pa])), len(list_filter(k.label, lambda x: x = k.label[pb])) "
+    "from kruskal k join edges e on e.step = k.step + 1)"
+)
+
+
+@check("k3_neighbours", f"with {_NEAR} select id, other, distance, cast(row_number() over (partition by id order by distance, other) as int) as rank from near")
+def k3_neighbours(spark, sf):
+    """The very nearest while all rows fit a block, about the nearest beyond that."""
+    return neighbours.neighbours(_whole(spark, sf), NEAR)
+
+
+@check(
+    "k3_merge_tree",
+    f"with recursive {_TREE} select a, b, w, row_number() over (order by e.step) - 1 as number, cast(case when least(low, high) >= {MIN_SIZE} "
+    f"or greatest(low, high) < {MIN_SIZE} then low + high else least(low, high) end as bigint) as leaving "
+    f"from kruskal k join edges e using (step) where joins qualify low + high >= {MIN_SIZE}",
+)
+def k3_merge_tree(spark, sf):
+    """Merges of the least spanning tree that make a cluster, go on with one or split one, and how many rows leave the cluster there."""
+    rows = numbered(_whole(spark, sf), [F.col("id")], "place")
+    near = cut_lineage(neighbours.neighbours(rows.select(F.col("place").alias("id"), "v"), NEAR))
+    forest = cut_lineage(hierarchy.spanning_forest(hierarchy.mutual_edges(near)))
+    n = rows.count()
+    parts, _ = hierarchy.merge_parts(forest, n, MIN_SIZE)
+    merges = parts.filter(F.col("kind") == hierarchy.NODE).select((F.col("id") - n).alias("number"), F.col("amount").alias("leaving"))
+    ranked = numbered(forest, [F.col("w"), F.col("a"), F.col("b")], "number").join(merges, "number")
+    keys = cut_lineage(rows.select("id", "place"))
+    for side in ("a", "b"):
+        ranked = ranked.join(keys.select(F.col("place").alias(side), F.col("id").alias(f"{side}_id")), side)
+    return ranked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "w", "number", "leaving")
+
+
+@check("k3_neighbour_topics")
+def k3_neighbour_topics(spark, sf):
+    return hierarchy.neighbour_topics(_vectors(spark, sf).drop("topic"), "vec_id", "embedding", MIN_SIZE, NEAR)
+
+
 @check("k4_centroid_topics")
 def k4(spark, sf):
     return topics.centroid_topics(_vectors(spark, sf).drop("topic"), "vec_id", "embedding", 10, 0.2)
