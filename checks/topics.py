@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from hearsay.functions.text import clean_tokens
-from hearsay.operators import hierarchy, neighbours, topics
+from hearsay.operators import areas, hierarchy, layout, neighbours, topics, wordvectors
 from hearsay.operators.skew import numbered
 from hearsay.plans import complaints
 from hearsay.session import cut_lineage
@@ -35,6 +35,11 @@ def _topic_docs(spark, sf):
     return named.select("vec_id", topic, clean_tokens("text").alias("tokens"))
 
 
+def _labelled(spark, sf):
+    """Documents with a vector, under its label."""
+    return topics.without_outliers(_topic_docs(spark, sf))
+
+
 _DOCS = f"docs as (select doc_id as vec_id, coalesce(label, -1) as topic, {tokens_sql('text')} as tokens from documents left join embeddings on doc_id = vec_id)"
 _TF = (
     f"{_DOCS}, w as (select topic, unnest(tokens) as token from docs), c as (select topic, token, count(*) as tf from w group by 1, 2), "
@@ -135,8 +140,8 @@ def k9(spark, sf):
 
 @check("k11_merge_topics", f"with areas(topic, area) as (values (0, 100), (1, 100), (2, 101), (3, 102)) select coalesce(area, label) as area, count(*) as n from embeddings left join areas on topic = label group by 1")
 def k11(spark, sf):
-    areas = spark.sql("select * from values (0, 100), (1, 100), (2, 101), (3, 102) as t(topic, area)")
-    merged = topics.merge_topics(_vectors(spark, sf), areas)
+    chosen = spark.sql("select * from values (0, 100), (1, 100), (2, 101), (3, 102) as t(topic, area)")
+    merged = topics.merge_topics(_vectors(spark, sf), chosen)
     return merged.groupBy("area").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -254,6 +259,98 @@ def k3_neighbour_topics(spark, sf):
     return hierarchy.neighbour_topics(_vectors(spark, sf).drop("topic"), "vec_id", "embedding", MIN_SIZE, NEAR)
 
 
+WORD_WINDOW, WORD_COUNT, WORD_DIMS = 5, 5, 20
+
+
+def _tokens(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", clean_tokens("text").alias("tokens"))
+
+
+_PMI = (
+    f"d as (select doc_id, {tokens_sql('text')} as tokens from documents), "
+    f"known as (select token from (select unnest(tokens) as token from d) group by 1 having count(*) >= {WORD_COUNT}), "
+    "firsts as (select tokens, unnest(tokens) as a, unnest(range(1, len(tokens) + 1)) as i from d), "
+    f"ahead as (select a, unnest(list_slice(tokens, i + 1, i + {WORD_WINDOW})) as b from firsts), "
+    "one as (select a, b, count(*) as n from ahead semi join known x on x.token = a semi join known y on y.token = b group by 1, 2), "
+    "pair as (select a, b, sum(n) as n from (select a, b, n from one union all select b, a, n from one) group by 1, 2), "
+    "side as (select a as token, sum(n) as n from pair group by 1), total as (select sum(n ** 75e-2) as s from side), "
+    "pmi as (select a, b, pair.n, (ln(pair.n / (x.n * y.n ** 75e-2 / s)) + ln(pair.n / (y.n * x.n ** 75e-2 / s))) / 2 as pmi "
+    "from pair join side x on x.token = a join side y on y.token = b, total)"
+)
+
+
+@check(
+    "k1_word_pairs",
+    f"with {_PMI} select a, count(*) as partners, cast(sum(n) as bigint) as n, cast(count(*) filter (pmi > 0) as bigint) as attracted, "
+    "round(coalesce(sum(pmi) filter (pmi > 0), 0), 6) + 0e0 as pmi from pmi group by 1",
+)
+def k1_word_pairs(spark, sf):
+    """Per word how many others stand near it, how often, and how far beyond chance."""
+    pairs = cut_lineage(wordvectors.cooccurrences(_tokens(spark, sf), "tokens", WORD_WINDOW, WORD_COUNT))
+    pmi = wordvectors.positive_pmi(pairs).groupBy("a").agg(F.count(F.lit(1)).alias("attracted"), F.sum("pmi").alias("pmi"))
+    rows = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.sum("n").alias("n")).join(pmi, "a", "left")
+    return rows.select("a", "partners", "n", F.coalesce("attracted", F.lit(0)).alias("attracted"), v.r(F.coalesce("pmi", F.lit(0.0)), "pmi", 6))
+
+
+@check(
+    "k1_learned_vectors",
+    f"with {_PMI}, there as (select distinct a as token from pmi where pmi > 0), word as (select doc_id, unnest(tokens) as token from d) "
+    "select doc_id, has_words, "
+    f"{WORD_DIMS} as dims, case when has_words then 1e0 else 0e0 end as length "
+    "from (select doc_id, doc_id in (select doc_id from word semi join there using (token)) as has_words from d) x",
+)
+def k1_learned(spark, sf):
+    """Vectors from the texts' own words, of length 1 for texts with such words."""
+    rows = _tokens(spark, sf)
+    made = wordvectors.learned_vectors(rows, "doc_id", "tokens", WORD_DIMS, window=WORD_WINDOW, min_count=WORD_COUNT)
+    length = F.sqrt(topics.dot(F.col("vector"), F.col("vector")))
+    return made.select("doc_id", (length > 0.5).alias("has_words"), F.size("vector").alias("dims"), v.r(length, "length"))
+
+
+@check("k2_spectral_layout")
+def k2_layout(spark, sf):
+    placed = layout.spectral_layout(_vectors(spark, sf), "vec_id", "embedding", 2)
+    return placed.select("vec_id", *[F.get("reduced", F.lit(i)).alias(f"c{i}") for i in range(2)])
+
+
+# all merges of the ten labels, one after the other: the areas of the topics as a list
+_AREAS = (
+    f"docs as (select doc_id, label as topic, {tokens_sql('text')} as tokens from documents join embeddings on doc_id = vec_id), "
+    "w as (select topic, unnest(tokens) as token from docs), c as (select topic, token, count(*) as tf from w group by 1, 2), "
+    "f as (select token, sum(tf) as f from c group by 1), m as (select sum(tf) / count(distinct topic) as a from c), "
+    "k as (select topic, token, tf * ln(1 + a / f) as weight from c join f using (token), m), "
+    "norm as (select topic, sqrt(sum(weight * weight)) as norm from k group by 1), size as (select topic, count(*) as n from docs group by 1), "
+    "place as (select topic, n, row_number() over (order by topic) as spot from size), "
+    "dots as (select x.topic as s, y.topic as t, sum(x.weight * y.weight) as dot from k x join k y on x.token = y.token and x.topic < y.topic group by 1, 2), "
+    "alike as (select p.spot as i, q.spot as j, p.n * q.n as mass, coalesce(dot / (u.norm * v.norm), 0) as cosine from place p join place q on p.spot < q.spot "
+    "left join dots on s = p.topic and t = q.topic left join norm u on u.topic = p.topic left join norm v on v.topic = q.topic), "
+    "merged as (select 0 as step, list(topic order by spot) as area, 0::int as a, 0::int as b, 0e0 as similarity from place "
+    "union all select step + 1, list_transform(area, lambda x: case when x = nb then na else x end), na, nb, mean from ("
+    "select step, area, least(area[i], area[j]) as na, greatest(area[i], area[j]) as nb, sum(mass * cosine) / sum(mass) as mean "
+    "from merged m, alike where area[i] <> area[j] group by step, area, na, nb "
+    "order by round(mean, 12) desc, na, nb limit 1) x)"
+)
+
+
+@check(
+    "k11_merge_tree",
+    f"with recursive {_AREAS} select cast(step - 1 as int) as step, cast(a as int) as a, cast(b as int) as b, {_rd('similarity', 'similarity')}, "
+    "(select sum(n) from place where area[spot] = m.a)::bigint as size from merged m where step > 0",
+)
+def k11_tree(spark, sf):
+    tree = areas.merge_tree(_labelled(spark, sf), "topic", "tokens")
+    return tree.select("step", "a", "b", v.r("similarity", "similarity"), "size")
+
+
+@check(
+    "k11_areas",
+    f"with recursive {_AREAS} select cast(topic as int) as topic, cast(area[spot] as int) as area from merged, place "
+    "where step = (select count(*) - 4 from place)",
+)
+def k11_areas(spark, sf):
+    return areas.cut(areas.merge_tree(_labelled(spark, sf), "topic", "tokens"), 4)
+
+
 @check("k4_centroid_topics")
 def k4(spark, sf):
     return topics.centroid_topics(_vectors(spark, sf).drop("topic"), "vec_id", "embedding", 10, 0.2)
