@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from hearsay import schemas
-from hearsay.operators import normalize, rollups, upsert
+from hearsay.operators import normalize, rollups, threads, upsert
 from hearsay.plans import ingest
 from hearsay.session import cut_lineage, scratch_path
 from hearsay.sources import landing, tables
@@ -170,6 +170,45 @@ def s12(spark, sf):
     return tables.import_csv(spark, path, out.schema).withColumn("body", F.coalesce("body", F.lit("")))
 
 
+# posts, and the turns of conversations as replies to each other: a third of them below post 0, some below posts that are not there, some in circles
+_REPLIES = """
+select concat('d', cast(doc_id as string)) as id, cast(null as string) as parent_id from {documents} union all
+select concat(cast(conv_id as string), '_', cast(turn as string)) as id,
+  case when turn = 0 and conv_id % 11 = 5 then concat(cast(conv_id as string), '_1')
+       when turn = 0 and conv_id % 13 = 4 then concat('gone', cast(conv_id as string))
+       when turn = 0 and conv_id % 3 = 0 then 'd0'
+       when turn = 0 then concat('d', cast(conv_id as string))
+       when turn % 4 = 3 then concat(cast(conv_id as string), '_', cast(turn - 2 as string))
+       else concat(cast(conv_id as string), '_', cast(turn - 1 as string)) end as parent_id
+from {conversations}"""
+_THREADS = (
+    f"replies as ({v.duck(_REPLIES)}), top as (select id, id as root, 0::bigint as depth, parent_id is not null as lost, [id] as path from replies "
+    "where parent_id is null or parent_id not in (select id from replies)), "
+    "walk as (select * from top union all select r.id, w.root, w.depth + 1, w.lost, list_append(w.path, r.id) from walk w join replies r on r.parent_id = w.id), "
+    "placed as (select r.id, root, depth, case when lost is null then 'cycle' when lost then 'orphan' else 'ok' end as status, path "
+    "from replies r left join walk using (id))"
+)
+
+
+def _placed(spark, sf, **options):
+    replies = spark.sql(_REPLIES, documents=v.table(spark, sf, "documents"), conversations=v.table(spark, sf, "conversations"))
+    return threads.threads(replies, **options)
+
+
+@check("s6_threads_of_replies", f"with recursive {_THREADS} select id, root, depth, status, array_to_string(path, '/') as path from placed")
+def s6_replies(spark, sf):
+    return _placed(spark, sf, with_path=True).withColumn("path", F.array_join("path", "/"))
+
+
+@check(
+    "s6_thread_sizes",
+    f"with recursive {_THREADS}, levels as (select root, depth, count(*) as n from placed where root is not null group by 1, 2) "
+    "select root, cast(sum(n) as bigint) as n, max(depth) as depth, max(n) as widest from levels group by 1",
+)
+def s6_sizes(spark, sf):
+    return threads.thread_sizes(_placed(spark, sf))
+
+
 _NORMAL = (
     "select id as post_id, cast(created_utc as bigint) as created_utc, {iso} as date, coalesce(author, 'None') as author, "
     "coalesce(title, '') as title, coalesce(body, '') as body, score, num_comments, "
@@ -350,8 +389,7 @@ def u1(spark, sf):
 
 _PLACE = "case mode when 'top' then 1 when 'hot' then 2 else 3 end"
 _FIRST = (
-    f"{_picked(1000)}, firsts as (select * from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn "
-    "from picked) x where rn = 1)"
+    f"firsts as (select * from (select *, row_number() over (partition by id order by {_PLACE}, rank) as rn from landed) x where rn = 1)"
 )
 
 
@@ -383,8 +421,12 @@ def u3(spark, sf):
     "select cast(1 as int) as run, count(*) as attempted, count(*) as added from fresh union all select 2, count(*), 0 from fresh",
 )
 def u4(spark, sf):
+    """All landed rows of all sources, whatever their rank."""
     database, _ = _database(spark)
-    swept = _swept(spark, sf, _labelled(spark, sf))
+    ranked = landing.shape_listing(v.landed(spark, sf)).withColumn("sweep_rank", F.struct(
+        F.array_position(F.lit(["top", "hot", "new"]), F.col("mode")).alias("listing"), F.col("rank").alias("rank")
+    ))
+    swept = upsert.not_stored(ranked, _labelled(spark, sf), "id", "post_id").drop("rank", "time_filter")
     runs = [ingest.insert_posts(spark, swept, f"{database}.posts") for _ in (1, 2)]
     shown = F.explode(F.array(*[
         F.struct(F.lit(i + 1).alias("run"), F.lit(x.attempted).cast("bigint").alias("attempted"), F.lit(x.added).cast("bigint").alias("added"))

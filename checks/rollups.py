@@ -280,6 +280,26 @@ def a18(spark, sf):
     return distributions.density(v.probs(spark, sf), "neg_effective").select("point", v.r("x", "x", 8), v.r("density", "density", 8))
 
 
+_FINE = "(h * sqrt(8e0 * 1e-4))"
+
+
+@check(
+    "a18_binned_density",
+    f"with {v.PROBS}, b as (select min(neg_effective) as lo, max(neg_effective) as hi, count(*) as n, "
+    "stddev_samp(neg_effective) * pow(count(*), -2e-1) as h from probs), "
+    f"f as (select (neg_effective - lo) / {_FINE} as at from probs, b), "
+    "m as (select floor(spot) as slot, 1 - (spot - floor(spot)) as mass from f union all select floor(spot) + 1, spot - floor(spot) from f), "
+    "c as (select slot, sum(mass) as mass from m group by 1), "
+    "p as (select unnest(range(200)) as point), g as (select point, n, h, lo, lo - 3 * h + point * (hi - lo + 6 * h) / 199 as x from p, b), "
+    f"z as (select point, n, h, x, mass, (x - (lo + slot * {_FINE})) / h as z from g, c) "
+    f"select cast(point as int) as point, {_rd('any_value(x)', 'x', 8)}, "
+    f"{_rd('sum(mass * exp(-5e-1 * z * z)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 'density', 7)} from z group by point",
+)
+def a18_binned(spark, sf):
+    found = distributions.binned_density(v.probs(spark, sf), "neg_effective")
+    return found.select("point", v.r("x", "x", 8), v.r("density", "density", 7))
+
+
 @check(
     "a19_relation",
     f"with {v.SCORED_POSTS}, q as (select score, sentiment_post from scored where score is not null), "

@@ -64,28 +64,72 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     )
 
 
+@dataclass(frozen=True)
+class _Kernel:
+    """An even grid of points over a column, and the width of the bell around each value."""
+
+    start: Column
+    step: Column
+    width: Column
+    n: Column
+    spread: Column
+
+
+def _kernel(df: DataFrame, column: str, points: int, cut: float) -> _Kernel:
+    s = _bounds(df, [column])[column]
+    width = s.sd * F.pow(s.n, F.lit(-0.2))
+    start = s.lo - F.lit(cut) * width
+    return _Kernel(start, (s.hi - s.lo + F.lit(2 * cut) * width) / F.lit(points - 1), width, s.n, s.sd)
+
+
+def _summed(values: DataFrame, k: _Kernel, points: int) -> DataFrame:
+    """The bells of all ``values(x, mass)`` at every point: a row a value and point, added up by point within the task."""
+    at = values.select("x", "mass", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    z = F.try_divide(k.start + F.col("point") * k.step - F.col("x"), k.width)
+    sums = at.groupBy("point").agg(F.sum(F.col("mass") * F.exp(F.lit(-0.5) * z * z)).alias("total"))
+    scale = k.n * k.width * F.sqrt(F.lit(2.0) * F.pi())
+    return sums.filter(F.col("total").isNotNull()).select(
+        "point", (k.start + F.col("point") * k.step).alias("x"), (F.col("total") / scale).alias("density")
+    )
+
+
 def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth n^(-1/5) x standard deviation.
 
-    Exact: every row adds to ``points`` sums, so a task sends on one row of them. Fewer than two
+    Exact: every row adds to ``points`` sums, and a task sends on one row of each. Fewer than two
     values, or values that are all the same, have no density: no rows.
     """
-    s = _bounds(df, [column])[column]
-    width = s.sd * F.pow(s.n, F.lit(-0.2))
-    start = s.lo - F.lit(cut) * width
-    step = (s.hi - s.lo + F.lit(2 * cut) * width) / F.lit(points - 1)
-    values = df.select(known(column).alias("x")).filter(F.col("x").isNotNull() & (s.sd > 0))
-
-    def kernel(point: int) -> Column:
-        z = F.try_divide(start + F.lit(point) * step - F.col("x"), width)
-        return F.sum(F.exp(F.lit(-0.5) * z * z))
-
-    sums = values.agg(F.array(*[kernel(i) for i in range(points)]).alias("sums"))
-    rows = sums.select(F.posexplode("sums").alias("point", "total")).filter(F.col("total").isNotNull())
-    scale = s.n * width * F.sqrt(F.lit(2.0) * F.pi())
-    return rows.select(
-        "point", (start + F.col("point") * step).alias("x"), (F.col("total") / scale).alias("density")
+    k = _kernel(df, column, points, cut)
+    values = df.select(known(column).alias("x"), F.lit(1.0).alias("mass")).filter(F.col("x").isNotNull() & (k.spread > 0))
+    return _summed(values, k, points)
+
+
+def binned(df: DataFrame, column: str, width: Column, origin: Column) -> DataFrame:
+    """``(slot, mass)``: each value split between the two ends of its fine bin, by how near it is to them.
+
+    Masses add up, so tables of them from days or files merge by adding, and a task sends on one row a bin.
+    """
+    at = F.try_divide(known(column) - origin, width)
+    slot = F.floor(at)
+    ends = F.array(
+        F.struct(slot.alias("slot"), (1 - (at - slot)).alias("mass")), F.struct((slot + 1).alias("slot"), (at - slot).alias("mass"))
     )
+    rows = df.select(F.explode(F.when(at.isNotNull(), ends).otherwise(F.array())).alias("e")).select("e.*")
+    return rows.groupBy("slot").agg(F.sum("mass").alias("mass"))
+
+
+def binned_density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0, error: float = 1e-4) -> DataFrame:
+    """As ``density`` to within ``error`` of the highest density one value can give, from fine bins.
+
+    Splitting a value between the ends of a bin moves the bell's height at any point by at most an eighth of the squared bin width times the bell's
+    greatest curvature, its peak over the squared bandwidth. So bins of the bandwidth times the root of 8 x ``error`` keep the bound, and their number depends on
+    the range and the bound, not on the rows; only bins meet the points.
+    """
+    k = _kernel(df, column, points, cut)
+    fine = k.width * F.lit((8 * error) ** 0.5)
+    origin = k.start + F.lit(cut) * k.width
+    bins = binned(df.filter(k.spread > 0), column, fine, origin)
+    return _summed(bins.select((origin + F.col("slot") * fine).alias("x"), "mass"), k, points)
 
 
 def relation(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:

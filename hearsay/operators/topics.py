@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -26,6 +27,7 @@ SEED = 50
 BLOCK_CENTRES = 1_000
 MAX_CENTRE_BYTES = 64 << 20
 NAME_WORDS = 4
+TASK_EDGES = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,14 +81,33 @@ def _around(cell: Column, dims: int) -> Column:
     return F.transform(offsets, lambda o: F.zip_with(cell, o, lambda a, b: a + b))
 
 
+def _flood(table: pa.Table) -> pa.Table:
+    """Smallest cell reachable from each, for edges that fit one task."""
+    sets: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while sets.setdefault(x, x) != x:
+            sets[x] = x = sets[sets[x]]
+        return x
+
+    for a, b in zip(table["cell"].to_pylist(), table["near"].to_pylist(), strict=True):
+        a, b = sorted((find(tuple(a)), find(tuple(b))))
+        sets[b] = a
+    cells = list(sets)
+    kind = pa.list_(pa.int64())
+    return pa.table([pa.array(map(list, cells), kind), pa.array([list(find(c)) for c in cells], kind)], ["cell", "label"])
+
+
 def _components(dense: DataFrame, dims: int) -> DataFrame:
     """Smallest cell reachable from each dense cell over touching dense cells.
 
-    Labels spread to neighbours and then jump to their label's label, so chains close in few
+    Up to ``TASK_EDGES`` touching pairs are joined in one task. Beyond that labels spread to neighbours and then jump to their label's label, so chains close in few
     rounds; it ends when a round changes nothing. Each round is checkpointed.
     """
     touching = dense.select("cell", F.explode(_around(F.col("cell"), dims)).alias("near"))
     edges = cut_lineage(touching.join(dense.select(F.col("cell").alias("near")), "near", "left_semi"))
+    if edges.count() <= TASK_EDGES:
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_flood, "cell array<bigint>, label array<bigint>")
     labels = dense.select("cell", F.col("cell").alias("label"))
     while True:
         spread = edges.join(labels.select(F.col("cell").alias("near"), "label"), "near").groupBy("cell").agg(
@@ -153,9 +174,12 @@ def topic_probabilities(df: DataFrame, vector: str, centres: DataFrame, topic: s
         """The vector at length 1; a zero vector stays as it is."""
         return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
-    ordered = numbered(centres.select(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c")), [F.col("topic")], "__place")
-    ordered = cut_lineage(ordered)
+    ordered = cut_lineage(centres.select(F.col(topic).alias("topic"), unit(F.col("centroid")).alias("c")))
     blocks = max(1, -(-ordered.count() // BLOCK_CENTRES))
+    if blocks > 1:
+        ordered = cut_lineage(numbered(ordered, [F.col("topic")], "__place"))
+    else:
+        ordered = ordered.withColumn("__place", F.lit(0))
     rows = df.withColumn("__own", unit(_array(df, vector))).withColumn(
         "__powers", F.array().cast("array<struct<topic:int,power:double>>")
     )

@@ -112,3 +112,22 @@ def test_weights_that_sum_to_nothing_give_the_plain_mean(spark):
 @pytest.mark.parametrize("values", [[5.0, 5.0, 5.0], [1.0], [None], []])
 def test_no_spread_has_no_density(spark, values):
     assert distributions.density(spark.createDataFrame([(v,) for v in values], "x double"), "x").count() == 0
+
+
+def test_binned_density_keeps_its_bound(spark):
+    import math
+    import random
+
+    from hearsay.operators import distributions
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(r.choice((r.gauss(0, 1), r.gauss(6, 0.2))),) for _ in range(3000)] + [(None,), (float("nan"),)], "x double")
+    exact = {p.point: (p.x, p.density) for p in distributions.density(df, "x").collect()}
+    n, sd = 3000, df.dropna().selectExpr("stddev(x)").first()[0]
+    peak = 1 / (sd * n**-0.2 * math.sqrt(2 * math.pi))
+    for error in (1e-2, 1e-4, 1e-6):
+        close = {p.point: (p.x, p.density) for p in distributions.binned_density(df, "x", error=error).collect()}
+        assert set(close) == set(exact) == set(range(200))
+        assert all(abs(close[i][0] - exact[i][0]) < 1e-9 and abs(close[i][1] - exact[i][1]) <= error * peak for i in exact)
+    same = spark.createDataFrame([(1.0,), (1.0,)], "x double")
+    assert distributions.binned_density(same, "x").count() == distributions.density(same, "x").count() == 0

@@ -57,6 +57,14 @@ def test_density_topics_match_flood_fill(spark, seed):
     assert -1 in got.values() and len(set(got.values())) > 3
 
 
+def test_rounds_find_the_topics_of_one_task(spark, monkeypatch):
+    rng = random.Random(3)
+    points = {i: (rng.gauss(0, 0.4), rng.gauss(0, 0.4)) for i in range(200)} | {300 + i: (6 + i * 0.04, 0.0) for i in range(100)}
+    df = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in points.items()], "k int, c array<double>")
+    monkeypatch.setattr(topics, "TASK_EDGES", 0)
+    assert {r.k: r.topic for r in topics.density_topics(df, "k", "c", 2, 0.25, 3, 10).collect()} == brute_topics(points, 0.25, 3, 10)
+
+
 def test_long_chain_is_one_topic(spark):
     df = spark.range(900).select(F.col("id").alias("k"), F.array((F.floor(F.col("id") / 3) + 0.5).cast("double")).alias("c"))
     assert {r.topic for r in topics.density_topics(df, "k", "c", 1, 1.0, 3, 10).collect()} == {0}
