@@ -287,7 +287,7 @@ _FINE = "(h * sqrt(8e0 * 1e-4))"
     "a18_binned_density",
     f"with {v.PROBS}, b as (select min(neg_effective) as lo, max(neg_effective) as hi, count(*) as n, "
     "stddev_samp(neg_effective) * pow(count(*), -2e-1) as h from probs), "
-    f"f as (select (neg_effective - lo) / {_FINE} as at from probs, b), "
+    f"f as (select (neg_effective - lo) / {_FINE} as spot from probs, b), "
     "m as (select floor(spot) as slot, 1 - (spot - floor(spot)) as mass from f union all select floor(spot) + 1, spot - floor(spot) from f), "
     "c as (select slot, sum(mass) as mass from m group by 1), "
     "p as (select unnest(range(200)) as point), g as (select point, n, h, lo, lo - 3 * h + point * (hi - lo + 6 * h) / 199 as x from p, b), "
