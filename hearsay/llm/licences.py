@@ -85,6 +85,7 @@ TELLING = {
     "cc0": ["cc0", "waived all"], "gpl": ["gnu general", "gpl"], "isc": ["isc"], "lgpl": ["lesser general", "lgpl"],
     "mit": ["mit", "hereby granted"], "mpl": ["mozilla", "mpl"],
 }
+PIECE_LINES = 1000
 # Words that say nothing about licences.
 COMMON = frozenset("0 code copy form forms has a all and any are as at by can following for in is it may of or provided person possible published related subject that the this to under use version with work you".split())
 # Sentences with the same words that state no licence of these families.
@@ -156,7 +157,8 @@ def train(docs: DataFrame, sampled_docs: int = SAMPLED_DOCS, sampled_paragraphs:
     """Fit family weights and the calibration of the unknown class.
 
     Statements are the ``TEMPLATES``, as they stand and behind words of sampled paragraphs; unknown are ``OTHERWISE`` and sampled
-    paragraphs that hold no three words in a row of a template. The sample is bounded: paragraphs of the ``sampled_docs``
+    paragraphs that hold no three words in a row of a template. (Words ahead of a statement are the first 200 characters of a
+    sampled paragraph.) The sample is bounded: paragraphs of the ``sampled_docs``
     documents of the least hash of their id, ``sampled_paragraphs`` of them. One in four rows is kept back from
     the weights and fits the calibration: the probability that a paragraph states any family, given how
     much likelier the best family is than none. No documents are needed.
@@ -247,9 +249,17 @@ def _breaks(docs: DataFrame, confirmed: float) -> DataFrame:
     longest = max(len(_plain_words(t)) for some in TEMPLATES.values() for t in some)
     keys = _keys(confirmed)
     text = F.col("text").cast("string")
-    lines = docs.filter(text.contains("\n") & F.lower(text).rlike("|".join(re.sub("0", "[0-9]+", k) for k in keys))).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(text, "\n"), words).alias("lines")
+    texts = docs.filter(text.contains("\n") & F.lower(text).rlike("|".join(re.sub("0", "[0-9]+", k) for k in keys))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.split(text, "\n").alias("all")
     )
+    # a long text goes on in pieces of so many breaks, each with the lines around them that a statement may reach
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 2) / PIECE_LINES).cast("int")), lambda c: F.struct(
+        (c * PIECE_LINES).alias("first"), F.least(c * PIECE_LINES, F.lit(longest)).alias("skip"),
+        F.slice("all", F.greatest(c * PIECE_LINES - longest, F.lit(0)) + 1, F.least(c * PIECE_LINES, F.lit(longest)) + PIECE_LINES + longest).alias("lines"),
+    ))
+    # outer forms, since plain ones would be filtered ahead, for which all pieces would be made again
+    pieces = texts.select("doc_id", F.explode_outer(piece).alias("p")).filter("p is not null")
+    lines = pieces.select("doc_id", "p.first", "p.skip", F.transform("p.lines", words).alias("lines"))
     literal = F.array(*(F.lit(k) for k in keys))
 
     def around(i: Column) -> Column:
@@ -263,12 +273,12 @@ def _breaks(docs: DataFrame, confirmed: float) -> DataFrame:
         own = F.element_at("lines", i + 1)
         seen = F.concat(_last(own, longest), F.slice(F.flatten(after), F.lit(1), F.lit(longest)))
         return F.struct(
-            i.alias("paragraph"), own.alias("own"), after.alias("after"), _last(F.flatten(F.reverse(before)), longest).alias("before"), seen.alias("words")
+            (F.col("first") + i - F.col("skip")).alias("paragraph"), own.alias("own"), after.alias("after"), _last(F.flatten(F.reverse(before)), longest).alias("before"), seen.alias("words")
         )
 
-    found = F.transform(F.sequence(F.lit(0), F.size("lines") - 2), around)
+    last = F.least(F.col("skip") + PIECE_LINES - 1, F.size("lines") - 2)
+    found = F.transform(F.sequence(F.col("skip"), last), around)
     found = F.filter(found, lambda x: (F.size(x["own"]) > 0) & (F.size(x["after"]) > 0) & F.arrays_overlap(x["words"], literal))
-    # a plain inline would be filtered ahead, for which all words would be made again for every line
     return lines.select("doc_id", F.inline_outer(found)).filter("paragraph is not null").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearsay.llm.common import lists, map_slices, mix, split_words, starts, table
+from hearsay.llm.common import lists, map_slices, mix, split_words, starts, step, table
 
 TRAINING_ROWS = 8000
 PREFIXES = (4, 5, 7)
 COMMON = 0.02
 LIFT = 10.0
+TELLS = 50.0
 GRADES = (1, 4, 10)  # toxic words from which a toxic text is mild, strong, severe
 
 
@@ -156,36 +157,55 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) ->
     sample = known.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the sample is bounded by ``max_rows`` ids, so it may be sent everywhere and the texts stay put
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(
+    rows = step(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(
         map_slices(_sparse, "text"), "toxic int, features array<long>, counts array<long>"
-    ).toArrow()
-    toxic = rows["toxic"].to_numpy() > 0 if rows.num_rows else np.zeros(0, dtype=bool)
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.array([1e9, 2e9, 3e9]) if not toxic.any() else np.array([-1.0, 1e9, 2e9]))
-    column = rows["features"].combine_chunks()
+    ), "features")
+    n1, n0 = (x or 0 for x in rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first())
+    if not n1 or not n0:
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.array([1e9, 2e9, 3e9]) if not n1 else np.array([-1.0, 1e9, 2e9]))
+    # features are counted where they are, and the driver gets those that may have a weight: however many words
+    # texts have, few of them are in so many toxic ones
+    has = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count_if(F.col("toxic") > 0).alias("in_toxic"), F.count_if(F.col("toxic") <= 0).alias("in_clean")
+    )
+    # a feature of a few texts only would learn their labels by heart, wrong ones included
+    common = has.filter((F.col("in_toxic") >= max(3, COMMON * n1)) & (F.col("in_toxic") / n1 > LIFT * F.col("in_clean") / n0))
+    found = sorted((r["feature"], r["in_toxic"] / n1 > TELLS * r["in_clean"] / n0) for r in common.collect())
+    names = np.array([f for f, _ in found], dtype=np.int64)
+    telling = np.array([t for _, t in found], dtype=bool)
+    kept = rows.mapInArrow(_only(names), "toxic int, features array<long>, counts array<long>").toArrow()
+    toxic = kept["toxic"].to_numpy() > 0
+    column = kept["features"].combine_chunks()
     sizes = column.value_lengths().to_numpy()
     doc, feature = np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy()
-    count = rows["counts"].combine_chunks().flatten().to_numpy()
-    names, feature = np.unique(feature, return_inverse=True)
-    in_toxic = np.bincount(feature, toxic[doc], len(names))
-    in_clean = np.bincount(feature, ~toxic[doc], len(names))
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    rate_toxic, rate_clean = in_toxic / n1, in_clean / n0
-    # a feature of a few texts only would learn their labels by heart, wrong ones included
-    common = in_toxic >= max(3, COMMON * n1)
-    telling = common & (rate_toxic > 50 * rate_clean)
-    hits = np.bincount(doc[telling[feature]], count[telling[feature]], len(sizes))
-    per_word = np.maximum(1, np.bincount(doc[telling[feature]], minlength=len(sizes)))
+    count = kept["counts"].combine_chunks().flatten().to_numpy()
+    tells = telling[feature]
+    hits = np.bincount(doc[tells], count[tells], len(sizes))
+    per_word = np.maximum(1, np.bincount(doc[tells], minlength=len(sizes)))
     # a word has several features, of which those that tell are counted once each
     words = hits / np.clip(per_word, 1, len(PREFIXES) + 1)
     grade = np.where(toxic, np.maximum(1, np.searchsorted(GRADES, words, side="right")), 0)
-    strong = np.flatnonzero(common & (rate_toxic > LIFT * rate_clean))
-    place = np.full(len(names), -1)
-    place[strong] = np.arange(len(strong))
-    keep = place[feature] >= 0
-    w, b = fit_ordinal(doc[keep], place[feature[keep]], np.log1p(count[keep]), grade, len(strong))
+    w, b = fit_ordinal(doc, feature, np.log1p(count), grade, len(names))
     used = w != 0
-    return Model(names[strong][used], w[used], b)
+    return Model(names[used], w[used], b)
+
+
+def _only(names: np.ndarray):
+    """Rows with the given features alone, each by its place among them."""
+
+    def only(batches):
+        for batch in batches:
+            column = batch["features"]
+            own = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+            feature, count = column.flatten().to_numpy(), batch["counts"].flatten().to_numpy()
+            at = np.searchsorted(names, feature)
+            keep = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == feature) if len(names) else np.zeros(0, dtype=np.int64)
+            sizes = np.bincount(own[keep], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch["toxic"], lists(at[keep], sizes, pa.int64()), lists(count[keep], sizes, pa.int64())], ["toxic", "features", "counts"]
+            )
+
+    return only
 
 
 def _score(model: Model):

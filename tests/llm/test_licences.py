@@ -74,3 +74,18 @@ def test_no_template_without_a_key():
         runs = licences._runs(t, 2)
         assert sum(not keys & set(r) for r in runs) < licences.CONFIRMED * len(runs)
     assert not keys & {"the", "of", "and", "to", "in"}
+
+
+def test_long_texts_go_in_pieces(spark, model, monkeypatch):
+    """A text of very many lines, with a statement wrapped around the end of a piece, and the same by small pieces."""
+    filler = [f"line {chr(97 + i % 26)}" for i in range(200_000)]
+    for at in (0, 998, 1500, 150_000):
+        filler[at : at + 3] = GPL.split("\n")
+    docs = spark.createDataFrame([(1, "\n".join(filler)), *[(i + 10, t) for i, (t, *_) in WHOLE.items()]], "doc_id long, text string")
+    runs = []
+    for lines in (licences.PIECE_LINES, 2):
+        monkeypatch.setattr(licences, "PIECE_LINES", lines)
+        some = docs if lines > 2 else docs.filter("doc_id > 1")
+        runs.append({(r.doc_id, r.paragraph, r.family, r.likeness) for r in licences.scan(some, model).filter("confirmed").collect()})
+    assert {(p, f) for d, p, f, _ in runs[0] if d == 1} == {(p, "gpl") for p in (0, 998, 1500, 150_000)}
+    assert {x for x in runs[0] if x[0] > 1} == runs[1]
