@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import uuid
 
 from pyspark.sql import functions as F
@@ -226,6 +228,28 @@ def m11(spark, sf):
     return found.select("labelling", "n", v.r("accuracy", "accuracy"), v.r("gain", "gain"))
 
 
+_POISSON = []
+_chance, _below = math.exp(-1), 0.0
+for _k in range(1, 13):
+    _below += _chance
+    _POISSON.append(f"cast(u >= {_below!r}e0 as int)")
+    _chance /= _k
+
+
+@check(
+    "m11_gain_interval",
+    f"with {_JUDGED}, r as (select post_id, cast(by_post = toxic as int) - cast(by_body = toxic as int) as more from judged), "
+    "e as (select more, rep, cast('0x' || md5('gain:' || post_id || ':' || rep)[1:8] as bigint) / 4294967296e0 as u from r, (select unnest(range(200)) as rep) x), "
+    f"w as (select rep, more, {' + '.join(_POISSON)} as w from e), "
+    "b as (select rep, sum(w * more) / sum(w) as g, count(*) as n, sum(more) / count(*) as gain from w group by 1), "
+    "l as (select any_value(n) as n, any_value(gain) as gain, list(g order by g) as g from b) "
+    f"select n, {_rd('gain', 'gain')}, {_rd('g[5]', 'low')}, {_rd('g[195]', 'high')} from l",
+)
+def m11_interval(spark, sf):
+    found = scoring.gain_interval(_judged(spark, sf), "post_id", "toxic", "by_body", "by_post")
+    return found.select("n", v.r("gain", "gain"), v.r("low", "low"), v.r("high", "high"))
+
+
 @check("m11_confusion", f"with {_JUDGED} select by_post, toxic, count(*) as n from judged group by 1, 2")
 def m11_confusion(spark, sf):
     return scoring.confusion(_judged(spark, sf), "by_post", "toxic")

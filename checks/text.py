@@ -161,6 +161,34 @@ check("x5_lemmatise", _LEMMA_SQL)(_lemma_query(lemmas.MAX_DICTIONARY_ROWS))
 check("x5_lemmatise_by_join", _LEMMA_SQL)(_lemma_query(0))
 
 
+_ENDINGS = (
+    f"d as (select unnest({tokens_sql('text')}) as token from documents), t as (select distinct token from d where length(token) > 0), "
+    "p as (select token, case when token like '%ing' then left(token, length(token) - 3) || 'e' when token like '%ies' then left(token, length(token) - 3) || 'y' "
+    "when token like '%s' and length(token) % 2 = 0 then left(token, length(token) - 1) else token end as lemma from t)"
+)
+
+
+@check(
+    "x5_ending_counts",
+    f"with {_ENDINGS}, e as (select token, lemma, unnest(range(1, least(length(token) - 1, 6) + 1)) as l from p where length(token) > 1), "
+    "r as (select right(token, l) as suffix, case when left(token, length(token) - l) = left(lemma, length(token) - l) and length(lemma) >= length(token) - l "
+    "then substr(lemma, length(token) - l + 1) end as replacement from e), "
+    "c as (select suffix, replacement, count(*) as n from r group by 1, 2), "
+    "m as (select suffix, cast(sum(n) as bigint) as m from c group by 1) "
+    "select suffix, replacement, n, m from c join m using (suffix) where replacement is not null",
+)
+def x5_endings(spark, sf):
+    """How often each ending of the texts' words becomes which, by lemmas made by a formula."""
+    words = v.table(spark, sf, "documents").select(F.explode(text.clean_tokens("text")).alias("token")).distinct()
+    size = F.length("token")
+    lemma = (
+        F.when(F.col("token").endswith("ing"), F.concat(F.left("token", size - 3), F.lit("e")))
+        .when(F.col("token").endswith("ies"), F.concat(F.left("token", size - 3), F.lit("y")))
+        .when(F.col("token").endswith("s") & (size % 2 == 0), F.left("token", size - 1)).otherwise(F.col("token"))
+    )
+    return lemmas.ending_counts(words.select("token", lemma.alias("lemma")))
+
+
 @check(
     "p10_lists_to_text",
     f"with {v.COMMENTS} select comment_id, {clean_sql('body')} as body_tokens from comments",
