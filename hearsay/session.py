@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,9 +66,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; nothing there is ever overwritten."""
-    return f"{shared_dir(spark).rstrip('/')}/hearsay/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/hearsay/{_run.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """One folder for all that is staged while the block runs, which goes as it ends.
+
+    Results are lazy: write or collect them within the block. Without such a block staged tables stay until the shared folder is cleared, since
+    no operator can tell when its result has been read for the last time.
+    """
+    name = f"run-{uuid.uuid4().hex}/"
+    token = _run.set(_run.get() + name)
+    path = f"{shared_dir(spark).rstrip('/')}/hearsay/{_run.get()}".rstrip("/")
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        discard(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
