@@ -261,6 +261,7 @@ def _breaks(docs: DataFrame, confirmed: float) -> DataFrame:
     pieces = texts.select("doc_id", F.explode_outer(piece).alias("p")).filter("p is not null")
     lines = pieces.select("doc_id", "p.first", "p.skip", F.transform("p.lines", words).alias("lines"))
     literal = F.array(*(F.lit(k) for k in keys))
+    lines = lines.withColumn("keyed", F.transform("lines", lambda w: F.arrays_overlap(w, literal)))
 
     def around(i: Column) -> Column:
         after = F.slice("lines", i + 2, F.lit(longest))
@@ -277,7 +278,9 @@ def _breaks(docs: DataFrame, confirmed: float) -> DataFrame:
         )
 
     last = F.least(F.col("skip") + PIECE_LINES - 1, F.size("lines") - 2)
-    found = F.transform(F.sequence(F.col("skip"), last), around)
+    # most breaks have no key in reach, which is told by a flag a line
+    near = F.filter(F.sequence(F.col("skip"), last), lambda i: F.array_contains(F.slice("keyed", i + 1, F.lit(longest + 1)), True))
+    found = F.transform(near, around)
     found = F.filter(found, lambda x: (F.size(x["own"]) > 0) & (F.size(x["after"]) > 0) & F.arrays_overlap(x["words"], literal))
     return lines.select("doc_id", F.inline_outer(found)).filter("paragraph is not null").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
