@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.scalars import is_complaint
 from hearsay.functions.text import clean_tokens
-from hearsay.operators import topics
+from hearsay.operators import hierarchy, topics
 from hearsay.session import cut_lineage
 
 CUT = 0.2
@@ -40,11 +40,12 @@ def complaint_topics(
     min_topic: int = 10,
     k: int | None = None,
     vector: str | None = None,
+    neighbours: int | None = None,
 ) -> Complaints:
     """Filter, embed, reduce, cluster and describe.
 
     ``vector`` names a column of ready embeddings, else texts are embedded by TF-IDF. With ``k``
-    the clusters come from k-means, else from density. The vectors are checkpointed, since the
+    the clusters come from k-means, with ``neighbours`` from the density of so many neighbours in the reduced space, else from that of grid cells. The vectors are checkpointed, since the
     clustering passes over them many times.
     """
     chosen = complaints(results, cut)
@@ -54,7 +55,10 @@ def complaint_topics(
         found = topics.centroid_topics(vectors, key, "vector", k)
     else:
         reduced = cut_lineage(topics.reduce_dimensions(vectors, "vector", dims, "coords").select(key, "coords"))
-        found = topics.density_topics(reduced, key, "coords", dims, width, min_cell, min_topic)
+        found = (
+            hierarchy.neighbour_topics(reduced, key, "coords", min_topic, neighbours) if neighbours
+            else topics.density_topics(reduced, key, "coords", dims, width, min_cell, min_topic)
+        )
     assigned = cut_lineage(vectors.join(found, key))
     words = topics.topic_words(assigned, "topic", "tokens")
     return Complaints(

@@ -120,6 +120,10 @@ def test_complaint_job_separates_two_themes(spark):
     assert job.docs.count() == 20
     dense = complaints.complaint_topics(results, dims=2, width=0.5, min_cell=3)
     assert dense.assigned.count() == 80
+    near = complaints.complaint_topics(results, dims=2, neighbours=6)
+    found = {r.post_id: r.topic for r in near.assigned.collect()}
+    even, odd = ({found[str(i)] for i in range(n, 80, 2)} - {-1} for n in (0, 1))
+    assert len(found) == 80 and even and odd and not even & odd  # no topic holds both themes
 
 
 def test_probabilities_in_blocks_are_the_same(spark, monkeypatch):
