@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearsay.operators.skew import first_per_key, lookup_join
 from hearsay.session import staged
-from hearsay.sources import tables
+from hearsay.sources import key_ranges, tables
 
 
 def safe_union(frames: Iterable[DataFrame | None]) -> DataFrame | None:
@@ -56,6 +56,26 @@ def insert_or_ignore(df: DataFrame, table: str, key: str, order: Sequence[Column
         return Inserted(rows.count(), spark.table(table).count() - before)
 
 
+def insert_by_ranges(df: DataFrame, table: str, key: str, order: Sequence[Column | str] = ()) -> Inserted:
+    """As ``insert_or_ignore``, but opening only files whose key range holds one of the new keys.
+
+    For many small inserts into a large table. Rows go in sorted by key, so that files have narrow ranges; the ranges
+    of new files are noted after the files are there. Without noted ranges all files are read, and noted then: so the first such
+    insert into an old table, and files that others added since, cost one reading of their keys. One writer per table.
+    """
+    spark = df.sparkSession
+    first = dedup(df.filter(F.col(key).isNotNull()), key, [*order, F.xxhash64(*df.columns)])
+    with staged(first, table.split(".")[-1]) as rows:
+        picked = key_ranges.files_that_may_hold(rows.select(key), table, key)
+        known = tables.keys(spark, table, key) if picked is None else key_ranges.read_files(spark, table, picked, key)
+        before = set(key_ranges.stored_files(spark, table))
+        # one row a key on both sides, so no key is hot
+        tables.append(rows.join(known, key, "left_anti"), table, sort_by=key)
+        key_ranges.add_ranges(spark, table, key, key_ranges.unnoted(spark, table))
+        new = [f for f in key_ranges.stored_files(spark, table) if f not in before]
+        return Inserted(rows.count(), key_ranges.read_files(spark, table, new, key).count())
+
+
 def with_parent(comments: DataFrame, posts: DataFrame, **options) -> DataFrame:
     """Comments whose post exists."""
     return lookup_join(comments, posts.select("post_id"), "post_id", "left_semi", **options)

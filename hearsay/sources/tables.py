@@ -57,8 +57,11 @@ def keys(spark: SparkSession, table: str, key: str) -> DataFrame:
     return spark.table(table).select(key)
 
 
-def append(df: DataFrame, table: str) -> None:
-    """Append by column name; rows of a bucketed table are brought to their bucket first."""
+def append(df: DataFrame, table: str, sort_by: str | None = None) -> None:
+    """Append by column name; rows of a bucketed table are brought to their bucket first.
+
+    With ``sort_by`` files are sorted by that column, and those of a table without buckets hold a range of it each.
+    """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         df.write.saveAsTable(table)
@@ -69,7 +72,9 @@ def append(df: DataFrame, table: str) -> None:
     if buckets:
         key = [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
         ordered = ordered.repartition(buckets, *key)
-    ordered.write.insertInto(table)
+    elif sort_by:
+        ordered = ordered.repartitionByRange(F.col(sort_by))
+    (ordered.sortWithinPartitions(sort_by) if sort_by else ordered).write.insertInto(table)
 
 
 def replace(df: DataFrame, table: str, location: str) -> str:

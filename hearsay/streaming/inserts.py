@@ -17,7 +17,7 @@ def landed_stream(spark: SparkSession, path: str, schema: T.StructType, files_pe
 def insert_stream(
     stream: DataFrame, table: str, key: str, order: Sequence[Column | str], checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Insert each micro-batch where its keys are new.
+    """Insert each micro-batch where its keys are new, opening only files whose key range holds one of them.
 
     The stored keys are the only state: repeats are found however late they come, where a watermark
     would forget them and drop late rows unseen. A batch that is replayed after a failure finds its
@@ -26,7 +26,7 @@ def insert_stream(
     reader = stream.sparkSession
 
     def store(batch: DataFrame, _: int) -> None:
-        upsert.insert_or_ignore(batch, table, key, order)
+        upsert.insert_by_ranges(batch, table, key, order)
         # the batch ran in a session of its own; the reader's may still hold the old file list
         reader.catalog.refreshTable(table)
 
