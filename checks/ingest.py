@@ -436,6 +436,32 @@ def u4(spark, sf):
     return counts.select(shown.alias("x")).select("x.*")
 
 
+_ROUND = f"(coalesce(list_position({SUBS}, subreddit), 21) - 1) // 5 * 2 + case mode when 'top' then 0 else 1 end"
+
+
+@check(
+    "u4_top_up",
+    f"with {v.LISTING}, places as (select id, {_ROUND} as place from landed where mode <> 'new' group by 1, 2), "
+    "firsts as (select id, min(place) as place from places group by 1), ids as (select count(*) * 5 // 8 as target from firsts), "
+    "tried as (select place, count(*) as attempted from places group by 1), brought as (select place, count(*) as added from firsts group by 1), "
+    "sums as (select place, attempted, coalesce(added, 0) as added, sum(coalesce(added, 0)) over (order by place) as total from tried left join brought using (place)) "
+    "select cast(place + 1 as int) as round, attempted, added, cast(total as bigint) as total, cast(greatest(target - total, 0) as bigint) as wanted "
+    "from sums, ids where total - added < target",
+)
+def u4_top_up(spark, sf):
+    """Five sources' listings a round, the top ones and then the hot ones, until five eighths of all landed posts are stored."""
+    database, _ = _database(spark)
+    landed = v.landed(spark, sf)
+    shaped = landing.shape_listing(landed).withColumn("sweep_rank", F.struct("rank")).drop("rank", "time_filter")
+    target = landed.select("id").distinct().count() * 5 // 8
+    named = [F.col("subreddit").isin(SUBS[i : i + 5]) for i in range(0, len(SUBS), 5)]
+    groups = [*named, ~F.coalesce(F.col("subreddit").isin(SUBS), F.lit(False))]
+    sweeps = (shaped.filter(group & (F.col("mode") == mode)) for group in groups for mode in ("top", "hot"))
+    rounds = ingest.top_up(spark, sweeps, f"{database}.posts", target)
+    rows = [(i + 1, x.attempted, x.added, x.total, x.wanted) for i, x in enumerate(rounds)]
+    return spark.createDataFrame(rows, "round int, attempted long, added long, total long, wanted long")
+
+
 @check(
     "u5_insert_or_ignore",
     f"with {v.POSTS}, {STORED} select post_id, title, case when post_id in (select post_id from stored) then -1 else score end as score from posts",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,32 @@ def insert_posts(spark: SparkSession, swept: DataFrame, table: str) -> upsert.In
     return upsert.insert_or_ignore(first_posts(swept), table, "post_id")
 
 
+@dataclass(frozen=True)
+class Round:
+    """What one sweep of a top-up brought, and how many posts are still wanted after it."""
+
+    attempted: int
+    added: int
+    total: int
+    wanted: int
+
+
+def top_up(spark: SparkSession, sweeps: Iterable[DataFrame], table: str, target: int) -> list[Round]:
+    """Insert one sweep after the other until the table holds ``target`` posts or no sweep is left.
+
+    A sweep is inserted whole, so the table may end with more than ``target``. Sweeps are taken only when they are
+    wanted: a generator may land new listings first, or end when the last ones brought nothing. A table that holds enough is left
+    as it is, and no round is given; a top-up that failed is simply run again.
+    """
+    rounds: list[Round] = []
+    total, waiting = spark.table(table).count(), iter(sweeps)
+    while total < target and (swept := next(waiting, None)) is not None:
+        done = insert_posts(spark, swept, table)
+        total += done.added
+        rounds.append(Round(done.attempted, done.added, total, max(0, target - total)))
+    return rounds
+
+
 def upsert_comments(
     spark: SparkSession, landed_comments: DataFrame, post_ids: DataFrame, posts_table: str, comments_table: str
 ) -> upsert.Inserted:

@@ -104,6 +104,22 @@ def test_top_n_per_group(spark, n):
         (0, n, 5998 - 2 * (n - 1)), (1, n, 5999 - 2 * (n - 1))]
 
 
+def test_top_up_takes_sweeps_only_while_posts_are_wanted(spark, database):
+    name, taken = f"{database}.posts", []
+
+    def sweeps(*parts):
+        for part in parts:
+            taken.append(part)
+            rows = [(str(i), f"t{i}", 1, "s", i) for i in part] + [(None, "t", 1, "s", 9)]
+            yield spark.createDataFrame(rows, "id string, title string, score bigint, subreddit string, sweep_rank int")
+
+    found = ingest.top_up(spark, sweeps(range(3), range(3), range(2, 8), range(20)), name, 6)
+    assert found == [ingest.Round(3, 3, 3, 3), ingest.Round(3, 0, 3, 3), ingest.Round(6, 5, 8, 0)] and len(taken) == 3
+    assert ingest.top_up(spark, sweeps(range(50)), name, 8) == [] and len(taken) == 3
+    assert ingest.top_up(spark, sweeps(range(9)), name, 100) == [ingest.Round(9, 1, 9, 91)]
+    assert ingest.top_up(spark, [], name, 100) == []
+
+
 def test_listing_modes_and_limits(spark):
     with pytest.raises(ValueError):
         landing.check_modes(["top", "best"])
