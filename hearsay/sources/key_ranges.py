@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearsay.session import discard
 from hearsay.sources import tables
 
 MAX_FILES = 100_000  # names the driver goes through; a table of more is read whole
@@ -48,6 +49,10 @@ def read_files(spark: SparkSession, table: str, files: Sequence[str], *columns:
     return spark.table(table).filter(F.col("_metadata.file_name").isin(list(files))).select(*columns)
 
 
+def _location(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").select("data_type").first()[0]
+
+
 def _range_rows(spark: SparkSession, table: str, key: str, files: Sequence[str]) -> DataFrame:
     rows = read_files(spark, table, files, F.col("_metadata.file_name").alias("file"), F.col(key).alias("k"))
     ends = rows.groupBy("file").agg(F.min("k").alias("least"), F.max("k").alias("greatest"))
@@ -63,8 +68,9 @@ def add_ranges(spark: SparkSession, table: str, key: str, files: Sequence[str])
     tables.append(_range_rows(spark, table, key, files).coalesce(1), ranges)
     if len(stored_files(spark, ranges)) > MAX_RANGE_FILES:
         kept = spark.table(ranges).dropDuplicates(["file"]).coalesce(1)
-        location = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").select("data_type").first()[0]
-        tables.replace(kept, ranges, f"{location.rstrip('/')}__ranges")
+        old = _location(spark, ranges)
+        tables.replace(kept, ranges, f"{_location(spark, table).rstrip('/')}__ranges")
+        discard(spark, old)  # only the one writer reads ranges
 
 
 def _cell(key: Column, edges: Column, n: int) -> Column:
