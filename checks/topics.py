@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from hearsay.functions.text import clean_tokens
-from hearsay.operators import areas, hierarchy, layout, neighbours, topics, wordvectors
+from hearsay.operators import areas, hierarchy, layout, lloyd, neighbours, topics, wordvectors
 from hearsay.operators.skew import numbered
 from hearsay.plans import complaints
 from hearsay.session import cut_lineage
@@ -439,3 +439,101 @@ def k13_laws(spark, sf):
         F.sum("n").alias("complaints"), F.bool_and(F.col("name").startswith(F.col("topic").cast("string"))).alias("named"),
         (F.count_distinct("topic") == F.count(F.lit(1))).alias("once"),
     )
+
+
+def _lloyd(source: str, k: int, rounds: int) -> str:
+    """``placed(id, topic, distance, second)`` of ``source(id, v, w)``: starts by distance, rounds, places. For topics that keep some row each round."""
+    return (
+        f"starts as (select 1 as i, [arg_min(v, id)] as cs from {source} union all select i + 1, list_append(cs, v) from ("
+        f"select i, cs, v, id, list_min(list_transform(cs, lambda c: list_distance(v, c))) as far from starts, {source} where i < {k} "
+        "order by far desc, id limit 1) x where far > 0), "
+        "means as (select 0 as round, cs from starts where i = (select max(i) from starts) union all "
+        "select round + 1, list(c order by j) from (select round, j, list(m order by d) as c from ("
+        "select round, j, d, sum(w * x) / sum(w) as m from (select round, j, w, unnest(v) as x, unnest(range(len(v))) as d from ("
+        "select round, v, w, list_position(ds, list_min(ds)) as j from ("
+        f"select round, v, w, list_transform(cs, lambda c: list_distance(v, c)) as ds from means, {source} where round < {rounds}) x) x) x "
+        "group by round, j, d) x group by round, j) x group by round), "
+        "placed as (select id, cast(list_position(ds, list_sort(ds)[1]) - 1 as int) as topic, list_sort(ds)[1] as distance, list_sort(ds)[2] as second "
+        f"from (select id, list_transform(cs, lambda c: list_distance(v, c)) as ds from means, {source} where round = {rounds}) x)"
+    )
+
+
+TOPICS, ROUNDS = 10, 12
+_EVERY_VECTOR = "e as (select vec_id as id, cast(embedding as double[]) as v, 1e0 as w from embeddings)"
+
+
+@check(
+    "k4_lloyd_topics",
+    f"with recursive {_EVERY_VECTOR}, {_lloyd('e', TOPICS, ROUNDS)} "
+    f"select id as vec_id, topic, {_rd('distance', 'distance', 6)}, {_rd('second', 'second', 6)} from placed",
+)
+def k4_lloyd(spark, sf):
+    """Topic of every vector, how far its centre is and how far the next one."""
+    rows = lloyd.lloyd_topics(_vectors(spark, sf), "vec_id", "embedding", TOPICS, ROUNDS)
+    return rows.select("vec_id", "topic", v.r("distance", "distance", 6), v.r("second", "second", 6))
+
+
+@check(
+    "k11_lloyd_areas",
+    "with recursive x as (select label, unnest(cast(embedding as double[])) as x, unnest(range(len(embedding))) as d from embeddings where label >= 0), "
+    "e as (select label as id, list(m order by d) as v, any_value(n) as w from "
+    "(select label, d, avg(x) as m, count(*) + 0e0 as n from x group by label, d) y group by label), "
+    f"{_lloyd('e', 5, ROUNDS)} select id as topic, topic as area from placed",
+)
+def k11_lloyd(spark, sf):
+    return lloyd.lloyd_areas(_vectors(spark, sf), "embedding", 5, rounds=ROUNDS)
+
+
+_COMPLAINT_VECTORS = (
+    f"{v.PROBS}, picked as (select post_id, title || chr(58) || chr(10) || body as full_post, cast(embedding as double[]) as v from probs "
+    "join embeddings on cast(vec_id as varchar) = post_id where neg_effective > 2e-1), e as (select post_id as id, v, 1e0 as w from picked)"
+)
+
+
+@check(
+    "k13_complaint_clusters",
+    f"with recursive {_COMPLAINT_VECTORS}, {_lloyd('e', 6, ROUNDS)}, "
+    f"docs as (select post_id as vec_id, topic, {tokens_sql('full_post')} as tokens from picked join placed on id = post_id), "
+    + _INFO.removeprefix(_DOCS + ", ") + " select topic, n, name from info",
+)
+def k13_clusters(spark, sf):
+    """The whole complaint job over ready vectors, with topics that follow from the rows: sizes and names."""
+    results = v.probs(spark, sf).select(
+        "post_id", F.concat("title", F.lit(":\n"), "body").alias("full_post"), F.col("neg_effective").alias("neg_w_sarcasm")
+    )
+    ready = _vectors(spark, sf).select(F.col("vec_id").cast("string").alias("post_id"), "embedding")
+    return complaints.complaint_topics(results.join(ready, "post_id"), k=6, vector="embedding", rounds=ROUNDS).info
+
+
+# powers of the covariance by squaring leave its first direction; its share taken off, the next one is the first
+_SPECTRUM = (
+    "x as (select vec_id, unnest(cast(embedding as double[])) as x, unnest(range(len(embedding))) as d from embeddings), "
+    "m as (select d, avg(x) as m from x group by d), z as (select vec_id, x.d, x - m as z from x join m using (d)), "
+    "cov as (select a.d as i, b.d as j, sum(a.z * b.z) / (select count(distinct vec_id) - 1 from z) as c from z a join z b using (vec_id) group by a.d, b.d), "
+    "whole as (select list(r order by i) as v from (select i, list(c order by j) as r from cov group by i) x), "
+    "total as (select sum(c) as total from cov where i = j), "
+    "parts as (select 0 as part, 0 as power, v, v as p, 0e0 as e from whole union all "
+    "select case when power = 32 then part + 1 else part end, case when power = 32 then 0 else power + 1 end, "
+    "case when power = 32 then list_transform(v, lambda r, i: list_transform(r, lambda x, j: x - first * p[i][j])) else v end, "
+    "case when power = 32 then list_transform(v, lambda r, i: list_transform(r, lambda x, j: x - first * p[i][j])) "
+    "else list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r, s) / square)) end, "
+    "case when power = 32 then first else e end from ("
+    "select *, list_sum(list_transform(p, lambda r: list_dot_product(r, r))) as square, "
+    "list_sum(list_transform(v, lambda r, i: list_dot_product(r, p[i]))) as first from parts where part < 3) x)"
+)
+
+
+@check(
+    "k2_kept_variance",
+    f"with recursive {_SPECTRUM} select part as component, {_rd('e', 'variance', 7)}, {_rd('e / total', 'share', 7)} from parts, total where part > 0 and power = 0",
+)
+def k2_variance(spark, sf):
+    """The variance along each component, and its share of all."""
+    rows = cut_lineage(k2(spark, sf).join(_vectors(spark, sf).select("vec_id", F.posexplode("embedding").alias("d", "x")), "vec_id"))
+    kept = [F.var_samp(f"pc{i}").alias(f"s{i}") for i in range(3)]
+    # every dimension holds each row once, so the components' variances are the same in all of them
+    sums = rows.groupBy("d").agg(F.var_samp("x").alias("s"), *kept).agg(F.sum("s").alias("total"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(3)])
+    each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.col(f"s{i}").alias("s")) for i in range(3)])).alias("x")
+    return sums.select("total", each).select(
+        "x.component", v.r("x.s", "variance", 7), v.r(F.col("x.s") / F.col("total"), "share", 7)
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.scalars import is_complaint
 from hearsay.functions.text import clean_tokens
-from hearsay.operators import hierarchy, topics
+from hearsay.operators import hierarchy, lloyd, topics
 from hearsay.session import cut_lineage
 
 CUT = 0.2
@@ -41,17 +41,20 @@ def complaint_topics(
     k: int | None = None,
     vector: str | None = None,
     neighbours: int | None = None,
+    rounds: int | None = None,
 ) -> Complaints:
     """Filter, embed, reduce, cluster and describe.
 
     ``vector`` names a column of ready embeddings, else texts are embedded by TF-IDF. With ``k``
-    the clusters come from k-means, with ``neighbours`` from the density of so many neighbours in the reduced space, else from that of grid cells. The vectors are checkpointed, since the
+    the clusters come from k-means (with ``rounds`` too from starts picked by distance, so that the same rows give the same topics), with ``neighbours`` from the density of so many neighbours in the reduced space, else from that of grid cells. The vectors are checkpointed, since the
     clustering passes over them many times.
     """
     chosen = complaints(results, cut)
     tokens = chosen.select(key, clean_tokens(text).alias("tokens"), *([F.col(vector).alias("vector")] if vector else []))
     vectors = cut_lineage(tokens if vector else topics.embed(tokens, "tokens", "vector"))
-    if k:
+    if k and rounds:
+        found = lloyd.lloyd_topics(vectors, key, "vector", k, rounds).select(key, "topic")
+    elif k:
         found = topics.centroid_topics(vectors, key, "vector", k)
     else:
         reduced = cut_lineage(topics.reduce_dimensions(vectors, "vector", dims, "coords").select(key, "coords"))
