@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import check
+from checks.text import tokens_sql
 from hearsay.functions import lexicon as lx
 from hearsay.functions import scalars
 from hearsay.functions.aggregates import safe_weighted_mean
-from hearsay.operators import normalize, rollups, scoring
+from hearsay.operators import calibration, counted, normalize, rollups, scoring
 from hearsay.operators.skew import explode_words
 from hearsay.plans import sarcasm, sentiment
 from hearsay.session import cut_lineage, scratch_path
@@ -446,3 +447,128 @@ def s3(spark, sf):
 def p13_positive(spark, sf):
     best = rollups.extreme_row(v.probs(spark, sf), "pos_prob", "post_id")
     return best.select("post_id", F.concat("title", F.lit(":\n"), "body").alias("full_post"), v.r("pos_prob", "pos_prob"))
+
+
+_POLARITY = "case when toxic = 1 then 0 when quality = 1 then 2 else 1 end"
+
+
+def _counted_sql(labelled: str, scored: str, columns: dict[int, str], classes: int) -> str:
+    """``p`` with the probabilities of ``scored(post_id, text)`` by the words of ``labelled(text, label)``."""
+    each = range(classes)
+    n = ", ".join(f"count(*) filter (label = {i}) as n{i}" for i in each)
+    logs = ", ".join(f"ln((n{i} + 1e0) / (t{i} + v)) as w{i}" for i in each)
+    sums = ", ".join(f"sum(w{i}) as s{i}" for i in each)
+    whole = ", ".join(f"coalesce(s{i}, 0) + ln((n{i} + 1e0) / (n + {classes})) as s{i}" for i in each)
+    top = f"greatest({', '.join(f's{i}' for i in each)})"
+    total = " + ".join(f"exp(s{i} - {top})" for i in each)
+    return (
+        f"l as ({labelled}), lw as (select label, unnest({tokens_sql('text')}) as token from l), "
+        f"c as (select token, {n} from lw group by 1), sizes as (select count(*) as n, {n} from l), "
+        f"t as (select count(*) as v, {', '.join(f'sum(n{i}) as t{i}' for i in each)} from c), w as (select token, {logs} from c, t), "
+        f"x as ({scored}), xw as (select post_id, unnest({tokens_sql('text')}) as token from x), "
+        f"s as (select post_id, {sums} from xw join w using (token) group by 1), "
+        f"z as (select post_id, {whole} from x left join s using (post_id), sizes), "
+        f"p as (select post_id, {', '.join(f'exp(s{i} - {top}) / ({total}) as {c}' for i, c in columns.items())} from z)"
+    )
+
+
+_CLASSES = dict(enumerate(scoring.SENTIMENT_COLUMNS))
+_COUNTED_POLARITY = _counted_sql(
+    f"select text, {_POLARITY} as label from documents join labels using (doc_id)", "select post_id, body as text from posts", _CLASSES, 3
+)
+
+
+def _counted_polarity(spark, sf):
+    docs = v.table(spark, sf, "documents").select("doc_id", "text").join(v.table(spark, sf, "labels"), "doc_id")
+    polarity = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    return counted.count_classifier(docs.select("text", polarity.alias("label")), "text", "label", scoring.SENTIMENT_COLUMNS)
+
+
+@check(
+    "m4_counted_probabilities",
+    f"with {v.POSTS}, {_COUNTED_POLARITY} select post_id, {', '.join(_rd(c, c) for c in _CLASSES.values())} from p",
+)
+def m4_counted(spark, sf):
+    scored = _counted_polarity(spark, sf).score(v.posts(spark, sf).select("post_id", "body"), "body")
+    return scored.select("post_id", *[v.r(c, c) for c in scoring.SENTIMENT_COLUMNS])
+
+
+_FULL_TEXT = "title || chr(58) || chr(10) || body"
+
+
+@check(
+    "m5_counted_sarcasm",
+    f"with {v.SCORED_POSTS}, "
+    + _counted_sql(
+        f"select {_FULL_TEXT} as text, cast(sentiment_title > 0 and sentiment_body < 0 as int) as label from scored",
+        "select post_id, body as text from posts", {1: "sarcasm_prob"}, 2,
+    )
+    + f" select post_id, {_rd('sarcasm_prob', 'sarcasm_prob')} from p",
+)
+def m5_counted(spark, sf):
+    mixed = ((F.col("sentiment_title") > 0) & (F.col("sentiment_body") < 0)).cast("int")
+    ironic = v.scored_posts(spark, sf).select(F.concat("title", F.lit(":\n"), "body").alias("text"), mixed.alias("label"))
+    model = counted.count_classifier(ironic, "text", "label", scoring.SARCASM_COLUMNS)
+    scored = model.score(v.posts(spark, sf).select("post_id", "body"), "body")
+    return scored.select("post_id", v.r("sarcasm_prob", "sarcasm_prob"))
+
+
+CELLS = 64
+_TRUTH = (
+    f"{v.PROBS}, judged as (select neg_prob as p, cast(toxic as double) as hit from probs join labels on cast(doc_id as varchar) = post_id), "
+    f"cells as (select cast(least(floor(p * {CELLS}), {CELLS - 1}) as int) as bin, count(*) as n, avg(p) as mean_prob, avg(hit) as share, sum(hit) as hits "
+    "from judged group by 1)"
+)
+
+
+def _judged_probs(spark, sf):
+    labels = v.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("post_id"), "toxic")
+    return v.probs(spark, sf).select("post_id", "neg_prob").join(labels, "post_id")
+
+
+@check("m4_reliability", f"with {_TRUTH} select bin, n, {_rd('mean_prob', 'mean_prob')}, {_rd('share', 'share')} from cells")
+def m4_reliability(spark, sf):
+    found = calibration.reliability(_judged_probs(spark, sf), "neg_prob", "toxic", CELLS)
+    return found.select("bin", "n", v.r("mean_prob", "mean_prob"), v.r("share", "share"))
+
+
+# a pooled share is the largest, over where a run may begin, of the smallest share of a run that reaches the bin or beyond it
+_POOLED = (
+    "runs as (select a.bin as a, b.bin as b, sum(c.hits) / sum(c.n) as share from cells a join cells b on a.bin <= b.bin "
+    "join cells c on c.bin between a.bin and b.bin group by 1, 2), "
+    "lows as (select i.bin, r.a, min(r.share) as low from cells i join runs r on i.bin between r.a and r.b group by 1, 2), "
+    "shares as (select bin, max(low) as share from lows group by 1), "
+    f"held as (select bin, coalesce((select share from shares s where s.bin <= x.bin order by s.bin desc limit 1), "
+    f"(select share from shares order by bin limit 1)) as share from (select unnest(range({CELLS})) as bin) x)"
+)
+
+
+@check(
+    "m4_calibrated",
+    f"with {_TRUTH}, {_POOLED} select post_id, {_rd('share', 'neg_prob')} from probs "
+    f"join held on bin = cast(least(floor(neg_prob * {CELLS}), {CELLS - 1}) as int)",
+)
+def m4_calibrated(spark, sf):
+    """Negative probabilities of all posts as the rising map from the labelled ones gives them."""
+    found = calibration.fit(_judged_probs(spark, sf), "neg_prob", "toxic", CELLS)
+    return v.probs(spark, sf).select("post_id", v.r(found.apply(F.col("neg_prob")), "neg_prob"))
+
+
+@check(
+    "m4_expected_error",
+    f"with {_TRUTH} select cast(sum(n) as bigint) as n, {_rd('sum(abs(mean_prob - share) * n) / sum(n)', 'error')}, "
+    f"{_rd('max(abs(mean_prob - share))', 'worst')} from cells",
+)
+def m4_error(spark, sf):
+    found = calibration.expected_error(calibration.reliability(_judged_probs(spark, sf), "neg_prob", "toxic", CELLS))
+    return found.select("n", v.r("error", "error"), v.r("worst", "worst"))
+
+
+@check(
+    "m1_word_list_share",
+    f"with w as (select source, unnest({v.words_sql('text')}) as w from documents), {_WORDS}, {_LEXICON} "
+    f"select source, count(*) as words, count(token) as listed, {_rd('count(token) / count(*)', 'share')} from w x left join lexicon on x.w = token group by 1",
+)
+def m1_share(spark, sf):
+    rows = v.table(spark, sf, "documents").select("source", v.plain_words(F.col("text")).alias("tokens"))
+    return sentiment.word_list_share(rows, ["source"], "tokens", _lexicon(spark, sf)).select("source", "words", "listed", v.r("share", "share"))

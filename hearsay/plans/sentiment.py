@@ -5,7 +5,7 @@ Scores read the raw texts, not the cleaned ones: case and punctuation carry sent
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,3 +106,15 @@ def score_comments(comments: DataFrame, scorer: TextScorer) -> DataFrame:
     return scored.withColumn("comment_sentiment_label", label_sentiment("sentiment")).withColumn(
         "score_weighted", fill_weight("score")
     )
+
+
+def word_list_share(df: DataFrame, by: Sequence[str], tokens: str, lexicon: DataFrame) -> DataFrame:
+    """``(*by, words, listed, share)``: how many of the words the list can score, so how much of the texts a score rests on.
+
+    Words are counted per group before they meet the list, which may be of any size; groups without words have no row.
+    """
+    counts = explode_words(df, list(by), tokens).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
+    known = lexicon.select("token").distinct().withColumn("known", F.lit(True))
+    met = lookup_join(counts, known, "token", "left", spread_by=list(by))
+    listed = F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))
+    return met.groupBy(*by).agg(F.sum("n").alias("words"), listed.alias("listed")).withColumn("share", F.col("listed") / F.col("words"))
