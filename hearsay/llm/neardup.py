@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearsay.llm import components
 from hearsay.llm.common import lists, table
@@ -208,14 +209,16 @@ def near_duplicates(
     closer ones all but a vanishing share; tests hold the recall against brute force. The number of filters follows the number of vectors, so
     the work per vector stays the same.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+    # vectors travel as wide as they came; cosines are in double precision either way
+    kind = "float" if isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), T.FloatType) else "double"
+    v = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     usable = whole_vector(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, v).alias("v"))
     rows = rows.filter("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     classes = rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.select("rep", "copies", "v", F.size("v").alias("dim")), "vectors")
     n_rows = classes.count()
-    caps = classes.mapInArrow(_caps(n_rows, threshold), "rep long, copies long, v array<double>, dim int, filters array<long>")
+    caps = classes.mapInArrow(_caps(n_rows, threshold), f"rep long, copies long, v array<{kind}>, dim int, filters array<long>")
     caps = stage(caps, "caps")
 
     met = caps.select("rep", "dim", F.explode("filters").alias("filter"))
@@ -228,6 +231,7 @@ def near_duplicates(
         caps.drop("dim").join(dealt, "rep")
         .select("rep", "copies", "v", "filters", F.explode("d").alias("d"))
         .select("rep", "copies", "v", "filters", "d.*")
+        .withColumn("filters", F.filter("filters", lambda x: x < F.col("filter")))  # what a pair may have shared before
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("rep", "copies", "v", "filters", "dim", "filter", "block",
                 F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))

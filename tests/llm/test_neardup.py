@@ -33,17 +33,17 @@ def clusters(seed, n, dim, cosine):
     return np.array(out, dtype=np.float32).astype(float)
 
 
-def run(spark, ids, x):
-    df = spark.createDataFrame([(i, v, 0, 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, n_links int, rep int")
+def run(spark, ids, x, kind="float"):
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in zip(ids, x, strict=True)], f"vec_id long, embedding array<{kind}>, n_links int, rep int")
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
 
 
-@pytest.mark.parametrize(("dim", "cosine"), [(64, 0.99), (16, 0.985)])
-def test_equals_brute_force(spark, monkeypatch, dim, cosine):
+@pytest.mark.parametrize(("dim", "cosine", "kind"), [(64, 0.99, "float"), (16, 0.985, "double")])
+def test_equals_brute_force(spark, monkeypatch, dim, cosine, kind):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 32)  # so that the large cluster is cut into blocks
     x = clusters(1, 240, dim, cosine)
     ids = [int(i) for i in np.random.default_rng(2).permutation(len(x)) * 3]
-    assert run(spark, ids, x.tolist()) == brute(ids, x)
+    assert run(spark, ids, x.tolist(), kind) == brute(ids, x)
 
 
 def test_recall_at_the_threshold(spark):
