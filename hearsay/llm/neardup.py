@@ -166,13 +166,18 @@ def _verify(threshold: float):
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         a, b = (group.filter(pa.array(side == s)).combine_chunks() for s in (lo, hi))
         out_id, out_n, out_to = [], [], []
+        near = np.zeros((0, 0), dtype=bool)
         if a.num_rows and b.num_rows:
-            ids = [x["rep"].to_numpy() for x in (a, b)]
-            copies = [x["copies"].to_numpy() for x in (a, b)]
             near = _units(a["v"].combine_chunks(), dim) @ _units(b["v"].combine_chunks(), dim).T >= threshold
             if lo == hi:
                 np.fill_diagonal(near, False)
-            near &= ~_earlier(a["filters"].combine_chunks(), b["filters"].combine_chunks(), key)
+            some = [np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))]
+            if len(some[0]):  # in most filters no pair is near
+                before = [x["filters"].combine_chunks().take(pa.array(at)) for x, at in zip((a, b), some, strict=True)]
+                near[np.ix_(*some)] &= ~_earlier(*before, key)
+        if near.any():
+            ids = [x["rep"].to_numpy() for x in (a, b)]
+            copies = [x["copies"].to_numpy() for x in (a, b)]
             both = np.concatenate(ids)
             if lo == hi:
                 label = components.smallest(near, ids[0], ids[0])[0]
