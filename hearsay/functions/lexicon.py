@@ -135,10 +135,15 @@ def word_facts(words: Column, valence: Callable[[Column], Column]) -> Column:
             pair["caps"].alias("caps"),
         )
 
+    return F.transform(cased_words(words), facts)
+
+
+def cased_words(words: Column) -> Column:
+    """Each word in lower case, and whether it stands in capitals."""
     def cased(word: Column) -> Column:
         return F.struct(F.lower(word).alias("low"), ((word == F.upper(word)) & (word != F.lower(word))).alias("caps"))
 
-    return F.transform(F.transform(words, cased), facts)
+    return F.transform(words, cased)
 
 
 def _word_score(facts: Column, mixed_case: Column, x: Column, i: Column) -> Column:
@@ -234,6 +239,13 @@ def punctuation_emphasis(text: Column) -> Column:
     return marks * F.lit(EXCLAMATION_STEP) + question
 
 
+def stressed(total: Column, source: Column) -> Column:
+    """The compound score from a text's sum of valences and its punctuation."""
+    emphasis = punctuation_emphasis(source)
+    louder = let(total, lambda t: t + F.when(t > 0, emphasis).when(t < 0, -emphasis).otherwise(F.lit(0.0)))
+    return let(louder, normalise)
+
+
 def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Column], out: str) -> DataFrame:
     """``df`` with the compound score of ``text`` in ``out``; null or empty text scores 0.
 
@@ -253,8 +265,6 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
         return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
     total = F.when(but == 0, add_up(F.col(scores))).otherwise(add_up(F.transform(scores, around_but)))
-    emphasis = punctuation_emphasis(source)
-    stressed = let(total, lambda t: t + F.when(t > 0, emphasis).when(t < 0, -emphasis).otherwise(F.lit(0.0)))
     return (
         df.withColumn(facts, word_facts(sentiment_words(source), valence))
         # columns of their own: inside the lambdas they would be worked out again for every word
@@ -264,7 +274,7 @@ def lexicon_sentiment(df: DataFrame, text: str, valence: Callable[[Column], Colu
             scores,
             F.transform(F.col(facts), lambda x, i: _word_score(F.col(facts), F.col(flags), x, i)),
         )
-        .withColumn(out, let(stressed, normalise))
+        .withColumn(out, stressed(total, source))
         .drop(facts, flags, scores, turn)
     )
 

@@ -1,177 +1,5 @@
-"""Sorted hash arrays in the shared folder, written by tasks and memory-mapped by workers."""
+"""Sorted hash arrays, as the training operators name them."""
 
-from __future__ import annotations
-
-import io
-import os
-import uuid
-from functools import lru_cache
-from urllib.parse import unquote, urlparse
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-FETCHED_SHARDS = 8
-
-
-def shard_of(key: str, bits: int):
-    """The shard of a signed 64-bit key: its highest bits, so shards follow one another in key order."""
-    return F.shiftright(key, 64 - bits).cast("int") if bits else F.lit(0)
-
-
-def bits_for(rows: int, rows_per_shard: int = 500_000) -> int:
-    return max(0, int(np.ceil(np.log2(max(1, rows / rows_per_shard)))))
-
-
-def _save(folder: str, name: str, shard: int, table: np.ndarray) -> None:
-    """One piece of a shard, named by its first key. It is written under another name first: a task that runs again, or
-    twice, leaves the same whole file.
-    """
-    if not len(table):
-        return
-    first = int((table["key"] if table.dtype.names else table)[0])
-    file, url = f"{name}~{shard}~{first}.npy", urlparse(folder)
-    if url.scheme in ("", "file"):
-        path = unquote(url.path)
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
-            np.save(out, table)
-        os.replace(part, f"{path}/{file}")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    part = f"{path}/.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        np.save(out, table)
-    store.move(part, f"{path}/{file}")
-
-
-def _listed(folder: str) -> dict[tuple[str, int], list[str]]:
-    """File names of all pieces by name and shard."""
-    url = urlparse(folder)
-    if url.scheme in ("", "file"):
-        path = unquote(url.path)
-        names = os.listdir(path) if os.path.isdir(path) else []
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        names = [f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True))]
-    out: dict[tuple[str, int], list[str]] = {}
-    for file in sorted(names):
-        if file.endswith(".npy"):
-            name, shard, _ = file.split("~")
-            out.setdefault((name, int(shard)), []).append(file)
-    return out
-
-
-def write_shards(df: DataFrame, folder: str, name: str, build) -> DataFrame:
-    """``df``, whose partitions are sorted by ``__shard``, passed through; on the way ``build(columns)`` makes of each
-    shard's columns the sorted arrays to keep, by name ending.
-
-    A task holds one shard at a time; the number of shards grows with the rows. A shard of which two tasks have a part
-    gets a piece from each.
-    """
-    columns = [c for c in df.columns if c != "__shard"]
-
-    def write(batches):
-        shard, held = None, []
-
-        def flush():
-            if held:
-                whole = {c: np.concatenate([h[c] for h in held]) for c in columns}
-                for ending, table in build(whole).items():
-                    _save(folder, name + ending, shard, table)
-
-        for batch in batches:
-            of = batch["__shard"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if of[a] != shard:
-                    flush()
-                    shard, held = of[a], []
-                part = batch.slice(int(a), int(b - a))
-                held.append({c: part[c].to_numpy() for c in columns})
-            yield batch
-        flush()
-
-    return df.mapInArrow(write, df.schema)
-
-
-def by_key(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """All columns as one array in the order of ``key``, its first field."""
-    layout = np.dtype([("key", "i8"), *((c, v.dtype) for c, v in columns.items() if c != "key")])
-    out = np.empty(len(columns["key"]), dtype=layout)
-    order = np.argsort(columns["key"])
-    for c, v in columns.items():
-        out[c] = v[order]
-    return {"": out}
-
-
-def counts_by_key(key: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts by key; most keys count once, and are kept without a count."""
-    once = n == 1
-    rest = by_key({"key": key[~once], "n": n[~once].astype(np.int32)})[""]
-    return {"": rest, "-once": np.sort(key[once])}
-
-
-class Arrays:
-    """Look-ups in the shards of one name; each is mapped when first needed."""
-
-    def __init__(self, folder: str, name: str, bits: int):
-        self.folder, self.name, self.bits, self.maps = folder, name, bits, {}
-        url = urlparse(folder)
-        self.local = unquote(url.path) if url.scheme in ("", "file") else None
-        self.files = {shard: files for (own, shard), files in _listed(folder).items() if own == name}
-
-    def _pieces(self, shard: int) -> list[np.ndarray]:
-        if shard in self.maps:
-            return self.maps[shard]
-        if self.local:
-            self.maps[shard] = [np.load(f"{self.local}/{f}", mmap_mode="r") for f in self.files.get(shard, [])]
-        else:
-            while len(self.maps) >= FETCHED_SHARDS:
-                self.maps.pop(next(iter(self.maps)))
-            self.maps[shard] = [self._fetched(f) for f in self.files.get(shard, [])]
-        return self.maps[shard]
-
-    def _fetched(self, file: str) -> np.ndarray:
-        """A piece from a store that cannot be mapped, read into memory; only a few shards are held at a time."""
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_stream(f"{path}/{file}") as src:
-            return np.load(io.BytesIO(src.read()))
-
-    def find(self, keys: np.ndarray, fields: list[str], default: float = 0) -> list[np.ndarray]:
-        """The values of ``fields`` for sorted distinct keys, ``default`` where there is none; "" is 1 for a key that is there."""
-        out = [np.full(len(keys), default, dtype=np.float64) for _ in fields]
-        if not len(keys):
-            return out
-        shards = keys >> np.int64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.int64)
-        cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for rows in self._pieces(int(shards[a])):
-                column = rows["key"] if rows.dtype.names else rows
-                at = np.minimum(np.searchsorted(column, keys[a:b]), len(rows) - 1)
-                hit = np.flatnonzero(column[at] == keys[a:b])
-                for values, field in zip(out, fields, strict=True):
-                    values[a + hit] = rows[field][at[hit]] if field else 1
-        return out
-
-
-@lru_cache(maxsize=32)
-def arrays(folder: str, name: str, bits: int) -> Arrays:
-    return Arrays(folder, name, bits)
-
-
-def batch_of(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+from hearsay.arrays import (  # noqa: F401
+    FETCHED_SHARDS, Arrays, arrays, batch_of, bits_for, by_key, counts_by_key, shard_of, write_shards,
+)

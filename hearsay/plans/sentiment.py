@@ -9,21 +9,25 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from hearsay.functions.lexicon import (
     MAX_DICTIONARY_ROWS,
     buckets_for,
+    cased_words,
     core_compound,
     dictionary,
     lexicon_sentiment,
     lookup,
     normalise,
     sentiment_words,
+    stressed,
 )
 from hearsay.functions.scalars import fill_weight, label_sentiment, row_mean
 from hearsay.operators.skew import explode_words, lookup_join
+from hearsay.operators.wordrules import core_totals, rule_totals
+from hearsay.operators.wordtable import word_table
 
-TEXT_SLOTS = 64
 TextScorer = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -40,13 +44,13 @@ def rules_scorer(valence: Callable[[Column], Column]) -> TextScorer:
     return lambda df, text, out: lexicon_sentiment(df, text, valence, out)
 
 
-def lexicon_scorer(lexicon: DataFrame, rules: bool = True, max_rows: int = MAX_DICTIONARY_ROWS, **options) -> TextScorer:
+def lexicon_scorer(lexicon: DataFrame, rules: bool = True, max_rows: int = MAX_DICTIONARY_ROWS, **_) -> TextScorer:
     """Scorer over a (token, valence) table; the scores are the same for a table of any size.
 
-    A table of checked size is held as one constant and each row is scored where it lies. Beyond
-    that the texts' words are joined to the table and every text gets the words it uses. A text is
-    known by its own hash (128 bits), so keys may be null or repeated, and copies are looked up once.
-    Making the scorer counts the table.
+    A table of checked size is held as one constant and each row is scored where it lies. Beyond that the
+    table is written as sorted hash arrays in the shared folder, and tasks look up the words of their own
+    texts there: neither texts nor words are shuffled, so keys may be null or repeated. Making the scorer
+    counts the table.
     """
     words = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
     size = words.count()
@@ -55,25 +59,15 @@ def lexicon_scorer(lexicon: DataFrame, rules: bool = True, max_rows: int = MAX_D
         index = dictionary(words, "token", "valence", buckets)
         valence = lambda w: lookup(index, w, buckets)
         return rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
-    known = words.groupBy("token").agg(F.max("valence").alias("valence"))
-
-    def slot(word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(TEXT_SLOTS)).cast("int")
+    table = word_table(words.groupBy("token").agg(F.max("valence").alias("valence")))
+    totals = F.arrow_udf(rule_totals(table) if rules else core_totals(table), "double", ArrowUDFType.SCALAR)
 
     def score(df: DataFrame, text: str, out: str) -> DataFrame:
-        source, key = F.coalesce(F.col(text), F.lit("")), ["__k1", "__k2"]
-        keyed = df.withColumns({"__k1": F.xxhash64(source), "__k2": F.xxhash64(F.lit(1), source)})
-        used = F.array_distinct(F.transform(sentiment_words(source), F.lower))
-        rows = explode_words(keyed.select(*key, used.alias("__used")), key, "__used").distinct()
-        # one group is the distinct listed words of one text, in small maps so that lookups stay short
-        hits = lookup_join(rows, known, "token", "inner", spread_by=key, bounded_by=words, **options)
-        placed = hits.groupBy(*key, slot(F.col("token")).alias("__b")).agg(
-            F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__m")
-        )
-        own = placed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__m"))).alias("__own"))
-        valence = lambda w: F.try_element_at(F.try_element_at(F.col("__own"), slot(w)), w)
-        scorer = rules_scorer(valence) if rules else core_scorer(lambda w: valence(F.lower(w)))
-        return scorer(keyed.join(own, key, "left"), text, out).select(*df.columns, out)
+        source, total = F.coalesce(F.col(text), F.lit("")), f"__{out}_total"
+        found = sentiment_words(source)
+        summed = df.withColumn(total, totals(cased_words(found) if rules else F.transform(found, F.lower)))
+        compound = stressed(F.col(total), source) if rules else normalise(F.col(total))
+        return summed.withColumn(out, compound).drop(total)
 
     return score
 

@@ -156,3 +156,19 @@ def test_own_list_files_and_emoji(spark, tmp_path):
     got = spark.createDataFrame([("hot☀day ☔",), ("plain  text",), (None,)], "t string").select(lx.name_emoji("t", names).alias("t"))
     assert [r.t for r in got.collect()] == ["hot lovely sun day rain", "plain text", None]
     assert "the" in english.stop_words() and len(english.stop_words()) > 100
+
+
+def test_a_list_too_big_to_hold_is_looked_up_where_the_texts_lie(spark, texts, lexicon):
+    joined = sentiment.lexicon_scorer(lexicon, max_rows=0)(texts, "t", "s")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    core = sentiment.lexicon_scorer(lexicon, rules=False, max_rows=0)(texts, "t", "s")
+    held = sentiment.lexicon_scorer(lexicon, rules=False)(texts, "t", "s")
+    assert core.exceptAll(held).count() == 0 and held.exceptAll(core).count() == 0
+    assert "Exchange" not in core._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_list_without_words_and_texts_without_words(spark, lexicon):
+    texts = spark.createDataFrame([(None,), ("",), (" ! ",)], "t string")
+    for words in (lexicon, lexicon.limit(0)):
+        for rules in (True, False):
+            assert {r.s for r in sentiment.lexicon_scorer(words, rules, max_rows=-1)(texts, "t", "s").collect()} == {0.0}
