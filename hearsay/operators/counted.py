@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from hearsay.functions.text import clean_tokens
-from hearsay.operators.skew import explode_words, lookup_join
+from hearsay.operators.skew import explode_words
+from hearsay.operators.wordtable import coded, sums, word_table
 from hearsay.session import cut_lineage
 
 
@@ -17,33 +21,30 @@ class CountedScorer:
     """Probabilities by Bayes' rule over the words of a text, each on its own; ``columns`` name the last classes, in order.
 
     ``weights`` holds a row a word with the logarithms of its smoothed share of each class's words. Words outside it say nothing; a text without
-    known words, or null, has the classes' shares. Words of copies of a text are counted together and divided by the number of copies, so that
-    neither texts nor copies travel: a task sends a text's hash (128 bits), word and count.
+    known words, or null, has the classes' shares. The weights lie as sorted hash arrays in the shared folder, where tasks look up the words of
+    their own texts: scoring shuffles neither texts nor words.
     """
 
     def __init__(self, weights: DataFrame, priors: Sequence[float], columns: Sequence[str]):
         self.weights, self.priors, self.columns = weights, tuple(priors), tuple(columns)
+        self.table = word_table(weights.select("token", *[f"w{i}" for i in range(len(self.priors))]))
 
     def score(self, df: DataFrame, text: str) -> DataFrame:
-        kept, classes = df.columns, range(len(self.priors))
-        rows = df.withColumn("__text", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-        copies = rows.groupBy("__text").agg(F.count(F.lit(1)).alias("__copies"))
-        words = explode_words(rows.select("__text", clean_tokens(text).alias("tokens")), ["__text"], "tokens")
-        counted = words.groupBy("__text", "token").agg(F.count(F.lit(1)).alias("tf"))
-        known = lookup_join(counted, self.weights, "token", "inner", spread_by=["__text"])
-        sums = known.groupBy("__text").agg(*[F.sum(F.col("tf") * F.col(f"w{i}")).alias(f"__s{i}") for i in classes])
-        found = copies.join(sums, "__text", "left").select(
-            "__text", *[(F.coalesce(F.col(f"__s{i}") / F.col("__copies"), F.lit(0.0)) + F.lit(p)).alias(f"__s{i}") for i, p in enumerate(self.priors)]
-        )
-        top = F.greatest(*[F.col(f"__s{i}") for i in classes])
-        powers = [F.exp(F.col(f"__s{i}") - top) for i in classes]
+        classes, table = len(self.priors), self.table
+
+        def totals(tokens: pa.Array) -> pa.Array:
+            distinct, codes, starts = coded(tokens)
+            each = np.stack([sums(np.nan_to_num(w)[codes], starts) for w in table.find(distinct)], axis=1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * classes, pa.int32()), pa.array(each.ravel()))
+
+        summed = F.arrow_udf(totals, "array<double>", ArrowUDFType.SCALAR)
+        rows = df.withColumn("__sums", summed(clean_tokens(text)))
+        found = rows.withColumns({f"__s{i}": F.get("__sums", F.lit(i)) + F.lit(p) for i, p in enumerate(self.priors)})
+        top = F.greatest(*[F.col(f"__s{i}") for i in range(classes)])
+        powers = [F.exp(F.col(f"__s{i}") - top) for i in range(classes)]
         total = sum(powers[1:], powers[0])
-        first = len(self.priors) - len(self.columns)
-        shares = found.select("__text", *[(powers[first + i] / total).alias(f"__p{i}") for i in range(len(self.columns))])
-        scored = lookup_join(rows, shares, "__text", "left")
-        named = {f"__p{i}": c for i, c in enumerate(self.columns)}
-        others = [c for c in kept if c not in self.columns]
-        return scored.select(*others, *[F.col(p).alias(c) for p, c in named.items()])
+        others, first = [c for c in df.columns if c not in self.columns], classes - len(self.columns)
+        return found.select(*others, *[(powers[first + i] / total).alias(c) for i, c in enumerate(self.columns)])
 
 
 def count_classifier(df: DataFrame, text: str, label: str, columns: Sequence[str], smoothing: float = 1.0) -> CountedScorer:

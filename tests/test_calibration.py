@@ -123,3 +123,11 @@ def test_word_list_share(spark):
     words = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("q", 1.0)], "token string, valence double")
     got = {r.g: (r.words, r.listed, r.share) for r in sentiment.word_list_share(df, ["g"], "t", words).collect()}
     assert got == {"a": (4, 2, 0.5), "b": (1, 0, 0.0), None: (1, 1, 1.0)}
+
+
+def test_scoring_shuffles_neither_texts_nor_words(spark):
+    train = spark.createDataFrame([("good fine day", 1), ("bad day", 0), (None, 1)], "t string, l int")
+    scored = counted.count_classifier(train, "t", "l", ("p",)).score(train.union(train), "t")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = [r.p for r in scored.collect()]
+    assert got[:3] == got[3:] and got[0] > 0.5 > got[1]
