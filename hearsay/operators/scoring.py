@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from hearsay.functions.scalars import effective_negativity, negativity
 from hearsay.functions.text import clean_tokens, preprocess
+from hearsay.session import cut_lineage
 
 SENTIMENT_COLUMNS = ("neg_prob", "neu_prob", "pos_prob")
 SARCASM_COLUMNS = ("sarcasm_prob",)
@@ -68,17 +69,21 @@ class BatchScorer:
 
 
 def train_classifier(df: DataFrame, text: str, label: str, features: int = 4096, iterations: int = 20) -> PipelineModel:
-    """Multinomial logistic regression over hashed TF-IDF of the cleaned tokens."""
+    """Multinomial logistic regression over hashed TF-IDF of the cleaned tokens.
+
+    The texts are read, joined and cleaned once: what both fits read is the written counts.
+    """
     train = df.select(clean_tokens(text).alias("__tokens"), F.col(label).cast("double").alias("__label"))
+    hashing = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=features)
+    counts = cut_lineage(hashing.transform(train).select("__tf", "__label"))
     stages = [
-        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=features),
         IDF(inputCol="__tf", outputCol="__idf"),
         LogisticRegression(
             featuresCol="__idf", labelCol="__label", probabilityCol="__probability", rawPredictionCol="__raw",
             predictionCol="__prediction", family="multinomial", maxIter=iterations, regParam=0.01,
         ),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return PipelineModel([hashing, *Pipeline(stages=stages).fit(counts).stages])
 
 
 def score_texts(

@@ -131,3 +131,18 @@ def test_day_stream_counts_late_rows_and_replayed_batches_once(spark):
     assert days() == want
     run(scratch_path(spark, "stream"))  # every batch again under its number
     assert days() == want
+
+
+def test_training_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([("good day", 1.0), ("bad day", 0.0), ("a day", 1.0), ("no day", 0.0)], "t string, l double")
+    model = scoring.train_classifier(rows.select(seen("t").alias("t"), "l"), "t", "l", features=16, iterations=2)
+    assert read.value == 4
+    scored = scoring.PipelineScorer(model, ("p",)).score(rows, "t").collect()
+    assert all(0 < r.p < 1 for r in scored)
