@@ -286,9 +286,11 @@ _PMI = (
 )
 def k1_word_pairs(spark, sf):
     """Per word how many others stand near it, how often, and how far beyond chance."""
-    pairs = cut_lineage(wordvectors.cooccurrences(_tokens(spark, sf), "tokens", WORD_WINDOW, WORD_COUNT))
+    words, pairs = wordvectors.numbered_pairs(_tokens(spark, sf), "tokens", WORD_WINDOW, WORD_COUNT)
+    pairs = cut_lineage(pairs)
     pmi = wordvectors.positive_pmi(pairs).groupBy("a").agg(F.count(F.lit(1)).alias("attracted"), F.sum("pmi").alias("pmi"))
     rows = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.sum("n").alias("n")).join(pmi, "a", "left")
+    rows = rows.join(words, rows["a"] == words["id"]).drop("a").withColumnRenamed("token", "a")
     return rows.select("a", "partners", "n", F.coalesce("attracted", F.lit(0)).alias("attracted"), v.r(F.coalesce("pmi", F.lit(0.0)), "pmi", 6))
 
 

@@ -127,7 +127,7 @@ class Arrays:
     """Look-ups in the shards of one name; each is mapped when first needed."""
 
     def __init__(self, folder: str, name: str, bits: int):
-        self.folder, self.name, self.bits, self.maps = folder, name, bits, {}
+        self.folder, self.name, self.bits, self.maps, self.columns = folder, name, bits, {}, {}
         url = urlparse(folder)
         self.local = unquote(url.path) if url.scheme in ("", "file") else None
         self.files = {shard: files for (own, shard), files in _listed(folder).items() if own == name}
@@ -168,6 +168,28 @@ class Arrays:
         return out
 
 
+    def _keys(self, shard: int, piece: int, rows: np.ndarray) -> np.ndarray:
+        """The keys of a piece side by side; beside wide rows a search would else read them from all over the file."""
+        if not self.local:
+            return np.ascontiguousarray(rows["key"])
+        if (shard, piece) not in self.columns:
+            self.columns[shard, piece] = np.ascontiguousarray(rows["key"])
+        return self.columns[shard, piece]
+
+    def matrix(self, keys: np.ndarray, field: str, width: int) -> np.ndarray:
+        """The rows of a field of ``width`` numbers for sorted distinct keys, zeros where there is none."""
+        out = np.zeros((len(keys), width))
+        shards = keys >> np.int64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.int64)
+        cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(keys)] if len(keys) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for i, rows in enumerate(self._pieces(int(shards[a]))):
+                column = self._keys(int(shards[a]), i, rows)
+                at = np.minimum(np.searchsorted(column, keys[a:b]), len(rows) - 1)
+                hit = np.flatnonzero(column[at] == keys[a:b])
+                out[a + hit] = rows[field][at[hit]]
+        return out
+
+
 @lru_cache(maxsize=32)
 def arrays(folder: str, name: str, bits: int) -> Arrays:
     return Arrays(folder, name, bits)

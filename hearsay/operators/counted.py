@@ -34,7 +34,7 @@ class CountedScorer:
 
         def totals(tokens: pa.Array) -> pa.Array:
             distinct, codes, starts = coded(tokens)
-            each = np.stack([sums(np.nan_to_num(w)[codes], starts) for w in table.find(distinct)], axis=1)
+            each = np.stack([sums(np.r_[np.nan_to_num(w), 0.0][codes], starts) for w in table.find(distinct)], axis=1)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * classes, pa.int32()), pa.array(each.ravel()))
 
         summed = F.arrow_udf(totals, "array<double>", ArrowUDFType.SCALAR)

@@ -21,7 +21,7 @@ def core_totals(table: WordTable) -> Callable[[pa.Array], pa.Array]:
     """Sum of the valences of each list of words."""
     def run(words: pa.Array) -> pa.Array:
         distinct, codes, starts = coded(words)
-        return pa.array(sums(np.nan_to_num(table.find(distinct)[0])[codes], starts))
+        return pa.array(sums(np.r_[np.nan_to_num(table.find(distinct)[0]), 0.0][codes], starts))
 
     return run
 

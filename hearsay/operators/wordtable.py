@@ -61,11 +61,11 @@ def word_table(words: DataFrame) -> WordTable:
 
 
 def coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of the lists, the number of each word in order, and where each list starts (null: empty), with the end."""
+    """Distinct words of the lists, the place of each word among them (null: -1), and where each list starts (null: empty), with the end."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     words = lists.flatten().dictionary_encode()
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
-    return words.dictionary, words.indices.to_numpy(), np.r_[0, np.cumsum(sizes)]
+    return words.dictionary, words.indices.fill_null(-1).to_numpy(), np.r_[0, np.cumsum(sizes)]
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

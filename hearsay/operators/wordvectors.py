@@ -9,9 +9,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.arrays import arrays, bits_for, shard_of, write_shards
 from hearsay.operators import linear
-from hearsay.operators.skew import explode_words, lookup_join
-from hearsay.session import cut_lineage
+from hearsay.operators.skew import MAX_BROADCAST_ROWS, explode_words, lookup_join, numbered
+from hearsay.operators.wordtable import WordTable, coded, sums, word_table
+from hearsay.session import cut_lineage, scratch_path
 
 WINDOW = 5
 MIN_COUNT = 5
@@ -19,7 +21,60 @@ DIMENSIONS = 50
 SPARE = 10
 PASSES = 3
 RARE = 1e-3
-MAX_BYTES = 64 << 20
+SHARD_ROWS = 100_000
+SLICE_WORDS = 2_000_000
+# two numbers a row: some fifty megabytes as a broadcast
+MAX_NUMBERED = 2_000_000
+
+
+def _near_pairs(table: WordTable, window: int):
+    """``(a, b, n)`` with a <= b: how often the listed words of a batch's texts stand at most ``window`` words apart, by their numbers."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch["tokens"]
+            ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)))
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SLICE_WORDS, ends[-1] if len(ends) else 0, SLICE_WORDS)), len(ends)])
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                yield _pairs_of(lists.slice(int(first), int(last - first)))
+
+    def _pairs_of(lists: pa.Array) -> pa.RecordBatch:
+        distinct, codes, starts = coded(lists)
+        (numbers,) = table.find(distinct)
+        known = np.sort(numbers[~np.isnan(numbers)].astype(np.int64))
+        # places among the batch's listed words, in order of their numbers; -1 for other words
+        own = np.where(np.isnan(numbers), -1, np.searchsorted(known, np.nan_to_num(numbers).astype(np.int64)))
+        at = np.r_[own, -1][codes]
+        text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        keys = []
+        for d in range(1, window + 1):
+            x, y = at[:-d], at[d:]
+            here = (x >= 0) & (y >= 0) & (text[:-d] == text[d:])
+            x, y = x[here], y[here]
+            keys.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        columns = [known[found // max(1, len(known))], known[found % max(1, len(known))], n] if len(found) else [np.zeros(0, dtype=np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n"])
+
+    return run
+
+
+def numbered_pairs(df: DataFrame, tokens: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """``(token, id)`` of the words occurring ``min_count`` times or more, and ``(a, b, n)`` of ``cooccurrences`` by their ids.
+
+    Tasks look the words' ids up in arrays of the shared folder and count the pairs of their own texts, each pair one way; two numbers and
+    a count travel, and the other way follows after the shuffle.
+    """
+    counts = explode_words(df, [], tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    words = cut_lineage(numbered(counts.select("token"), [F.col("token")], "id"))
+    near = df.select(F.col(tokens).alias("tokens")).mapInArrow(_near_pairs(word_table(words), window), "a long, b long, n long")
+    one = near.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # a word near itself counts twice
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    same = F.array(F.struct("a", "b"))
+    each = F.when(F.col("a") == F.col("b"), same).otherwise(ways)
+    both = one.select(F.explode_outer(each).alias("p"), (F.col("n") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("n"))
+    return words, both.select("p.a", "p.b", "n")
 
 
 def cooccurrences(df: DataFrame, tokens: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
@@ -28,16 +83,11 @@ def cooccurrences(df: DataFrame, tokens: str, window: int = WINDOW, min_count: i
     A word near itself counts twice, once from each side. Distances are those in the text, rare words included. Pairs are counted within each task before
     they are shuffled, so the commonest pair arrives once a task; the words of a text never meet those of another.
     """
-    words = explode_words(df, [], tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    ahead = F.transform(tokens, lambda t, i: F.struct(t.alias("a"), F.slice(F.col(tokens), i + 2, window).alias("near")))
-    # the outer form, since Spark guards a plain explode by working the list out twice
-    firsts = df.select(F.explode_outer(ahead).alias("p")).select("p.a", F.explode_outer("p.near").alias("b")).filter("b is not null")
-    pairs = firsts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    known = cut_lineage(words.select("token"))
+    words, pairs = numbered_pairs(df, tokens, window, min_count)
     for side in ("a", "b"):
-        pairs = lookup_join(pairs, known.withColumnRenamed("token", side), side, "left_semi").select("a", "b", "n")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return both.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        named = words.select(F.col("id").alias(side), F.col("token").alias(f"{side}_word"))
+        pairs = lookup_join(pairs, named, side, "inner", spread_by=["b" if side == "a" else "a"])
+    return pairs.select(F.col("a_word").alias("a"), F.col("b_word").alias("b"), "n")
 
 
 def positive_pmi(pairs: DataFrame, smooth: float = 0.75) -> DataFrame:
@@ -51,7 +101,9 @@ def positive_pmi(pairs: DataFrame, smooth: float = 0.75) -> DataFrame:
     if not total:
         return pairs.select("a", "b", F.lit(0.0).alias("pmi"))
     columns = rows.select(F.col("a").alias("b"), F.col("row").alias("column"))
-    counted = lookup_join(lookup_join(pairs, rows, "a", "inner"), columns, "b", "inner")
+    most = MAX_NUMBERED if dict(pairs.dtypes)["a"] == "bigint" else MAX_BROADCAST_ROWS
+    by_row = lookup_join(pairs, rows, "a", "inner", spread_by=["b"], max_broadcast_rows=most)
+    counted = lookup_join(by_row, columns, "b", "inner", spread_by=["a"], max_broadcast_rows=most)
 
     def pmi(own: str, context: str) -> F.Column:
         chance = F.col(own).cast("double") * (F.col(context) ** smooth) / F.lit(float(smoothed))
@@ -71,14 +123,51 @@ def _random_rows(words: DataFrame, width: int, seed: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch["word"], lists], ["word", "v"])
 
-    return words.select("word", F.xxhash64("word", F.lit(seed)).alias("h")).mapInArrow(run, "word string, v array<double>")
+    kind = words.schema["word"].dataType.simpleString()
+    return words.select("word", F.xxhash64("word", F.lit(seed)).alias("h")).mapInArrow(run, f"word {kind}, v array<double>")
+
+
+def _stored(vectors: DataFrame, width: int) -> tuple[str, int]:
+    """The rows of ``vectors(word, v)`` as sorted arrays in the shared folder, by the hash of their word (of numbers no two share one)."""
+    spark, folder = vectors.sparkSession, scratch_path(vectors.sparkSession, "vectors")
+    bits = bits_for(vectors.count(), SHARD_ROWS)
+    columns = [f"v{i}" for i in range(width)]
+
+    def build(held):
+        order = np.argsort(held["key"])
+        out = np.empty(len(order), dtype=[("key", "i8"), ("v", "f8", (width,))])
+        out["key"] = held["key"][order]
+        out["v"] = np.stack([held[c] for c in columns], axis=1)[order]
+        return {"": out}
+
+    rows = vectors.select(F.xxhash64("word").alias("key"), *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    dealt = rows.withColumn("__shard", shard_of("key", bits)).repartition(1 << bits, "__shard").sortWithinPartitions("__shard")
+    write_shards(dealt, folder, "vectors", build).agg(F.count(F.lit(1))).collect()
+    return folder, bits
 
 
 def _applied(pmi: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """The matrix of ``pmi`` times the rows of ``vectors``: sums are combined before the shuffle."""
-    rows = lookup_join(pmi, vectors.withColumnRenamed("word", "b"), "b", "inner", spread_by=["a"], max_broadcast_rows=MAX_BYTES // (8 * width))
-    sums = rows.groupBy("a").agg(Summarizer.sum(array_to_vector("v"), F.col("pmi")).alias("s"))
-    return cut_lineage(sums.select(F.col("a").alias("word"), vector_to_array("s").alias("v")))
+    """The matrix of ``pmi`` times the rows of ``vectors``, which tasks look up in the shared folder: cells of the matrix stay where they
+    are, and the sums of their rows are combined before the shuffle. ``pmi`` is sorted by a.
+    """
+    folder, bits = _stored(vectors, width)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch["a"].dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            keys, back = np.unique(batch["key"].to_numpy(), return_inverse=True)
+            cells = arrays(folder, "vectors", bits).matrix(keys, "v", width)[back] * batch["pmi"].to_numpy()[:, None]
+            found = np.add.reduceat(cells, first, axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(first)), lists], ["a", "v"])
+
+    kind = pmi.schema["a"].dataType.simpleString()
+    parts = pmi.select("a", F.xxhash64("b").alias("key"), "pmi").mapInArrow(run, f"a {kind}, v array<double>")
+    added = parts.groupBy("a").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
+    return cut_lineage(added.select(F.col("a").alias("word"), vector_to_array("s").alias("v")))
 
 
 def word_vectors(pmi: DataFrame, dimensions: int = DIMENSIONS, passes: int = PASSES, seed: int = 50) -> DataFrame:
@@ -89,7 +178,7 @@ def word_vectors(pmi: DataFrame, dimensions: int = DIMENSIONS, passes: int = PAS
     Vocabulary and matrix stay distributed; no row of the matrix is ever held whole. Signs are those that make each column's sum of cubes positive.
     """
     width = dimensions + SPARE
-    pmi = cut_lineage(pmi.select("a", "b", "pmi"))
+    pmi = cut_lineage(pmi.select("a", "b", "pmi").repartition("a").sortWithinPartitions("a"))
     words = pmi.select(F.col("a").alias("word")).distinct()
     basis = cut_lineage(_random_rows(words, width, seed))
     for _ in range(passes):
@@ -118,20 +207,28 @@ def text_vectors(
 ) -> DataFrame:
     """``(key, out)``: the weighted mean of the vectors of a text's words at length 1, common words weighing less: a / (a + share).
 
-    Texts without a known word have a zero vector. Keys are unique. Words are counted per text first, and the sums are combined before the
-    shuffle, so a long text is no hot key.
+    Texts without a known word have a zero vector. Keys are unique. Tasks look the vectors of their own texts' words up in arrays of the
+    shared folder; one row a text is shuffled.
     """
-    counts = cut_lineage(explode_words(df, [key], tokens).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
-    every = counts.groupBy("token").agg(F.sum("n").alias("f"))
-    total = counts.agg(F.sum("n")).scalar()
-    weights = every.select("token", (F.lit(rare) / (F.lit(rare) + F.col("f") / total)).alias("weight"))
-    known = cut_lineage(words.select(F.col("word").alias("token"), "vector").join(weights, "token"))
-    rows = lookup_join(counts, known, "token", "inner", spread_by=[key], max_broadcast_rows=MAX_BYTES // (8 * dimensions))
-    sums = rows.groupBy(key).agg(Summarizer.sum(array_to_vector("vector"), F.col("n") * F.col("weight")).alias("s"))
-    sums = sums.select(key, vector_to_array("s").alias("s"))
+    every = cut_lineage(explode_words(df, [], tokens).groupBy("token").agg(F.count(F.lit(1)).alias("f")))
+    total = every.agg(F.sum("f")).scalar()
+    weight = F.lit(rare) / (F.lit(rare) + F.col("f") / total)
+    known = words.select(F.col("word").alias("token"), "vector").join(every, "token")
+    table = word_table(known.select("token", *[(F.get("vector", F.lit(i)) * weight).alias(f"v{i}") for i in range(dimensions)]))
+
+    def run(batches):
+        for batch in batches:
+            distinct, codes, starts = coded(batch["tokens"])
+            each = np.stack([sums(np.r_[np.nan_to_num(v), 0.0][codes], starts) for v in table.find(distinct)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * dimensions, pa.int32()), pa.array(each.ravel()))
+            yield pa.RecordBatch.from_arrays([batch[0], lists], [key, "s"])
+
+    kind = df.schema[key].dataType.simpleString()
+    summed = df.select(key, F.col(tokens).alias("tokens")).mapInArrow(run, f"`{key}` {kind}, s array<double>")
+    sums_by_key = summed.groupBy(key).agg(Summarizer.sum(array_to_vector("s")).alias("s")).select(key, vector_to_array("s").alias("s"))
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda x, y: x + y * y))
     unit = F.transform("s", lambda x: x / length)
-    found = sums.filter(length > 0).select(key, unit.alias(out))
+    found = sums_by_key.filter(length > 0).select(key, unit.alias(out))
     zero = F.array_repeat(F.lit(0.0), dimensions)
     return df.select(key).join(found, key, "left").select(key, F.coalesce(out, zero).alias(out))
 
@@ -139,5 +236,7 @@ def text_vectors(
 def learned_vectors(df: DataFrame, key: str, tokens: str, dimensions: int = DIMENSIONS, out: str = "vector", **options) -> DataFrame:
     """Text vectors from word vectors learned on the same texts; ``options`` go to ``cooccurrences``. Texts of rare words only, or none, have a zero vector."""
     rows = cut_lineage(df.select(key, F.col(tokens).alias("tokens")))
-    words = word_vectors(positive_pmi(cooccurrences(rows, "tokens", **options)), dimensions)
+    listed, pairs = numbered_pairs(rows, "tokens", **options)
+    vectors = word_vectors(positive_pmi(pairs), dimensions).withColumnRenamed("word", "id")
+    words = vectors.join(listed, "id").select(F.col("token").alias("word"), "vector")
     return text_vectors(rows, key, "tokens", cut_lineage(words), dimensions, out)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from hearsay.operators import areas, layout, linear, topics, wordvectors
@@ -177,3 +178,25 @@ def test_merge_tree_equals_plain_loop_and_cuts_to_any_number(spark):
     assert areas.merge_tree(df.filter("topic = 3"), "topic", "tokens").count() == 0
     with pytest.raises(ValueError, match="least"):
         areas.cut(tree, 0)
+
+
+def test_pairs_travel_as_numbers_one_way(spark):
+    rows = texts(1, 40) + [(100, None), (101, []), (103, ["bread", None, "bread"])]
+    words, pairs = wordvectors.numbered_pairs(frame(spark, rows), "tokens", 3, 4)
+    assert dict(pairs.dtypes) == {"a": "bigint", "b": "bigint", "n": "bigint"}
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    names = {r.id: r.token for r in words.collect()}
+    assert sorted(names) == list(range(len(names)))
+    named = {(names[r.a], names[r.b]): r.n for r in pairs.collect()}
+    assert named == {(r.a, r.b): r.n for r in wordvectors.cooccurrences(frame(spark, rows), "tokens", 3, 4).collect()}
+
+
+def test_the_matrix_stays_where_it_is(spark, monkeypatch):
+    pmi = wordvectors.positive_pmi(wordvectors.cooccurrences(frame(spark, texts(2, 60)), "tokens", 4, 5))
+    monkeypatch.setattr(wordvectors, "SHARD_ROWS", 8)
+    rows = wordvectors._random_rows(pmi.select(F.col("a").alias("word")).distinct(), 4, 1)
+    got = {r.word: np.array(r.v) for r in wordvectors._applied(pmi.repartition(3, "a").sortWithinPartitions("a"), rows, 4).collect()}
+    vectors, want = {r.word: np.array(r.v) for r in rows.collect()}, {}
+    for r in pmi.collect():
+        want[r.a] = want.get(r.a, 0) + r.pmi * vectors[r.b]
+    assert set(got) == set(want) and all(np.allclose(got[w], want[w], atol=1e-9) for w in want)
