@@ -14,7 +14,7 @@ from hearsay.llm.arrays import arrays, batch_of, bits_for, by_key, counts_by_key
 from hearsay.llm.common import map_slices, mix, hash_words, parallelism, starts, step, table
 from hearsay.session import scratch_path
 
-ORDER = 2
+ORDER = 3
 BEGIN, END = np.uint64(0x5BE61A5E0B3C1D77), np.uint64(0xC2D1F00DE5A3B911)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -120,3 +120,15 @@ def test_arrays_mapped_or_fetched_in_pieces(spark, tmp_path):
         assert values.tolist() == [want.get(int(k), -1) for k in wanted]
         assert there.tolist() == [1 if int(k) in want else -1 for k in wanted]
         assert local or len(found.maps) <= a.FETCHED_SHARDS
+
+
+def test_the_query_reads_two_words_of_context(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in lm.op6_lm_score(spark, str(tmp_path)).collect()}
+    learned = [t for i, t in enumerate(TEXTS) if not rows[i].held_out]
+    plain = Plain(learned, 3)
+    for i, text in enumerate(TEXTS):
+        words = ["<s>"] * 2 + sequence(text)
+        want = sum(math.log10(plain.p(tuple(words[j : j + 3]))) for j in range(len(words) - 2))
+        assert rows[i].score == pytest.approx(want, abs=1e-9)
