@@ -176,9 +176,9 @@ class Arrays:
             self.columns[shard, piece] = np.ascontiguousarray(rows["key"])
         return self.columns[shard, piece]
 
-    def matrix(self, keys: np.ndarray, field: str, width: int) -> np.ndarray:
+    def matrix(self, keys: np.ndarray, field: str, width: int, kind: str = "f8") -> np.ndarray:
         """The rows of a field of ``width`` numbers for sorted distinct keys, zeros where there is none."""
-        out = np.zeros((len(keys), width))
+        out = np.zeros((len(keys), width), dtype=kind)
         shards = keys >> np.int64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.int64)
         cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(keys)] if len(keys) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -190,6 +190,24 @@ class Arrays:
         return out
 
 
+    def every(self, keys: np.ndarray, field: str, width: int, kind: str = "f8") -> tuple[np.ndarray, np.ndarray]:
+        """All rows of a field of ``width`` numbers for sorted distinct keys, in their order, and which key each is of."""
+        which, out = [np.zeros(0, dtype=np.int64)], [np.zeros((0, width), dtype=kind)]
+        shards = keys >> np.int64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.int64)
+        cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(keys)] if len(keys) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for i, rows in enumerate(self._pieces(int(shards[a]))):
+                column = self._keys(int(shards[a]), i, rows)
+                first = np.searchsorted(column, keys[a:b])
+                counts = np.searchsorted(column, keys[a:b], "right") - first
+                at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+                which.append(a + np.repeat(np.arange(b - a), counts))
+                out.append(rows[field][at])
+        of = np.concatenate(which)
+        order = np.argsort(of, kind="stable")
+        return of[order], np.concatenate(out)[order]
+
+
 @lru_cache(maxsize=32)
 def arrays(folder: str, name: str, bits: int) -> Arrays:
     return Arrays(folder, name, bits)

@@ -172,3 +172,46 @@ def test_odd_rows(spark):
     assert set(found(spark.createDataFrame([(*r, 1, "x") for r in odd], schema), 5).values()) == {-1}
     with pytest.raises(ValueError, match="two"):
         hierarchy.neighbour_topics(df, "name", "v", 1)
+
+
+def test_only_nearer_pairs_travel(spark, monkeypatch):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(600)], "id long, v array<double>").localCheckpoint()
+    seen, best = [], neighbours._best
+
+    def counted(lists, k):
+        seen.append(lists.count() if "other" in lists.columns else sum(len(x.near) for x in lists.collect()))
+        return best(lists, k)
+
+    monkeypatch.setattr(neighbours, "_best", counted)
+    neighbours.neighbours(df, 8, block_rows=32, orders=2, rounds=4).collect()
+    # all that meet would be above a hundred pairs a row in every round
+    assert seen[1] < 40 * 600 and seen[-1] < 8 * 600 and seen[-1] < seen[1]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-150, 1e160])
+def test_nearest_of_a_block_by_differences(scale):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (60, 3)) * scale  # many ties and copies
+    ids = rng.permutation(60) - 20
+    found, apart = neighbours._nearest(ids, rows, 7)
+    with np.errstate(over="ignore"):
+        exact = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(axis=2))
+    for i in range(60):
+        want = sorted((exact[i, j], int(ids[j])) for j in range(60) if j != i)[:7]
+        assert [(d, o) for d, o in zip(apart[i].tolist(), found[i].tolist())] == want
+    _, apart = neighbours._nearest(ids[:3], rows[:3], 7)
+    assert not np.isnan(apart[:, :2]).any() and np.isnan(apart[:, 2:]).all()
+
+
+def test_ids_with_several_rows_meet_row_by_row(spark):
+    r = random.Random(8)
+    points = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(points + points[:20] + [(7, [9.0, 9.0, 9.0])], "id long, v array<double>").localCheckpoint()
+    got = neighbours.neighbours(df, 5, block_rows=32, orders=2).collect()
+    assert {x.id for x in got if x.id == x.other} == set(range(20)) and all(x.distance == 0 for x in got if x.id == x.other)
+    assert len({(x.id, x.other) for x in got}) == len(got) == 5 * 300
+    with pytest.raises(ValueError, match="length"):
+        neighbours.neighbours(spark.createDataFrame([(1, [1.0]), (2, None)], "id long, v array<double>"))
