@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 
 FETCHED_SHARDS = 8
+MAPPED_SHARDS = 2_048  # a process may map 65,530 files
 
 
 def shard_of(key: str, bits: int):
@@ -26,14 +27,13 @@ def bits_for(rows: int, rows_per_shard: int = 500_000) -> int:
     return max(0, int(np.ceil(np.log2(max(1, rows / rows_per_shard)))))
 
 
-def _save(folder: str, name: str, shard: int, table: np.ndarray) -> None:
-    """One piece of a shard, named by its first key. It is written under another name first: a task that runs again, or
-    twice, leaves the same whole file.
+def save(folder: str, name: str, shard: int, table: np.ndarray, piece: object) -> None:
+    """One piece of a shard. It is written under another name first: a task that runs again, or twice, leaves the same
+    whole file.
     """
     if not len(table):
         return
-    first = int((table["key"] if table.dtype.names else table)[0])
-    file, url = f"{name}~{shard}~{first}.npy", urlparse(folder)
+    file, url = f"{name}~{shard}~{piece}.npy", urlparse(folder)
     if url.scheme in ("", "file"):
         path = unquote(url.path)
         os.makedirs(path, exist_ok=True)
@@ -86,8 +86,11 @@ def write_shards(df: DataFrame, folder: str, name: str, build) -> DataFrame:
         def flush():
             if held:
                 whole = {c: np.concatenate([h[c] for h in held]) for c in columns}
-                for ending, table in build(whole).items():
-                    _save(folder, name + ending, shard, table)
+                tables = build(whole)
+                for ending, table in tables.items():
+                    keys = tables[""] if ending == "-values" else table  # of one piece with the keys they stand beside
+                    if len(table):
+                        save(folder, name + ending, shard, table, int((keys["key"] if keys.dtype.names else keys)[0]))
 
         for batch in batches:
             of = batch["__shard"].to_numpy()
@@ -116,13 +119,6 @@ def by_key(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"": out}
 
 
-def counts_by_key(key: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts by key; most keys count once, and are kept without a count."""
-    once = n == 1
-    rest = by_key({"key": key[~once], "n": n[~once].astype(np.int32)})[""]
-    return {"": rest, "-once": np.sort(key[once])}
-
-
 class Arrays:
     """Look-ups in the shards of one name; each is mapped when first needed."""
 
@@ -136,6 +132,8 @@ class Arrays:
         if shard in self.maps:
             return self.maps[shard]
         if self.local:
+            if len(self.maps) >= MAPPED_SHARDS:
+                self.maps.pop(next(iter(self.maps)))
             self.maps[shard] = [np.load(f"{self.local}/{f}", mmap_mode="r") for f in self.files.get(shard, [])]
         else:
             while len(self.maps) >= FETCHED_SHARDS:
@@ -152,17 +150,22 @@ class Arrays:
             return np.load(io.BytesIO(src.read()))
 
     def find(self, keys: np.ndarray, fields: list[str], default: float = 0) -> list[np.ndarray]:
-        """The values of ``fields`` for sorted distinct keys, ``default`` where there is none; "" is 1 for a key that is there."""
+        """The values of ``fields`` for sorted distinct keys, ``default`` where there is none; "" is 1 for a key that is there.
+
+        Arrays of keys alone have their fields beside them, under the name ending in "-values", so that a search reads only keys.
+        """
         out = [np.full(len(keys), default, dtype=np.float64) for _ in fields]
         if not len(keys):
             return out
         shards = keys >> np.int64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.int64)
         cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for rows in self._pieces(int(shards[a])):
+            for i, rows in enumerate(self._pieces(int(shards[a]))):
                 column = rows["key"] if rows.dtype.names else rows
                 at = np.minimum(np.searchsorted(column, keys[a:b]), len(rows) - 1)
                 hit = np.flatnonzero(column[at] == keys[a:b])
+                if not rows.dtype.names and any(fields):
+                    rows = arrays(self.folder, f"{self.name}-values", self.bits)._pieces(int(shards[a]))[i]
                 for values, field in zip(out, fields, strict=True):
                     values[a + hit] = rows[field][at[hit]] if field else 1
         return out

@@ -22,13 +22,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def step(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read from there, its shuffle files given back at once.
+def step(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (at ``path``, if the caller wants to discard it) and read from there, its shuffle files given back at once.
 
     Spark else drops a shuffle when the driver's collector happens to see that nothing needs it; a job of several
     large steps would keep all of them on disk. What is read afterwards is the written table.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, name)
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:

@@ -7,16 +7,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm.arrays import arrays, batch_of, bits_for, by_key, counts_by_key, shard_of, write_shards
-from hearsay.llm.common import map_slices, mix, hash_words, parallelism, starts, step, table
-from hearsay.session import scratch_path
+from hearsay.llm.arrays import arrays, batch_of, bits_for, save, shard_of, write_shards
+from hearsay.llm.common import global_positions, map_slices, mix, hash_strings, parallelism, slices, split_words, starts, step, table
+from hearsay.session import discard, scratch_path, scratch_run
 
 ORDER = 3
-BEGIN, END = np.uint64(0x5BE61A5E0B3C1D77), np.uint64(0xC2D1F00DE5A3B911)
+END = np.uint64(0xC2D1F00DE5A3B911)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+# words have numbers, the most frequent first, from 1 on
+BEGIN, UNKNOWN = 0, 2**32 - 1
+GRAMS, CONTEXTS, SEEN = 0, 1, 2
+HELD_ROWS = 1_500_000
+SHARD_ROWS = 1_000_000
+DEALT = "kind int, shard long, rows long, data binary"
 
 
 @dataclass(frozen=True)
@@ -30,82 +36,268 @@ class Model:
     tokens: int
     types: int
     continuations: int
+    frequent: int
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different lower-cased words and of the end, the place there of each word and end of all texts, and how many each text has."""
+    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.dictionary_encode()
+    distinct = hash_strings(coded.dictionary) if len(words) else np.zeros(0, dtype=np.uint64)
+    codes = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(distinct))
+    return np.r_[distinct, END], codes, counts + 1
 
 
 def _sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of each text and its end, one text after the other."""
-    hashes, counts = hash_words(pc.ascii_lower(pc.fill_null(texts, "")))
-    return np.insert(hashes, np.cumsum(counts), END), counts + 1
-
-
-def _contexts(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hash of the n words before each token, for n from 1 to ``order`` - 1; begin marks pad the front."""
-    inside = np.arange(len(tokens)) - np.repeat(starts(counts)[:-1], counts)
-    out, key = [], np.zeros(len(tokens), dtype=np.uint64)
-    for n in range(1, order):
-        before = np.where(inside >= n, np.r_[np.zeros(n, dtype=np.uint64), tokens[: len(tokens) - n]][: len(tokens)], BEGIN)
-        key = mix(key * STEP + before, n)
-        out.append(key)
+    distinct, codes, counts = _coded(texts)
+    return distinct[codes], counts
+
+
+def _before(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """The word ``n`` places before each; begin marks stand in front of a text."""
+    inside = np.arange(len(words)) - np.repeat(starts(counts)[:-1], counts)
+    return np.where(inside >= n, np.r_[np.zeros(n, dtype=words.dtype), words][: len(words)], words.dtype.type(BEGIN))
+
+
+def _contexts(words: list[np.ndarray], frequent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hash of the first n of ``words``, of which the nearest comes first, for every n, and whether all n are frequent."""
+    out, key, all_frequent = [], np.uint64(0), True
+    for n, word in enumerate(words, start=1):
+        key, all_frequent = mix(key * STEP + word.astype(np.uint64), n), all_frequent & (word <= frequent)
+        out.append((key, all_frequent))
     return out
 
 
-def gram_key(context, token):
-    """The key of an n-gram, of arrays or columns: both parts are hashes, and made differently, so this is one too."""
-    return context.bitwiseXOR(token) if isinstance(context, Column) else context ^ token
+def gram_key(context: np.ndarray, spread: np.ndarray | bool, word: np.ndarray, bits: int) -> np.ndarray:
+    """The key of an n-gram of the hash of its context and its last word's number.
+
+    Its highest ``bits`` are the context's, so that a shard has all that follows a context; contexts of frequent words, which
+    could outgrow a shard, are ``spread`` over all of them.
+    """
+    key = context ^ mix(word.astype(np.uint64))
+    low = np.uint64(2 ** (64 - bits) - 1)
+    return np.where(spread, key, (key & low) | (context & ~low))
+
+
+def _keys(kind: int, words: list[np.ndarray], frequent: int, bits: int) -> np.ndarray:
+    """The keys of contexts or n-grams, whose words come in the order of the text."""
+    if kind == CONTEXTS:
+        return _contexts(words[::-1], frequent)[-1][0].view(np.int64)
+    before = _contexts(words[-2::-1], frequent) if len(words) > 1 else [(np.uint64(0), True)]
+    return gram_key(*before[-1], words[-1], bits).view(np.int64)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Sorted columns in one compressed value, byte by byte of their numbers: most bytes equal those of the row before."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Scalar, rows: int, kinds: list[type]) -> list[np.ndarray]:
+    sizes = [np.dtype(kind).itemsize for kind in kinds]
+    raw = np.frombuffer(pa.decompress(data.as_buffer(), rows * sum(sizes), codec="zstd"), dtype=np.uint8)
+    cuts = starts(np.array(sizes) * rows)
+    return [
+        np.ascontiguousarray(raw[a:b].reshape(size, rows).T).view(kind).ravel()
+        for a, b, size, kind in zip(cuts[:-1], cuts[1:], sizes, kinds, strict=True)
+    ]
+
+
+def _dealt(kind: int, bits: int, frequent: int, words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each shard that has some, with the counts of equal neighbours added up."""
+    keys = _keys(kind, words, frequent, bits)
+    shard = keys >> np.int64(64 - bits) if bits else np.zeros(len(keys), dtype=np.int64)
+    # by shard, last word and the ones before it, as far as they fit 64 bits: neighbours pack well, and equal ones mostly meet
+    by, left, width = shard.astype(np.uint64) << np.uint64(64 - bits) if bits else shard.astype(np.uint64), 64 - bits, max(int(w.max()) for w in words).bit_length()
+    for w in words[::-1]:
+        left -= width
+        by |= w.astype(np.uint64) << np.uint64(left) if left >= 0 else w.astype(np.uint64) >> np.uint64(min(-left, 63))
+        if left <= 0:
+            break
+    by = np.argsort(by)
+    shard, words = shard[by], [w[by] for w in words]
+    new = np.r_[True, shard[1:] != shard[:-1]]
+    for w in words:
+        new[1:] |= w[1:] != w[:-1]
+    first = np.flatnonzero(new)
+    columns = [*(w[first] for w in words), *(np.add.reduceat(c[by], first, dtype=c.dtype) for c in counts)]
+    shard = shard[first]
+    cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+    data = [_packed([c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(data), kind, dtype=np.int32)), pa.array(shard[cuts[:-1]]), pa.array(np.diff(cuts)), pa.array(data, pa.binary())],
+        ["kind", "shard", "rows", "data"],
+    )
+
+
+class _Held:
+    """Rows held until there are enough of them to be added up and sent on; a task holds no more than that."""
+
+    def __init__(self, kind: int, bits: int, frequent: int):
+        self.kind, self.bits, self.frequent, self.parts, self.rows = kind, bits, frequent, [], 0
+
+    def add(self, words: list[np.ndarray], counts: list[np.ndarray]):
+        if len(words[0]):
+            self.parts.append((words, counts))
+            self.rows += len(words[0])
+        if self.rows >= HELD_ROWS:
+            yield from self.sent()
 
+    def sent(self):
+        if self.parts:
+            words, counts = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in zip(*self.parts, strict=True))
+            self.parts, self.rows = [], 0
+            yield _dealt(self.kind, self.bits, self.frequent, words, counts)
 
-def _count(order: int):
-    """Counts of the n-grams of a slice with their contexts."""
+
+def _words():
+    """Counts of the words of a slice."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, counts = _sequence(batch["text"])
-        contexts = _contexts(tokens, counts, order)
-        by = np.lexsort((tokens, contexts[-1]))  # rows of a context stay together, which packs well in the shuffle
-        x, w = contexts[-1][by], tokens[by]
-        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (w[1:] != w[:-1])]) if len(x) else np.zeros(0, dtype=np.int64)
-        at = by[first]
-        return batch_of({
-            **{f"x{i + 1}": c[at].view(np.int64) for i, c in enumerate(contexts)},
-            "w": tokens[at].view(np.int64), "n": np.diff(np.r_[first, len(x)]).astype(np.int64),
-        })
+        distinct, codes, _ = _coded(batch["text"])
+        return batch_of({"key": distinct.view(np.int64), "c": np.bincount(codes, minlength=len(distinct))})
 
     return map_slices(count, "text")
 
 
-def _grams(context: str):
-    def build(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        key = gram_key(columns[context].view(np.uint64), columns["w"].view(np.uint64)).view(np.int64)
-        return counts_by_key(key, columns["n"])
+def _count(order: int, folder: str, bits: dict[str, int], frequent: int):
+    """Counts of the n-grams of a task's texts."""
+
+    def count(batches):
+        held = _Held(GRAMS, bits[f"grams{order}"], frequent)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                distinct, codes, counts = _coded(part["text"])
+                (number,) = _each(distinct, ["number"], arrays(folder, "words", bits["words"]))
+                number = number.astype(np.uint32)[codes]
+                words = [*(_before(number, counts, n) for n in range(order - 1, 0, -1)), number]
+                yield from held.add(words, [np.ones(len(number), dtype=np.int32)])
+        yield from held.sent()
+        pa.default_memory_pool().release_unused()
+
+    return count
+
+
+def _narrow(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Columns of whole numbers from 0 on as one array, each in as many bytes as its largest needs."""
+    out = np.empty(len(next(iter(columns.values()))), dtype=[(f, np.min_scalar_type(int(c.max(initial=0)))) for f, c in columns.items()])
+    for field, c in columns.items():
+        out[field] = c
+    return out
+
 
-    return build
+def _tables(kind: int, key: np.ndarray, counts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Sorted keys, and beside them what was counted; of most keys one thing was seen once, and they are kept without counts."""
+    once = counts[0] == 1
+    fields = ["n"] if kind == GRAMS else ["n", "once", "twice", "more"]
+    return {"": key[~once], "-values": _narrow({f: c[~once] for f, c in zip(fields, counts, strict=True)}), "-once": key[once]}
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key``, and where there each of its values begins."""
+    by = np.argsort(key)
+    key = key[by]
+    return by, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+
+
+def _fold(n: int, folder: str, bits: dict[str, int], frequent: int):
+    """Adds up the counts of n-grams and writes their arrays and those of their contexts.
+
+    On go the n-grams without their first words, and the contexts that are spread, whose sums the next fold makes. A task
+    holds one shard at a time.
+    """
+
+    def fold(batches):
+        seen = np.zeros(6, dtype=np.int64)
+        on = {k: _Held(k, bits[name], frequent) for k, name in ((CONTEXTS, f"contexts{n}"), (GRAMS, f"grams{n - 1}"))} if n > 1 else {}
+
+        def saved(kind, shard, key, counts, piece):
+            name = f"grams{n}" if kind == GRAMS else f"contexts{n + (piece == 'spread')}"
+            for ending, rows in _tables(kind, key, counts).items():
+                save(folder, f"{name}{ending}", shard, rows, piece)
+
+        def added(kind, shard, parts):
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            parts.clear()
+            key = _keys(kind, columns[:n], frequent, bits[f"grams{n}"])
+            by, first = _runs(key)
+            counts, at = [np.add.reduceat(c[by], first, dtype=np.int64) for c in columns[n:]], by[first]
+            saved(kind, shard, key[at], counts, "spread" if kind == CONTEXTS else "all")
+            if kind == CONTEXTS:
+                return
+            (c,) = counts
+            seen[:] += [c.sum(), *((c == i).sum() for i in range(1, 5)), len(c)]
+            if not on:
+                return
+            words = [w[at] for w in columns[:n]]
+            yield from on[GRAMS].add(words[1:], [np.ones(len(c), dtype=np.int32)])
+            context, spread = _contexts(words[-2::-1], frequent)[-1]
+            follow = [c, c == 1, c == 2, c > 2]
+            yield from on[CONTEXTS].add([w[spread] for w in words[:-1]], [x[spread].astype(np.int64) for x in follow])
+            own, follow = context[~spread].view(np.int64), [x[~spread] for x in follow]
+            by, first = _runs(own)
+            if len(own):
+                saved(CONTEXTS, shard, own[by[first]], [np.add.reduceat(x[by], first, dtype=np.int64) for x in follow], "own")
+
+        group, parts = None, []
+        for batch in batches:
+            kinds, shards, rows = (batch[c].to_numpy() for c in ("kind", "shard", "rows"))
+            for i in range(batch.num_rows):
+                if (now := (int(kinds[i]), int(shards[i]))) != group:
+                    if parts:
+                        yield from added(*group, parts)
+                    group, parts = now, []
+                counts = [np.int32] if now[0] == GRAMS else [np.int64] * 4
+                parts.append(_unpacked(batch["data"][i], int(rows[i]), [np.uint32] * n + counts))
+        if parts:
+            yield from added(*group, parts)
+        for held in on.values():
+            yield from held.sent()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(6, SEEN, dtype=np.int32)), pa.array(np.arange(6)), pa.array(seen), pa.array([b""] * 6, pa.binary())],
+            ["kind", "shard", "rows", "data"],
+        )
+        pa.default_memory_pool().release_unused()
+
+    return fold
+
+
+def _discounts(seen: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times; defined where some are missing."""
-    row = counts.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5))).first()
-    n1, n2, n3, n4 = (float(x or 0) for x in row)
+    n1, n2, n3, n4 = (float(x) for x in seen)
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
     return tuple(min(max(d, 0.05), limit) for d, limit in zip(raw, (0.95, 1.95, 2.95), strict=True))
 
 
-def _by_context(counts: DataFrame, context: str) -> DataFrame:
-    """Total and the numbers of words seen once, twice and more after each context."""
-    return counts.groupBy(context).agg(
-        F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("once"),
-        F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") > 2).alias("more"),
-    )
+def _bits(spark: SparkSession, rows: int) -> int:
+    """Shard bits of n-grams: by their number, and a shard a task at least."""
+    return max(bits_for(rows, SHARD_ROWS), int(np.ceil(np.log2(parallelism(spark)))))
 
 
-def _store(df: DataFrame, folder: str, name: str) -> int:
-    """Write ``df`` as arrays sorted by its ``key``; gives the number of shard bits."""
-    bits = bits_for(df.count())
-    ordered = (
-        df.withColumn("__shard", shard_of("key", bits)).repartition(parallelism(df.sparkSession), "__shard")
-        .sortWithinPartitions("__shard")
-    )
-    write_shards(ordered, folder, name, by_key).agg(F.count(F.lit(1))).collect()
-    return bits
+def _vocabulary(texts: DataFrame, folder: str) -> tuple[int, int, int, int]:
+    """Number the words of ``texts``, the most frequent first, and write their counts and numbers by hash.
+
+    Gives the number of shard bits, of all words, of different ones and of frequent ones: contexts with another word are
+    followed by too few to fill a quarter of a shard.
+    """
+    spark = texts.sparkSession
+    words = texts.mapInArrow(_words(), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    words = step(words.withColumn("less", -F.col("c")), "words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    if v >= UNKNOWN:
+        raise ValueError(f"{v} different words; their numbers have 32 bits")
+    frequent = words.filter(F.col("c") > n // 2 ** _bits(spark, n) // 4).count()
+    bits = bits_for(v)
+    numbered = global_positions(words, ["less", "key"]).select("key", "c", (F.col("position") + 1).alias("number"))
+    dealt = numbered.withColumn("__shard", shard_of("key", bits)).repartition(parallelism(spark), "__shard").sortWithinPartitions("__shard")
+
+    def beside(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        by = np.argsort(columns["key"])
+        return {"": columns["key"][by], "-values": _narrow({f: columns[f][by] for f in ("c", "number")})}
+
+    write_shards(dealt, folder, "words", beside).agg(F.count(F.lit(1))).collect()
+    return bits, n, v, frequent
 
 
 def train(docs: DataFrame, order: int = ORDER) -> Model:
@@ -114,53 +306,37 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     Tokens are lower-cased (A-Z) runs of anything but ASCII white space, and an end for every text. A null
     text is an empty one. No texts give a model that knows nothing: every token is equally likely.
 
-    Counts combine in the worker and again in the shuffle, which deals n-grams by their hash, so that a
-    frequent word is spread over all tasks. Of every order the array has the counts of its n-grams and
-    the totals of its contexts; lower orders count the different words seen before. All
+    Words are numbered first, so that n-grams travel as small numbers: each task adds up those of its texts and sends
+    one compressed value for every shard. A shard has all that follows a context, but contexts of frequent words are
+    spread over all shards, and frequent pairs with them. Of every order the arrays have the counts of its n-grams and
+    what follows its contexts; lower orders count the different words seen before, and come from the order above. All
     statistics cover all texts.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "lm")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    contexts = [f"x{i}" for i in range(1, order)]
-    # the number of shards only has to follow the number of n-grams, so a bound from the texts' bytes will do
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    bits = {f"grams{order}": bits_for(size / 6)}
-    columns = [*contexts, "w"]
-    counted = texts.mapInArrow(_count(order), ", ".join(f"{c} long" for c in [*columns, "n"]))
-    counted = counted.withColumn("__key", gram_key(F.col(contexts[-1]), F.col("w")))
-    counted = counted.withColumn("__shard", shard_of("__key", bits[f"grams{order}"])).drop("__key")
-    # sums of one shard's counts after the shuffle: the slices have been added up before it
-    top = counted.repartition(parallelism(spark), "__shard").groupBy("__shard", *columns).agg(F.sum("n").alias("n"))
-    top = step(top.sortWithinPartitions("__shard", *reversed(contexts), "w"), f"grams{order}")
-    write_shards(top, folder, f"grams{order}", _grams(contexts[-1])).agg(F.count(F.lit(1))).collect()
-    levels = {order: top.select(*columns, "n")}
-    for n in range(order - 1, 0, -1):
-        left = [*contexts[: n - 1], "w"]
-        levels[n] = step(levels[n + 1].groupBy(*left).agg(F.count(F.lit(1)).alias("n")), f"grams{n}")
-    discounts = tuple(_discounts(levels[n]) for n in range(1, order + 1))
-
-    for n in range(2, order + 1):
-        if n < order:
-            keyed = levels[n].select(gram_key(F.col(f"x{n - 1}"), F.col("w")).alias("key"), "n")
-            bits[f"grams{n}"] = _store(keyed, folder, f"grams{n}")
-        by = step(_by_context(levels[n], f"x{n - 1}"), "contexts")
-        d = discounts[n - 1]
-        spare = (d[0] * F.col("once") + d[1] * F.col("twice") + d[2] * F.col("more")) / F.col("total")
-        by = by.select(F.col(f"x{n - 1}").alias("key"), F.col("total").cast("long").alias("total"), spare.alias("spare"))
-        bits[f"contexts{n}"] = _store(by, folder, f"contexts{n}")
-
-    words = levels[order].groupBy("w").agg(F.sum("n").alias("c"))
-    words = step(words.join(levels[1], "w").select(F.col("w").alias("key"), "c", F.col("n").alias("seen_after")), "words")
-    bits["words"] = _store(words, folder, "words")
-    total = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
-        F.coalesce(F.sum("seen_after"), F.lit(0)).alias("s"), *(
-            F.count_if(F.col("seen_after") == k if k < 3 else F.col("seen_after") > 2).alias(f"k{k}") for k in (1, 2, 3)
-        ),
-    ).first()
-    spare = sum(d * total[f"k{k}"] for k, d in zip((1, 2, 3), discounts[0], strict=True)) / total["s"] if total["s"] else 1.0
-    return Model(folder, order, bits, (*discounts, (spare, 0.0, 0.0)), total["n"], total["v"], total["s"])
+    with scratch_run(spark):
+        word_bits, n_tokens, n_types, frequent = _vocabulary(texts, folder)
+    bits = {"words": word_bits}
+    for n in range(1, order + 1):
+        # shards only have to follow the number of n-grams, so a bound will do
+        bits[f"grams{n}"] = bits[f"contexts{n}"] = _bits(spark, n_types if n == 1 else n_tokens >> (order - n))
+    counted, path, seen = texts.mapInArrow(_count(order, folder, bits, frequent), DEALT), None, {}
+    for n in range(order, 0, -1):
+        tasks = max(parallelism(spark), 2 ** bits[f"grams{n}"] // 8)
+        dealt = counted.repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard")
+        before, path = path, scratch_path(spark, f"grams{n}")
+        out = step(dealt.mapInArrow(_fold(n, folder, bits, frequent), DEALT), f"grams{n}", path)
+        if before:
+            discard(spark, before)
+        found = {r["shard"]: r["n"] for r in out.filter(F.col("kind") == SEEN).groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
+        seen[n] = [found.get(i, 0) for i in range(6)]
+        counted = out.filter(F.col("kind") != SEEN)
+    discard(spark, path)
+    discounts = tuple(_discounts(seen[n][1:5]) for n in range(1, order + 1))
+    total, once, twice, *_, types = seen[1]
+    spare = sum(d * k for k, d in zip((once, twice, types - once - twice), discounts[0], strict=True)) / total if total else 1.0
+    return Model(folder, order, bits, (*discounts, (spare, 0.0, 0.0)), n_tokens, n_types, total, frequent)
 
 
 def _take_off(counts: np.ndarray, discounts: tuple[float, ...]) -> np.ndarray:
@@ -174,30 +350,42 @@ def _each(values: np.ndarray, fields: list[str], found) -> list[np.ndarray]:
     return [x[back] for x in found.find(distinct, fields)]
 
 
-def _seen(model: Model, n: int, keys: np.ndarray) -> np.ndarray:
-    bits = model.bits[f"grams{n}"]
-    (seen,) = _each(keys, ["n"], arrays(model.folder, f"grams{n}", bits))
-    if n == model.order:
-        seen += _each(keys, [""], arrays(model.folder, f"grams{n}-once", bits))[0]
-    return seen
+def _seen(model: Model, name: str, keys: np.ndarray, fields: list[str]) -> list[np.ndarray]:
+    """What was counted for every key: ``fields[0]`` is 1, and so is "once", where one thing was seen once."""
+    distinct, back = np.unique(keys.view(np.int64), return_inverse=True)
+    out = arrays(model.folder, name, model.bits[name]).find(distinct, fields)
+    (once,) = arrays(model.folder, f"{name}-once", model.bits[name]).find(distinct, [""])
+    return [(x + once if field in ("n", "once") else x)[back] for x, field in zip(out, fields, strict=True)]
+
+
+def score_words(model: Model, distinct: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each token by the model, and its count in training; token i is ``distinct[codes[i]]``."""
+    known, number = _each(distinct, ["c", "number"], arrays(model.folder, "words", model.bits["words"]))
+    words = np.where(known > 0, number, UNKNOWN).astype(np.uint32)
+    (after,) = _seen(model, "grams1", gram_key(np.uint64(0), True, words, model.bits["grams1"]), ["n"])
+    spare = model.discounts[-1][0]
+    p = (_take_off(after, model.discounts[0]) / max(model.continuations, 1) + spare / (model.types + 1))[codes]
+    words = words[codes]
+    contexts = _contexts([_before(words, counts, i) for i in range(1, model.order)], model.frequent)
+    for n, (context, spread) in enumerate(contexts, start=2):
+        total, *seen = _seen(model, f"contexts{n}", context, ["n", "once", "twice", "more"])
+        (own,) = _seen(model, f"grams{n}", gram_key(context, spread, words, model.bits[f"grams{n}"]), ["n"])
+        d = model.discounts[n - 1]
+        spare = sum(x * k for x, k in zip(d, seen, strict=True))
+        p = np.where(total > 0, (_take_off(own, d) + spare * p) / np.maximum(total, 1), p)
+    return p, known[codes]
 
 
 def score_tokens(model: Model, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each token by the model, and its count in training."""
-    known, after = _each(tokens, ["c", "seen_after"], arrays(model.folder, "words", model.bits["words"]))
-    spare = model.discounts[-1][0]
-    p = _take_off(after, model.discounts[0]) / max(model.continuations, 1) + spare / (model.types + 1)
-    for n, context in enumerate(_contexts(tokens, counts, model.order), start=2):
-        total, spare = _each(context, ["total", "spare"], arrays(model.folder, f"contexts{n}", model.bits[f"contexts{n}"]))
-        seen = _seen(model, n, gram_key(context, tokens))
-        p = np.where(total > 0, _take_off(seen, model.discounts[n - 1]) / np.maximum(total, 1) + spare * p, p)
-    return p, known
+    distinct, codes = np.unique(tokens, return_inverse=True)
+    return score_words(model, distinct, codes, counts)
 
 
 def _score(model: Model):
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, counts = _sequence(batch["text"])
-        p, known = score_tokens(model, tokens, counts)
+        distinct, codes, counts = _coded(batch["text"])
+        p, known = score_words(model, distinct, codes, counts)
         first = starts(counts)[:-1]
         base = np.log10((known + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
         return pa.RecordBatch.from_arrays(

@@ -132,3 +132,27 @@ def test_the_query_reads_two_words_of_context(spark, tmp_path):
         words = ["<s>"] * 2 + sequence(text)
         want = sum(math.log10(plain.p(tuple(words[j : j + 3]))) for j in range(len(words) - 2))
         assert rows[i].score == pytest.approx(want, abs=1e-9)
+
+
+def test_training_leaves_little_but_the_arrays(spark):
+    """Most n-grams are unique: what is kept of each decides how much disk the job takes. Some words here are frequent, most are not."""
+    from pathlib import Path
+
+    from hearsay.session import shared_dir
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in np.minimum(draw.zipf(1.3, 200), 5000)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in at.rglob("*") if f.is_file())
+    before = held()
+    model = lm.train(docs, 3)
+    left = held() - before
+    plain = Plain(texts, 3)
+    assert left / len(plain.levels[3]) < 32
+    assert 0 < model.frequent < plain.types / 10  # both kinds of contexts are there
+    rows = lm.score(docs.selectExpr("*", "false as held_out"), model).collect()
+    for row in rows[:40]:
+        words = ["<s>"] * 2 + sequence(texts[row.doc_id])
+        want = sum(math.log10(plain.p(tuple(words[j : j + 3]))) for j in range(len(words) - 2))
+        assert row.score == pytest.approx(want, abs=1e-9)
