@@ -134,8 +134,9 @@ def map_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], colu
 def global_positions(df: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
     """``df`` with ``position``: the number of rows (or the sum of ``weight``) before each row in ``order``.
 
-    ``df`` must be staged and narrow: it is range-sorted, every task adds up its own range, and one
-    number per task travels to give each range its start. Ties must be broken by ``order``.
+    ``df`` must be narrow, and staged unless little stands between it and a table or a shuffle: it is worked out
+    twice, for a sample and to be range-sorted. Every task adds up its own range, and one number per task travels to
+    give each range its start. Ties must be broken by ``order``.
     """
     spark = df.sparkSession
     columns = df.columns

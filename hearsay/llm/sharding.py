@@ -34,7 +34,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED) -> DataFra
     equal go by their texts. Other columns are ignored. No rows give no rows.
 
     Only ids, hashes and sources are sorted, never texts. Both sorts cut any source by range; the counts of the sources
-    are combined before they are shuffled and joined by ``skew.lookup_join``.
+    are combined before they are shuffled and joined by ``skew.lookup_join``. Three tables are staged: the rows of either
+    sort, and the sources. What goes into a sort is not staged: its shuffle, or the table it reads, serves the sort's sample
+    and the sort, so texts are read once, and every staged table costs each task a file.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -45,9 +47,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED) -> DataFra
     key = ["doc_id", "text_hash", "source", "size", "text_crc32"]
     rows = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     lot = drawn(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
-    rows = step(rows.withColumn("lot", lot), "lots")
     order = ["source", "lot", "doc_id", "text_crc32", "size", "text_hash"]
-    ranked = global_positions(rows, order, "copies")
+    ranked = global_positions(rows.withColumn("lot", lot), order, "copies")
     sources = ranked.groupBy("source").agg(F.min("position").alias("start"), F.sum("copies").alias("n"))
     sources = step(sources.withColumn("phase", drawn(F.lit(seed), F.lit("source"), F.col("source"))), "sources")
     placed = per_copy(skew.lookup_join(ranked, sources, "source", "inner"), "copies", "copy")
@@ -56,7 +57,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED) -> DataFra
     narrow = placed.select(*key, "copy", "lot", fraction.alias("fraction"))
     order = ["fraction", "lot", "doc_id", "text_crc32", "size", "source", "text_hash", "copy"]
     total = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    ordered = global_positions(step(narrow, "fractions"), order)
+    ordered = global_positions(narrow, order)
     shard = F.expr(f"(position * {n_shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
     return ordered.withColumn("shard", shard).withColumn("slot", F.col("position") - first).select(

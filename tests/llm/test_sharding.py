@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from hearsay import session
 from hearsay.llm import common, sharding
 
 
@@ -76,6 +77,23 @@ def test_few_and_no_rows(spark):
     assert sorted(r.slot for r in out) == [0, 0, 0] and len({r.shard for r in out}) == 3
 
 
+def test_few_tables_are_staged_and_texts_read_once(spark, monkeypatch, tmp_path):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(shared))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = frame(spark, ROWS).repartition(5)
+    out = sharding.shards(docs.mapInArrow(counted, docs.schema), 4).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in out) == brute(ROWS, 4)
+    assert sorted(p.name.partition("-")[0] for p in (shared / "hearsay").iterdir()) == ["ranged", "ranged", "sources"]
+    assert seen.value == len(ROWS)
+
+
 def test_copies_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(common, "COPY_CHUNK", 4)
     df = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9)], "k string, n long")
