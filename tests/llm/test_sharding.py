@@ -8,6 +8,7 @@ import pytest
 
 from hearsay import session
 from hearsay.llm import common, sharding
+from hearsay.operators import skew
 
 
 def draw(*what):
@@ -94,6 +95,12 @@ def test_few_tables_are_staged_and_texts_read_once(spark, monkeypatch, tmp_path)
     assert seen.value == len(ROWS)
 
 
+def test_sources_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(skew, "bounded", lambda df, max_rows: False)
+    out = sharding.shards(frame(spark, ROWS).repartition(5), 7).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in out) == brute(ROWS, 7)
+
+
 def test_copies_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(common, "COPY_CHUNK", 4)
     df = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9)], "k string, n long")
