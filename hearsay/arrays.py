@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import resource
 import uuid
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 
 
 FETCHED_SHARDS = 8
-MAPPED_SHARDS = 2_048  # a process may map 65,530 files
+_open = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+# of a process; each holds a descriptor, and there may be 65,530 maps in all
+MAPPED_FILES = min(8_192, _open // 2) if _open > 0 else 8_192
+ALIGN = 64
 
 
 def shard_of(key: str, bits: int):
@@ -52,8 +57,60 @@ def save(folder: str, name: str, shard: int, table: np.ndarray, piece: object) -
     store.move(part, f"{path}/{file}")
 
 
-def _listed(folder: str) -> dict[tuple[str, int], list[str]]:
-    """File names of all pieces by name and shard."""
+def _store(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    url = urlparse(folder)
+    return (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
+
+
+class Pack:
+    """All arrays a task makes, of many shards and names, in one file: what is mapped grows with the tasks, not with the shards.
+
+    Arrays follow one another as they come, and what lies where stands at the end. As with ``save``, the file gets its name when
+    it is whole; a task that runs again leaves the same one.
+    """
+
+    def __init__(self, folder: str, name: str):
+        self.store, path = _store(folder)
+        self.part, self.file = f"{path}/.{uuid.uuid4().hex}", f"{path}/{name}.pack"
+        self.store.create_dir(path)
+        self.out, self.at, self.index = self.store.open_output_stream(self.part), 0, []
+
+    def _write(self, data) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def add(self, name: str, shard: int, table: np.ndarray) -> None:
+        """One piece of a shard."""
+        if len(table):
+            self._write(b"\0" * (-self.at % ALIGN))
+            self.index.append([name, int(shard), np.lib.format.dtype_to_descr(table.dtype), len(table), self.at])
+            self._write(np.ascontiguousarray(table).view(np.uint8).data)
+
+    def close(self) -> None:
+        index = json.dumps(self.index).encode()
+        self._write(index)
+        self._write(len(index).to_bytes(8, "little"))
+        self.out.close()
+        self.store.move(self.part, self.file)
+
+
+@lru_cache(maxsize=65_536)
+def _index(folder: str, file: str) -> list[tuple[str, int, np.dtype, int, int]]:
+    """What lies where in a pack."""
+    store, path = _store(folder)
+    with store.open_input_file(f"{path}/{file}") as src:
+        end = src.size() - 8
+        size = int.from_bytes(src.read_at(8, end), "little")
+        index = json.loads(src.read_at(size, end - size))
+    kind = lambda descr: np.dtype([tuple(f) for f in descr] if isinstance(descr, list) else descr)
+    return [(name, shard, kind(descr), rows, at) for name, shard, descr, rows, at in index]
+
+
+def _listed(folder: str) -> dict[tuple[str, int], list[tuple]]:
+    """Where all pieces are, by name and shard: a file of their own, or kind, rows and place in a pack."""
     url = urlparse(folder)
     if url.scheme in ("", "file"):
         path = unquote(url.path)
@@ -63,14 +120,23 @@ def _listed(folder: str) -> dict[tuple[str, int], list[str]]:
 
         store, path = fs.FileSystem.from_uri(folder)
         names = [f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True))]
-    out: dict[tuple[str, int], list[str]] = {}
+    out: dict[tuple[str, int], list[tuple]] = {}
     for file in sorted(names):
         if file.endswith(".npy"):
             name, shard, _ = file.split("~")
-            out.setdefault((name, int(shard)), []).append(file)
+            out.setdefault((name, int(shard)), []).append((file,))
+        elif file.endswith(".pack"):
+            for name, shard, *place in _index(folder, file):
+                out.setdefault((name, shard), []).append((file, *place))
     return out
 
 
+@lru_cache(maxsize=MAPPED_FILES)
+def _mapped(file: str) -> np.ndarray:
+    """A file as it is mapped for all look-ups of a process, so that these together hold no more descriptors than it may have."""
+    return np.asarray(np.load(file, mmap_mode="r") if file.endswith(".npy") else np.memmap(file, np.uint8, "r"))
+
+
 def write_shards(df: DataFrame, folder: str, name: str, build) -> DataFrame:
     """``df``, whose partitions are sorted by ``__shard``, passed through; on the way ``build(columns)`` makes of each
     shard's columns the sorted arrays to keep, by name ending.
@@ -120,34 +186,32 @@ def by_key(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 class Arrays:
-    """Look-ups in the shards of one name; each is mapped when first needed."""
+    """Look-ups in the shards of one name; files are mapped when first needed."""
 
     def __init__(self, folder: str, name: str, bits: int):
         self.folder, self.name, self.bits, self.maps, self.columns = folder, name, bits, {}, {}
         url = urlparse(folder)
         self.local = unquote(url.path) if url.scheme in ("", "file") else None
-        self.files = {shard: files for (own, shard), files in _listed(folder).items() if own == name}
+        self.files = {shard: places for (own, shard), places in _listed(folder).items() if own == name}
 
     def _pieces(self, shard: int) -> list[np.ndarray]:
-        if shard in self.maps:
-            return self.maps[shard]
         if self.local:
-            if len(self.maps) >= MAPPED_SHARDS:
-                self.maps.pop(next(iter(self.maps)))
-            self.maps[shard] = [np.load(f"{self.local}/{f}", mmap_mode="r") for f in self.files.get(shard, [])]
-        else:
+            return [self._part(*place) for place in self.files.get(shard, [])]
+        if shard not in self.maps:
             while len(self.maps) >= FETCHED_SHARDS:
                 self.maps.pop(next(iter(self.maps)))
-            self.maps[shard] = [self._fetched(f) for f in self.files.get(shard, [])]
+            self.maps[shard] = [self._fetched(*place) for place in self.files.get(shard, [])]
         return self.maps[shard]
 
-    def _fetched(self, file: str) -> np.ndarray:
-        """A piece from a store that cannot be mapped, read into memory; only a few shards are held at a time."""
-        from pyarrow import fs
+    def _part(self, file: str, kind: np.dtype | None = None, rows: int = 0, at: int = 0) -> np.ndarray:
+        whole = _mapped(f"{self.local}/{file}")
+        return whole if kind is None else whole[at : at + rows * kind.itemsize].view(kind)
 
-        store, path = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_stream(f"{path}/{file}") as src:
-            return np.load(io.BytesIO(src.read()))
+    def _fetched(self, file: str, kind: np.dtype | None = None, rows: int = 0, at: int = 0) -> np.ndarray:
+        """A piece from a store that cannot be mapped, read into memory; only a few shards are held at a time."""
+        store, path = _store(self.folder)
+        with store.open_input_file(f"{path}/{file}") as src:
+            return np.load(io.BytesIO(src.read())) if kind is None else np.frombuffer(src.read_at(rows * kind.itemsize, at), kind)
 
     def find(self, keys: np.ndarray, fields: list[str], default: float = 0) -> list[np.ndarray]:
         """The values of ``fields`` for sorted distinct keys, ``default`` where there is none; "" is 1 for a key that is there.

@@ -1,5 +1,5 @@
 """Sorted hash arrays, as the training operators name them."""
 
 from hearsay.arrays import (  # noqa: F401
-    FETCHED_SHARDS, Arrays, arrays, batch_of, bits_for, by_key, save, shard_of, write_shards,
+    FETCHED_SHARDS, Arrays, Pack, arrays, batch_of, bits_for, by_key, shard_of, write_shards,
 )

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm.arrays import arrays, batch_of, bits_for, save, shard_of, write_shards
+from hearsay.llm.arrays import Pack, arrays, batch_of, bits_for, shard_of, write_shards
 from hearsay.llm.common import global_positions, map_slices, mix, hash_strings, parallelism, slices, split_words, starts, step, table
 from hearsay.session import discard, scratch_path, scratch_run
 
@@ -204,17 +204,18 @@ def _fold(n: int, folder: str, bits: dict[str, int], frequent: int):
     """Adds up the counts of n-grams and writes their arrays and those of their contexts.
 
     On go the n-grams without their first words, and the contexts that are spread, whose sums the next fold makes. A task
-    holds one shard at a time.
+    holds one shard at a time, and writes those it gets to one file.
     """
 
     def fold(batches):
         seen = np.zeros(6, dtype=np.int64)
         on = {k: _Held(k, bits[name], frequent) for k, name in ((CONTEXTS, f"contexts{n}"), (GRAMS, f"grams{n - 1}"))} if n > 1 else {}
 
-        def saved(kind, shard, key, counts, piece):
-            name = f"grams{n}" if kind == GRAMS else f"contexts{n + (piece == 'spread')}"
+        pack = None
+
+        def saved(kind, shard, key, counts, name):
             for ending, rows in _tables(kind, key, counts).items():
-                save(folder, f"{name}{ending}", shard, rows, piece)
+                pack.add(f"{name}{ending}", shard, rows)
 
         def added(kind, shard, parts):
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -222,7 +223,7 @@ def _fold(n: int, folder: str, bits: dict[str, int], frequent: int):
             key = _keys(kind, columns[:n], frequent, bits[f"grams{n}"])
             by, first = _runs(key)
             counts, at = [np.add.reduceat(c[by], first, dtype=np.int64) for c in columns[n:]], by[first]
-            saved(kind, shard, key[at], counts, "spread" if kind == CONTEXTS else "all")
+            saved(kind, shard, key[at], counts, f"contexts{n + 1}" if kind == CONTEXTS else f"grams{n}")
             if kind == CONTEXTS:
                 return
             (c,) = counts
@@ -237,7 +238,7 @@ def _fold(n: int, folder: str, bits: dict[str, int], frequent: int):
             own, follow = context[~spread].view(np.int64), [x[~spread] for x in follow]
             by, first = _runs(own)
             if len(own):
-                saved(CONTEXTS, shard, own[by[first]], [np.add.reduceat(x[by], first, dtype=np.int64) for x in follow], "own")
+                saved(CONTEXTS, shard, own[by[first]], [np.add.reduceat(x[by], first, dtype=np.int64) for x in follow], f"contexts{n}")
 
         group, parts = None, []
         for batch in batches:
@@ -247,10 +248,13 @@ def _fold(n: int, folder: str, bits: dict[str, int], frequent: int):
                     if parts:
                         yield from added(*group, parts)
                     group, parts = now, []
+                    # no other task of this fold has the group
+                    pack = pack or Pack(folder, f"{n}~{group[0]}-{group[1]}")
                 counts = [np.int32] if now[0] == GRAMS else [np.int64] * 4
                 parts.append(_unpacked(batch["data"][i], int(rows[i]), [np.uint32] * n + counts))
         if parts:
             yield from added(*group, parts)
+            pack.close()
         for held in on.values():
             yield from held.sent()
         yield pa.RecordBatch.from_arrays(

@@ -156,3 +156,48 @@ def test_training_leaves_little_but_the_arrays(spark):
         words = ["<s>"] * 2 + sequence(texts[row.doc_id])
         want = sum(math.log10(plain.p(tuple(words[j : j + 3]))) for j in range(len(words) - 2))
         assert row.score == pytest.approx(want, abs=1e-9)
+
+
+def test_files_follow_the_tasks_not_the_shards(spark, monkeypatch):
+    """A mapped file holds a descriptor: one for each shard and name would be more than a process may have."""
+    import os
+
+    from hearsay.llm import arrays as a
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in np.minimum(draw.zipf(1.3, 200), 5000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "SHARD_ROWS", 100)
+    model = lm.train(docs, 3)
+    tasks = sum(max(8, 2 ** model.bits[f"grams{n}"] // 8) for n in (1, 2, 3))
+    assert model.bits["grams3"] >= 6 and len(os.listdir(model.folder.removeprefix("file:"))) <= tasks + 2
+    rows = {r.doc_id: r.score for r in lm.score(docs.selectExpr("*", "false as held_out"), model).collect()}
+    plain = Plain(texts, 3)
+    for i, text in enumerate(texts[:10]):
+        words = ["<s>"] * 2 + sequence(text)
+        want = sum(math.log10(plain.p(tuple(words[j : j + 3]))) for j in range(len(words) - 2))
+        assert rows[i] == pytest.approx(want, abs=1e-9)
+    # where files cannot be mapped, too, and however few are mapped at a time
+    name, bits = "contexts3", model.bits["contexts3"]
+    keys = np.sort(np.concatenate([part for shard in range(-(2 ** (bits - 1)), 2 ** (bits - 1)) for part in a.Arrays(model.folder, name, bits)._pieces(shard)]))
+    want = a.Arrays(model.folder, name, bits).find(keys, ["n", ""])
+    fetched = a.Arrays(model.folder, name, bits)
+    fetched.local = None
+    assert len(keys) and want[1].all()
+    assert all((x == y).all() for x, y in zip(fetched.find(keys, [""]), want[1:], strict=True))
+
+
+def test_a_process_maps_a_bounded_number_of_files(tmp_path):
+    import os
+    import resource
+
+    from hearsay import arrays as a
+
+    assert a.MAPPED_FILES <= resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2
+    bits, most = 14, a._mapped.cache_info().maxsize
+    for shard in range(-(2**13), 2**13):
+        np.save(f"{tmp_path}/t~{shard}~0.npy", np.array([shard << (64 - bits)]))
+    held = len(os.listdir("/proc/self/fd"))
+    keys = np.arange(-(2**13), 2**13) << (64 - bits)
+    assert a.Arrays(str(tmp_path), "t", bits).find(keys, [""])[0].all()
+    assert len(os.listdir("/proc/self/fd")) - held <= most
