@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.arrays import arrays, bits_for, by_key, shard_of, write_shards
+from hearsay.operators.skew import parallelism
 from hearsay.session import cut_lineage, scratch_path
 
 CHECK_BITS = 52
@@ -53,7 +54,8 @@ def word_table(words: DataFrame) -> WordTable:
     fields = words.columns[1:]
     rows = words.filter(F.col("token").isNotNull()).select("token", *[F.col(c).cast("double").alias(c) for c in fields])
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("check", T.LongType()), *rows.schema[1:]])
-    keyed = cut_lineage(rows.mapInArrow(_keyed, schema))
+    # hashing takes longer than the size of the words tells, so Spark would leave it to too few tasks
+    keyed = cut_lineage(rows.repartition(parallelism(rows), "token").mapInArrow(_keyed, schema))
     bits, folder = bits_for(keyed.count()), scratch_path(spark, "words")
     dealt = keyed.withColumn("__shard", shard_of("key", bits)).repartition(max(1, 1 << bits), "__shard").sortWithinPartitions("__shard")
     write_shards(dealt, folder, "words", by_key).agg(F.count(F.lit(1))).collect()

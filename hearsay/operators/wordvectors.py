@@ -9,9 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.arrays import arrays, bits_for, shard_of, write_shards
+from hearsay.arrays import arrays, bits_for, by_key, shard_of, write_shards
 from hearsay.operators import linear
-from hearsay.operators.skew import MAX_BROADCAST_ROWS, explode_words, lookup_join, numbered
+from hearsay.operators.skew import MAX_BROADCAST_ROWS, bounded, explode_words, lookup_join, numbered, parallelism
 from hearsay.operators.wordtable import WordTable, coded, sums, word_table
 from hearsay.session import cut_lineage, scratch_path
 
@@ -23,6 +23,9 @@ PASSES = 3
 RARE = 1e-3
 SHARD_ROWS = 100_000
 SLICE_WORDS = 2_000_000
+BLOCK_CELLS = 65_536
+# the numbers of a block of the matrix, as bytes
+BLOCK = {"first": "i4", "keys": "i8", "places": "i4", "pmi": "f8"}
 # two numbers a row: some fifty megabytes as a broadcast
 MAX_NUMBERED = 2_000_000
 
@@ -90,6 +93,29 @@ def cooccurrences(df: DataFrame, tokens: str, window: int = WINDOW, min_count: i
     return pairs.select(F.col("a_word").alias("a"), F.col("b_word").alias("b"), "n")
 
 
+def _with_rows(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` with ``row`` and ``column``, the sums of both their words' rows, however many words there are: tasks look them up in
+    the shared folder and no pair is shuffled.
+    """
+    folder, bits = scratch_path(pairs.sparkSession, "rows"), bits_for(rows.count())
+    keyed = rows.select(F.xxhash64("a").alias("key"), "row").withColumn("__shard", shard_of("key", bits))
+    dealt = keyed.repartition(1 << bits, "__shard").sortWithinPartitions("__shard")
+    write_shards(dealt, folder, "rows", by_key).agg(F.count(F.lit(1))).collect()
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for side in ("a_key", "b_key"):
+                keys, back = np.unique(batch[side].to_numpy(), return_inverse=True)
+                sums.append(arrays(folder, "rows", bits).find(keys, ["row"], -1)[0][back].astype(np.int64))
+            columns = [*(batch[c] for c in ("a", "b", "n")), *map(pa.array, sums)]
+            out = pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "row", "column"])
+            yield out.filter(pa.array((sums[0] >= 0) & (sums[1] >= 0)))
+
+    keys = [F.xxhash64(side).alias(f"{side}_key") for side in ("a", "b")]
+    return pairs.select("a", "b", "n", *keys).dropna(subset=["a", "b"]).mapInArrow(run, "a long, b long, n long, row long, column long")
+
+
 def positive_pmi(pairs: DataFrame, smooth: float = 0.75) -> DataFrame:
     """``(a, b, pmi)`` of the pairs seen more often than chance: log(n N / (n_a n_b)), contexts smoothed by a power of their counts.
 
@@ -101,9 +127,13 @@ def positive_pmi(pairs: DataFrame, smooth: float = 0.75) -> DataFrame:
     if not total:
         return pairs.select("a", "b", F.lit(0.0).alias("pmi"))
     columns = rows.select(F.col("a").alias("b"), F.col("row").alias("column"))
-    most = MAX_NUMBERED if dict(pairs.dtypes)["a"] == "bigint" else MAX_BROADCAST_ROWS
-    by_row = lookup_join(pairs, rows, "a", "inner", spread_by=["b"], max_broadcast_rows=most)
-    counted = lookup_join(by_row, columns, "b", "inner", spread_by=["a"], max_broadcast_rows=most)
+    by_number = dict(pairs.dtypes)["a"] == "bigint"
+    if by_number and not bounded(rows, MAX_NUMBERED):
+        counted = _with_rows(pairs, rows)
+    else:
+        most = MAX_NUMBERED if by_number else MAX_BROADCAST_ROWS
+        by_row = lookup_join(pairs, rows, "a", "inner", spread_by=["b"], max_broadcast_rows=most)
+        counted = lookup_join(by_row, columns, "b", "inner", spread_by=["a"], max_broadcast_rows=most)
 
     def pmi(own: str, context: str) -> F.Column:
         chance = F.col(own).cast("double") * (F.col(context) ** smooth) / F.lit(float(smoothed))
@@ -146,28 +176,60 @@ def _stored(vectors: DataFrame, width: int) -> tuple[str, int]:
     return folder, bits
 
 
+def _blocks(pmi: DataFrame) -> DataFrame:
+    """The cells of ``pmi``, which is sorted by a, some tens of thousands in a row: every pass over the matrix then reads a few numbers a
+    cell and finds what it needs sorted. A block has the words of its rows and where the cells of each begin, the different keys of
+    its columns and the place of each cell's among them.
+    """
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cells = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rows = cells["a"].dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        keys, places = np.unique(cells["key"].to_numpy(), return_inverse=True)
+        numbers = [first, keys, places, cells["pmi"].to_numpy()]
+        words = pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), cells["a"].take(pa.array(first)))
+        packed = [pa.array([n.astype(kind).tobytes()], pa.binary()) for n, kind in zip(numbers, BLOCK.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([words, *packed], ["words", *BLOCK])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= BLOCK_CELLS:
+                yield block(held)
+                held, n = [], 0
+        if held:
+            yield block(held)
+
+    kind = pmi.schema["a"].dataType.simpleString()
+    columns = ", ".join(f"{c} binary" for c in BLOCK)
+    return pmi.select("a", F.xxhash64("b").alias("key"), "pmi").mapInArrow(run, f"words array<{kind}>, {columns}")
+
+
 def _applied(pmi: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     """The matrix of ``pmi`` times the rows of ``vectors``, which tasks look up in the shared folder: cells of the matrix stay where they
-    are, and the sums of their rows are combined before the shuffle. ``pmi`` is sorted by a.
+    are, and the sums of their rows are combined before the shuffle. ``pmi`` is sorted by a, or the ``_blocks`` of such a table.
     """
     folder, bits = _stored(vectors, width)
+    blocks = _blocks(pmi) if "pmi" in pmi.columns and "a" in pmi.columns else pmi
+    columns = [f"v{i}" for i in range(width)]
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch["a"].dictionary_encode().indices.to_numpy()
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            keys, back = np.unique(batch["key"].to_numpy(), return_inverse=True)
-            cells = arrays(folder, "vectors", bits).matrix(keys, "v", width)[back] * batch["pmi"].to_numpy()[:, None]
-            found = np.add.reduceat(cells, first, axis=0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(first)), lists], ["a", "v"])
+            for i in range(batch.num_rows):
+                first, keys, places, values = (np.frombuffer(batch[c][i].as_buffer(), dtype=kind) for c, kind in BLOCK.items())
+                cells = arrays(folder, "vectors", bits).matrix(keys, "v", width)[places]
+                cells *= values[:, None]
+                found = np.add.reduceat(cells, first, axis=0)
+                yield pa.RecordBatch.from_arrays([batch["words"][i].values, *(pa.array(c) for c in found.T.copy())], ["a", *columns])
 
-    kind = pmi.schema["a"].dataType.simpleString()
-    parts = pmi.select("a", F.xxhash64("b").alias("key"), "pmi").mapInArrow(run, f"a {kind}, v array<double>")
-    added = parts.groupBy("a").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
-    return cut_lineage(added.select(F.col("a").alias("word"), vector_to_array("s").alias("v")))
+    kind = blocks.schema["words"].dataType.elementType.simpleString()
+    parts = blocks.mapInArrow(run, f"a {kind}, {', '.join(f'{c} double' for c in columns)}")
+    added = parts.groupBy("a").agg(*[F.sum(c).alias(c) for c in columns])
+    return cut_lineage(added.select(F.col("a").alias("word"), F.array(*columns).alias("v")))
 
 
 def word_vectors(pmi: DataFrame, dimensions: int = DIMENSIONS, passes: int = PASSES, seed: int = 50) -> DataFrame:
@@ -178,8 +240,9 @@ def word_vectors(pmi: DataFrame, dimensions: int = DIMENSIONS, passes: int = PAS
     Vocabulary and matrix stay distributed; no row of the matrix is ever held whole. Signs are those that make each column's sum of cubes positive.
     """
     width = dimensions + SPARE
-    pmi = cut_lineage(pmi.select("a", "b", "pmi").repartition("a").sortWithinPartitions("a"))
-    words = pmi.select(F.col("a").alias("word")).distinct()
+    pmi = cut_lineage(_blocks(pmi.select("a", "b", "pmi").repartition("a").sortWithinPartitions("a")))
+    # words are small and their rows are not, so Spark would leave them to too few tasks
+    words = pmi.select(F.explode("words").alias("word")).repartition(parallelism(pmi), "word").distinct()
     basis = cut_lineage(_random_rows(words, width, seed))
     for _ in range(passes):
         basis = cut_lineage(linear.orthonormal(_applied(pmi, basis, width), "v", width))

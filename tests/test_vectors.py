@@ -200,3 +200,33 @@ def test_the_matrix_stays_where_it_is(spark, monkeypatch):
     for r in pmi.collect():
         want[r.a] = want.get(r.a, 0) + r.pmi * vectors[r.b]
     assert set(got) == set(want) and all(np.allclose(got[w], want[w], atol=1e-9) for w in want)
+
+
+def test_the_matrix_is_read_in_blocks(spark, monkeypatch):
+    """A pass over the matrix reads a row for many cells, and sums that cross blocks meet."""
+    pmi = wordvectors.positive_pmi(wordvectors.cooccurrences(frame(spark, texts(2, 60)), "tokens", 4, 5))
+    monkeypatch.setattr(wordvectors, "BLOCK_CELLS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = wordvectors._blocks(pmi.repartition(3, "a").sortWithinPartitions("a")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = pmi.collect()
+    assert len(blocks) <= len(cells) / 50 + 3
+    number = {r.b: r.key for r in pmi.select("b", F.xxhash64("b").alias("key")).collect()}
+    got = Counter()
+    for r in blocks:
+        first, keys, places, values = (np.frombuffer(r[c], kind) for c, kind in wordvectors.BLOCK.items())
+        words = np.repeat(np.array(r.words, dtype=object), np.diff(np.r_[first, len(places)]))
+        got.update(zip(words, keys[places].tolist(), values.tolist()))
+    assert got == Counter((r.a, number[r.b], r.pmi) for r in cells)
+
+
+def test_any_number_of_words_needs_no_shuffle_of_pairs(spark, monkeypatch):
+    words, pairs = wordvectors.numbered_pairs(frame(spark, texts(1, 40)), "tokens", 3, 4)
+    want = {(r.a, r.b): r.pmi for r in wordvectors.positive_pmi(pairs).collect()}
+    monkeypatch.setattr(wordvectors, "MAX_NUMBERED", 5)
+    monkeypatch.setattr(wordvectors, "bits_for", lambda rows: 2)
+    pmi = wordvectors.positive_pmi(pairs)
+    assert "Exchange" not in pmi._jdf.queryExecution().executedPlan().toString()
+    assert want and {(r.a, r.b): r.pmi for r in pmi.collect()} == want
