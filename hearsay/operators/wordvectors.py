@@ -24,6 +24,7 @@ RARE = 1e-3
 SHARD_ROWS = 100_000
 SLICE_WORDS = 2_000_000
 BLOCK_CELLS = 65_536
+TASK_WORDS = 10_000
 # the numbers of a block of the matrix, as bytes
 BLOCK = {"first": "i4", "keys": "i8", "places": "i4", "pmi": "f8"}
 # two numbers a row: some fifty megabytes as a broadcast
@@ -62,6 +63,11 @@ def _near_pairs(table: WordTable, window: int):
     return run
 
 
+def _dealt(table: DataFrame, words: DataFrame) -> DataFrame:
+    """``table`` of ``words``, some thousands a task: hashing them takes longer than their size tells, so Spark would leave it to too few."""
+    return table.repartition(max(1, min(parallelism(words), words.count() // TASK_WORDS)), "token")
+
+
 def numbered_pairs(df: DataFrame, tokens: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """``(token, id)`` of the words occurring ``min_count`` times or more, and ``(a, b, n)`` of ``cooccurrences`` by their ids.
 
@@ -70,7 +76,7 @@ def numbered_pairs(df: DataFrame, tokens: str, window: int = WINDOW, min_count:
     """
     counts = explode_words(df, [], tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     words = cut_lineage(numbered(counts.select("token"), [F.col("token")], "id"))
-    near = df.select(F.col(tokens).alias("tokens")).mapInArrow(_near_pairs(word_table(words), window), "a long, b long, n long")
+    near = df.select(F.col(tokens).alias("tokens")).mapInArrow(_near_pairs(word_table(_dealt(words, words)), window), "a long, b long, n long")
     one = near.groupBy("a", "b").agg(F.sum("n").alias("n"))
     # a word near itself counts twice
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -277,7 +283,8 @@ def text_vectors(
     total = every.agg(F.sum("f")).scalar()
     weight = F.lit(rare) / (F.lit(rare) + F.col("f") / total)
     known = words.select(F.col("word").alias("token"), "vector").join(every, "token")
-    table = word_table(known.select("token", *[(F.get("vector", F.lit(i)) * weight).alias(f"v{i}") for i in range(dimensions)]))
+    weighted = known.select("token", *[(F.get("vector", F.lit(i)) * weight).alias(f"v{i}") for i in range(dimensions)])
+    table = word_table(_dealt(weighted, words))
 
     def run(batches):
         for batch in batches:
